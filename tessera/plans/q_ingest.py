@@ -125,3 +125,106 @@ def q_retrieve_context(spark, sf_dir):
     out = context(q, hits)
     return out.select("query_id", F.col("hits").cast("bigint").alias("hits"),
                       "top_score", "context", "sources")
+
+
+# --- index table: upsert, datapoint content, ingest summary -----------------
+# The increment re-chunks the whole corpus with a wider window (1500/150):
+# ids depend only on (uri, position), so positions present in both replace
+# the old rows, while a document's old tail positions stay (stale ids).
+
+_UPSERT_CTES = f"""{S.chunk_ctes(1000, 100, 'old_chunks')},
+{S.chunk_ctes(1500, 150, 'new_chunks')}"""
+
+
+def _old_new(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    old = corpus_chunks(d, chunk=1000, overlap=100).withColumn("origin", F.lit("old"))
+    new = corpus_chunks(d, chunk=1500, overlap=150).withColumn("origin", F.lit("new"))
+    return old, new
+
+
+def _mapping_out(df):
+    return df.select("chunk_id", "source", "chunk_index",
+                     F.length("text").cast("bigint").alias("n_chars"), "origin")
+
+
+@query("upsert_mapping", sql=f"""
+WITH {_UPSERT_CTES}
+SELECT chunk_id, source, chunk_index, CAST(length(text) AS BIGINT) AS n_chars, 'old' AS origin
+FROM old_chunks o WHERE NOT EXISTS (SELECT 1 FROM new_chunks n WHERE n.chunk_id = o.chunk_id)
+UNION ALL
+SELECT chunk_id, source, chunk_index, CAST(length(text) AS BIGINT), 'new' FROM new_chunks""")
+def q_upsert_mapping(spark, sf_dir):
+    from ..operators.upsert import merge
+    old, new = _old_new(spark, sf_dir)
+    return _mapping_out(merge(old, new))
+
+
+@query("upsert_prune", sql=f"""
+WITH {_UPSERT_CTES}
+SELECT chunk_id, source, chunk_index, CAST(length(text) AS BIGINT) AS n_chars, 'old' AS origin
+FROM old_chunks o WHERE NOT EXISTS (SELECT 1 FROM new_chunks n WHERE n.source = o.source)
+UNION ALL
+SELECT chunk_id, source, chunk_index, CAST(length(text) AS BIGINT), 'new' FROM new_chunks""")
+def q_upsert_prune(spark, sf_dir):
+    from ..operators.upsert import merge
+    old, new = _old_new(spark, sf_dir)
+    return _mapping_out(merge(old, new, prune_stale=True))
+
+
+@query("datapoint_content", sql="""
+WITH dp AS (
+  SELECT CAST(e.vec_id AS VARCHAR) AS datapoint_id,
+         CASE WHEN l.quality = 1 THEN [d.text] ELSE [] END AS allow_list,
+         CAST(e.label AS VARCHAR) AS crowding_attribute
+  FROM embeddings e
+  LEFT JOIN documents d ON d.doc_id = e.vec_id
+  LEFT JOIN labels l ON l.doc_id = e.vec_id
+)
+SELECT datapoint_id,
+       coalesce(nullif(CASE WHEN len(allow_list) > 0 THEN allow_list[1] END, ''),
+                CASE WHEN crowding_attribute NOT IN ('', '0') THEN crowding_attribute END) AS content
+FROM dp
+WHERE coalesce(nullif(CASE WHEN len(allow_list) > 0 THEN allow_list[1] END, ''),
+               CASE WHEN crowding_attribute NOT IN ('', '0') THEN crowding_attribute END) IS NOT NULL""")
+def q_datapoint_content(spark, sf_dir):
+    """Datapoints built from ``embeddings``: a ``label`` restrict, then a
+    ``content`` restrict holding the document text when the document is
+    labelled quality=1 (else an empty allow list), crowding = label. F4
+    picks the content."""
+    from ..operators.retrieval import datapoint_content
+    e = read_table(spark, sf_dir, "embeddings")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    dp = (e.join(d, e["vec_id"] == d["doc_id"], "left").drop("doc_id")
+          .join(lab, e["vec_id"] == lab["doc_id"], "left")
+          .select(
+              F.col("vec_id").cast("string").alias("datapoint_id"),
+              F.array(
+                  F.struct(F.lit("label").alias("namespace"),
+                           F.array(F.col("label").cast("string")).alias("allow_list")),
+                  F.struct(F.lit("content").alias("namespace"),
+                           F.when(F.col("quality") == 1, F.array("text"))
+                           .otherwise(F.array().cast("array<string>")).alias("allow_list")),
+              ).alias("restricts"),
+              F.col("label").cast("string").alias("crowding_attribute")))
+    out = dp.select("datapoint_id", datapoint_content(
+        F.col("restricts"), F.col("crowding_attribute")).alias("content"))
+    return out.where(F.col("content").isNotNull())
+
+
+@query("ingest_summary", sql=f"""
+WITH {S.chunk_ctes()},
+per_doc AS (SELECT source, count(*) AS n FROM chunks GROUP BY source)
+SELECT CAST(count(*) AS BIGINT) AS files_found,
+       CAST(sum(CASE WHEN length({S.clean('d.text')}) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS files_without_text,
+       CAST(coalesce(sum(p.n), 0) AS BIGINT) AS chunks
+FROM documents d LEFT JOIN per_doc p ON p.source = {S.corpus_uri('d.source', 'd.doc_id')}""")
+def q_ingest_summary(spark, sf_dir):
+    """A8 run summary of ingesting the whole corpus (files found, files with
+    no text, chunks written)."""
+    from ..operators.chunking import CORPUS_PREFIX, corpus_uri
+    from ..operators.ingest import plan_ingest
+    d = read_table(spark, sf_dir, "documents")
+    texts = d.select(corpus_uri(F.col("source"), F.col("doc_id")).alias("uri"), "text")
+    return plan_ingest(texts, CORPUS_PREFIX).summary

@@ -31,25 +31,25 @@ def uuid5(key_expr: str, prefix: str = CORPUS_PREFIX) -> str:
             f"substr({h},18,3) || '-' || substr({h},21,12))")
 
 
-def chunk_ctes(chunk: int = 1000, overlap: int = 100) -> str:
-    """CTEs ``_cleaned(source, clean)`` and ``chunks(chunk_id, source,
+def chunk_ctes(chunk: int = 1000, overlap: int = 100, name: str = "chunks") -> str:
+    """CTEs ``{name}_cleaned(source, clean)`` and ``{name}(chunk_id, source,
     chunk_index, text)`` over ``documents``."""
     step = max(chunk - overlap, 1)
     return f"""
-_cleaned AS (
+{name}_cleaned AS (
   SELECT {corpus_uri()} AS source, {clean('text')} AS clean FROM documents
 ),
-_spans AS (
+{name}_spans AS (
   SELECT source, clean,
          unnest(range(0, CASE WHEN length(clean) <= {chunk} THEN 1
                               ELSE CAST(ceil((length(clean) - {chunk}) / {step}.0) AS BIGINT) + 1 END)) AS i
-  FROM _cleaned WHERE length(clean) > 0
+  FROM {name}_cleaned WHERE length(clean) > 0
 ),
-chunks AS (
+{name} AS (
   SELECT {uuid5("source || '::chunk::' || CAST(i AS VARCHAR)")} AS chunk_id,
          source, CAST(i AS INTEGER) AS chunk_index,
          substr(clean, CAST(i * {step} + 1 AS BIGINT), {chunk}) AS text
-  FROM _spans
+  FROM {name}_spans
 )"""
 
 
