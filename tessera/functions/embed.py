@@ -69,6 +69,21 @@ def sparse_tf(text: Column, dim: int = DEFAULT_DIM) -> Column:
     return _let(sorted_b, with_sorted)
 
 
+def term_counts(toks: Column) -> Column:
+    """``STRUCT<terms ARRAY<STRING> (ascending), tfs ARRAY<INT>, dl INT>``:
+    distinct tokens with their counts and the token count, per row."""
+    def with_sorted(st):
+        n = F.size(st)
+        idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(
+            F.array().cast("array<int>"))
+        ends = F.filter(idx, lambda i: (i == n - 1) | (F.get(st, i) != F.get(st, i + 1)))
+        return _let(ends, lambda e: F.struct(
+            F.transform(e, lambda x: F.get(st, x)).alias("terms"),
+            F.transform(e, lambda x, j: x - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("tfs"),
+            n.alias("dl")))
+    return _let(F.array_sort(toks), with_sorted)
+
+
 def with_sparse_tf(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM,
                    prefix: str = "") -> DataFrame:
     """Add ``{prefix}buckets``, ``{prefix}tfs`` and ``{prefix}ss`` (see

@@ -92,3 +92,94 @@ _top AS (
          CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS INTEGER) AS rank
   FROM _scored QUALIFY rank <= {k}
 )"""
+
+
+# --- web ---------------------------------------------------------------------
+
+def strip(expr: str) -> str:
+    from ..functions.text import WS_RUN as _W
+    return f"regexp_replace({expr}, {sql_str('^' + _W + '|' + _W + '$')}, '', 'g')"
+
+
+def decode_entities(expr: str) -> str:
+    from ..functions.html import ENTITIES
+    for ent, ch in ENTITIES:
+        expr = f"replace({expr}, {sql_str(ent)}, {sql_str(ch)})"
+    return expr
+
+
+def page_text(html: str) -> str:
+    from ..functions.html import MARKUP_RUN
+    t = f"regexp_replace(coalesce({html}, ''), {sql_str(MARKUP_RUN)}, chr(10), 'g')"
+    t = decode_entities(t)
+    t = f"regexp_replace({t}, '[ \\t]+\\n', chr(10), 'g')"
+    t = f"regexp_replace({t}, '\\n{{2,}}', chr(10) || chr(10), 'g')"
+    return strip(t)
+
+
+def title(html: str) -> str:
+    from ..functions.html import TITLE_PATTERN
+    return strip(decode_entities(f"regexp_extract(coalesce({html}, ''), {sql_str(TITLE_PATTERN)}, 1)"))
+
+
+def page_lang(html: str) -> str:
+    from ..functions.html import LANG_PATTERN
+    return f"nullif(regexp_extract(coalesce({html}, ''), {sql_str(LANG_PATTERN)}, 1), '')"
+
+
+def host(url: str) -> str:
+    from ..functions.html import HOST_PATTERN
+    return f"lower(regexp_extract({url}, {sql_str(HOST_PATTERN)}, 1))"
+
+
+def page_output(url: str, text: str, max_chars: int = 8000) -> str:
+    from ..functions.html import EMPTY_PAGE, NOT_FOUND, TRUNCATION_MARK
+    body = (f"CASE WHEN length({text}) > {max_chars} THEN substr({text}, 1, {max_chars}) || "
+            f"{sql_str(TRUNCATION_MARK)} ELSE {text} END")
+    return (f"CASE WHEN {text} IS NULL THEN '[' || {url} || '] ' || {sql_str(NOT_FOUND)} "
+            f"WHEN length({text}) = 0 THEN '[' || {url} || '] ' || {sql_str(EMPTY_PAGE)} "
+            f"ELSE '[URL] ' || {url} || chr(10) || chr(10) || {body} END")
+
+
+def dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def bm25_ctes(q_src: str, q_id: str, q_text: str, d_src: str, d_id: str, d_text: str,
+              k: int, name: str = "bm") -> str:
+    """CTE ``{name}_top(query_id, doc_id, score, rank)``; same formula and
+    operation order as the Spark operator."""
+    from ..operators.web import BM25_B, BM25_K1, SCORE_DIGITS
+    tok = sql_str(TOKEN_PATTERN)
+    return f"""
+{name}_dtok AS (
+  SELECT {d_id} AS doc_id, unnest(regexp_extract_all(lower(coalesce({d_text}, '')), {tok})) AS term FROM {d_src}
+),
+{name}_dl AS (
+  SELECT {d_id} AS doc_id, len(regexp_extract_all(lower(coalesce({d_text}, '')), {tok})) AS dl FROM {d_src}
+),
+{name}_stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(dl AS DOUBLE)) AS avgdl FROM {name}_dl),
+{name}_qt AS (
+  SELECT DISTINCT {q_id} AS query_id, unnest(regexp_extract_all(lower(coalesce({q_text}, '')), {tok})) AS term FROM {q_src}
+),
+{name}_dtf AS (
+  SELECT doc_id, term, count(*) AS tf FROM {name}_dtok
+  WHERE term IN (SELECT term FROM {name}_qt) GROUP BY ALL
+),
+{name}_idf AS (
+  SELECT term, ln({dbl(1.0)} + (s.n - CAST(count(*) AS DOUBLE) + {dbl(0.5)}) / (CAST(count(*) AS DOUBLE) + {dbl(0.5)})) AS idf
+  FROM {name}_dtf, {name}_stats s GROUP BY term, s.n
+),
+{name}_sc AS (
+  SELECT q.query_id, d.doc_id,
+         round(sum(i.idf * CAST(d.tf AS DOUBLE) * {dbl(BM25_K1 + 1.0)}
+                   / (CAST(d.tf AS DOUBLE) + {dbl(BM25_K1)} * ({dbl(1.0 - BM25_B)} + {dbl(BM25_B)} * CAST(l.dl AS DOUBLE) / s.avgdl))), {SCORE_DIGITS}) AS score
+  FROM {name}_qt q JOIN {name}_idf i USING (term) JOIN {name}_dtf d USING (term)
+       JOIN {name}_dl l ON l.doc_id = d.doc_id, {name}_stats s
+  GROUP BY ALL
+),
+{name}_top AS (
+  SELECT query_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM {name}_sc QUALIFY rank <= {k}
+)"""
