@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every binding module (each registers its queries)."""
-    from . import q_ingest, q_web  # noqa: F401
+    from . import q_catalog, q_ingest, q_web  # noqa: F401
