@@ -151,18 +151,14 @@ def tool_summary(events: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("status") == "error", 1).otherwise(0)).cast("bigint").alias("tool_errors"))
 
 
-def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
-                   guardrail_rules=GUARDRAIL_RULES, classifier=None,
-                   require_end: bool = True) -> DataFrame:
-    """One governed row per invocation (C7). Turns without an end hook are
-    emitted on the error path (WARNING) instead of being dropped, when
-    ``require_end``; rows without an invocation id likewise."""
-    ev = annotate(events, redaction_rules, guardrail_rules, classifier)
+def turn_aggregates() -> list:
+    """The per-invocation aggregates of the turn row (all partial-
+    aggregatable, also valid in a streaming aggregation)."""
     seq = F.col("seq")
     hook = F.col("hook")
     is_end = hook == "after_agent"
     final_part = F.get(F.filter("parts", lambda p: p["text"].isNotNull() & (p["text"] != "")), 0)["text"]
-    agg = ev.groupBy("invocation_id").agg(
+    return [
         F.max("agent_name").alias("agent_name"),
         F.max("user_id").alias("user_id"),
         F.max("session_id").alias("session_id"),
@@ -181,9 +177,11 @@ def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
                  F.when(is_end, seq)).alias("_end"),
         F.count(F.when(is_end, 1)).alias("_n_end"),
         F.count(F.when(hook == "before_tool", 1)).alias("_n_tools"),
-    )
-    tools = tool_summary(events)
-    t = agg.join(tools, "invocation_id", "left")
+    ]
+
+
+def finish_turns(t: DataFrame, require_end: bool = True, keep: tuple = ()) -> DataFrame:
+    """Resolve the aggregated state into the final row."""
     end_text = F.coalesce(F.col("_end.text"), F.lit(""))
     use_intercept = (end_text == "") & F.col("_intercept").isNotNull()
     text1 = F.when(use_intercept, F.col("_intercept.final_text")).otherwise(end_text)
@@ -195,7 +193,7 @@ def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
                          F.nullif(F.col("_user_text"), F.lit("")), F.lit(""))
     ok = F.col("invocation_id").isNotNull() & ((F.col("_n_end") > 0) | F.lit(not require_end))
     return t.select(
-        "invocation_id", "agent_name", "user_id", "session_id",
+        *keep, "invocation_id", "agent_name", "user_id", "session_id",
         F.when(ok, F.lit(FINAL_MESSAGE)).otherwise(F.lit(ERROR_MESSAGE)).alias("message"),
         F.when(ok, F.lit("INFO")).otherwise(F.lit("WARNING")).alias("severity"),
         F.when(~ok, F.when(F.col("invocation_id").isNull(), F.lit("missing invocation_id"))
@@ -214,6 +212,45 @@ def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
         "guardrail_error")
 
 
+def tools_from_events(arr) -> tuple:
+    """Tool summary from one turn's tool events as an array of
+    STRUCT<seq, hook, name, call_id, status> sorted by seq -- the same rule
+    as :func:`tool_summary`, evaluated per turn (used by the stream, where
+    the turn's events are aggregated anyway). Returns (summary, errors)."""
+    calls = F.filter(arr, lambda e: e["hook"] == "before_tool")
+    resps = F.filter(arr, lambda e: e["hook"] == "after_tool")
+
+    def target(r):
+        by_id = F.get(F.filter(calls, lambda c: c["call_id"].isNotNull()
+                               & (c["call_id"] == r["call_id"])), 0)["seq"]
+        prior = F.filter(calls, lambda c: c["seq"] < r["seq"])
+        last = F.get(prior, F.size(prior) - 1)["seq"]
+        return F.coalesce(by_id, last)
+
+    resolved = F.transform(resps, lambda r: F.struct(target(r).alias("t"), r["seq"].alias("s"),
+                                                     r["status"].alias("status")))
+
+    def status_of(c):
+        mine = F.filter(resolved, lambda x: x["t"] == c["seq"])
+        return F.coalesce(F.get(mine, F.size(mine) - 1)["status"], F.lit(REQUESTED))
+
+    summary = F.transform(calls, lambda c: F.struct(F.coalesce(c["name"], F.lit("")).alias("name"),
+                                                    status_of(c).alias("status")))
+    return summary
+
+
+def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
+                   guardrail_rules=GUARDRAIL_RULES, classifier=None,
+                   require_end: bool = True) -> DataFrame:
+    """One governed row per invocation (C7). Turns without an end hook are
+    emitted on the error path (WARNING) instead of being dropped, when
+    ``require_end``; rows without an invocation id likewise."""
+    ev = annotate(events, redaction_rules, guardrail_rules, classifier)
+    agg = ev.groupBy("invocation_id").agg(*turn_aggregates())
+    t = agg.join(tool_summary(events), "invocation_id", "left")
+    return finish_turns(t, require_end)
+
+
 def verbose_rows(events: DataFrame, redaction_rules=DEFAULT_RULES,
                  guardrail_rules=GUARDRAIL_RULES, classifier=None) -> DataFrame:
     """One log row per hook event (when the verbose flag is on): the

@@ -228,3 +228,21 @@ def q_ingest_summary(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     texts = d.select(corpus_uri(F.col("source"), F.col("doc_id")).alias("uri"), "text")
     return plan_ingest(texts, CORPUS_PREFIX).summary
+
+
+# --- approximate k-NN (rows-only check; recall is tested against exact) -----
+IVF_CELLS = 20
+IVF_PROBES = 8
+
+
+@query("knn_approx")
+def q_knn_approx(spark, sf_dir):
+    """IVF approximate k-NN graph of ``embeddings`` (20 KMeans cells, 8
+    probed per query): (query_id, neighbor_id, score, rank, scored)."""
+    from ..operators.knn import ivf_index, topk_ivf
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    assigned, cent = ivf_index(e, cand_id="vec_id", vec="embedding", nlist=IVF_CELLS)
+    top = topk_ivf(e.select(F.col("vec_id").alias("query_id"), "embedding"), assigned, cent,
+                   5, IVF_PROBES, exclude_self=True)
+    return top.select("query_id", F.col("vec_id").alias("neighbor_id"), "score",
+                      F.col("rank").cast("int").alias("rank"), "scored")

@@ -18,7 +18,7 @@ SEARCH_RESULTS = 3       # the reference's default result count
 FILTER_SITE = "example.com"
 FILTER_LANG = "en"
 FILTER_RESULTS = 5
-FALLBACK_MIN_SCORE = 0.5
+FALLBACK_MIN_SCORE = 0.55
 
 
 def _queries(spark, sf_dir):
@@ -161,3 +161,28 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic =
 def q_safe_documents(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return safe_rows(d, read_table(spark, sf_dir, "labels"))
+
+
+def _fallback_sql() -> str:
+    from .q_ingest import _RETRIEVE_SQL
+    return _RETRIEVE_SQL + f""", {_search_sql(SEARCH_RESULTS)},
+good AS (SELECT DISTINCT query_id FROM hits WHERE score >= {FALLBACK_MIN_SCORE!r})
+SELECT h.query_id, 'internal' AS tier, h.rank, h.chunk_id AS ref, h.score
+FROM hits h JOIN good g USING (query_id)
+UNION ALL
+SELECT i.query_id, 'web' AS tier, i.rank, i.link AS ref, i.score
+FROM items i WHERE i.query_id NOT IN (SELECT query_id FROM good)"""
+
+
+@query("fallback_tiers", sql=_fallback_sql())
+def q_fallback_tiers(spark, sf_dir):
+    """Internal retrieval first; queries whose best internal hit
+    scores below 0.55 fall back to web search over the stored pages."""
+    from ..operators.chunking import corpus_chunks
+    from ..operators.retrieval import DEFAULT_K, retrieve
+    from ..operators.web import fallback
+    q = _queries(spark, sf_dir)
+    hits = retrieve(q, corpus_chunks(read_table(spark, sf_dir, "documents")), DEFAULT_K)
+    items, _ = web_search(q, read_table(spark, sf_dir, "pages"), SEARCH_RESULTS)
+    out = fallback(q, hits, items, FALLBACK_MIN_SCORE)
+    return out.select("query_id", "tier", F.col("rank").cast("int").alias("rank"), "ref", "score")
