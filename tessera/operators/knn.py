@@ -278,11 +278,13 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
     nlist, d = centroids.shape
     nprobe = max(1, min(nprobe, nlist))
     cent_t = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in centroids])
-    # probes: nearest cells per query, computed per row (no shuffle)
+    half_sq = F.array(*[F.lit(0.5 * float(np.dot(row, row))) for row in centroids])
+    # probes: the cells whose centroid is nearest in Euclidean distance (the
+    # metric KMeans assigned with): argmax q.c - |c|^2 / 2, per row
     q = queries.select(F.col(query_id), F.col(vec).alias("_qv"))
-    q = q.withColumn("_sims", F.transform(cent_t, lambda cvec: F.aggregate(
+    q = q.withColumn("_sims", F.zip_with(F.transform(cent_t, lambda cvec: F.aggregate(
         F.zip_with(cvec, F.col("_qv"), lambda a, b: a * b.cast("double")),
-        F.lit(0.0), lambda acc, x: acc + x)))
+        F.lit(0.0), lambda acc, x: acc + x)), half_sq, lambda dot, h: dot - h))
     q = q.withColumn("_cells", F.slice(F.transform(
         F.array_sort(F.transform(F.col("_sims"), lambda s, i: F.struct(
             (-s).alias("neg"), i.alias("cell")))), lambda st: st["cell"]),
