@@ -241,10 +241,13 @@ def tools_from_events(arr) -> tuple:
 
 def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
                    guardrail_rules=GUARDRAIL_RULES, classifier=None,
-                   require_end: bool = True) -> DataFrame:
+                   require_end: bool = True, dedupe: bool = True) -> DataFrame:
     """One governed row per invocation (C7). Turns without an end hook are
     emitted on the error path (WARNING) instead of being dropped, when
-    ``require_end``; rows without an invocation id likewise."""
+    ``require_end``; rows without an invocation id likewise. A re-delivered
+    hook event (same ``event_id`` within its invocation) counts once."""
+    if dedupe and "event_id" in events.columns:
+        events = events.dropDuplicates(["invocation_id", "event_id"])
     ev = annotate(events, redaction_rules, guardrail_rules, classifier)
     agg = ev.groupBy("invocation_id").agg(*turn_aggregates())
     t = agg.join(tool_summary(events), "invocation_id", "left")

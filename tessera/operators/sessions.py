@@ -104,7 +104,7 @@ def session_time(cols: dict[str, Column]) -> Column:
     for k in SESSION_TIME_KEYS:
         if k in cols:
             v = cols[k]
-            as_num = F.try_cast(v, "double")
+            as_num = v.try_cast("double")
             as_iso = F.unix_micros(F.try_to_timestamp(
                 F.regexp_replace(v.cast("string"), "Z$", "+00:00"))) / F.lit(1e6)
             parts.append(F.coalesce(as_num, as_iso))

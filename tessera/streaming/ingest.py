@@ -19,10 +19,14 @@ from ..sources.files import DEFAULT_EXTENSIONS, _ext_pattern, decode_text
 from ..sources.mapping import load_mapping, save_mapping
 
 
+# the fixed schema of the binaryFile source (streams need it declared)
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def file_stream(spark: SparkSession, root: str,
                 exts: tuple[str, ...] = DEFAULT_EXTENSIONS) -> DataFrame:
-    s = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
-         .load(root))
+    s = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+         .option("recursiveFileLookup", "true").load(root))
     return (s.where(F.lower("path").rlike(_ext_pattern(exts)))
             .select(F.col("path").alias("uri"), "content"))
 
