@@ -49,7 +49,7 @@ def _let(value: Column, body) -> Column:
 def sparse_tf(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """``STRUCT<buckets ARRAY<INT> (ascending), tfs ARRAY<INT>, ss BIGINT>``:
     hashed term counts of ``text`` and the sum of squared counts."""
-    sorted_b = F.array_sort(F.transform(tokens(text), lambda tok: bucket_of(tok, dim)))
+    sorted_b = F.sort_array(F.transform(tokens(text), lambda tok: bucket_of(tok, dim)))
 
     def with_sorted(sb):
         n = F.size(sb)
@@ -81,7 +81,7 @@ def term_counts(toks: Column) -> Column:
             F.transform(e, lambda x: F.get(st, x)).alias("terms"),
             F.transform(e, lambda x, j: x - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("tfs"),
             n.alias("dl")))
-    return _let(F.array_sort(toks), with_sorted)
+    return _let(F.sort_array(toks), with_sorted)
 
 
 def with_sparse_tf(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM,

@@ -87,22 +87,22 @@ def topk_sparse(queries: DataFrame, candidates: DataFrame, k: int, dim: int, *,
     if method not in ("auto", "broadcast", "join"):
         raise ValueError(method)
     if method != "join":
-        nq = q.count()
-        if method == "broadcast" or nq * dim * 8 <= budget:
-            return _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, nq)
+        # size check and collect in one bounded job: at most max_q + 1 rows
+        max_q = max(1, budget // (8 * dim))
+        rows = q.limit(max_q + 1).collect() if method == "auto" else q.collect()
+        if method == "broadcast" or len(rows) <= max_q:
+            return _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, rows)
     return _sparse_join(q, c, k, query_id, cand_id, carry)
 
 
-def _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, nq):
+def _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, rows):
     spark = q.sparkSession
     qfield = q.schema[query_id]
     out_schema = T.StructType(
         [T.StructField(query_id, qfield.dataType),
          c.schema[cand_id], T.StructField("score", T.DoubleType())]
         + [c.schema[x] for x in carry])
-    if nq == 0:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    rows = [r for r in q.collect() if r["ss"]]  # bounded: nq * dim * 8 <= budget
+    rows = [r for r in rows if r["ss"]]
     if not rows:
         return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
     nq = len(rows)
@@ -186,14 +186,13 @@ def topk_dense(queries: DataFrame, candidates: DataFrame, k: int, *,
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    q = queries.select(F.col(query_id), F.col(vec).alias("_qv"))
-    first = q.where(F.col("_qv").isNotNull()).select(F.size("_qv")).limit(1).collect()
-    nq = q.count()
+    q = queries.select(F.col(query_id), F.col(vec).alias("_qv")).where(F.col("_qv").isNotNull())
     spark = queries.sparkSession
     out_schema = T.StructType([
         T.StructField(query_id, queries.schema[query_id].dataType),
         candidates.schema[cand_id], T.StructField("raw", T.DoubleType())])
-    if nq == 0 or not first:
+    first = q.select(F.size("_qv")).limit(1).collect()
+    if not first:
         return spark.createDataFrame([], out_schema.add("score", T.DoubleType())
                                      .add("rank", T.IntegerType()))
     d = int(first[0][0])
@@ -201,14 +200,15 @@ def topk_dense(queries: DataFrame, candidates: DataFrame, k: int, *,
     margin = 0.5 * 10.0 ** (-score_digits)
     cands = candidates.select(cand_id, vec)
     parts = []
-    if nq <= per_block:
-        blocks = [q]
+    head = q.limit(per_block + 1).collect()        # bounded size check
+    if len(head) <= per_block:
+        blocks = [head]
     else:
         # bounded blocks of queries, each one broadcast on its own
-        nb = math.ceil(nq / per_block)
+        nb = math.ceil(q.count() / per_block)
         blocks = [q.where(F.pmod(F.xxhash64(query_id), F.lit(nb)) == b) for b in range(nb)]
     for blk in blocks:
-        rows = blk.collect()
+        rows = blk if isinstance(blk, list) else blk.collect()
         if not rows:
             continue
         qids = np.asarray([r[query_id] for r in rows], dtype=object)

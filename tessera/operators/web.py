@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 from ..functions.embed import term_counts, tokens
 from ..functions.html import (extract_urls, page_lang, page_output, page_text,
                               site_match, title)
@@ -61,9 +63,16 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
           .select(query_id, F.explode("_t").alias("term")))
     vocab = qt.select("term").distinct()
     n_vocab = vocab.count()
-    dt_all = doc_terms(docs, doc_id, doc_text)
-    stats = (docs.select(F.size(tokens(F.col(doc_text))).alias("dl"))
-             .agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).collect()[0])
+    checkpoint_dir(docs.sparkSession)
+    # the per-document term table is computed once (lineage cut into the
+    # shared checkpoint folder) and feeds the corpus statistics, the
+    # document frequencies and the scores
+    tc = docs.select(doc_id, term_counts(tokens(F.col(doc_text))).alias("_tc")).checkpoint()
+    dt_all = (tc.select(doc_id, F.col("_tc.dl").alias("dl"),
+                        F.explode(F.arrays_zip(F.col("_tc.terms").alias("term"),
+                                               F.col("_tc.tfs").alias("tf"))).alias("e"))
+              .select(doc_id, F.col("e.term").alias("term"), F.col("e.tf").alias("tf"), "dl"))
+    stats = (tc.agg(F.count("*").alias("n"), F.avg(F.col("_tc.dl")).alias("avgdl")).collect()[0])
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     if n_docs == 0 or n_vocab == 0:
         return queries.sparkSession.createDataFrame(
@@ -105,7 +114,9 @@ def web_search(queries: DataFrame, pages: DataFrame, num_results: int = DEFAULT_
     title, link, snippet); texts are one numbered results text per query.
     """
     num = clamp_results(num_results)
-    pt = page_table(pages)
+    checkpoint_dir(pages.sparkSession)
+    # cleaned pages are read for ranking and for the result fields: clean once
+    pt = page_table(pages).checkpoint()
     if site:
         pt = pt.where(site_match(F.col("url"), site))
     if lang:

@@ -15,10 +15,28 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
+# Tables whose rows carry long texts processed per row (regex cleaning,
+# tokenising, hashing): CPU-bound work that needs every core.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over ``2 x defaultParallelism`` partitions when it
+    has fewer partitions than cores (e.g. one large row group), so per-row
+    text work is not serialised on one task. A scan of many files already
+    has enough partitions and is left as is (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(2 * par)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = spread(df)
     if name == "events":
         # stored as TIMESTAMP_NTZ; event-time operators need TIMESTAMP
         # (session zone is UTC, so the wall-clock value is kept)
