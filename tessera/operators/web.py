@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 from ..functions.embed import term_counts, tokens
-from ..functions.html import (extract_urls, page_lang, page_output, page_text,
+from ..functions.html import (extract_urls, host, page_lang, page_output, page_text,
                               site_match, title)
 from ..functions.text import clean_field
 
@@ -39,6 +39,16 @@ MAX_BROADCAST_TERMS = 2_000_000
 # ----------------------------------------------------------------------------
 
 
+SITE_QUERY = r"^\s*site:(\S+)\s+(.*)$"
+
+
+def split_site_query(q: Column) -> tuple[Column, Column]:
+    """``site:host rest`` -> (site, rest); other queries -> (null, q)."""
+    s = F.nullif(F.lower(F.regexp_extract(q, "(?s)" + SITE_QUERY, 1)), F.lit(""))
+    rest = F.when(s.isNotNull(), F.regexp_extract(q, "(?s)" + SITE_QUERY, 2)).otherwise(q)
+    return s.alias("_site"), rest.alias("_q")
+
+
 def clamp_results(n: int) -> int:
     """Result count clamp (T5): between 1 and 10."""
     return max(1, min(int(n), MAX_RESULTS))
@@ -55,23 +65,31 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_id",
          query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
-         k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+         k1: float = BM25_K1, b: float = BM25_B, pair_filter=None,
+         query_keep: tuple[str, ...] = (), doc_keep: tuple[str, ...] = ()) -> DataFrame:
     """Top-k documents per query by BM25 over distinct query terms:
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``. Returns (query_id,
-    doc_id, score, rank); score rounded to 6 places, ties by doc_id."""
-    qt = (queries.select(query_id, F.array_distinct(tokens(F.col(query_text))).alias("_t"))
-          .select(query_id, F.explode("_t").alias("term")))
+    doc_id, score, rank); score rounded to 6 places, ties by doc_id.
+
+    ``pair_filter`` (a Column over ``query_keep`` and ``doc_keep`` columns)
+    restricts the candidates of each query before the top-k, with corpus
+    statistics unchanged -- a search engine's per-query restriction."""
+    qt = (queries.select(query_id, *query_keep,
+                         F.array_distinct(tokens(F.col(query_text))).alias("_t"))
+          .select(query_id, *query_keep, F.explode("_t").alias("term")))
     vocab = qt.select("term").distinct()
     n_vocab = vocab.count()
     checkpoint_dir(docs.sparkSession)
     # the per-document term table is computed once (lineage cut into the
     # shared checkpoint folder) and feeds the corpus statistics, the
     # document frequencies and the scores
-    tc = docs.select(doc_id, term_counts(tokens(F.col(doc_text))).alias("_tc")).checkpoint()
-    dt_all = (tc.select(doc_id, F.col("_tc.dl").alias("dl"),
+    tc = docs.select(doc_id, *doc_keep,
+                     term_counts(tokens(F.col(doc_text))).alias("_tc")).checkpoint()
+    dt_all = (tc.select(doc_id, *doc_keep, F.col("_tc.dl").alias("dl"),
                         F.explode(F.arrays_zip(F.col("_tc.terms").alias("term"),
                                                F.col("_tc.tfs").alias("tf"))).alias("e"))
-              .select(doc_id, F.col("e.term").alias("term"), F.col("e.tf").alias("tf"), "dl"))
+              .select(doc_id, *doc_keep, F.col("e.term").alias("term"),
+                      F.col("e.tf").alias("tf"), "dl"))
     stats = (tc.agg(F.count("*").alias("n"), F.avg(F.col("_tc.dl")).alias("avgdl")).collect()[0])
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     if n_docs == 0 or n_vocab == 0:
@@ -87,7 +105,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
     qw = F.broadcast(qw) if n_vocab <= MAX_BROADCAST_TERMS else qw
     tf = F.col("tf").cast("double")
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    part = dt.join(qw, "term").select(
+    joined = dt.join(qw, "term")
+    if pair_filter is not None:
+        joined = joined.where(pair_filter)   # per-query restriction, before scoring
+    part = joined.select(
         query_id, doc_id, (F.col("idf") * tf * F.lit(k1 + 1.0) / (tf + norm)).alias("w"))
     scores = part.groupBy(query_id, doc_id).agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(doc_id).asc())
@@ -128,8 +149,14 @@ def web_search(queries: DataFrame, pages: DataFrame, num_results: int = DEFAULT_
             F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(int(recent_days))))
     if unsafe is not None:
         pt = pt.join(unsafe.select("page_id"), "page_id", "left_anti")
-    top = bm25(queries, pt, num, query_id=query_id, query_text=query_text,
-               doc_id="page_id", doc_text="text")
+    # A query may carry its own "site:host rest" prefix
+    q = queries.select(query_id, *split_site_query(F.col(query_text)))
+    pt = pt.withColumn("_host", host(F.col("url")))
+    top = bm25(q, pt, num, query_id=query_id, query_text="_q",
+               doc_id="page_id", doc_text="text",
+               pair_filter=F.col("_site").isNull() | (F.col("_host") == F.col("_site"))
+               | F.col("_host").endswith(F.concat(F.lit("."), F.col("_site"))),
+               query_keep=("_site",), doc_keep=("_host",))
     items = (top.join(pt.select("page_id", "url", "title", "text"), "page_id")
              .select(query_id, "rank", "page_id", "score",
                      clean_field(F.col("title")).alias("title"),

@@ -10,7 +10,7 @@ from ..functions.policy import (ALL_RULES, BLOCKED_PROMPT, BLOCKED_RESPONSE, GUA
                                 guardrail_decision, normalize_severity, redaction, sql_pattern)
 from ..operators.governance import (FINAL_MESSAGE, assemble_turns, conversation_events,
                                     log_rows, tool_summary, turn_pairs)
-from ..sources.tables import read_table
+from ..sources.tables import read_table, read_text_table
 from . import sqlparts as S
 from .registry import query
 
@@ -45,7 +45,7 @@ SELECT doc_id, {_redact_sql('text')} AS redacted,
        coalesce({_redact_sql('text')} <> text, false) AS pii_redacted
 FROM documents""")
 def q_redact_documents(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents")
     red, changed = redaction(F.col("text"), ALL_RULES)
     return d.select("doc_id", red.alias("redacted"), changed.alias("pii_redacted"))
 
@@ -57,7 +57,7 @@ SELECT doc_id, CASE WHEN {_category_sql('red')} IS NULL THEN 'safe' ELSE 'unsafe
 FROM r""")
 def q_guardrail(spark, sf_dir):
     """Rule guardrail on the redacted text of every document."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents")
     red, _ = redaction(F.col("text"), ALL_RULES)
     dec = guardrail_decision(red, GUARDRAIL_RULES)
     return d.select("doc_id", dec["decision"].alias("decision"), dec["reasoning"].alias("reasoning"))
@@ -74,7 +74,7 @@ SELECT CAST(count(*) FILTER (WHERE flagged AND toxic) AS BIGINT) AS tp,
 FROM p""")
 def q_guardrail_eval(spark, sf_dir):
     """Confusion counts of the rule guardrail against the ``toxic`` labels."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents")
     red, _ = redaction(F.col("text"), ALL_RULES)
     flagged = guardrail_decision(red, GUARDRAIL_RULES)["decision"] == "unsafe"
     p = d.select("doc_id", flagged.alias("flagged")).join(

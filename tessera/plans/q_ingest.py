@@ -11,7 +11,7 @@ from ..functions.text import clean_text
 from ..operators.chunking import corpus_chunks
 from ..operators.knn import topk_dense
 from ..operators.retrieval import DEFAULT_K, NO_DOCUMENTS, context, retrieve
-from ..sources.tables import read_table
+from ..sources.tables import read_table, read_text_table
 from . import sqlparts as S
 from .registry import query
 
@@ -26,7 +26,7 @@ SELECT doc_id, CAST(length({S.clean('text')}) AS BIGINT) AS clean_chars,
        {S.clean('text')} AS clean_text
 FROM documents""")
 def q_clean_text(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents")
     c = clean_text(F.col("text"))
     return d.select("doc_id", F.length(c).cast("bigint").alias("clean_chars"),
                     c.alias("clean_text"))
@@ -36,7 +36,7 @@ def q_clean_text(spark, sf_dir):
 WITH {S.chunk_ctes()}
 SELECT source, chunk_index, text, CAST(length(text) AS BIGINT) AS n_chars FROM chunks""")
 def q_chunk_documents(spark, sf_dir):
-    ch = corpus_chunks(read_table(spark, sf_dir, "documents"))
+    ch = corpus_chunks(read_text_table(spark, sf_dir, "documents"))
     return ch.select("source", "chunk_index", "text",
                      F.length("text").cast("bigint").alias("n_chars"))
 
@@ -45,7 +45,7 @@ def q_chunk_documents(spark, sf_dir):
 WITH {S.chunk_ctes()}
 SELECT chunk_id, source, chunk_index FROM chunks""")
 def q_chunk_ids(spark, sf_dir):
-    return corpus_chunks(read_table(spark, sf_dir, "documents")).select(
+    return corpus_chunks(read_text_table(spark, sf_dir, "documents")).select(
         "chunk_id", "source", "chunk_index")
 
 
@@ -55,7 +55,7 @@ SELECT t.id AS chunk_id, t.bucket, t.tf,
        CAST(t.tf AS DOUBLE) / sqrt(CAST(s.ss AS DOUBLE)) AS weight
 FROM c_tf t JOIN c_ss s USING (id)""")
 def q_embed_chunks(spark, sf_dir):
-    ch = corpus_chunks(read_table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    ch = corpus_chunks(read_text_table(spark, sf_dir, "documents")).select("chunk_id", "text")
     v = with_sparse_tf(ch, "text", DEFAULT_DIM)
     e = v.select("chunk_id", "ss", F.explode(F.arrays_zip("buckets", "tfs")).alias("e"))
     return e.select(
@@ -99,7 +99,7 @@ hits AS (
 @query("retrieve_hits", sql=_RETRIEVE_SQL + """
 SELECT query_id, rank, chunk_id, source, chunk_index, score FROM hits""")
 def q_retrieve_hits(spark, sf_dir):
-    ch = corpus_chunks(read_table(spark, sf_dir, "documents"))
+    ch = corpus_chunks(read_text_table(spark, sf_dir, "documents"))
     hits = retrieve(_queries(spark, sf_dir), ch, DEFAULT_K)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"),
                        "chunk_id", "source", "chunk_index", "score")
@@ -120,7 +120,7 @@ def q_retrieve_context(spark, sf_dir):
     """Flagship: retrieval-augmented context for every benchmark text over
     the chunked corpus (C2 + A4 + J8)."""
     q = _queries(spark, sf_dir)
-    ch = corpus_chunks(read_table(spark, sf_dir, "documents"))
+    ch = corpus_chunks(read_text_table(spark, sf_dir, "documents"))
     hits = retrieve(q, ch, DEFAULT_K)
     out = context(q, hits)
     return out.select("query_id", F.col("hits").cast("bigint").alias("hits"),
@@ -137,7 +137,7 @@ _UPSERT_CTES = f"""{S.chunk_ctes(1000, 100, 'old_chunks')},
 
 
 def _old_new(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents")
     old = corpus_chunks(d, chunk=1000, overlap=100).withColumn("origin", F.lit("old"))
     new = corpus_chunks(d, chunk=1500, overlap=150).withColumn("origin", F.lit("new"))
     return old, new
@@ -225,7 +225,7 @@ def q_ingest_summary(spark, sf_dir):
     no text, chunks written)."""
     from ..operators.chunking import CORPUS_PREFIX, corpus_uri
     from ..operators.ingest import plan_ingest
-    d = read_table(spark, sf_dir, "documents")
+    d = read_text_table(spark, sf_dir, "documents")
     texts = d.select(corpus_uri(F.col("source"), F.col("doc_id")).alias("uri"), "text")
     return plan_ingest(texts, CORPUS_PREFIX).summary
 

@@ -10,7 +10,7 @@ from ..functions.html import (MAX_PAGE_CHARS, URL_PATTERN, URL_TRAILING_PATTERN,
                               page_output, page_text)
 from ..operators.web import (DEFAULT_TOP_PAGES, NO_RESULTS, NO_URLS, PAGE_SEPARATOR,
                              SNIPPET_CHARS, bm25, fetch_pages, safe_rows, web_search)
-from ..sources.tables import read_table
+from ..sources.tables import read_table, read_text_table
 from . import sqlparts as S
 from .registry import query
 
@@ -32,7 +32,7 @@ SELECT page_id, url, CAST(length(text) AS BIGINT) AS clean_chars,
        {S.page_output('url', 'text', MAX_PAGE_CHARS)} AS page_text
 FROM p""")
 def q_clean_html(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages").select(
+    p = read_text_table(spark, sf_dir, "pages").select(
         "page_id", "url", page_text(F.col("html")).alias("text"))
     return p.select("page_id", "url", F.length("text").cast("bigint").alias("clean_chars"),
                     page_output(F.col("url"), F.col("text"), MAX_PAGE_CHARS).alias("page_text"))
@@ -45,7 +45,7 @@ _PT = f"_pt AS (SELECT page_id, url, {S.title('html')} AS title, {S.page_lang('h
 WITH {_PT}, {S.bm25_ctes('benchmark', 'item_id', 'text', '_pt', 'page_id', 'text', 10)}
 SELECT query_id, doc_id AS page_id, score, rank FROM bm_top""")
 def q_bm25_pages(spark, sf_dir):
-    pt = read_table(spark, sf_dir, "pages").select(
+    pt = read_text_table(spark, sf_dir, "pages").select(
         "page_id", page_text(F.col("html")).alias("text"))
     r = bm25(_queries(spark, sf_dir), pt, 10, doc_id="page_id")
     return r.select("query_id", "page_id", "score", F.col("rank").cast("int").alias("rank"))
@@ -55,7 +55,7 @@ def q_bm25_pages(spark, sf_dir):
 WITH {S.bm25_ctes('benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text', 10)}
 SELECT query_id, doc_id, score, rank FROM bm_top""")
 def q_bm25_documents(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = read_text_table(spark, sf_dir, "documents").select("doc_id", "text")
     r = bm25(_queries(spark, sf_dir), d, 10, doc_id="doc_id")
     return r.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
@@ -88,7 +88,7 @@ results AS (
 def q_web_search(spark, sf_dir):
     """Numbered results text (3 results) for every benchmark query over all
     stored pages (C3, A5)."""
-    _, texts = web_search(_queries(spark, sf_dir), read_table(spark, sf_dir, "pages"),
+    _, texts = web_search(_queries(spark, sf_dir), read_text_table(spark, sf_dir, "pages"),
                           SEARCH_RESULTS)
     return texts
 
@@ -103,7 +103,7 @@ _FILTER_WHERE = (f"WHERE lang = {S.sql_str(FILTER_LANG)} AND ({S.host('url')} =
 def q_web_search_filtered(spark, sf_dir):
     """Search restricted to one site (and its sub-domains) and one page
     language, 5 results (F5, F6, T5)."""
-    _, texts = web_search(_queries(spark, sf_dir), read_table(spark, sf_dir, "pages"),
+    _, texts = web_search(_queries(spark, sf_dir), read_text_table(spark, sf_dir, "pages"),
                           FILTER_RESULTS, site=FILTER_SITE, lang=FILTER_LANG)
     return texts
 
@@ -127,7 +127,7 @@ def q_extract_urls(spark, sf_dir):
     """URLs of each web_search results text, first-occurrence order,
     deduplicated, first 3 (X8, T2)."""
     from ..functions.html import extract_urls
-    _, texts = web_search(_queries(spark, sf_dir), read_table(spark, sf_dir, "pages"),
+    _, texts = web_search(_queries(spark, sf_dir), read_text_table(spark, sf_dir, "pages"),
                           SEARCH_RESULTS)
     return texts.select("query_id", F.posexplode(extract_urls(
         F.col("results_text"), DEFAULT_TOP_PAGES)).alias("pos", "url"))
@@ -150,7 +150,7 @@ FROM results r LEFT JOIN bagg a ON a.query_id = r.query_id""")
 def q_fetch_pages(spark, sf_dir):
     """Read the first 3 URLs of each web_search results text from the page
     table (C4, J5, A6)."""
-    pages = read_table(spark, sf_dir, "pages")
+    pages = read_text_table(spark, sf_dir, "pages")
     _, texts = web_search(_queries(spark, sf_dir), pages, SEARCH_RESULTS)
     return fetch_pages(texts, pages, DEFAULT_TOP_PAGES, MAX_PAGE_CHARS)
 
@@ -182,7 +182,7 @@ def q_fallback_tiers(spark, sf_dir):
     from ..operators.retrieval import DEFAULT_K, retrieve
     from ..operators.web import fallback
     q = _queries(spark, sf_dir)
-    hits = retrieve(q, corpus_chunks(read_table(spark, sf_dir, "documents")), DEFAULT_K)
-    items, _ = web_search(q, read_table(spark, sf_dir, "pages"), SEARCH_RESULTS)
+    hits = retrieve(q, corpus_chunks(read_text_table(spark, sf_dir, "documents")), DEFAULT_K)
+    items, _ = web_search(q, read_text_table(spark, sf_dir, "pages"), SEARCH_RESULTS)
     out = fallback(q, hits, items, FALLBACK_MIN_SCORE)
     return out.select("query_id", "tier", F.col("rank").cast("int").alias("rank"), "ref", "score")

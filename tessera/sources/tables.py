@@ -31,12 +31,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table about to get per-row text work (cleaning, chunking,
+    tokenising, HTML): spread over the cores when the scan is too narrow.
+    Column pruning and filters still reach the scan below the repartition."""
+    return spread(read_table(spark, sf_dir, name))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = spread(df)
     if name == "events":
         # stored as TIMESTAMP_NTZ; event-time operators need TIMESTAMP
         # (session zone is UTC, so the wall-clock value is kept)
