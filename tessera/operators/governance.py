@@ -63,8 +63,30 @@ EVENT_COLUMNS = {
 }
 
 
+# Where an identity field may also come from the invocation context
+IDENTITY_FALLBACKS = (
+    ("user_id", ("user_id", "context_user_id")),
+    ("session_id", ("session_id", "context_session_id", "context_session_session_id")),
+)
+
+
+def identity(events: DataFrame) -> DataFrame:
+    """user = own, else the invocation context's; session = own, else
+    the context session's ``id``, else its ``session_id`` (empty counts as
+    missing)."""
+    out = events
+    for target, alts in IDENTITY_FALLBACKS:
+        present = [a for a in alts if a in events.columns]
+        if len(present) > 1:
+            out = out.withColumn(target, F.coalesce(*[F.nullif(F.col(a).cast("string"), F.lit(""))
+                                                      for a in present]))
+    return out
+
+
 def conform_events(events: DataFrame) -> DataFrame:
-    """Add any missing event column as null of its type."""
+    """Resolve identity fallbacks, then add any missing event column as null
+    of its type."""
+    events = identity(events)
     cols = []
     for c, t in EVENT_COLUMNS.items():
         cols.append(F.col(c).cast(t).alias(c) if c in events.columns
@@ -261,11 +283,15 @@ def verbose_rows(events: DataFrame, redaction_rules=DEFAULT_RULES,
     ev = annotate(events, redaction_rules, guardrail_rules, classifier)
     label = F.create_map(*[x for h, m in HOOK_MESSAGES for x in (F.lit(h), F.lit(m))])
     msg = F.when(F.col("_status") == UNSAFE, F.lit(POLICY_MESSAGE)).otherwise(label[F.col("hook")])
+    # The running tool counter as of each event
+    w = (Window.partitionBy("invocation_id").orderBy("seq")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ev = ev.withColumn("tool_retry", F.count(F.when(F.col("hook") == "before_tool", 1)).over(w))
     return (ev.where(msg.isNotNull())
             .select("invocation_id", "agent_name", "user_id", "session_id", "seq",
                     msg.alias("message"),
                     F.when(F.col("_status") == UNSAFE, "WARNING").otherwise("INFO").alias("severity"),
-                    F.col("tool_name")))
+                    F.col("tool_name"), "tool_retry"))
 
 
 def log_rows(df: DataFrame, message: str = "message", severity: str = "severity",

@@ -49,6 +49,19 @@ def activity_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts",
     session_start, session_end = last event + gap, n_events, n_errors,
     last_event_type) -- ``session_window`` semantics, computed in parallel
     for hot users (see module doc)."""
+    e = assign_sessions(events, user, ts, gap_seconds)
+    return e.groupBy(user, "session_no").agg(
+        F.min(ts).alias("session_start"),
+        (F.max(ts) + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("session_end"),
+        F.count("*").alias("n_events"),
+        F.count(F.when(F.col("event_type") == "error", 1)).alias("n_errors"),
+        F.max_by("event_type", F.struct("_t", "event_id")).alias("last_event_type"),
+        *extra_aggs)
+
+
+def assign_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts",
+                    gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """Every event with its user's ``session_no`` (1-based, in time order)."""
     gap_us = gap_seconds * 1_000_000
     e = events.withColumn("_t", _epoch_us(F.col(ts))).withColumn(
         "_b", F.floor(F.col("_t") / F.lit(gap_us)).cast("bigint"))
@@ -65,15 +78,21 @@ def activity_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts",
     per_b = per_b.withColumn("_before", F.coalesce(F.sum("_n").over(wu), F.lit(0)))
     wr = Window.partitionBy(user, "_b").orderBy("_t", "event_id").rowsBetween(
         Window.unboundedPreceding, 0)
-    e = (e.join(per_b.select(user, "_b", "_before"), [user, "_b"])
-         .withColumn("session_no", (F.col("_before") + F.sum("_start").over(wr)).cast("bigint")))
-    return e.groupBy(user, "session_no").agg(
-        F.min(ts).alias("session_start"),
-        (F.max(ts) + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("session_end"),
-        F.count("*").alias("n_events"),
-        F.count(F.when(F.col("event_type") == "error", 1)).alias("n_errors"),
-        F.max_by("event_type", F.struct("_t", "event_id")).alias("last_event_type"),
-        *extra_aggs)
+    return (e.join(per_b.select(user, "_b", "_before"), [user, "_b"])
+            .withColumn("session_no", (F.col("_before") + F.sum("_start").over(wr)).cast("bigint"))
+            .drop("_b", "_prev", "_prev_bucket_last", "_start", "_before"))
+
+
+def recent_session_events(events: DataFrame, n: int = MAX_SESSIONS,
+                          user: str = "user_id", ts: str = "ts") -> DataFrame:
+    """J4 + T3: the events of each user's ``n`` most recent sessions. The
+    sessions side is bounded by n per user; the join is an equi-join on
+    (user, session_no) -- one join instead of one fetch per session."""
+    e = assign_sessions(events, user, ts)
+    sessions = e.groupBy(user, "session_no").agg(F.max(ts).alias("_last"))
+    top = recent_sessions(sessions, n, user, "_last", "session_no").select(
+        user, "session_no", F.col("rank").alias("session_rank"))
+    return e.join(top, [user, "session_no"])
 
 
 def recent_sessions(sessions: DataFrame, n: int = MAX_SESSIONS, user: str = "user_id",

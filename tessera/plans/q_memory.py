@@ -175,3 +175,27 @@ def q_report_rows(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     summary = F.concat(F.col("event_type"), F.lit(" event "), F.col("event_id").cast("string"))
     return e.select("event_id", report_text(summary, F.col("ts")).alias("report"))
+
+
+@query("recent_session_tails", sql=f"""
+WITH {_SESSIONS_SQL},
+_top AS (
+  SELECT user_id, session_no,
+         row_number() OVER (PARTITION BY user_id ORDER BY session_end DESC, session_no) AS session_rank
+  FROM sessions QUALIFY session_rank <= {MAX_SESSIONS}
+),
+_ev AS (
+  SELECT s.user_id, CAST(s.session_no AS BIGINT) AS session_no, s.event_id, s.ts, s.event_type, s.value,
+         row_number() OVER (PARTITION BY s.user_id, s.session_no ORDER BY s.ts DESC, s.event_id DESC) AS r
+  FROM _s s JOIN _top t ON t.user_id = s.user_id AND t.session_no = s.session_no
+)
+SELECT user_id, session_no, event_id, event_type, value FROM _ev WHERE r <= 3""")
+def q_recent_session_tails(spark, sf_dir):
+    """C8 shape over ``events``: each user's 10 most recent sessions
+    joined with their events (J4), last three events of each (W3)."""
+    from pyspark.sql import Window
+    from ..operators.sessions import recent_session_events
+    e = recent_session_events(read_table(spark, sf_dir, "events"))
+    w = Window.partitionBy("user_id", "session_no").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    t = e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3)
+    return t.select("user_id", "session_no", "event_id", "event_type", "value")

@@ -115,3 +115,43 @@ def test_log_and_verbose_rows(spark):
     assert [tuple(r) for r in log_rows(df).collect()] == [("DEBUG", "m", "{}"), ("INFO", "n", '{"a": 1}')]
     v = verbose_rows(events_df(spark)).where("invocation_id = 't2'").collect()
     assert [r.message for r in v] == ["Policy violation detected"]
+
+
+def test_identity_fallback_and_running_counter(spark):
+    rows = [dict(r, context_user_id="ctx-user", context_session_id=None,
+                 context_session_session_id="ctx-sess") for r in fixture_events()
+            if r["invocation_id"] == "t8"]
+    df = spark.createDataFrame(rows, SCHEMA + ", context_user_id string, context_session_id string, "
+                                              "context_session_session_id string")
+    r = assemble_turns(df).first()
+    assert r.user_id == "ctx-user" and r.session_id == "s1"     # own session kept
+    v = verbose_rows(events_df(spark)).where("invocation_id = 't7'").orderBy("seq").collect()
+    assert [x.tool_retry for x in v] == [1, 2, 2, 2]
+
+
+def test_classifier_hook(spark):
+    import pandas as pd
+
+    @F.pandas_udf("decision string, reasoning string")
+    def shouty(s: pd.Series) -> pd.DataFrame:
+        unsafe = s.fillna("").str.isupper() & (s.fillna("").str.len() > 0)
+        return pd.DataFrame({"decision": unsafe.map({True: "unsafe", False: "safe"}),
+                             "reasoning": unsafe.map({True: "caps", False: None})})
+
+    ev_ = [ev("c1", 1, "before_model", "LOUD"), ev("c1", 2, "after_agent"),
+           ev("c2", 1, "before_model", "quiet"), ev("c2", 2, "after_agent")]
+    rows = {r.invocation_id: r for r in assemble_turns(spark.createDataFrame(ev_, SCHEMA),
+                                                        classifier=shouty).collect()}
+    assert rows["c1"].eval_tags.guardrail_blocked and not rows["c2"].eval_tags.guardrail_blocked
+
+
+def test_embedder_hook(spark):
+    import pandas as pd
+    from tessera.functions.embed import embed_with
+
+    @F.pandas_udf("array<float>")
+    def lengths(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [float(len(t)), 1.0])
+
+    df = spark.createDataFrame([("ab",), ("abcd",)], "t string")
+    assert [r.v for r in embed_with(df, "t", "v", lengths).collect()] == [[2.0, 1.0], [4.0, 1.0]]
