@@ -268,12 +268,26 @@ def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
     emitted on the error path (WARNING) instead of being dropped, when
     ``require_end``; rows without an invocation id likewise. A re-delivered
     hook event (same ``event_id`` within its invocation) counts once."""
-    if dedupe and "event_id" in events.columns:
-        events = events.dropDuplicates(["invocation_id", "event_id"])
     ev = annotate(events, redaction_rules, guardrail_rules, classifier)
-    agg = ev.groupBy("invocation_id").agg(*turn_aggregates())
-    t = agg.join(tool_summary(events), "invocation_id", "left")
-    return finish_turns(t, require_end)
+    # One shuffle: every aggregate is insensitive to an exact re-delivered
+    # copy of an event (max_by/min_by/bool_or), except the tool counts,
+    # which come from the de-duplicated set of the turn's tool events.
+    agg = ev.groupBy("invocation_id").agg(
+        *turn_aggregates(),
+        (F.collect_set(_tool_event()) if dedupe else F.collect_list(_tool_event())).alias("_tools"))
+    agg = (agg.withColumn("_tools", F.array_sort("_tools"))
+           .withColumn("_n_tools", F.size(F.filter("_tools", lambda x: x["hook"] == "before_tool")))
+           .withColumn("tools_summary", tools_from_events(F.col("_tools")))
+           .withColumn("tool_errors", F.size(F.filter(
+               "tools_summary", lambda x: x["status"] == "error")).cast("bigint")))
+    return finish_turns(agg, require_end)
+
+
+def _tool_event():
+    return F.when(F.col("hook").isin("before_tool", "after_tool"), F.struct(
+        F.col("seq"), F.col("hook"), F.col("tool_name").alias("name"), F.col("call_id"),
+        F.when(F.lower(F.col("tool_status")) == "error", "error").otherwise("ok").alias("status"),
+        F.col("event_id")))
 
 
 def verbose_rows(events: DataFrame, redaction_rules=DEFAULT_RULES,

@@ -187,8 +187,12 @@ def fetch_pages(results: DataFrame, pages: DataFrame, top_n: int = DEFAULT_TOP_P
     status line), blocks joined by a dashed separator, in URL order."""
     urls = results.select(key, F.posexplode(extract_urls(F.col(text_col), top_n))
                           .alias("pos", "url"))
-    # the URL side is bounded by results x top_n; the page side is scanned once
-    pt = pages.select("url", page_text(F.col("html")).alias("ptext"))
+    # restrict the page table to the requested URLs first (an inner join:
+    # AQE broadcasts the small URL side), so only those pages are cleaned
+    # and the big side is never shuffled; then attach pages back to URLs
+    wanted = urls.select("url").distinct()
+    pt = (pages.select("url", "html").join(wanted, "url")
+          .select("url", page_text(F.col("html")).alias("ptext")))
     blocks = (urls.join(pt, "url", "left")
               .select(key, "pos", "url", page_output(F.col("url"), F.col("ptext"), max_chars)
                       .alias("block")))

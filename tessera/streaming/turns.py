@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import DEFAULT_RULES, GUARDRAIL_RULES
-from ..operators.governance import annotate, finish_turns, tools_from_events, turn_aggregates
+from ..operators.governance import (_tool_event, annotate, finish_turns, tools_from_events,
+                                    turn_aggregates)
 
 
 def stream_turns(events: DataFrame, watermark: str = "10 minutes", gap: str = "5 minutes",
@@ -25,9 +26,7 @@ def stream_turns(events: DataFrame, watermark: str = "10 minutes", gap: str = "5
     have an event-time ``ts`` (TIMESTAMP) and ``event_id``."""
     ev = annotate(events, redaction_rules, guardrail_rules, classifier)
     ev = ev.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    tool_ev = F.when(F.col("hook").isin("before_tool", "after_tool"), F.struct(
-        F.col("seq"), F.col("hook"), F.col("tool_name").alias("name"), F.col("call_id"),
-        F.when(F.lower(F.col("tool_status")) == "error", "error").otherwise("ok").alias("status")))
+    tool_ev = _tool_event()
     agg = ev.groupBy(F.session_window("ts", gap).alias("window"), "invocation_id").agg(
         *turn_aggregates(), F.collect_list(tool_ev).alias("_tools"))
     agg = agg.withColumn("_tools", F.array_sort("_tools"))
