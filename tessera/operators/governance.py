@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .prefix import running_last, running_sum
 from ..functions.policy import (BLOCKED_PROMPT, BLOCKED_RESPONSE, DEFAULT_RULES, ERROR,
                                 ERROR_PROMPT, ERROR_RESPONSE, GUARDRAIL_RULES, UNSAFE,
                                 guardrail_decision, normalize_severity, parse_decision,
@@ -135,17 +136,19 @@ def annotate(events: DataFrame, redaction_rules=DEFAULT_RULES,
     return ev
 
 
-def tool_summary(events: DataFrame) -> DataFrame:
+def tool_summary(events: DataFrame, rows: bool = False) -> DataFrame:
     """(invocation_id, tools_summary ARRAY<STRUCT<name,status>>, tool_calls,
     tool_errors). Each tool response marks one call: the call with the same
     ``call_id`` when it has one, else the latest call recorded before it (the
     reference's rule); the latest response for a call wins; a call without
-    response stays ``requested``."""
+    response stays ``requested``.
+
+    ``rows=True`` returns one row per call instead (invocation_id, call_seq,
+    name, status, call_no = running call counter, W5): the form for
+    invocations too large for one array."""
     ev = conform_events(events).where(F.col("hook").isin("before_tool", "after_tool"))
-    w = (Window.partitionBy("invocation_id").orderBy("seq")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ev = ev.withColumn("_last_call", F.last(F.when(F.col("hook") == "before_tool", F.col("seq")),
-                                            ignorenulls=True).over(w))
+    ev = running_last(ev, ["invocation_id"], "seq",
+                      F.when(F.col("hook") == "before_tool", F.col("seq")), "_last_call")
     calls = ev.where(F.col("hook") == "before_tool").select(
         "invocation_id", F.col("seq").alias("call_seq"), "call_id",
         F.coalesce("tool_name", F.lit("")).alias("name"))
@@ -164,6 +167,8 @@ def tool_summary(events: DataFrame) -> DataFrame:
                       & (calls["call_seq"] == resp["target"]), "left") \
         .select(calls["invocation_id"], "call_seq", "name",
                 F.coalesce(resp["status"], F.lit(REQUESTED)).alias("status"))
+    if rows:
+        return running_sum(recs, ["invocation_id"], "call_seq", F.lit(1), "call_no")
     return recs.groupBy("invocation_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("call_seq", "name", "status"))),
                     lambda x: F.struct(x["name"].alias("name"),
@@ -298,9 +303,9 @@ def verbose_rows(events: DataFrame, redaction_rules=DEFAULT_RULES,
     label = F.create_map(*[x for h, m in HOOK_MESSAGES for x in (F.lit(h), F.lit(m))])
     msg = F.when(F.col("_status") == UNSAFE, F.lit(POLICY_MESSAGE)).otherwise(label[F.col("hook")])
     # The running tool counter as of each event
-    w = (Window.partitionBy("invocation_id").orderBy("seq")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ev = ev.withColumn("tool_retry", F.count(F.when(F.col("hook") == "before_tool", 1)).over(w))
+    ev = running_sum(ev, ["invocation_id"], "seq",
+                     F.when(F.col("hook") == "before_tool", 1).otherwise(0), "tool_retry",
+                     tiebreak=["event_id"])
     return (ev.where(msg.isNotNull())
             .select("invocation_id", "agent_name", "user_id", "session_id", "seq",
                     msg.alias("message"),
@@ -334,8 +339,8 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     text is the model request, assistant rows are model responses, and the
     turn ends after its last row. Rows before the first user row (system
     prompt) belong to no turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    c = conversations.withColumn("_g", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
+    c = running_sum(conversations, ["conv_id"], "turn",
+                    F.when(F.col("role") == "user", 1).otherwise(0), "_g")
     c = c.where(F.col("_g") > 0).select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("_g").cast("string"))
         .alias("invocation_id"),
@@ -368,10 +373,9 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 def turn_pairs(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn_no, request, response, n_responses): the user text
     opening each turn and the last non-empty assistant text of the turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    c = conversations.withColumn("turn_no", F.sum(F.when(F.col("role") == "user", 1)
-                                                  .otherwise(0)).over(w).cast("bigint"))
-    c = c.where(F.col("turn_no") > 0)
+    c = running_sum(conversations, ["conv_id"], "turn",
+                    F.when(F.col("role") == "user", 1).otherwise(0), "turn_no")
+    c = c.withColumn("turn_no", F.col("turn_no").cast("bigint")).where(F.col("turn_no") > 0)
     is_a = (F.col("role") == "assistant")
     return c.groupBy("conv_id", "turn_no").agg(
         F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("request"),

@@ -223,3 +223,17 @@ def q_log_rows(spark, sf_dir):
     rows = e.select("event_id", raw.alias("severity"), F.lit("Tool response").alias("message"),
                     F.col("props").alias("custom"))
     return log_rows(rows, keep=("event_id",))
+
+
+@query("tool_calls", sql="""
+SELECT CAST(user_id AS VARCHAR) || ':' || strftime(ts, '%Y-%m-%d') AS invocation_id,
+       event_id * 2 AS call_seq, event_type AS name,
+       CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+       CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS BIGINT) AS call_no
+FROM events""")
+def q_tool_calls(spark, sf_dir):
+    """A7/W4/W5 in row form: every tool call of the event log with its
+    resolved status and running call number within its invocation."""
+    t = tool_summary(event_hooks(spark, sf_dir), rows=True)
+    return t.select("invocation_id", "call_seq", "name", "status",
+                    F.col("call_no").cast("bigint").alias("call_no"))
