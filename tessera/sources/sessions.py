@@ -41,3 +41,20 @@ def read_sessions(spark: SparkSession, path: str, app_name: str, user_id: str) -
     equality filters are pushed into the scan (S9, F9)."""
     return (spark.read.parquet(path)
             .where((F.col("app_name") == app_name) & (F.col("user_id") == user_id)))
+
+
+def read_sessions_jdbc(spark: SparkSession, url: str, table: str, app_name: str,
+                       user_id: str, properties: dict | None = None,
+                       id_buckets: int = 0) -> DataFrame:
+    """Sessions of one app and user from a relational session store.
+    The scope is sent to the database as a WHERE clause; with
+    ``id_buckets > 0`` the read is split into that many parallel range
+    queries on a hash of the session id. Not exercised by the tests: no
+    database runs in this environment."""
+    esc_app, esc_user = app_name.replace("'", "''"), user_id.replace("'", "''")
+    scope = f"app_name = '{esc_app}' AND user_id = '{esc_user}'"
+    props = dict(properties or {})
+    if id_buckets > 0:
+        preds = [f"{scope} AND MOD(ABS(HASHTEXT(id)), {id_buckets}) = {b}" for b in range(id_buckets)]
+        return spark.read.jdbc(url, table, predicates=preds, properties=props)
+    return spark.read.jdbc(url, f"(SELECT * FROM {table} WHERE {scope}) s", properties=props)

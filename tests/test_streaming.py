@@ -64,3 +64,24 @@ def test_ingest_stream(spark, scratch):
     m = load_mapping(spark, store)
     assert first == 3 and m.count() == 4
     assert m.where(F.col("source").endswith("TWO.TXT")).count() == 1
+
+
+def test_stream_turns_drops_late_events(spark, scratch):
+    import datetime as dt
+    on_time = [ev("a", 1, "before_model", "hi", minute=0), ev("a", 2, "after_model", "hello", minute=0),
+               ev("a", 3, "after_agent", minute=0), ev("z", 1, "before_model", "later", minute=120)]
+    late = [ev("a", 4, "after_model", "LATE TEXT", minute=0)]
+    path = f"{scratch}/ev"
+    spark.createDataFrame(on_time, SCHEMA).coalesce(1).write.parquet(f"{path}/1")
+    schema = spark.createDataFrame(on_time, SCHEMA).schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    q = (stream_turns(s).writeStream.format("memory").queryName("late_out").outputMode("append")
+         .option("checkpointLocation", f"{scratch}/ck").start())
+    q.processAllAvailable()
+    spark.createDataFrame(late, SCHEMA).coalesce(1).write.parquet(f"{path}/2")
+    q.processAllAvailable()
+    dropped = sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress
+                  for op in p.get("stateOperators", []))
+    q.stop()
+    rows = {r.invocation_id: r for r in spark.table("late_out").collect()}
+    assert rows["a"].response == "hello" and dropped >= 1

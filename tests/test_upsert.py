@@ -67,3 +67,14 @@ def test_upsert_batches_slices(spark, scratch):
     batches = [json.load(open(f"{out}/{n}")) for n in os.listdir(out)]
     assert sorted(x for b in batches for x in b) == list(range(250))
     assert all(len(b) <= 100 for b in batches)
+
+
+def test_export_json_lines(spark, scratch):
+    from tessera.sources.mapping import export_mapping_json
+    df = _df(spark, [("x", "gs://b/ü.txt", 0, "naïve text")])
+    export_mapping_json(df, f"{scratch}/json")
+    import glob, json
+    lines = [json.loads(l) for f in glob.glob(f"{scratch}/json/*.json") for l in open(f, encoding="utf-8")]
+    assert lines == [{"chunk_id": "x", "source": "gs://b/ü.txt", "chunk_index": 0, "text": "naïve text"}]
+    raw = "".join(open(f, encoding="utf-8").read() for f in glob.glob(f"{scratch}/json/*.json"))
+    assert "naïve" in raw          # non-ASCII kept, not escaped
