@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.embed import _let
 from ..functions.ids import chunk_key, namespace_hex, uuid5_column
 from ..functions.text import (DEFAULT_CHUNK_CHARS, DEFAULT_CHUNK_OVERLAP,
                               chunk_count, clean_text, validate_chunking)
@@ -49,10 +50,12 @@ def chunk_windows(pieces: Column, n_chars: Column, chunk: int, overlap: int) ->
     count = chunk_count(n_chars, chunk, overlap)
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
         F.array().cast("array<int>"))
-    return F.transform(
+    # ``pieces`` is bound once: an expression passed in is not re-evaluated
+    # per window
+    return _let(pieces, lambda ps: F.transform(
         starts,
-        lambda i: F.substr(F.array_join(F.slice(pieces, i + 1, F.lit(per)), ""),
-                           F.lit(1), F.lit(chunk)))
+        lambda i: F.substr(F.array_join(F.slice(ps, i + 1, F.lit(per)), ""),
+                           F.lit(1), F.lit(chunk))))
 
 
 def chunk_table(df: DataFrame, uri_col: str, text_col: str,
