@@ -163,18 +163,20 @@ def q_turn_rows(spark, sf_dir):
 SELECT session_id, CAST(count(*) AS BIGINT) AS turns,
        CAST(count(*) FILTER (WHERE guardrail_blocked) AS BIGINT) AS blocked,
        CAST(count(*) FILTER (WHERE pii_redacted) AS BIGINT) AS redacted,
-       CAST(count(*) FILTER (WHERE guardrail_blocked) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS block_rate
+       CAST(count(*) FILTER (WHERE guardrail_blocked) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS block_rate,
+       CAST(sum(total_tokens) AS BIGINT) AS tokens
 FROM turns GROUP BY ROLLUP (session_id)""")
 def q_turn_metrics(spark, sf_dir):
-    """Per-session and overall (rollup) turn counts, blocks, redactions
-    and block rate."""
+    """Per-session and overall (rollup) turn counts, blocks, redactions,
+    block rate and tokens."""
     t = _turn_rows(spark, sf_dir)
     return t.rollup("session_id").agg(
         F.count("*").alias("turns"),
         F.count(F.when(F.col("guardrail_blocked"), 1)).cast("bigint").alias("blocked"),
         F.count(F.when(F.col("pii_redacted"), 1)).cast("bigint").alias("redacted"),
         (F.count(F.when(F.col("guardrail_blocked"), 1)).cast("double")
-         / F.count("*").cast("double")).alias("block_rate"))
+         / F.count("*").cast("double")).alias("block_rate"),
+        F.sum("total_tokens").cast("bigint").alias("tokens"))
 
 
 def event_hooks(spark, sf_dir):

@@ -35,3 +35,21 @@ def stream_turns(events: DataFrame, watermark: str = "10 minutes", gap: str = "5
         "tools_summary", lambda x: x["status"] == "error")).cast("bigint"))
     return finish_turns(agg, keep=(F.col("window.start").alias("window_start"),
                                    F.col("window.end").alias("window_end")))
+
+
+def start_turn_log(events: DataFrame, path: str, checkpoint: str | None = None, **kw):
+    """S11 as a stream: governed turn rows appended as JSON log lines
+    ``(severity, message, custom)`` partitioned by date, one file set per
+    micro-batch; the checkpoint lives under the shared checkpoint folder
+    unless given. Returns the StreamingQuery."""
+    from ..operators.governance import log_rows
+    from ..session import staging_path
+    turns = stream_turns(events, **kw)
+    custom = F.struct("invocation_id", "agent_name", "user_id", "session_id", "request",
+                      "response", "token_usage", "eval_tags", "tools_summary")
+    rows = log_rows(turns.withColumn("custom", custom), keep=("window_end",))
+    return (rows.withColumn("date", F.to_date("window_end")).drop("window_end")
+            .writeStream.format("json").partitionBy("date").outputMode("append")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint or staging_path(events.sparkSession, "turn-log"))
+            .start())

@@ -85,3 +85,20 @@ def test_stream_turns_drops_late_events(spark, scratch):
     q.stop()
     rows = {r.invocation_id: r for r in spark.table("late_out").collect()}
     assert rows["a"].response == "hello" and dropped >= 1
+
+
+def test_turn_log_stream(spark, scratch):
+    import json
+    from tessera.streaming.turns import start_turn_log
+    rows = [r for r in fixture_events() if r["invocation_id"] in ("t1", "t2")]
+    rows.append(ev("flush", 1, "before_model", "later", minute=600))
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{scratch}/ev")
+    q = start_turn_log(spark.readStream.schema(df.schema).parquet(f"{scratch}/ev"),
+                       f"{scratch}/log", checkpoint=f"{scratch}/ck")
+    q.processAllAvailable()
+    q.stop()
+    out = spark.read.json(f"{scratch}/log").collect()
+    got = {json.loads(r.custom)["invocation_id"]: r for r in out}
+    assert set(got) == {"t1", "t2"} and all(r.message == "Final agent turn" for r in out)
+    assert json.loads(got["t2"].custom)["request"] == "[BLOCKED_BY_GUARDRAIL]"
