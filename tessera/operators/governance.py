@@ -231,10 +231,10 @@ def finish_turns(t: DataFrame, require_end: bool = True, keep: tuple = ()) -> Da
                  usage["candidates_token_count"].alias("response_tokens"),
                  usage["total_token_count"].alias("total_tokens")).alias("token_usage"),
         F.struct(F.col("guardrail_blocked"), F.col("pii_redacted"),
-                 F.col("_n_tools").alias("tool_retry")).alias("eval_tags"),
+                 F.col("_n_tools").cast("bigint").alias("tool_retry")).alias("eval_tags"),
         F.coalesce("tools_summary", F.array().cast("array<struct<name:string,status:string>>"))
         .alias("tools_summary"),
-        F.col("_n_tools").alias("tool_calls"),
+        F.col("_n_tools").cast("bigint").alias("tool_calls"),
         F.coalesce("tool_errors", F.lit(0).cast("bigint")).alias("tool_errors"),
         "guardrail_error")
 
