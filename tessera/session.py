@@ -43,9 +43,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in the Python workers (pandas-UDF
+    operators pickle their helpers by module reference): the package is
+    zipped once per process and added with ``addPyFile``, which Spark
+    distributes to every executor -- the in-code equivalent of
+    ``--py-files``. Skipped when the cluster already ships it."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED or spark.conf.get("spark.tessera.shipped", "false") == "true":
+        return
+    import os
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="tessera-pkg-"), "tessera.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def ensure_defaults(spark: SparkSession) -> None:
     """Apply the package defaults that are runtime-settable, keeping any
-    value the cluster already set."""
+    value the cluster already set, and ship the package to the workers."""
+    ship_package(spark)
     for k, v in _DEFAULTS.items():
         if k in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             continue
