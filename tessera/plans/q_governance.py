@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.policy import (ALL_RULES, BLOCKED_PROMPT, BLOCKED_RESPONSE, GUARDRAIL_RULES,
-                                guardrail_decision, normalize_severity, redaction, sql_pattern)
+                                guardrail_decision, redaction, sql_pattern)
 from ..operators.governance import (FINAL_MESSAGE, assemble_turns, conversation_events,
                                     log_rows, tool_summary, turn_pairs)
 from ..sources.tables import read_table, read_text_table
