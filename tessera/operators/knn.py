@@ -263,16 +263,21 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
              k: int, nprobe: int, *, query_id: str = "query_id",
              cand_id: str = "vec_id", vec: str = "embedding",
              exclude_self: bool = False, salts: int | None = None,
-             rows_per_group: int = 50_000, score_digits: int = 6) -> DataFrame:
+             rows_per_group: int = 20_000, queries_per_group: int = 2_000,
+             score_digits: int = 6) -> DataFrame:
     """Approximate top-k: each query is scored only against the candidates of
-    its ``nprobe`` nearest cells (by centroid dot product).
-
-    Cells larger than ``rows_per_group`` are split into salted sub-groups
-    (salt = hash(cand_id) mod n); a probing query is replicated to every salt
-    of its cell, so the per-group work is bounded whatever the skew. The
-    per-cell salt counts come from one small aggregate (nlist rows).
-    Returns (query_id, cand_id, score, rank, scored) where ``scored`` is the
-    number of candidates the query was compared with.
+    its ``nprobe`` nearest cells (Euclidean centroid distance).
+
+    Both sides of a cell are split: candidates into ``ceil(size /
+    rows_per_group)`` salts, the queries probing it into ``ceil(probes /
+    queries_per_group)`` salts, and every (candidate salt, query salt) pair
+    is one group -- candidates are replicated across query salts and queries
+    across candidate salts. A group therefore holds at most
+    ``rows_per_group`` candidates and ``queries_per_group`` queries whatever
+    the skew (a hot cell, or a k-NN graph where every vector is a query).
+    Salt counts come from two small aggregates (nlist rows each). Each group
+    emits only its per-query top-k. Returns (query_id, cand_id, score, rank,
+    scored), ``scored`` = candidates in the probed cells.
     """
     spark = queries.sparkSession
     nlist, d = centroids.shape
@@ -291,49 +296,56 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
         1, nprobe))
     probes = q.select(query_id, "_qv", F.explode("_cells").alias("cell"))
 
-    sizes = assigned.groupBy("cell").count().collect()   # nlist rows
-    nsalt = {int(r["cell"]): max(1, math.ceil(r["count"] / rows_per_group)) for r in sizes}
-    if salts is not None:
-        nsalt = {c: salts for c in nsalt}
-    salt_map = F.create_map(*[x for c, s in nsalt.items() for x in (F.lit(c), F.lit(s))]) \
-        if nsalt else F.create_map().cast("map<int,int>")
-    cands = assigned.withColumn(
-        "salt", F.pmod(F.xxhash64(cand_id), F.coalesce(salt_map[F.col("cell")], F.lit(1))))
-    probes = probes.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0),
-                                     F.coalesce(salt_map[F.col("cell")], F.lit(1)) - 1)))
+    sizes = {int(r["cell"]): int(r["count"]) for r in assigned.groupBy("cell").count().collect()}
+    n_probes = {int(r["cell"]): int(r["count"]) for r in probes.groupBy("cell").count().collect()}
+    c_salts = {c: (salts or max(1, math.ceil(n / rows_per_group))) for c, n in sizes.items()}
+    q_salts = {c: max(1, math.ceil(n / queries_per_group)) for c, n in n_probes.items()}
+
+    def salt_map(m):
+        if not m:
+            return F.create_map().cast("map<int,int>")
+        return F.create_map(*[x for c, v in m.items() for x in (F.lit(c), F.lit(v))])
+
+    nc = F.coalesce(salt_map(c_salts)[F.col("cell")], F.lit(1))
+    nq = F.coalesce(salt_map(q_salts)[F.col("cell")], F.lit(1))
+    # the salt keys must have the same type on both cogrouped sides
+    cands = (assigned.withColumn("c_salt", F.pmod(F.xxhash64(cand_id), nc).cast("int"))
+             .withColumn("q_salt", F.explode(F.sequence(F.lit(0), (nq - 1).cast("int")))))
+    probes = (probes.withColumn("q_salt", F.pmod(F.xxhash64(query_id), nq).cast("int"))
+              .withColumn("c_salt", F.explode(F.sequence(F.lit(0), (nc - 1).cast("int")))))
     margin = 0.5 * 10.0 ** (-score_digits)
     qtype = queries.schema[query_id].dataType
     out_schema = T.StructType([
         T.StructField(query_id, qtype), assigned.schema[cand_id],
-        T.StructField("raw", T.DoubleType()), T.StructField("n_scored", T.LongType())])
+        T.StructField("raw", T.DoubleType())])
+    q_block = 256
 
     def score_group(key, qpdf, cpdf):
         if len(qpdf) == 0 or len(cpdf) == 0:
             return pd.DataFrame({f.name: [] for f in out_schema.fields})
-        Q = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
         C = np.stack(cpdf[vec].to_numpy()).astype(np.float64)
-        S = C @ Q.T
         cids = cpdf[cand_id].to_numpy()
-        qids = qpdf[query_id].to_numpy()
-        if exclude_self:
-            S[cids[:, None] == qids[None, :]] = -np.inf
-        r, c = _batch_topk(S, k, margin)
-        n_self = (cids[:, None] == qids[None, :]).sum(axis=0) if exclude_self else 0
-        n_scored = (len(cids) - n_self) * np.ones(len(qids), dtype=np.int64)
-        return pd.DataFrame({query_id: qids[c], cand_id: cids[r], "raw": S[r, c],
-                             "n_scored": n_scored[c]})
-
-    scored = (probes.groupBy("cell", "salt")
-              .cogroup(cands.groupBy("cell", "salt"))
+        outs = []
+        for lo in range(0, len(qpdf), q_block):      # bounded score blocks
+            part = qpdf.iloc[lo:lo + q_block]
+            Q = np.stack(part["_qv"].to_numpy()).astype(np.float64)
+            qids = part[query_id].to_numpy()
+            S = C @ Q.T
+            if exclude_self:
+                S[cids[:, None] == qids[None, :]] = -np.inf
+            r, c = _batch_topk(S, k, margin)
+            outs.append(pd.DataFrame({query_id: qids[c], cand_id: cids[r], "raw": S[r, c]}))
+        return pd.concat(outs, ignore_index=True)
+
+    keys = ("cell", "c_salt", "q_salt")
+    scored = (probes.groupBy(*keys).cogroup(cands.groupBy(*keys))
               .applyInPandas(score_group, out_schema))
-    # number of candidates each query was compared with (from the cell sizes)
-    cell_sizes = spark.createDataFrame(
-        [(int(r["cell"]), int(r["count"])) for r in sizes], "cell int, n long")
-    scored_counts = (probes.select(query_id, "cell").distinct()
+    # candidates each query was compared with, from the cell sizes
+    cell_sizes = spark.createDataFrame([(c, n) for c, n in sizes.items()], "cell int, n long")
+    scored_counts = (q.select(query_id, F.explode("_cells").alias("cell"))
                      .join(F.broadcast(cell_sizes), "cell")
                      .groupBy(query_id).agg(F.sum("n").alias("scored")))
     top = (_final_topk(scored.withColumn("score", F.round("raw", score_digits)),
                        query_id, cand_id, k)
-           .drop("raw", "n_scored"))
+           .drop("raw"))
     return top.join(scored_counts, query_id, "left")
