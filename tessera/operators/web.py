@@ -66,14 +66,17 @@ def doc_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_id",
          query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
          k1: float = BM25_K1, b: float = BM25_B, pair_filter=None,
-         query_keep: tuple[str, ...] = (), doc_keep: tuple[str, ...] = ()) -> DataFrame:
+         query_keep: tuple[str, ...] = (), doc_keep: tuple[str, ...] = (),
+         doc_tc: str | None = None) -> DataFrame:
     """Top-k documents per query by BM25 over distinct query terms:
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``. Returns (query_id,
     doc_id, score, rank); score rounded to 6 places, ties by doc_id.
 
     ``pair_filter`` (a Column over ``query_keep`` and ``doc_keep`` columns)
     restricts the candidates of each query before the top-k, with corpus
-    statistics unchanged -- a search engine's per-query restriction."""
+    statistics unchanged -- a search engine's per-query restriction.
+    ``doc_tc`` names a column of ``docs`` that already holds
+    :func:`term_counts` (a materialised index): nothing is recomputed."""
     qt = (queries.select(query_id, *query_keep,
                          F.array_distinct(tokens(F.col(query_text))).alias("_t"))
           .select(query_id, *query_keep, F.explode("_t").alias("term")))
@@ -83,8 +86,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
     # the per-document term table is computed once (lineage cut into the
     # shared checkpoint folder) and feeds the corpus statistics, the
     # document frequencies and the scores
-    tc = docs.select(doc_id, *doc_keep,
-                     term_counts(tokens(F.col(doc_text))).alias("_tc")).checkpoint()
+    if doc_tc is not None:      # an index that already holds the term counts
+        tc = docs.select(doc_id, *doc_keep, F.col(doc_tc).alias("_tc"))
+    else:
+        tc = docs.select(doc_id, *doc_keep,
+                         term_counts(tokens(F.col(doc_text))).alias("_tc")).checkpoint()
     dt_all = (tc.select(doc_id, *doc_keep, F.col("_tc.dl").alias("dl"),
                         F.explode(F.arrays_zip(F.col("_tc.terms").alias("term"),
                                                F.col("_tc.tfs").alias("tf"))).alias("e"))
@@ -122,12 +128,30 @@ def page_table(pages: DataFrame) -> DataFrame:
                         page_text(F.col("html")).alias("text"))
 
 
+PAGE_INDEX_TC = "_tc"
+
+
+def page_index(pages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The search index of a page table, materialised once in the shared
+    checkpoint folder: cleaned fields, host and the per-page term counts
+    BM25 needs. Build it once and pass it to :func:`web_search` for any
+    number of query batches."""
+    checkpoint_dir(pages.sparkSession)
+    pt = page_table(pages.select("page_id", "url", "html", *extra))
+    if extra:
+        pt = pt.join(pages.select("page_id", *extra), "page_id")
+    return (pt.withColumn("_host", host(F.col("url")))
+            .withColumn(PAGE_INDEX_TC, term_counts(tokens(F.col("text")))).checkpoint())
+
+
 def web_search(queries: DataFrame, pages: DataFrame, num_results: int = DEFAULT_RESULTS, *,
                site: str | None = None, lang: str | None = None,
                recent_days: int | None = None, as_of: Column | None = None,
                unsafe: DataFrame | None = None, query_id: str = "query_id",
                query_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Search a batch of queries over stored pages.
+    """Search a batch of queries over stored pages (C3). ``pages`` is the
+    raw page table (page_id, url, html[, fetched_at]) or a prebuilt
+    :func:`page_index`.
 
     Filters (site F5, lang F6, recency F7 on ``fetched_at`` relative to an
     explicit ``as_of``, safe F8 as an anti join with ``unsafe`` page ids)
@@ -135,25 +159,24 @@ def web_search(queries: DataFrame, pages: DataFrame, num_results: int = DEFAULT_
     title, link, snippet); texts are one numbered results text per query.
     """
     num = clamp_results(num_results)
-    checkpoint_dir(pages.sparkSession)
-    # cleaned pages are read for ranking and for the result fields: clean once
-    pt = page_table(pages).checkpoint()
+    # cleaned pages are read for ranking and for the result fields: a page
+    # index (one materialisation) unless one is passed in
+    extra = ("fetched_at",) if "fetched_at" in pages.columns else ()
+    pt = pages if PAGE_INDEX_TC in pages.columns else page_index(pages, extra)
     if site:
         pt = pt.where(site_match(F.col("url"), site))
     if lang:
         pt = pt.where(F.col("lang") == F.lit(lang))
     if recent_days and int(recent_days) > 0:
-        if as_of is None or "fetched_at" not in pages.columns:
+        if as_of is None or "fetched_at" not in pt.columns:
             raise ValueError("recency filter needs pages.fetched_at and an explicit as_of")
-        pt = pt.join(pages.select("page_id", "fetched_at"), "page_id").where(
-            F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(int(recent_days))))
+        pt = pt.where(F.col("fetched_at") >= as_of - F.make_dt_interval(F.lit(int(recent_days))))
     if unsafe is not None:
         pt = pt.join(unsafe.select("page_id"), "page_id", "left_anti")
     # A query may carry its own "site:host rest" prefix
     q = queries.select(query_id, *split_site_query(F.col(query_text)))
-    pt = pt.withColumn("_host", host(F.col("url")))
     top = bm25(q, pt, num, query_id=query_id, query_text="_q",
-               doc_id="page_id", doc_text="text",
+               doc_id="page_id", doc_text="text", doc_tc=PAGE_INDEX_TC,
                pair_filter=F.col("_site").isNull() | (F.col("_host") == F.col("_site"))
                | F.col("_host").endswith(F.concat(F.lit("."), F.col("_site"))),
                query_keep=("_site",), doc_keep=("_host",))
