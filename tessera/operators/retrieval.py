@@ -25,11 +25,17 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, *,
              dim: int = DEFAULT_DIM, query_id: str = "query_id",
              query_text: str = "text", method: str = "auto") -> DataFrame:
     """Hits table: (query_id, rank, chunk_id, source, chunk_index, score,
-    text). ``chunks`` is (chunk_id, source, chunk_index, text)."""
+    text). ``chunks`` is (chunk_id, source, chunk_index, text), optionally
+    with stored ``buckets, tfs, ss`` vectors (computed with the same
+    ``dim``), which are then used as they are."""
     q = with_sparse_tf(queries.select(query_id, F.col(query_text).alias("_qt")),
                        "_qt", dim).drop("_qt")
-    c = with_sparse_tf(chunks.select("chunk_id", "source", "chunk_index", "text"),
-                       "text", dim)
+    base = ["chunk_id", "source", "chunk_index", "text"]
+    if {"buckets", "tfs", "ss"} <= set(chunks.columns):
+        # a stored vector table (e.g. the ingest output): vectors are reused
+        c = chunks.select(*base, "buckets", "tfs", "ss")
+    else:
+        c = with_sparse_tf(chunks.select(*base), "text", dim)
     hits = topk_sparse(q, c, k, dim, query_id=query_id, cand_id="chunk_id",
                        carry=("source", "chunk_index", "text"), method=method)
     return hits.select(query_id, "rank", "chunk_id", "source", "chunk_index",

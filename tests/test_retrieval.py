@@ -54,3 +54,14 @@ def test_retrieve_datapoints_content(spark):
     q = v.where("chunk_id = 'c1'").select(F.lit(1).alias("query_id"), "feature_vector")
     got = [(r.datapoint_id, r.content) for r in retrieve_datapoints(q, dps, 5).orderBy("rank").collect()]
     assert got == [("c1", "alpha beta"), ("c2", "beta gamma")]
+
+
+def test_retrieve_reuses_stored_vectors(spark):
+    chunks = spark.createDataFrame(
+        [("c1", "s", 0, "red apples"), ("c2", "s", 1, "green pears")],
+        "chunk_id string, source string, chunk_index int, text string")
+    stored = with_sparse_tf(chunks, "text")
+    q = spark.createDataFrame([(1, "apples")], "query_id long, text string")
+    a = [tuple(r) for r in retrieve(q, chunks, 5).collect()]
+    b = [tuple(r) for r in retrieve(q, stored, 5).collect()]
+    assert a == b and a[0][2] == "c1"
