@@ -10,10 +10,13 @@ Exact search never materialises the query x candidate product:
   ``row_number() <= k`` over ``query_id`` (Spark plans a WindowGroupLimit, so
   each partition is pruned before the shuffle), i.e. the shuffle carries
   O(batches * queries * k) rows.
-* **sparse join** (beyond the budget, or on request): candidates and queries
-  are exploded to (id, bucket, count) and equi-joined on the bucket --
-  no cross join, no driver -- then summed per (query, candidate) with
-  map-side partial aggregation. AQE splits a hot bucket's partitions.
+* **query blocks** (beyond the budget): the queries are split by a hash of
+  their id into blocks that each fit the budget; every block is broadcast
+  and scored like the above, so no (query, candidate) pair rows exist.
+* **sparse join** (on request, ``method="join"``): candidates and queries
+  are exploded to (id, bucket, count), equi-joined on the bucket and summed
+  per (query, candidate) with map-side partial aggregation -- no driver
+  involvement, but one row per pair sharing a term.
 
 Dense float vectors that exceed the budget are scored in query blocks, each
 block a bounded broadcast.
@@ -41,6 +44,18 @@ DEFAULT_BROADCAST_BUDGET = 128 << 20
 _SCORE_BLOCK_BYTES = 32 << 20
 
 
+def empty_frame(schema: T.StructType) -> pd.DataFrame:
+    """An empty pandas result with dtypes matching ``schema`` (a bare
+    ``pd.DataFrame({c: []})`` is float64, which a string column rejects)."""
+    def dtype(t):
+        if isinstance(t, (T.LongType, T.IntegerType, T.ShortType)):
+            return "int64"
+        if isinstance(t, (T.DoubleType, T.FloatType)):
+            return "float64"
+        return object
+    return pd.DataFrame({f.name: pd.Series([], dtype=dtype(f.dataType)) for f in schema.fields})
+
+
 def _final_topk(cands: DataFrame, query_id: str, cand_id: str, k: int,
                 order_col: str = "score") -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.col(order_col).desc(),
@@ -86,16 +101,31 @@ def topk_sparse(queries: DataFrame, candidates: DataFrame, k: int, dim: int, *,
     c = candidates
     if method not in ("auto", "broadcast", "join"):
         raise ValueError(method)
-    if method != "join":
-        # size check and collect in one bounded job: at most max_q + 1 rows
-        max_q = max(1, budget // (8 * dim))
-        rows = q.limit(max_q + 1).collect() if method == "auto" else q.collect()
-        if method == "broadcast" or len(rows) <= max_q:
-            return _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, rows)
-    return _sparse_join(q, c, k, query_id, cand_id, carry)
+    if method == "join":
+        return _sparse_join(q, c, k, query_id, cand_id, carry)
+    # size check and collect in one bounded job: at most max_q + 1 rows
+    max_q = max(1, budget // (8 * dim))
+    rows = q.limit(max_q + 1).collect() if method == "auto" else q.collect()
+    if method == "broadcast" or len(rows) <= max_q:
+        return _final_topk(_sparse_scored(q, c, k, dim, query_id, cand_id, carry, rows),
+                           query_id, cand_id, k)
+    # beyond one broadcast: bounded query blocks (hash of the query id, with
+    # headroom for uneven blocks), each broadcast and scored on its own; the
+    # candidates are scanned once per block and only per-batch top-k leave
+    # the scorer -- no (query, candidate) pair rows
+    nb = math.ceil(1.5 * q.count() / max_q)
+    parts = []
+    for b in range(nb):
+        blk = q.where(F.pmod(F.xxhash64(query_id), F.lit(nb)) == b)
+        parts.append(_sparse_scored(blk, c, k, dim, query_id, cand_id, carry, blk.collect()))
+    scored = parts[0]
+    for p_ in parts[1:]:
+        scored = scored.unionByName(p_)
+    return _final_topk(scored, query_id, cand_id, k)
 
 
-def _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, rows):
+def _sparse_scored(q, c, k, dim, query_id, cand_id, carry, rows):
+    """Per-batch top-k candidates of the (collected, bounded) query rows."""
     spark = q.sparkSession
     qfield = q.schema[query_id]
     out_schema = T.StructType(
@@ -104,7 +134,7 @@ def _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, rows):
         + [c.schema[x] for x in carry])
     rows = [r for r in rows if r["ss"]]
     if not rows:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
+        return spark.createDataFrame([], out_schema)
     nq = len(rows)
     qids = [r[query_id] for r in rows]
     Q = np.zeros((dim, nq), dtype=np.float64)
@@ -140,8 +170,7 @@ def _sparse_broadcast(q, c, k, dim, query_id, cand_id, carry, rows):
                     out[x] = part[x].to_numpy()[r]
                 yield pd.DataFrame(out)
 
-    scored = c.select(cand_id, "buckets", "tfs", "ss", *carry).mapInPandas(score, out_schema)
-    return _final_topk(scored, query_id, cand_id, k)
+    return c.select(cand_id, "buckets", "tfs", "ss", *carry).mapInPandas(score, out_schema)
 
 
 def _sparse_join(q, c, k, query_id, cand_id, carry):
@@ -322,7 +351,7 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
 
     def score_group(key, qpdf, cpdf):
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({f.name: [] for f in out_schema.fields})
+            return empty_frame(out_schema)
         C = np.stack(cpdf[vec].to_numpy()).astype(np.float64)
         cids = cpdf[cand_id].to_numpy()
         outs = []
@@ -334,8 +363,11 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
             if exclude_self:
                 S[cids[:, None] == qids[None, :]] = -np.inf
             r, c = _batch_topk(S, k, margin)
-            outs.append(pd.DataFrame({query_id: qids[c], cand_id: cids[r], "raw": S[r, c]}))
-        return pd.concat(outs, ignore_index=True)
+            outs.append((qids[c], cids[r], S[r, c]))
+        # one frame from concatenated arrays (see scoped_topk)
+        return pd.DataFrame({query_id: np.concatenate([o[0] for o in outs]),
+                             cand_id: np.concatenate([o[1] for o in outs]),
+                             "raw": np.concatenate([o[2] for o in outs])})
 
     keys = ("cell", "c_salt", "q_salt")
     scored = (probes.groupBy(*keys).cogroup(cands.groupBy(*keys))

@@ -156,26 +156,92 @@ def memory_counts(memories: DataFrame) -> DataFrame:
 
 
 def scoped_topk(queries: DataFrame, memories: DataFrame, k: int = MEMORY_TOP_K,
-                scope: tuple[str, ...] = ("app_name", "user_id")) -> DataFrame:
+                scope: tuple[str, ...] = ("app_name", "user_id"), *,
+                dim: int = DEFAULT_DIM, rows_per_group: int = 20_000,
+                queries_per_group: int = 2_000) -> DataFrame:
     """Top-k memories per query within the query's (app, user)
-    scope, by cosine of hashed counts. An equi-join on scope + bucket (no
-    cross product; a hot user is split by bucket), partial sums per
-    (query, memory), then a per-query top-k."""
-    qx = (queries.select("query_id", *scope, F.col("ss").alias("qss"),
-                         F.explode(F.arrays_zip("buckets", "tfs")).alias("e"))
-          .select("query_id", *scope, "qss", F.col("e.buckets").alias("bucket"),
-                  F.col("e.tfs").alias("qtf")))
-    mx = (memories.select("memory_id", *scope, F.col("ss").alias("mss"),
-                          F.explode(F.arrays_zip("buckets", "tfs")).alias("e"))
-          .select("memory_id", *scope, "mss", F.col("e.buckets").alias("bucket"),
-                  F.col("e.tfs").alias("mtf")))
-    dots = (mx.join(qx, [*scope, "bucket"])
-            .groupBy("query_id", "memory_id")
-            .agg(F.sum(F.col("qtf").cast("bigint") * F.col("mtf")).alias("dot"),
-                 F.first("qss").alias("qss"), F.first("mss").alias("mss")))
-    scored = dots.select("query_id", "memory_id", (
-        F.col("dot").cast("double")
-        / (F.sqrt(F.col("qss").cast("double")) * F.sqrt(F.col("mss").cast("double")))).alias("score"))
+    scope, by cosine of hashed counts (exact, as :func:`knn.topk_sparse`).
+
+    No pair rows: memories and queries are cogrouped and scored with NumPy,
+    each group emitting only its per-query top-k. A scope with more than
+    ``rows_per_group`` memories (or ``queries_per_group`` queries) is split
+    into salts on that side, the other side replicated across them; the
+    per-scope salt counts are joined in as a table (never collected), and
+    small scopes share a group through a hash of the scope, scored one scope
+    at a time inside it."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from .knn import empty_frame
+
+    mv = memories.select("memory_id", *scope, "buckets", "tfs", "ss")
+    qv = queries.select("query_id", *scope, "buckets", "tfs", "ss")
+    n_groups = max(1, math.ceil(mv.count() / rows_per_group))
+    sizes = (mv.groupBy(*scope).agg(F.count("*").alias("_nm"))
+             .join(qv.groupBy(*scope).agg(F.count("*").alias("_nq")), list(scope))
+             .select(*scope,
+                     F.ceil(F.col("_nm") / rows_per_group).cast("int").alias("_ms"),
+                     F.ceil(F.col("_nq") / queries_per_group).cast("int").alias("_qs")))
+    g = F.pmod(F.xxhash64(*scope), F.lit(n_groups)).cast("int")
+    mv = (mv.join(sizes, list(scope))
+          .withColumn("_g", g)
+          .withColumn("_m_salt", F.pmod(F.xxhash64("memory_id"), F.col("_ms")).cast("int"))
+          .withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)))
+          .drop("_ms", "_qs"))
+    qv = (qv.join(sizes, list(scope))
+          .withColumn("_g", g)
+          .withColumn("_q_salt", F.pmod(F.xxhash64("query_id"), F.col("_qs")).cast("int"))
+          .withColumn("_m_salt", F.explode(F.sequence(F.lit(0), F.col("_ms") - 1)))
+          .drop("_ms", "_qs"))
+    out_schema = T.StructType([queries.schema["query_id"], memories.schema["memory_id"],
+                               T.StructField("score", T.DoubleType())])
+    scope_cols = list(scope)
+
+    def dense(pdf):
+        D = np.zeros((len(pdf), dim), dtype=np.float64)
+        lens = pdf["buckets"].map(len).to_numpy()
+        if lens.sum():
+            D[np.repeat(np.arange(len(pdf)), lens),
+              np.concatenate(pdf["buckets"].to_numpy()).astype(np.int64)] = \
+                np.concatenate(pdf["tfs"].to_numpy()).astype(np.float64)
+        return D, np.sqrt(pdf["ss"].to_numpy().astype(np.float64))
+
+    def score_group(key, qpdf, mpdf):
+        outs = []
+        if len(qpdf) and len(mpdf):
+            mgroups = dict(list(mpdf.groupby(scope_cols, sort=False)))
+            for sk, qs in qpdf.groupby(scope_cols, sort=False):
+                ms = mgroups.get(sk)
+                if ms is None:
+                    continue
+                M, mn = dense(ms)
+                Q, qn = dense(qs)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    S = (M @ Q.T) / (qn[None, :] * mn[:, None])
+                S[~np.isfinite(S)] = 0.0
+                B = S.shape[0]
+                if B > k:
+                    thr = np.partition(S, B - k, axis=0)[B - k]
+                    r, c = np.nonzero((S >= thr[None, :]) & (S > 0))
+                else:
+                    r, c = np.nonzero(S > 0)
+                outs.append((qs["query_id"].to_numpy()[c], ms["memory_id"].to_numpy()[r],
+                             S[r, c]))
+        if not outs:
+            return empty_frame(out_schema)
+        # one frame from concatenated arrays (concatenating frames can leave
+        # chunked Arrow-backed string columns, which the Arrow writer rejects)
+        return pd.DataFrame({"query_id": np.concatenate([o[0] for o in outs]),
+                             "memory_id": np.concatenate([o[1] for o in outs]),
+                             "score": np.concatenate([o[2] for o in outs])})
+
+    keys = ("_g", "_m_salt", "_q_salt")
+
+    scored = (qv.groupBy(*keys).cogroup(mv.groupBy(*keys))
+              .applyInPandas(score_group, out_schema))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("memory_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

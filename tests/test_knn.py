@@ -102,3 +102,14 @@ def test_ivf_two_sided_salting_is_exact_on_full_probe(spark):
                       rows_per_group=40, queries_per_group=30)
     cols = ["query_id", "vec_id", "score", "rank"]
     assert _rows(approx, cols) == _rows(exact, cols)
+
+
+def test_sparse_query_blocks_equal_single_broadcast(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    ch = with_sparse_tf(corpus_chunks(docs), "text")
+    q = with_sparse_tf(spark.read.parquet(f"{SF001}/benchmark.parquet")
+                       .select(F.col("item_id").alias("query_id"), "text"), "text")
+    one = topk_sparse(q, ch, 5, 768, carry=("source",))
+    blocks = topk_sparse(q, ch, 5, 768, carry=("source",), budget=768 * 8 * 7)  # 7 per block
+    cols = ["query_id", "chunk_id", "score", "rank", "source"]
+    assert _rows(one, cols) == _rows(blocks, cols)

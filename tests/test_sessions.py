@@ -67,3 +67,23 @@ def test_normalize_sessions(spark):
     df = spark.createDataFrame([(p,) for p in payloads], "payload string")
     got = {r.session_id: r.updated_epoch for r in normalize_sessions(df).collect()}
     assert got == {"s1": 1700000000.0, "s2": 1704164645.0, "s3": 1800000000.5, "s4": 0.0}
+
+
+def test_scoped_topk_hot_scope_salting(spark):
+    from tessera.functions.embed import with_sparse_tf
+    from tessera.operators.sessions import scoped_topk
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    mem = [("m%d" % i, "app", "hot" if i % 4 else "u%d" % i,
+            " ".join(words[(i * j) % 8] for j in range(1, 5))) for i in range(60)]
+    qs = [("q%d" % i, "app", "hot" if i % 3 else "u%d" % (4 * i), " ".join(words[i % 8: i % 8 + 3]))
+          for i in range(20)]
+    m = with_sparse_tf(spark.createDataFrame(mem, "memory_id string, app_name string, user_id string, text string"), "text")
+    q = with_sparse_tf(spark.createDataFrame(qs, "query_id string, app_name string, user_id string, text string"), "text")
+    plain = {(r.query_id, r.memory_id, r.rank, r.score) for r in scoped_topk(q, m, 5).collect()}
+    salted = {(r.query_id, r.memory_id, r.rank, r.score)
+              for r in scoped_topk(q, m, 5, rows_per_group=3, queries_per_group=2).collect()}
+    assert plain == salted and len(plain) > 0
+    # scope is respected: a hit always belongs to the query's user
+    owner = {x[0]: x[2] for x in mem}
+    quser = {x[0]: x[2] for x in qs}
+    assert all(owner[mid] == quser[qid] for qid, mid, _, _ in plain)
