@@ -36,6 +36,11 @@ DEFAULT_TOP_PAGES = 3
 SCORE_DIGITS = 6
 # Query vocabulary rows allowed in one broadcast (term strings).
 MAX_BROADCAST_TERMS = 2_000_000
+# Bounds of the NumPy scoring path: query vocabulary, (query, term) rows
+# collected, and the dense query-term matrix (bytes).
+MAX_NUMPY_VOCAB = 100_000
+MAX_QUERY_TERM_ROWS = 2_000_000
+NUMPY_QUERY_BUDGET = 128 << 20
 # ----------------------------------------------------------------------------
 
 
@@ -67,7 +72,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
          query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
          k1: float = BM25_K1, b: float = BM25_B, pair_filter=None,
          query_keep: tuple[str, ...] = (), doc_keep: tuple[str, ...] = (),
-         doc_tc: str | None = None) -> DataFrame:
+         doc_tc: str | None = None, site_cols: tuple[str, str] | None = None,
+         method: str = "auto") -> DataFrame:
     """Top-k documents per query by BM25 over distinct query terms:
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``. Returns (query_id,
     doc_id, score, rank); score rounded to 6 places, ties by doc_id.
@@ -76,7 +82,20 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
     restricts the candidates of each query before the top-k, with corpus
     statistics unchanged -- a search engine's per-query restriction.
     ``doc_tc`` names a column of ``docs`` that already holds
-    :func:`term_counts` (a materialised index): nothing is recomputed."""
+    :func:`term_counts` (a materialised index): nothing is recomputed.
+    ``site_cols = (query_site, doc_host)`` is the per-query site
+    restriction (host equal to the site or a sub-domain of it).
+
+    Scoring (``method="auto"``): while the query vocabulary and the
+    query-term matrix fit their bounds (checked with bounded collects), the
+    idf vector and the query matrix are broadcast and documents are scored
+    per Arrow batch with one NumPy product over the query vocabulary; each
+    batch emits only its per-query top-k, so no (query, document) pair rows
+    exist. Beyond the bounds (or ``method="join"``) the document-term rows
+    are joined with the query terms and summed per pair."""
+    if site_cols is not None:
+        query_keep = tuple(dict.fromkeys(query_keep + (site_cols[0],)))
+        doc_keep = tuple(dict.fromkeys(doc_keep + (site_cols[1],)))
     qt = (queries.select(query_id, *query_keep,
                          F.array_distinct(tokens(F.col(query_text))).alias("_t"))
           .select(query_id, *query_keep, F.explode("_t").alias("term")))
@@ -102,6 +121,16 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
         return queries.sparkSession.createDataFrame(
             [], f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
                 f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, score double, rank int")
+    if method != "join" and pair_filter is None and n_vocab <= MAX_NUMPY_VOCAB:
+        cols = [query_id, "term"] + ([site_cols[0]] if site_cols else [])
+        qrows = qt.select(*cols).limit(MAX_QUERY_TERM_ROWS + 1).collect()
+        nq = len({r[query_id] for r in qrows})
+        if len(qrows) <= MAX_QUERY_TERM_ROWS and nq * n_vocab * 8 <= NUMPY_QUERY_BUDGET:
+            return _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b,
+                               n_docs, avgdl, site_cols, queries.schema[query_id].dataType)
+    if site_cols is not None and pair_filter is None:
+        qs, dh = F.col(site_cols[0]), F.col(site_cols[1])
+        pair_filter = qs.isNull() | (dh == qs) | dh.endswith(F.concat(F.lit("."), qs))
     vocab_b = F.broadcast(vocab) if n_vocab <= MAX_BROADCAST_TERMS else vocab
     dt = dt_all.join(vocab_b, "term")
     df = dt.groupBy("term").agg(F.count("*").alias("df"))
@@ -121,6 +150,80 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b, n_docs, avgdl,
+                site_cols, qtype):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from .knn import _batch_topk, _final_topk
+
+    spark = tc.sparkSession
+    terms = sorted({r["term"] for r in qrows})
+    vpos = {t: i for i, t in enumerate(terms)}
+    V = len(terms)
+    dfs = np.zeros(V)
+    for r in dt_all.join(F.broadcast(vocab), "term").groupBy("term").count().collect():
+        dfs[vpos[r["term"]]] = r["count"]            # at most V rows
+    idf = np.log(1.0 + (n_docs - dfs + 0.5) / (dfs + 0.5))
+    qids = list(dict.fromkeys(r[query_id] for r in qrows))
+    qpos = {q: j for j, q in enumerate(qids)}
+    Qm = np.zeros((V, len(qids)))
+    sites = {}
+    for r in qrows:
+        Qm[vpos[r["term"]], qpos[r[query_id]]] = 1.0
+        if site_cols and r[site_cols[0]] is not None:
+            sites.setdefault(r[site_cols[0]], set()).add(qpos[r[query_id]])
+    sites = {s: np.asarray(sorted(j)) for s, j in sites.items()}
+    bc = spark.sparkContext.broadcast((terms, idf, Qm, np.asarray(qids, dtype=object), sites))
+    host_col = site_cols[1] if site_cols else None
+    sub = max(1, (4 << 20) // max(V, len(qids), 1))
+    margin = 0.5 * 10.0 ** (-SCORE_DIGITS)
+    out_schema = T.StructType([T.StructField(query_id, qtype), tc.schema[doc_id],
+                               T.StructField("raw", T.DoubleType())])
+
+    def score(batches):
+        vterms, vidf, Qmat, qid_arr, site_cols_ = bc.value
+        index = pd.Index(vterms)
+        for pdf in batches:
+            for lo in range(0, len(pdf), sub):
+                part = pdf.iloc[lo:lo + sub]
+                B = len(part)
+                lens = part["terms"].map(len).to_numpy()
+                if lens.sum() == 0:
+                    continue
+                rows = np.repeat(np.arange(B), lens)
+                vi = index.get_indexer(np.concatenate(part["terms"].to_numpy()))
+                tf = np.concatenate(part["tfs"].to_numpy()).astype(np.float64)
+                keep = vi >= 0
+                rows, vi, tf = rows[keep], vi[keep], tf[keep]
+                if len(rows) == 0:
+                    continue
+                dl = part["dl"].to_numpy().astype(np.float64)[rows]
+                # same operation order as the SQL form of the weight
+                norm = k1 * ((1.0 - b) + b * dl / avgdl)
+                W = np.zeros((B, len(vterms)))
+                W[rows, vi] = vidf[vi] * tf * (k1 + 1.0) / (tf + norm)
+                S = W @ Qmat
+                if site_cols_:
+                    hosts = part[host_col].fillna("").astype(str).to_numpy()
+                    for site, cols in site_cols_.items():
+                        ok = (hosts == site) | np.char.endswith(hosts.astype(str), "." + site)
+                        S[np.ix_(~ok, cols)] = 0.0
+                r, c = _batch_topk(S, k, margin)
+                if len(r):
+                    yield pd.DataFrame({query_id: qid_arr[c],
+                                        doc_id: part[doc_id].to_numpy()[r], "raw": S[r, c]})
+
+    docs_in = tc.select(doc_id, *([host_col] if host_col else []),
+                        F.col("_tc.terms").alias("terms"), F.col("_tc.tfs").alias("tfs"),
+                        F.col("_tc.dl").alias("dl"))
+    scored = docs_in.mapInPandas(score, out_schema)
+    top = _final_topk(scored.withColumn("score", F.round("raw", SCORE_DIGITS)),
+                      query_id, doc_id, k)
+    return top.select(query_id, doc_id, "score", "rank")
+
+
 def page_table(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, lang, text) with cleaned page text."""
     return pages.select("page_id", "url", title(F.col("html")).alias("title"),
@@ -177,9 +280,7 @@ def web_search(queries: DataFrame, pages: DataFrame, num_results: int = DEFAULT_
     q = queries.select(query_id, *split_site_query(F.col(query_text)))
     top = bm25(q, pt, num, query_id=query_id, query_text="_q",
                doc_id="page_id", doc_text="text", doc_tc=PAGE_INDEX_TC,
-               pair_filter=F.col("_site").isNull() | (F.col("_host") == F.col("_site"))
-               | F.col("_host").endswith(F.concat(F.lit("."), F.col("_site"))),
-               query_keep=("_site",), doc_keep=("_host",))
+               site_cols=("_site", "_host"))
     items = (top.join(pt.select("page_id", "url", "title", "text"), "page_id")
              .select(query_id, "rank", "page_id", "score",
                      clean_field(F.col("title")).alias("title"),

@@ -79,3 +79,18 @@ def test_fetch_pages_bundle(spark):
                              + "\n\n" + "-" * 40 + "\n\n"
                              + "[https://missing.example.com/q] HTTP 404 - unable to fetch.")
     assert out[2].bundle == "No URLs found in the provided search results text."
+
+
+def test_bm25_numpy_equals_join(spark):
+    from tessera.operators.web import bm25, page_index, split_site_query
+    from conftest import SF001
+    pages = spark.read.parquet(f"{SF001}/pages.parquet")
+    idx = page_index(pages)
+    q = spark.read.parquet(f"{SF001}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    q = q.withColumn("text", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("site:example.com "), "text"))
+                     .otherwise(F.col("text")))
+    q = q.select("query_id", *split_site_query(F.col("text")))
+    kw = dict(query_text="_q", doc_id="page_id", doc_text="text", doc_tc="_tc", site_cols=("_site", "_host"))
+    a = {tuple(r) for r in bm25(q, idx, 10, method="auto", **kw).collect()}
+    b = {tuple(r) for r in bm25(q, idx, 10, method="join", **kw).collect()}
+    assert a == b and len(a) > 100
