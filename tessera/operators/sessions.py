@@ -149,6 +149,29 @@ def memory_rows(turns: DataFrame, app_name: str, *, user: str = "user_id",
     return with_sparse_tf(m, "text", dim)
 
 
+def ingest_memory(session_events: DataFrame, app_name: str, top: int = MAX_SESSIONS,
+                  existing: DataFrame | None = None, rules=DEFAULT_RULES,
+                  dim: int = DEFAULT_DIM) -> tuple[DataFrame, DataFrame]:
+    """Move each user's ``top`` most recent sessions into long-term
+    memory. ``session_events`` is (user_id, session_id, seq, role, text,
+    ts). Sessions are ranked by their last event (T3), joined back to their
+    events on (user, session) (J4, one join instead of one fetch per
+    session), every user turn becomes a memory, and the result is merged
+    into ``existing`` by ``memory_id`` (J2: re-ingesting a session replaces
+    its memories). Returns (memory table, memories generated per session)."""
+    from .upsert import merge
+    last = session_events.groupBy("user_id", "session_id").agg(F.max("ts").alias("_last"))
+    chosen = recent_sessions(last, top, "user_id", "_last", "session_id").select(
+        "user_id", "session_id")
+    turns = (session_events.join(chosen, ["user_id", "session_id"])
+             .where(F.col("role") == "user"))
+    new = memory_rows(turns, app_name, rules=rules, dim=dim)
+    counts = memory_counts(new)
+    if existing is not None:
+        new = merge(existing.select(*new.columns), new, key="memory_id")
+    return new, counts
+
+
 def memory_counts(memories: DataFrame) -> DataFrame:
     """Memories created per session."""
     return memories.groupBy("app_name", "user_id", "session_id").agg(

@@ -87,3 +87,22 @@ def test_scoped_topk_hot_scope_salting(spark):
     owner = {x[0]: x[2] for x in mem}
     quser = {x[0]: x[2] for x in qs}
     assert all(owner[mid] == quser[qid] for qid, mid, _, _ in plain)
+
+
+def test_ingest_memory_top_sessions_and_merge(spark):
+    from tessera.operators.sessions import ingest_memory
+    rows = []
+    for sid in range(12):                       # 12 sessions of user u1
+        for seq, role in enumerate(["user", "assistant", "user"]):
+            rows.append(("u1", f"s{sid}", seq, role, f"note {sid} {seq} John Doe",
+                         dt.datetime(2024, 1, 1, sid, seq)))
+    rows.append(("u2", "t0", 0, "user", "", dt.datetime(2024, 1, 1)))     # empty text: no memory
+    ev = spark.createDataFrame(rows, "user_id string, session_id string, seq long, role string, "
+                                     "text string, ts timestamp")
+    mem, counts = ingest_memory(ev, "app", top=10)
+    got = mem.collect()
+    assert {r.session_id for r in got} == {f"s{i}" for i in range(2, 12)}   # 10 most recent
+    assert len(got) == 20 and all("[PERSON_NAME]" in r.text for r in got)
+    assert {r.generated_memories for r in counts.collect()} == {2}
+    again, _ = ingest_memory(ev, "app", top=10, existing=mem)               # idempotent merge
+    assert sorted(r.memory_id for r in again.collect()) == sorted(r.memory_id for r in got)
