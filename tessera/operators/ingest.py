@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embed import DEFAULT_DIM, dense_vector, with_sparse_tf
@@ -80,7 +80,10 @@ def run_ingest(spark: SparkSession, texts: DataFrame, prefix: str, mapping_store
         return {**summary, "written": None}
     merged = merge(existing, chunks.select("chunk_id", "source", "chunk_index", "text"),
                    prune_stale=kw.get("prune_stale", False))
-    path = save_mapping(merged, mapping_store)
+    # A8 in flight: rows of the new mapping version, counted during its write
+    obs = Observation("mapping_rows")
+    path = save_mapping(merged.observe(obs, F.count(F.lit(1)).alias("rows")), mapping_store)
+    summary["mapping_rows"] = int(obs.get["rows"])
     if datapoint_path:
         vecs = with_sparse_tf(chunks, "text", kw.get("dim", DEFAULT_DIM))
         vecs = vecs.withColumn("feature_vector", dense_vector(

@@ -50,6 +50,7 @@ def test_run_ingest_with_extractor(spark, scratch):
     # re-ingest: same ids, idempotent
     s2 = run_ingest(spark, texts, "gs://corpus/", store)
     assert load_mapping(spark, store).count() == m.count() == s1["chunks"] == s2["chunks"]
+    assert s2["mapping_rows"] == m.count()
 
 
 def test_pages_to_text_order_and_nulls(spark):
