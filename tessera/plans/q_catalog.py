@@ -145,3 +145,30 @@ FROM manifest WHERE starts_with(bucket, '{BUCKET_PREFIX}') GROUP BY bucket ORDER
 def q_list_buckets(spark, sf_dir):
     """Buckets whose name starts with 'corpus-e', name order, at most 50 (A3)."""
     return list_buckets(buckets_from_objects(manifest(spark, sf_dir)), BUCKET_PREFIX, 50)
+
+
+# Extension of each language's objects in the file manifest of list_files:
+# upper- and lower-case text files, PDFs, and a type the listing skips.
+FILE_EXTENSIONS = (("en", ".txt"), ("de", ".TXT"), ("fr", ".pdf"), ("es", ".md"))
+
+
+@query("list_files", sql=f"""
+WITH f AS (
+  SELECT 'gs://corpus/' || source || '/' || CAST(doc_id AS VARCHAR) ||
+         CASE lang {' '.join(f"WHEN '{l}' THEN '{e}'" for l, e in FILE_EXTENSIONS)} ELSE '' END AS uri,
+         CAST(strlen(text) AS BIGINT) AS size
+  FROM documents
+)
+SELECT uri, size FROM f WHERE regexp_matches(lower(uri), '(\\.pdf|\\.txt)$')""")
+def q_list_files(spark, sf_dir):
+    """Objects of a corpus whose lower-cased name ends with .pdf or
+    .txt (case kept in the uri); .md objects are skipped."""
+    from ..sources.files import with_extensions
+    d = read_table(spark, sf_dir, "documents")
+    ext = F.lit("")
+    for lang, e in reversed(FILE_EXTENSIONS):
+        ext = F.when(F.col("lang") == lang, F.lit(e)).otherwise(ext)
+    f = d.select(F.concat(F.lit("gs://corpus/"), "source", F.lit("/"),
+                          F.col("doc_id").cast("string"), ext).alias("uri"),
+                 F.octet_length("text").cast("bigint").alias("size"))
+    return with_extensions(f, "uri")

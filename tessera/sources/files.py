@@ -24,6 +24,13 @@ def _ext_pattern(exts) -> str:
     return "(" + "|".join(re.escape(e.lower()) for e in exts) + ")$"
 
 
+def with_extensions(df: DataFrame, uri_col: str = "uri",
+                    exts: tuple[str, ...] = DEFAULT_EXTENSIONS) -> DataFrame:
+    """rows whose lower-cased uri ends with one of ``exts`` (the uri
+    keeps its case)."""
+    return df.where(F.lower(F.col(uri_col)).rlike(_ext_pattern(exts)))
+
+
 def list_files(spark: SparkSession, root: str,
                exts: tuple[str, ...] = DEFAULT_EXTENSIONS) -> DataFrame:
     """(uri, length, modified) of every file below ``root`` whose lower-cased
