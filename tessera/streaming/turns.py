@@ -53,3 +53,60 @@ def start_turn_log(events: DataFrame, path: str, checkpoint: str | None = None,
             .option("path", path)
             .option("checkpointLocation", checkpoint or staging_path(events.sparkSession, "turn-log"))
             .start())
+
+
+def start_turns_at_end_hook(events: DataFrame, path: str, checkpoint: str | None = None,
+                            watermark: str = "10 minutes", timeout_ms: int = 30 * 60 * 1000,
+                            **kw):
+    """R1 with the reference's timing: a turn row is written in the
+    micro-batch where its end hook (``after_agent``) arrives, not when a
+    watermark passes.
+
+    The stateful step only buffers each invocation's events as JSON strings
+    (``applyInPandasWithState``) and releases them when the end hook is seen,
+    or after ``timeout_ms`` of event time without one (those turns then take
+    the error path). The turn logic stays in Spark: every micro-batch of
+    released events goes through the batch :func:`assemble_turns` in
+    ``foreachBatch`` and is appended to ``path`` (Parquet). Late events for
+    an already closed invocation open a new buffer, which times out into an
+    error-path row."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators.governance import EVENT_COLUMNS, assemble_turns, conform_events
+    from ..session import staging_path
+
+    ev = conform_events(events).withWatermark("ts", watermark)
+    packed = ev.select("invocation_id", "hook", "ts",      # ts carries the watermark
+                       F.to_json(F.struct(*EVENT_COLUMNS.keys())).alias("ev"))
+
+    def buffer(key, batches, state):
+        if state.hasTimedOut:
+            held = list(state.get[0])
+            state.remove()
+            yield pd.DataFrame({"invocation_id": [key[0]] * len(held), "ev": held})
+            return
+        held = list(state.get[0]) if state.exists else []
+        ended = False
+        for pdf in batches:
+            held.extend(pdf["ev"].tolist())
+            ended = ended or bool((pdf["hook"] == "after_agent").any())
+        if ended:
+            state.remove()
+            yield pd.DataFrame({"invocation_id": [key[0]] * len(held), "ev": held})
+        else:
+            state.update((held,))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
+
+    released = packed.groupBy("invocation_id").applyInPandasWithState(
+        buffer, "invocation_id string, ev string", "events array<string>",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    schema = ", ".join(f"{k} {v}" for k, v in EVENT_COLUMNS.items())
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.from_json("ev", schema).alias("e")).select("e.*")
+        assemble_turns(rows, **kw).write.mode("append").parquet(path)
+
+    return (released.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint or staging_path(events.sparkSession, "turns-end"))
+            .start())

@@ -102,3 +102,20 @@ def test_turn_log_stream(spark, scratch):
     got = {json.loads(r.custom)["invocation_id"]: r for r in out}
     assert set(got) == {"t1", "t2"} and all(r.message == "Final agent turn" for r in out)
     assert json.loads(got["t2"].custom)["request"] == "[BLOCKED_BY_GUARDRAIL]"
+
+
+def test_turns_emitted_at_end_hook(spark, scratch):
+    from tessera.streaming.turns import start_turns_at_end_hook
+    rows = [r for r in fixture_events() if r["invocation_id"] in ("t1", "t2", "t6", "t7")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{scratch}/ev")
+    q = start_turns_at_end_hook(spark.readStream.schema(df.schema).parquet(f"{scratch}/ev"),
+                                f"{scratch}/out", checkpoint=f"{scratch}/ck")
+    q.processAllAvailable()
+    q.stop()
+    got = {r.invocation_id: r for r in spark.read.parquet(f"{scratch}/out").collect()}
+    want = {r.invocation_id: r for r in assemble_turns(df).collect()}
+    assert set(got) == {"t1", "t2", "t6", "t7"}          # emitted without any watermark wait
+    for k in got:
+        for c in ("request", "response", "token_usage", "eval_tags", "tools_summary", "message"):
+            assert got[k][c] == want[k][c], (k, c)
