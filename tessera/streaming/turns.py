@@ -104,8 +104,10 @@ def start_turns_at_end_hook(events: DataFrame, path: str, checkpoint: str | None
     schema = ", ".join(f"{k} {v}" for k, v in EVENT_COLUMNS.items())
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # one directory per micro-batch, overwritten when Spark re-runs the
+        # batch after a failure: the output stays exactly-once
         rows = batch.select(F.from_json("ev", schema).alias("e")).select("e.*")
-        assemble_turns(rows, **kw).write.mode("append").parquet(path)
+        assemble_turns(rows, **kw).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (released.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint or staging_path(events.sparkSession, "turns-end"))
