@@ -5,6 +5,7 @@ The public operators, one per tool of the reference assistant (each a
 ``DataFrame -> DataFrame`` function over tables):
 """
 
+from .functions.sql import register_sql_functions
 from .operators.catalog import bucket_summary, list_buckets, list_objects, stage_attachments
 from .operators.governance import assemble_turns, log_rows, verbose_rows, write_log
 from .operators.ingest import plan_ingest, run_ingest, texts_from_files
@@ -31,4 +32,6 @@ __all__ = [
     # sessions and memory
     "activity_sessions", "recent_sessions", "session_tail", "memory_rows", "ingest_memory",
     "scoped_topk",
+    # SQL surface
+    "register_sql_functions",
 ]
