@@ -23,3 +23,17 @@ def test_running_sum_and_last_hot_key(spark):
             last[k] = v
         want[(k, p)] = (acc[k], last.get(k))
     assert got == want
+
+
+def test_running_sum_hot_key_spread(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")        # observe the partitioning, not AQE's merge
+    try:
+        df = spark.range(0, 30000).select(F.lit("hot").alias("k"), F.col("id").alias("p"))
+        out = running_sum(df, ["k"], "p", F.lit(1), "rs", block=1000)
+        per_part = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert out.agg(F.max("rs")).first()[0] == 30000
+    finally:
+        spark.conf.set(key, old)
+    assert len(per_part) >= 4 and max(per_part) < 0.5 * 30000

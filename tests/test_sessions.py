@@ -106,3 +106,24 @@ def test_ingest_memory_top_sessions_and_merge(spark):
     assert {r.generated_memories for r in counts.collect()} == {2}
     again, _ = ingest_memory(ev, "app", top=10, existing=mem)               # idempotent merge
     assert sorted(r.memory_id for r in again.collect()) == sorted(r.memory_id for r in got)
+
+
+def test_hot_user_spread_over_partitions(spark):
+    """A user holding most events is not processed by one task: the rows
+    carrying its session numbers come out of many shuffle partitions."""
+    from tessera.operators.sessions import assign_sessions
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=7 * i), 1, "view") for i in range(20000)]      # hot user
+    rows += [(100000 + i, t0 + dt.timedelta(minutes=i), 2 + i % 50, "view") for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    # AQE would coalesce this small test into one partition whatever the
+    # keys; switch coalescing off to observe the partitioning itself
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        out = assign_sessions(df).where("user_id = 1").select(F.spark_partition_id().alias("p"))
+        per_part = [r["count"] for r in out.groupBy("p").count().collect()]
+    finally:
+        spark.conf.set(key, old)
+    assert len(per_part) >= 4 and max(per_part) < 0.5 * 20000
