@@ -36,11 +36,12 @@ def _bodies() -> dict[str, str]:
     page_text = _strip(
         f"regexp_replace(regexp_replace({decoded}, {_lit('[ ' + chr(9) + ']+' + chr(10))}, {nl}), "
         f"{_lit(chr(10) + '{2,}')}, {_lit(chr(10) * 2)})")
-    h = "sha1(concat(unhex(ns), encode(k, 'UTF-8')))"
-    uuid5 = (f"concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', '{UUID_VERSION_NIBBLE}', "
-             f"substr({h}, 14, 3), '-', substr('{UUID_VARIANT_NIBBLES}', "
-             f"cast(conv(substr({h}, 17, 1), 16, 10) AS INT) % 4 + 1, 1), substr({h}, 18, 3), '-', "
-             f"substr({h}, 21, 12))")
+    h = "h"         # the digest, bound once below
+    fmt = (f"concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', '{UUID_VERSION_NIBBLE}', "
+           f"substr({h}, 14, 3), '-', substr('{UUID_VARIANT_NIBBLES}', "
+           f"cast(conv(substr({h}, 17, 1), 16, 10) AS INT) % 4 + 1, 1), substr({h}, 18, 3), '-', "
+           f"substr({h}, 21, 12))")
+    uuid5 = f"transform(array(sha1(concat(unhex(ns), encode(k, 'UTF-8')))), h -> {fmt})[0]"
     # each intermediate is bound once through a lambda variable
     # (transform(array(x), v -> ...)[0]); repeating it inside the window
     # lambda would re-run the regexes per window
