@@ -67,3 +67,59 @@ def export_mapping_json(df: DataFrame, path: str) -> None:
     single-object form of the reference would pass the whole mapping
     through one task."""
     df.select("chunk_id", "source", "chunk_index", "text").write.mode("overwrite").json(path)
+
+
+# --- partitioned store: increments rewrite only the partitions they touch ---
+
+PARTITIONED_SCHEMA = T.StructType(MAPPING_SCHEMA.fields + [T.StructField("part", T.IntegerType())])
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p)
+
+
+def upsert_partitioned(new: DataFrame, base: str, n_parts: int = 256,
+                       prune_stale: bool = False) -> list[int]:
+    """Keyed upsert (by ``chunk_id``) into a mapping table partitioned by
+    ``part = hash(source) mod n_parts``. Chunk ids are uniformly spread, but
+    a re-ingested object's chunks share its ``source``, so an increment
+    touches few partitions: only those are read, merged and rewritten
+    (dynamic partition overwrite); every other partition stays as written.
+    The merged partitions are first staged in the shared checkpoint folder
+    (a path cannot be overwritten by a job that reads it). Returns the
+    partitions rewritten."""
+    from pyspark.sql import functions as F
+
+    from ..operators.upsert import merge
+    from ..session import staging_path
+
+    spark = new.sparkSession
+    cols = [f.name for f in MAPPING_SCHEMA.fields]
+    part = F.pmod(F.xxhash64("source"), F.lit(n_parts)).cast("int")
+    new_p = new.select(*cols).withColumn("part", part)
+    touched = sorted(r["part"] for r in new_p.select("part").distinct().collect())  # <= n_parts
+    if _exists(spark, base):
+        old = (spark.read.schema(PARTITIONED_SCHEMA).parquet(base)
+               .where(F.col("part").isin(touched)))                  # partition pruning
+        merged = merge(old, new_p, prune_stale=prune_stale)
+    else:
+        merged = new_p
+    stage = staging_path(spark, "mapping-stage")
+    merged.write.partitionBy("part").parquet(stage)
+    key = "spark.sql.sources.partitionOverwriteMode"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        (spark.read.parquet(stage).select(*cols, "part")
+         .write.mode("overwrite").partitionBy("part").parquet(base))
+    finally:
+        spark.conf.set(key, prev)
+    return touched
+
+
+def load_partitioned(spark: SparkSession, base: str) -> DataFrame:
+    """The partitioned mapping table (empty if absent)."""
+    if not _exists(spark, base):
+        return spark.createDataFrame([], MAPPING_SCHEMA)
+    return spark.read.schema(PARTITIONED_SCHEMA).parquet(base).select(
+        *[f.name for f in MAPPING_SCHEMA.fields])

@@ -78,3 +78,20 @@ def test_export_json_lines(spark, scratch):
     assert lines == [{"chunk_id": "x", "source": "gs://b/ü.txt", "chunk_index": 0, "text": "naïve text"}]
     raw = "".join(open(f, encoding="utf-8").read() for f in glob.glob(f"{scratch}/json/*.json"))
     assert "naïve" in raw          # non-ASCII kept, not escaped
+
+
+def test_partitioned_store_rewrites_only_touched(spark, scratch):
+    import glob, os
+    from tessera.sources.mapping import load_partitioned, upsert_partitioned
+    base = f"{scratch}/pmap"
+    old = [(f"id{i}", f"gs://b/f{i % 20}.txt", i // 20, f"old {i}") for i in range(200)]
+    upsert_partitioned(_df(spark, old), base, n_parts=16)
+    before = {p: os.path.getmtime(p) for p in glob.glob(f"{base}/part=*/*.parquet")}
+    new = [(f"id{i}", "gs://b/f3.txt", i // 20, f"new {i}") for i in range(3, 200, 20)][:5]
+    touched = upsert_partitioned(_df(spark, new), base, n_parts=16)
+    assert len(touched) == 1
+    want = merge(_df(spark, old), _df(spark, new))
+    assert _set(load_partitioned(spark, base)) == _set(want)
+    after = {p: os.path.getmtime(p) for p in glob.glob(f"{base}/part=*/*.parquet")}
+    untouched = [p for p in before if f"part={touched[0]}/" not in p]
+    assert untouched and all(p in after and after[p] == before[p] for p in untouched)
