@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import DEFAULT_DIM, dense_vector, with_sparse_tf
 from ..functions.text import DEFAULT_CHUNK_CHARS, DEFAULT_CHUNK_OVERLAP, clean_text
 from ..sources.files import decode_text, extract_pages, pages_to_text, read_corpus
-from ..sources.mapping import load_mapping, save_mapping
+from ..sources.mapping import load_mapping, save_mapping, upsert_partitioned
 from .chunking import chunk_table
 from .upsert import datapoints, merge
 
@@ -54,39 +54,51 @@ def plan_ingest(texts: DataFrame, prefix: str, existing: DataFrame | None = None
     dps = datapoints(vecs)
     new_map = chunks.select("chunk_id", "source", "chunk_index", "text")
     mapping = new_map if existing is None else merge(existing, new_map, prune_stale=prune_stale)
+    return IngestPlan(chunks, vecs, dps, mapping, ingest_summary(texts, chunks))
+
+
+def ingest_summary(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row (files_found, files_without_text, chunks)."""
     per_file = texts.select("uri", F.length(clean_text(F.col("text"))).alias("n"))
     counts = chunks.groupBy("source").count()
-    summary = (per_file.join(counts, per_file["uri"] == counts["source"], "left")
-               .agg(F.count("*").alias("files_found"),
-                    F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).cast("bigint")
-                    .alias("files_without_text"),
-                    F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("chunks")))
-    return IngestPlan(chunks, vecs, dps, mapping, summary)
+    return (per_file.join(counts, per_file["uri"] == counts["source"], "left")
+            .agg(F.count("*").alias("files_found"),
+                 F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).cast("bigint")
+                 .alias("files_without_text"),
+                 F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("chunks")))
 
 
 def run_ingest(spark: SparkSession, texts: DataFrame, prefix: str, mapping_store: str,
-               datapoint_path: str | None = None, **kw) -> dict:
-    """Ingest and persist: the merged mapping becomes the next version of
-    ``mapping_store``; datapoints are appended to ``datapoint_path`` (an
-    external index plugs in through :func:`upsert.upsert_batches`). No
-    objects or no chunks -> nothing is written."""
-    existing = load_mapping(spark, mapping_store)
-    plan = plan_ingest(texts, prefix, existing, **kw)
-    # cut lineage once: the chunk table feeds the vectors, the mapping and
-    # the summary, and must not be recomputed per output
-    chunks = plan.chunks.checkpoint(eager=True)
-    summary = plan.summary.collect()[0].asDict()
+               datapoint_path: str | None = None, partitioned: bool = False, **kw) -> dict:
+    """Ingest and persist. The merged mapping becomes the next version of
+    ``mapping_store``, or, with ``partitioned=True``, is upserted into a
+    partitioned store rewriting only the partitions of the ingested
+    objects. Datapoints are appended to ``datapoint_path`` (an external index
+    plugs in through :func:`upsert.upsert_batches`). No objects or no chunks
+    -> nothing is written."""
+    chunk_kw = {k: v for k, v in kw.items() if k in ("chunk", "overlap")}
+    dim = kw.get("dim", DEFAULT_DIM)
+    prune = kw.get("prune_stale", False)
+    # cut lineage once: the chunk table feeds the summary, the mapping and
+    # the vectors, and must not be recomputed per output
+    chunks = chunk_table(texts, "uri", "text", prefix, **chunk_kw).checkpoint(eager=True)
+    summary = ingest_summary(texts, chunks).collect()[0].asDict()
     if summary["chunks"] == 0:
         return {**summary, "written": None}
-    merged = merge(existing, chunks.select("chunk_id", "source", "chunk_index", "text"),
-                   prune_stale=kw.get("prune_stale", False))
-    # A8 in flight: rows of the new mapping version, counted during its write
-    obs = Observation("mapping_rows")
-    path = save_mapping(merged.observe(obs, F.count(F.lit(1)).alias("rows")), mapping_store)
-    summary["mapping_rows"] = int(obs.get["rows"])
+    new = chunks.select("chunk_id", "source", "chunk_index", "text")
+    if partitioned:
+        touched = upsert_partitioned(new, mapping_store, prune_stale=prune)
+        summary["partitions_rewritten"] = len(touched)
+        path = mapping_store
+    else:
+        merged = merge(load_mapping(spark, mapping_store), new, prune_stale=prune)
+        # A8 in flight: rows of the new mapping version, counted during its write
+        obs = Observation("mapping_rows")
+        path = save_mapping(merged.observe(obs, F.count(F.lit(1)).alias("rows")), mapping_store)
+        summary["mapping_rows"] = int(obs.get["rows"])
     if datapoint_path:
-        vecs = with_sparse_tf(chunks, "text", kw.get("dim", DEFAULT_DIM))
+        vecs = with_sparse_tf(chunks, "text", dim)
         vecs = vecs.withColumn("feature_vector", dense_vector(
-            F.col("buckets"), F.col("tfs"), F.col("ss"), kw.get("dim", DEFAULT_DIM)))
+            F.col("buckets"), F.col("tfs"), F.col("ss"), dim))
         datapoints(vecs).write.mode("append").parquet(datapoint_path)
     return {**summary, "written": path}

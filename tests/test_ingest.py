@@ -73,3 +73,14 @@ def test_report_text_next_day_in_jakarta(spark):
     r = df.select(report_text(F.col("s"), F.col("ts"))).first()[0]
     assert r == ("Summary of your content: notes.\n\nTime of summary: 2025-01-02 03:04:05 WIB+0700 "
                  "\n\nDisclaimer: Information provided is for demonstration purposes only...")
+
+
+def test_run_ingest_partitioned(spark, scratch):
+    from tessera.sources.mapping import load_partitioned
+    _corpus(scratch)
+    texts = texts_from_files(spark, f"{scratch}/docs")
+    store = f"{scratch}/pstore"
+    s1 = run_ingest(spark, texts, "gs://corpus/", store, partitioned=True)
+    s2 = run_ingest(spark, texts, "gs://corpus/", store, partitioned=True)
+    m = load_partitioned(spark, store)
+    assert m.count() == s1["chunks"] == s2["chunks"] and s1["partitions_rewritten"] >= 1
