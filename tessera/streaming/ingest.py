@@ -16,7 +16,7 @@ from ..operators.chunking import chunk_table
 from ..operators.upsert import merge
 from ..session import staging_path
 from ..sources.files import DEFAULT_EXTENSIONS, _ext_pattern, decode_text
-from ..sources.mapping import load_mapping, save_mapping
+from ..sources.mapping import load_mapping, save_mapping, upsert_partitioned
 
 
 # the fixed schema of the binaryFile source (streams need it declared)
@@ -33,9 +33,11 @@ def file_stream(spark: SparkSession, root: str,
 
 def start_ingest_stream(spark: SparkSession, root: str, prefix: str, mapping_store: str,
                         checkpoint: str | None = None, trigger_once: bool = True,
-                        prune_stale: bool = False):
+                        prune_stale: bool = False, partitioned: bool = False):
     """Start the stream; returns the StreamingQuery. Text objects only
-    (PDFs need an extractor and go through the batch ingest)."""
+    (PDFs need an extractor and go through the batch ingest). With
+    ``partitioned=True`` each micro-batch rewrites only the mapping
+    partitions of its objects instead of writing a full new version."""
     files = file_stream(spark, root, (".txt",))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
@@ -44,6 +46,9 @@ def start_ingest_stream(spark: SparkSession, root: str, prefix: str, mapping_sto
         new = chunks.select("chunk_id", "source", "chunk_index", "text")
         if new.isEmpty():
             return
+        if partitioned:
+            upsert_partitioned(new, mapping_store, prune_stale=prune_stale)
+            return
         merged = merge(load_mapping(spark, mapping_store), new, prune_stale=prune_stale)
         save_mapping(merged, mapping_store)
 

@@ -119,3 +119,15 @@ def test_turns_emitted_at_end_hook(spark, scratch):
     for k in got:
         for c in ("request", "response", "token_usage", "eval_tags", "tools_summary", "message"):
             assert got[k][c] == want[k][c], (k, c)
+
+
+def test_ingest_stream_partitioned(spark, scratch):
+    from tessera.sources.mapping import load_partitioned
+    root = f"{scratch}/corpus"
+    os.makedirs(root)
+    open(f"{root}/one.txt", "w").write("alpha " * 400)
+    store, ck = f"{scratch}/pmap", f"{scratch}/ck"
+    start_ingest_stream(spark, root, "gs://c/", store, checkpoint=ck, partitioned=True).awaitTermination()
+    open(f"{root}/two.txt", "w").write("beta " * 10)
+    start_ingest_stream(spark, root, "gs://c/", store, checkpoint=ck, partitioned=True).awaitTermination()
+    assert load_partitioned(spark, store).count() == 4
