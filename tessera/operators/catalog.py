@@ -23,6 +23,9 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 DEFAULT_UPLOAD_FOLDER = "DEV/"
 PDF_TYPE = "application/pdf"
 NO_ATTACHMENT = "No file found in the current message. Please upload a file and try again."
+LISTING_MESSAGE = "Found %d file(s) and %d folder(s) in bucket '%s'"
+LISTING_PREFIX_SUFFIX = " with prefix '%s'"
+UPLOAD_MESSAGE = "Successfully uploaded file to gs://%s/"
 # ----------------------------------------------------------------------------
 
 
@@ -129,10 +132,9 @@ def list_objects(objects: DataFrame, bucket: str, prefix: str | None = None,
 
 def listing_message(n_files: Column, n_folders: Column, bucket: str,
                     prefix: str | None) -> Column:
-    msg = F.format_string(f"Found %d file(s) and %d folder(s) in bucket '%s'",
-                          n_files, n_folders, F.lit(bucket))
+    msg = F.format_string(LISTING_MESSAGE, n_files, n_folders, F.lit(bucket))
     if prefix:
-        msg = F.concat(msg, F.lit(f" with prefix '{prefix}'"))
+        msg = F.concat(msg, F.lit(LISTING_PREFIX_SUFFIX % prefix))
     return msg
 
 
@@ -193,4 +195,4 @@ def stage_attachments(messages: DataFrame, bucket: str,
         F.when(has, F.length(data)).alias("size_bytes"),
         F.when(has, ctype).alias("content_type"),
         F.when(has, data).alias("data"),
-        F.when(has, F.concat(F.lit(f"Successfully uploaded file to gs://{bucket}/"), dest)).otherwise(F.lit(NO_ATTACHMENT)).alias("message"))
+        F.when(has, F.concat(F.lit(UPLOAD_MESSAGE % bucket), dest)).otherwise(F.lit(NO_ATTACHMENT)).alias("message"))

@@ -34,6 +34,9 @@ SESSION_TIME_KEYS = ("last_update_time", "updated_at", "updated_time", "created_
 REPORT_ZONE = "Asia/Jakarta"
 REPORT_ZONE_LABEL = "WIB+0700"
 DISCLAIMER = "Disclaimer: Information provided is for demonstration purposes only..."
+REPORT_HEAD = "Summary of your content: "
+REPORT_TIME = ".\n\nTime of summary: "
+REPORT_TAIL = " \n\n"          # a space before the newlines, as the reference writes it
 # ----------------------------------------------------------------------------
 
 
@@ -274,5 +277,5 @@ def report_text(summary: Column, ts: Column) -> Column:
     wall clock inside a query), shown in Asia/Jakarta."""
     local = F.date_format(F.from_utc_timestamp(ts, REPORT_ZONE),
                           f"yyyy-MM-dd HH:mm:ss '{REPORT_ZONE_LABEL}'")
-    return F.concat(F.lit("Summary of your content: "), summary, F.lit(".\n\nTime of summary: "),
-                    local, F.lit(" \n\n" + DISCLAIMER))
+    return F.concat(F.lit(REPORT_HEAD), summary, F.lit(REPORT_TIME), local,
+                    F.lit(REPORT_TAIL + DISCLAIMER))
