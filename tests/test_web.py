@@ -94,3 +94,16 @@ def test_bm25_numpy_equals_join(spark):
     a = {tuple(r) for r in bm25(q, idx, 10, method="auto", **kw).collect()}
     b = {tuple(r) for r in bm25(q, idx, 10, method="join", **kw).collect()}
     assert a == b and len(a) > 100
+
+
+def test_fallback_tiers(spark):
+    from tessera.operators.web import fallback
+    q = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    hits = spark.createDataFrame([(1, 1, "c1", 0.9), (1, 2, "c2", 0.2), (2, 1, "c3", 0.3)],
+                                 "query_id long, rank int, chunk_id string, score double")
+    web = spark.createDataFrame([(2, 1, "https://w/2", 1.5), (3, 1, "https://w/3", 2.0),
+                                 (1, 1, "https://w/1", 9.0)],
+                                "query_id long, rank int, link string, score double")
+    got = sorted(tuple(r) for r in fallback(q, hits, web, 0.5).collect())
+    assert got == [(1, "internal", 1, "c1", 0.9), (1, "internal", 2, "c2", 0.2),
+                   (2, "web", 1, "https://w/2", 1.5), (3, "web", 1, "https://w/3", 2.0)]
