@@ -74,8 +74,12 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str,
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+# Letter bytes: ASCII letters and every byte of a multi-byte character.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+SOLID = ~_WS
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2 ** 64, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(0, 2 ** 64, dtype=np.uint64)) | 5
@@ -114,13 +118,13 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column: byte spans, the
-    first word of each row (``first``, len + 1), optionally lower-cased A-Z."""
+    first word of each row (``first``, len + 1), A-Z lower-cased. ``kind`` is
+    the table of the bytes that words consist of."""
 
-    def __init__(self, col: pa.Array, lower: bool = True):
+    def __init__(self, col: pa.Array, kind: np.ndarray = SOLID):
         data, off = utf8(col)
-        if lower:
-            data = _LOW[data]
-        solid = ~_WS[data]
+        data = LOWER[data]
+        solid = kind[data]
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[off] = True

@@ -7,9 +7,10 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, url_filter
-from .base import table
+from . import exact_dedup, quality, toxicity, url_filter
+from .base import label_fold, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +58,23 @@ FROM q LEFT JOIN m USING (k)""")
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {_RULE_ROWS} AS r(host, path, verdict)")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
+
+
+def _scored(spark: SparkSession, sf_dir: str, op, label: str, fold, least: float) -> DataFrame:
+    """Fit on the labels outside ``fold``, score all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~fold)
+    model = op.fit(docs, labels, label)
+    return op.score(docs, model).select(
+        "doc_id", fold.alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", label_fold(4, 2), 0.7)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", label_fold(5, 0), 0.5)
