@@ -9,7 +9,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality, toxicity, url_filter
+from . import exact_dedup, langid, quality, toxicity, url_filter
 from .base import label_fold, table
 
 QUERIES: dict = {}
@@ -60,6 +60,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+@query("op5_langid")
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = label_fold(3, 1)
+    net = langid.fit(docs.select("doc_id", "text", "lang").where(~held))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), net).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def _scored(spark: SparkSession, sf_dir: str, op, label: str, fold, least: float) -> DataFrame:
     """Fit on the labels outside ``fold``, score all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
