@@ -9,7 +9,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, token_store, toxicity, url_filter
+from . import exact_dedup, langid, minhash, packing, quality, token_store, toxicity, url_filter
 from .base import label_fold, table
 
 QUERIES: dict = {}
@@ -100,3 +100,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_minhash")
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
