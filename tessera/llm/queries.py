@@ -9,7 +9,8 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, packing, quality, token_store, toxicity, url_filter
+from . import (decontam, exact_dedup, langid, minhash, packing, quality, token_store,
+               toxicity, url_filter)
 from .base import label_fold, table
 
 QUERIES: dict = {}
@@ -105,3 +106,8 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash")
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
