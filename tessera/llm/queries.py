@@ -9,7 +9,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, exact_dedup, langid, minhash, packing, quality, token_store,
+from . import (decontam, exact_dedup, html_extract, langid, minhash, packing, quality, token_store,
                toxicity, url_filter)
 from .base import label_fold, table
 
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op2_exact_dedup", """
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id,
