@@ -1,9 +1,9 @@
 """Token-id files: canonical length-limited Huffman coding.
 
-Ids of all documents are counted (one pass, a sum per id), code lengths of at
-most ``LIMIT`` bits follow by package-merge, codes are canonical, so the code
-book is one length per id. A second pass encodes each text where it is read;
-only coded bytes are shuffled into ranges of the document id and written.
+Texts are tokenised once into a written table of ids. Their counts (a sum per
+id) give code lengths of at most ``LIMIT`` bits by package-merge; codes are
+canonical, so the code book is one length per id. The ids are coded where they
+are read; only coded bytes are shuffled into ranges of the document id.
 
 A file holds independent blocks, one row each: ``bucket`` (range of ids, in
 order), ``block``, and ``data``:
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import staging_path
 
-from .base import slices
+from .base import slices, staged, utf8
 from .tokens import encoder, vocabulary
 
 LIMIT = 16
@@ -169,28 +169,58 @@ def decode_block(data: bytes, table) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 # --- the Spark job ------------------------------------------------------------
 
-def token_counts(docs: DataFrame, path: str, text_col: str = "text") -> np.ndarray:
-    """Count of every id over all whole texts, the end ids included."""
-    def counted(batches):
+def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """Staged (id, k, h, n, ids) of whole texts: k orders the ids, h is a hash
+    of the text, ids are little-endian u16 or, for large vocabularies, u32."""
+    def run(batches):
         enc = encoder(path)
-        total = np.zeros(enc.size + 1, np.int64)
+        kind = np.dtype("<u2" if enc.size <= 1 << 16 else "<u4")
         for b in slices(batches, "text"):
-            ids, _ = enc.encode(b.column("text"))
-            total += np.bincount(ids, minlength=len(total))
+            ids, first = enc.encode(b.column("text"))
+            raw, w = ids.astype(kind).tobytes(), kind.itemsize
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("k"), b.column("h"), pa.array(np.diff(first)),
+                 pa.array([raw[w * s:w * e] for s, e in zip(first, first[1:])], pa.binary())],
+                ["id", "k", "h", "n", "ids"])
+
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)).alias("k"),
+        F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return staged(rows.mapInArrow(run, "id long, k long, h long, n long, ids binary"),
+                  "token-ids")
+
+
+def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a staged batch and their offsets."""
+    data, off = utf8(b.column("ids"))
+    first = np.concatenate([[0], np.cumsum(b.column("n").to_numpy())])
+    wide = first[-1] and off[-1] // first[-1] == 4
+    return np.frombuffer(data.tobytes(), "<u4" if wide else "<u2").astype(np.uint32), first
+
+
+def token_counts(rows: DataFrame) -> np.ndarray:
+    """Count of every id over all texts, the end ids included."""
+    def counted(batches):
+        total = np.zeros(0, np.int64)
+        for b in slices(batches, "ids"):
+            n = np.bincount(_ids(b)[0], minlength=len(total))
+            n[:len(total)] += total
+            total = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["t", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "t long, n long") \
+    found = rows.select("n", "ids").mapInArrow(counted, "t long, n long") \
         .groupBy("t").agg(F.sum("n").alias("n")).collect()     # at most one row per id
-    counts = np.zeros(max([r["t"] for r in rows], default=0) + 1, np.int64)
-    for r in rows:
+    counts = np.zeros(max([r["t"] for r in found], default=0) + 1, np.int64)
+    for r in found:
         counts[r["t"]] = r["n"]
     return counts
 
 
 def _bucket(docs: DataFrame, buckets: int):
     """Range of the id column ``k``; an id that fills several is dealt over
-    them by a hash of its text."""
+    them by the hash ``h`` of its text."""
     q = [i / buckets for i in range(1, buckets)]
     row = docs.select(F.percentile_approx("k", q, 100_000).alias("q")).first() if q else None
     cuts = list(row["q"] or []) if row else []
@@ -199,7 +229,7 @@ def _bucket(docs: DataFrame, buckets: int):
     marks = F.lit(np.array(cuts, dtype=np.int64).tolist())
     below = F.size(F.filter(marks, lambda c: c < F.col("k")))
     same = F.size(F.filter(marks, lambda c: c == F.col("k")))
-    return (below + F.pmod(F.xxhash64("text"), same + 1)).cast("int")
+    return (below + F.pmod("h", same + 1)).cast("int")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None,
@@ -208,16 +238,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None,
     its code book under ``path``/book."""
     spark = docs.sparkSession
     vocab = vocabulary(tokenizer)
-    book = Book(code_lengths(token_counts(docs, vocab, text_col)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
-        .withColumn("k", F.coalesce("id", F.lit(-2 ** 63)))
+    rows = tokenised(docs, vocab, id_col, text_col)
+    book = Book(code_lengths(token_counts(rows)))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("bucket", _bucket(rows, buckets))
 
     def coded(batches):
-        enc = encoder(vocab)
-        for b in slices(batches, "text"):
-            ids, first = enc.encode(b.column("text"))
+        for b in slices(batches, "ids"):
+            ids, first = _ids(b)
             data, byte, rel = book.encode(ids, first)
             n = np.diff(first)
             marks = [rel[s:e:EVERY].astype("<u4").tobytes() for s, e in zip(first, first[1:])]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from .base import span_hashes, utf8
 
 END_ID = 0
-MOST_PARTS = 2_500_000
+MOST_PARTS = 800_000
 _encoders: dict = {}
 
 # Bytes that cannot belong to white space: visible ASCII, and leads of two-byte
