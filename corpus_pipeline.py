@@ -7,15 +7,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, exact_dedup, minhash, packing, toxicity
 from tessera.llm.base import staged, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 by a machine fitted on all labels."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, score_col="__toxicity").where("__toxicity < 0.5") \
+        .drop("__toxicity")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at a similarity of 0.8 over five words."""
+    return minhash.deduplicate(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed documents, their ids as a checksum."""
+    return packing.pack(docs).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies),
+          ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark_leaks),
+          ("packing", pack)]
 
 #: No SQL for the model, the near-duplicate and the packing stages; the tests
 #: hold them against brute force.

@@ -30,6 +30,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_chosen(docs: DataFrame, chosen: DataFrame, key, id_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``chosen`` (id, key, n: rows of that name),
+    a repeated row once, all columns kept. ``key`` is the key's expression."""
+    names = chosen.select(F.col("id").alias("__row_id"), F.col("key").alias("__row_k"),
+                          F.col("n").alias("__row_n"))
+    rows = docs.withColumn("__row_key", key).join(
+        names, F.col(id_col).eqNullSafe(F.col("__row_id")) & (F.col("__row_key") == F.col("__row_k")))
+    once = rows.where("__row_n = 1").select(docs.columns)
+    again = rows.where("__row_n > 1").dropDuplicates(["__row_id", "__row_k"]).select(docs.columns)
+    return once.unionAll(again)
+
+
 def label_fold(modulus: int, remainder: int, id_col: str = "doc_id"):
     """True where crc32(id as text) mod ``modulus`` equals ``remainder``; a
     null id counts as the empty text."""

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACES, staged
+from .base import SPACES, rows_chosen, staged
 
 
 def normalised(text_col: str = "text"):
@@ -72,12 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns."""
-    marks = exact_groups(docs, id_col, text_col).where("kept") \
-        .groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")) \
-        .agg(F.count(F.lit(1)).alias("_n"))
-    rows = docs.withColumn("_key", F.sha2(normalised(text_col), 256))
-    rows = rows.join(marks, F.col(id_col).eqNullSafe(F.col("_id"))
-                     & (F.col("_key") == F.col("_sha")))
-    once = rows.where("_n = 1").select(docs.columns)
-    again = rows.where("_n > 1").dropDuplicates(["_id", "_sha"]).select(docs.columns)
-    return once.unionAll(again)
+    chosen = exact_groups(docs, id_col, text_col).where("kept") \
+        .groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("key")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    return rows_chosen(docs, chosen, F.sha2(normalised(text_col), 256), id_col)

@@ -197,15 +197,17 @@ def fit(docs: DataFrame, bound: int = 6000, per_text: int = 4, id_col: str = "do
 
 def predict(docs: DataFrame, net: Net, text_col: str = "text", lang_col: str = "lang_pred",
             score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its mean probability."""
-    rows = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
+    """``docs`` with the predicted language and its mean probability; columns
+    of those names are replaced."""
+    docs = docs.drop(lang_col, score_col)
+    rows = docs.withColumn("__letters", F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
     fields = [*docs.columns, lang_col, score_col]
     names = np.array([*net.langs, "und"], object)
 
     def scored(batches):
         for b in slices(batches, text_col, 1 << 20):
             n = b.num_rows
-            some = b.column("_letters").to_numpy(zero_copy_only=False) & bool(net.langs)
+            some = b.column("__letters").to_numpy(zero_copy_only=False) & bool(net.langs)
             best, score = np.full(n, len(net.langs)), np.zeros(n)
             if some.any():
                 win, row, held = _windows(b.column(b.schema.get_field_index(text_col)))

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, mix, slices, staged
+from .base import Words, mix, rows_chosen, slices, staged
 
 BANDS, ROWS = 30, 5
 BATCH = 10                   # signature positions compared at a time
@@ -109,19 +109,22 @@ def _digests(v: np.ndarray, first: np.ndarray) -> list:
 
 
 def sketched(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, sig): node is the digest of the set, null if it is empty."""
+    """(id, key, n, node, sig): key names the text, node is the digest of the
+    set, null if it is empty."""
     def run(batches):
         for b in slices(batches, "text", 2 << 20):
             v, first = shingle_sets(b.column("text"), words)
             sig = iter(signatures(v, first))
             node = _digests(v, first)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(np.diff(first)), pa.array(node, pa.binary()),
+                [b.column("id"), b.column("key"), pa.array(np.diff(first)),
+                 pa.array(node, pa.binary()),
                  pa.array([None if x is None else next(sig).tobytes() for x in node],
-                          pa.binary())], ["id", "n", "node", "sig"])
+                          pa.binary())], ["id", "key", "n", "node", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, "id long, n long, node binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("key")) \
+        .mapInArrow(run, "id long, key long, n long, node binary, sig binary")
 
 
 # --- verification ---------------------------------------------------------------
@@ -299,6 +302,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: tuple[int, int]
 
     Texts are linked at ``threshold`` (numerator, denominator) of Jaccard
     similarity over shingles of ``words`` words."""
+    out = _grouped(docs, words, threshold, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100),
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, the one with its smallest id,
+    and every row without words; all columns kept."""
+    out = staged(_grouped(docs, words, threshold, id_col, text_col), "minhash-grouped")
+    one = out.where("label IS NOT NULL").groupBy("label").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("r"))
+    chosen = one.select("r.id", "r.key").unionAll(
+        out.where("label IS NULL").select("id", "key")).distinct()
+    rows = out.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+    chosen = chosen.join(rows.select(F.col("id").alias("_i"), F.col("key").alias("_x"), "n"),
+                         F.col("id").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_x")))
+    return rows_chosen(docs, chosen, F.xxhash64(text_col), id_col)
+
+
+def _grouped(docs: DataFrame, words: int, threshold: tuple[int, int], id_col: str,
+             text_col: str) -> DataFrame:
+    """(id, key, n, label, component_id) of every row; label null if it has no
+    words."""
     t = threshold[0] / threshold[1]
     rows = staged(sketched(docs, words, id_col, text_col), "minhash-rows")
     nodes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(
@@ -360,10 +387,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: tuple[int, int]
     named = nodes.select("node", "id").join(final, "node", "left").select(
         "node", "id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = staged(named.join(smallest, "label").select(F.col("node").alias("c_node"),
-                                                        "component_id"), "minhash-components")
+    named = staged(named.join(smallest, "label").select(
+        F.col("node").alias("c_node"), "label", "component_id"), "minhash-components")
     out = rows.join(named, F.col("node") == F.col("c_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "key", "n", "label", component.alias("component_id"))

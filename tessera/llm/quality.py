@@ -183,7 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text",
           score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col`` (0 to 1) appended; all columns are kept."""
+    """``docs`` with ``score_col`` (0 to 1) appended; all columns are kept, but
+    one of that name is replaced."""
+    docs = docs.drop(score_col)
     fields = [*docs.schema.names, score_col]
 
     def scored(batches):
