@@ -297,7 +297,7 @@ class _Composer:
         if r < silent:
             return "" if self.r.random() < 0.5 else f' class="{self.words(1, 1).lower()}-{self.r.randint(1, 9)}"'
         token = self.r.choice([t for k in pools for t in TOKENS[k]])
-        token = self.r.choice(["{}", "{}-box", "site-{}", "page_{}", "{}s", "c-{}"]).format(token)
+        token = self.r.choice(["{}", "{}-box", "site-{}", "page_{}", "c-{}"]).format(token)
         return f' {self.r.choice(["class", "id"])}="{token}"'
 
     def sentence_tag(self):
@@ -380,7 +380,9 @@ class _Composer:
         r = self.r
         some = lambda p, f: f() if r.random() < p else ""
         body = [f"<h1 y>{self.words(2, 12)}</h1>"] + [self.paragraph() for _ in range(r.choice([1, 2, 2, 3, 4, 6, 9, 14]))]
-        if r.random() < 0.25:
+        if r.random() < 0.2:
+            del body[0]
+        elif r.random() < 0.25:
             body[0] = f"<header y>{body[0]}</header>"
         if r.random() < 0.1:
             body.append(f"<footer>{self.words(2, 9)} <a href=/t>{self.words(1, 2)}</a></footer>")
@@ -388,6 +390,8 @@ class _Composer:
             body.insert(r.randint(1, len(body)), self.noise())
         if r.random() < 0.15:
             body.append(self.comments())
+        if r.random() < 0.1:                     # a wrapper that is never closed
+            body.insert(r.randint(0, len(body)), r.choice(["<div y>", "<section y>"]))
         tag = r.choice(["article", "article", "main", "div", "div", "section"])
         name = self.names(0, silent=0.6 if tag in ("article", "main") else 0.15)
         art = f"<{tag}{name} y>{''.join(body)}</{tag}>"
@@ -411,13 +415,13 @@ class _Labelled(Dom):
 
 
 @lru_cache(4)
-def trained(pages: int = 600, seed: int = 5) -> Trees:
+def trained(pages: int = 1000, seed: int = 5) -> Trees:
     """The trees, fitted on ``pages`` composed pages."""
     make, xs, ys = _Composer(seed), [], []
     for _ in range(pages):
         dom = _Labelled(make.page())
         xs.append(features(dom)), ys.append(np.array(dom.y))
-    return boost(np.concatenate(xs), np.concatenate(ys), trees=60, depth=5, bins=32)
+    return boost(np.concatenate(xs), np.concatenate(ys), trees=100, depth=5, bins=32)
 
 
 def main_text(pages: DataFrame, model: Trees | None = None, id_col: str = "page_id",

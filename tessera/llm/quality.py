@@ -125,6 +125,8 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees:
     if not n or y.min() == y.max():
         return out
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(k)]
+    cuts = [c[c < x[:, f].max()] if len(np.unique(x[:, f])) > 2 else x[:, f].min(keepdims=True)
+            if x[:, f].min() < x[:, f].max() else c[:0] for f, c in enumerate(cuts)]
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)])
     z = np.full(n, out.base)
     feats, thrs, vals = [], [], []
@@ -139,19 +141,22 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees:
             best = np.full(width, 1e-6)
             cut = np.zeros(width, np.int64)
             for f in range(k):
-                key = local * bins + binned[f]
-                gl = np.bincount(key, g, width * bins).reshape(width, bins).cumsum(1)
-                hl = np.bincount(key, h, width * bins).reshape(width, bins).cumsum(1)
+                own = len(cuts[f]) + 1
+                if own == 1:
+                    continue
+                key = local * own + binned[f]
+                gl = np.bincount(key, g, width * own).reshape(width, own).cumsum(1)
+                hl = np.bincount(key, h, width * own).reshape(width, own).cumsum(1)
                 gt, ht = gl[:, -1:], hl[:, -1:]
                 gain = gl ** 2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt ** 2 / (ht + l2)
                 gain[(hl < min_weight * 0.05) | (ht - hl < min_weight * 0.05)] = 0
-                gain[:, len(cuts[f]):] = 0
+                gain[:, -1] = 0
                 b = gain.argmax(1)
                 top = gain[np.arange(width), b]
                 won = top > best
                 best[won], cut[won] = top[won], b[won]
                 feat[start:start + width][won] = f
-                thr[start:start + width][won] = cuts[f][b[won]] if len(cuts[f]) else np.inf
+                thr[start:start + width][won] = cuts[f][b[won]]
             node = 2 * node + 1 + (x[np.arange(n), feat[node]] > thr[node])
         leaf = node - inner
         value = -rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + l2)
