@@ -5,15 +5,16 @@
 2. A distributed randomised SVD of the TF-IDF passages: each task adds up
    A'(A Omega) over its passages, one aggregate sums the rows, and the driver
    takes the leading right singular vectors from the small product (single-pass
-   Nystrom form). Its size is TERMS x (RANK + COMMON + 8), whatever the corpus.
+   Nystrom form). Its size is TERMS x (RANK + COMMON + 4), whatever the corpus.
    The ``COMMON`` strongest directions, which all passages share, are left out.
 3. Every document's windows of 16, 32, 64, ... words are projected, half a
    window apart, and compared with the items of about that length: candidates
    have a cosine of at least ``cosine`` and hold enough of the item's weight.
 4. A candidate is confirmed on the words around the window by the longest common
    subsequence: it must hold ``share`` of the item's words and of their idf
-   weight, within a span not much longer than the item, and half the weight of
-   the item's answer, its last quarter (items have no answer column).
+   weight, within a span not much longer than the item. Below ``CLOSE`` it must
+   also hold half the weight of the item's answer, its last quarter (items have
+   no answer column).
 
 Benchmark items are the stated query set, taken ``ITEMS`` at a time; each block
 is one scan of the documents, without a shuffle.
@@ -38,8 +39,9 @@ from pyspark.sql import functions as F
 from .base import LETTER, Words, slices
 
 TERMS, RANK, COMMON = 4096, 64, 8
-PASSAGE, BLOCK = 64, 8
+PASSAGE, BLOCK = 128, 8
 ITEMS = 4096
+CLOSE = 0.75
 _WORD = LETTER.copy()
 _WORD[48:58] = True
 
@@ -67,8 +69,9 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             start, _ = _blocks(w.first, PASSAGE)
             if len(start):
                 p = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w.start))))
-                total += np.bincount(np.unique(p * TERMS + _terms(w.hashes())) % TERMS,
-                                     minlength=TERMS)
+                at = np.sort(p * TERMS + _terms(w.hashes()))
+                at = at[np.diff(at, prepend=-1) != 0]
+                total += np.bincount(at % TERMS, minlength=TERMS)
                 passages += len(start)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(np.arange(TERMS), -1)), pa.array(np.append(total, passages))],
@@ -90,7 +93,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text_col: str = "text",
     """(TERMS, RANK) singular directions of the TF-IDF passages over their
     singular values: in these coordinates unlike passages are nearly
     orthogonal, whatever common words they share."""
-    wide = RANK + COMMON + 8
+    wide = RANK + COMMON + 4
     omega = np.random.default_rng(seed).normal(size=(TERMS, wide)).astype(np.float32)
 
     def summed(batches):
@@ -102,12 +105,10 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text_col: str = "text",
             for lo in range(0, len(start), 256):
                 s = start[lo:lo + 256]
                 end = start[lo + 256] if lo + 256 < len(start) else len(t)
-                own = t[s[0]:end]
-                y = np.add.reduceat(scaled[own], s - s[0])
                 p = np.repeat(np.arange(len(s)), np.diff(np.append(s, end)))
-                o = np.argsort(own, kind="stable")
-                at = np.flatnonzero(np.diff(own[o], prepend=-1))
-                total[own[o][at]] += np.add.reduceat(y[p[o]], at)
+                a = np.bincount(p * TERMS + t[s[0]:end], minlength=len(s) * TERMS) \
+                    .reshape(len(s), TERMS).astype(np.float32)
+                total += a.T @ (a @ scaled)
         total *= idf[:, None]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(TERMS)), *(pa.array(c) for c in total.T)],
@@ -147,6 +148,7 @@ class Queries:
 
     def __post_init__(self):
         self.scaled = self.space * self.idf[:, None]
+        self.padded = np.concatenate([self.scaled, np.zeros((1, RANK), np.float32)])
         self.latent = _unit(np.stack([self.scaled[_terms(w)].sum(0) for w in self.words])) \
             if self.words else np.zeros((0, RANK), np.float32)
         self.has = np.zeros((len(self.words), TERMS), bool)
@@ -163,8 +165,17 @@ class Queries:
         start, row = _blocks(w.first, BLOCK)
         if not len(start) or not len(self.latent):
             return
-        sums = np.add.reduceat(self.scaled[t], start)
-        run = np.concatenate([np.zeros((1, RANK)), np.cumsum(sums, 0, dtype=np.float64)])
+        # the words of each block, the zero row after the last
+        at = start[:, None] + np.arange(BLOCK)
+        ends = np.append(start[1:], len(t))
+        at = np.where(at < ends[:, None], t[np.minimum(at, len(t) - 1)], TERMS)
+        sums = self.padded[at[:, 0]]
+        for k in range(1, BLOCK):
+            sums += self.padded[at[:, k]]
+        # running sums around the mean stay small enough for 32 bits
+        mean = sums.mean(0)
+        run = np.zeros((len(sums) + 1, RANK), np.float32)
+        np.cumsum(sums - mean, 0, out=run[1:])
         last = np.searchsorted(row, row, "right")           # end block of each block's row
         nth = np.arange(len(start)) - np.searchsorted(row, row, "left")
         ends = np.append(start, len(t))
@@ -178,7 +189,7 @@ class Queries:
             to = np.minimum(at + k, last[at])
             for lo in range(0, len(at), 4096):
                 a, e = at[lo:lo + 4096], to[lo:lo + 4096]
-                c = _unit((run[e] - run[a]).astype(np.float32)) @ latent
+                c = _unit(run[e] - run[a] + (e - a)[:, None].astype(np.float32) * mean) @ latent
                 i, j = np.nonzero(c >= self.cosine)
                 if not len(i):
                     continue
@@ -219,7 +230,8 @@ class Queries:
         held = np.zeros(len(q), bool)
         held[at] = True
         answer = weight[tail:][held[tail:]].sum() / weight[tail:].sum()
-        if weight[held].sum() < self.share * weight.sum() or answer < 0.5:
+        share = min(len(at) / len(q), weight[held].sum() / weight.sum())
+        if share < self.share or share < CLOSE and answer < 0.5:
             return None
         return len(at) / len(q), float(answer)
 
@@ -253,7 +265,7 @@ def _common_subsequence(q: np.ndarray, text: np.ndarray, span: int) -> np.ndarra
     return np.array(out[::-1], np.int64)
 
 
-def query_blocks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4,
+def query_blocks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35,
                  share: float = 0.6, least: int = 8, text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text") -> list[Queries]:
     """Fit on all documents; the items in blocks of ``ITEMS``."""
