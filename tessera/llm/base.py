@@ -18,6 +18,19 @@ from tessera.session import staging_path
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
+# Rows of one Arrow batch: with texts of a few KB, some MB a batch.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cap the rows of the Arrow batches sent to Python workers: a batch is held
+    whole on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -69,7 +82,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str,
-           max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+           max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``max_bytes`` of text (one text
     longer than that stands alone): bounds the numpy working set."""
     for b in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (decontam, exact_dedup, html_extract, langid, minhash, packing, quality, token_store,
                toxicity, url_filter)
-from .base import label_fold, table
+from .base import bounded_batches, label_fold, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +19,10 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return fn

@@ -81,10 +81,9 @@ class Encoder:
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate(
             [self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
-        keys, at, size = (np.concatenate(x) for x in
-                          ((self.keys, keys), (self.at, at), (self.len, size)))
-        o = np.argsort(keys)
-        self.keys, self.at, self.len = keys[o], at[o], size[o]
+        place = np.searchsorted(self.keys, keys)                  # both are sorted
+        self.keys, self.at, self.len = (np.insert(a, place, b) for a, b in (
+            (self.keys, keys), (self.at, at), (self.len, size)))
 
     def encode(self, col: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of whole texts, ``end`` appended to each."""
