@@ -25,10 +25,6 @@ def namespace_hex(prefix: str) -> str:
     return hashlib.sha256(prefix.encode("utf-8")).hexdigest()[:32]
 
 
-def namespace_col(prefix: Column) -> Column:
-    """Column form of :func:`namespace_hex` for per-row prefixes."""
-    return F.substr(F.sha2(prefix, 256), F.lit(1), F.lit(32))
-
 
 def chunk_key(uri: Column, index: Column) -> Column:
     """``{uri}::chunk::{i}``."""

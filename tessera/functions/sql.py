@@ -12,11 +12,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .embed import TOKEN_PATTERN
-from .html import ENTITIES, MARKUP_RUN, URL_PATTERN, URL_TRAILING_PATTERN
+from .html import MARKUP_STEPS, URL_PATTERN, URL_TRAILING_PATTERN
 from .ids import UUID_VARIANT_NIBBLES, UUID_VERSION_NIBBLE
 from .text import WS_RUN
 
 
+# fixed values; "&amp;" last, so that "&amp;lt;" reads "&lt;"
+COMMON_REFERENCES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
+    ("&hellip;", "\u2026"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&amp;", "&"))
+
+
 def _lit(s: str) -> str:
     """A Spark SQL string literal (escapes backslashes and quotes)."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -28,9 +35,11 @@ def _strip(e: str) -> str:
 
 def _bodies() -> dict[str, str]:
     clean = f"trim(regexp_replace(coalesce(t, ''), {_lit(WS_RUN)}, ' '))"
-    markup = f"regexp_replace(coalesce(html, ''), {_lit(MARKUP_RUN)}, {_lit(chr(10))})"
-    decoded = markup
-    for k, v in ENTITIES:
+    decoded = "coalesce(html, '')"
+    for pattern, to in MARKUP_STEPS:
+        decoded = f"regexp_replace({decoded}, {_lit(pattern)}, {_lit(to)})"
+    # the common references only; functions.html.decode_entities has all
+    for k, v in COMMON_REFERENCES:
         decoded = f"replace({decoded}, {_lit(k)}, {_lit(v)})"
     nl = _lit(chr(10))
     page_text = _strip(

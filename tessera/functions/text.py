@@ -54,23 +54,6 @@ def chunk_count(n_chars: Column, chunk: int, overlap: int) -> Column:
     )
 
 
-def chunk_starts(n_chars: Column, chunk: int, overlap: int) -> Column:
-    """0-based window indexes as an array; explode/posexplode it.
-
-    The window ``i`` starts at character ``i * max(chunk - overlap, 1)`` and
-    is ``chunk`` characters long; the last window is the first one that
-    reaches the end of the text.
-    """
-    validate_chunking(chunk, overlap)
-    n = chunk_count(n_chars, chunk, overlap)
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(
-        F.array().cast("array<int>"))
-
-
-def chunk_substring(text: Column, index: Column, chunk: int, overlap: int) -> Column:
-    """The text of window ``index`` (code-point based substring)."""
-    step = max(chunk - overlap, 1)
-    return F.substr(text, index * F.lit(step) + F.lit(1), F.lit(chunk))
 
 
 def validate_chunking(chunk: int, overlap: int) -> None:
