@@ -64,16 +64,21 @@ def _final_topk(cands: DataFrame, query_id: str, cand_id: str, k: int,
             .where(F.col("rank") <= k))
 
 
-def _batch_topk(S: np.ndarray, k: int, margin: float = 0.0):
+def _rounding_margin(digits: int) -> float:
+    """Values that round alike differ by less than one unit of the last digit."""
+    return 1.01 * 10.0 ** (-digits)
+
+
+def _batch_topk(S: np.ndarray, k: int, margin: float = 0.0, least: float = 0.0):
     """Row/column indexes of every entry within the top-k of its column
-    (ties and anything within ``margin`` of the k-th value kept), positives
-    only."""
+    (ties and anything within ``margin`` of the k-th value kept) above
+    ``least``: 0 where only shared terms count, -inf for dense vectors."""
     B = S.shape[0]
     if B > k:
         thr = np.partition(S, B - k, axis=0)[B - k]
-        mask = (S >= (thr - margin)[None, :]) & (S > 0)
+        mask = (S >= (thr - margin)[None, :]) & (S > least)
     else:
-        mask = S > 0
+        mask = S > least
     return np.nonzero(mask)
 
 
@@ -226,7 +231,7 @@ def topk_dense(queries: DataFrame, candidates: DataFrame, k: int, *,
                                      .add("rank", T.IntegerType()))
     d = int(first[0][0])
     per_block = max(1, budget // (8 * d))
-    margin = 0.5 * 10.0 ** (-score_digits)
+    margin = _rounding_margin(score_digits)
     cands = candidates.select(cand_id, vec)
     parts = []
     head = q.limit(per_block + 1).collect()        # bounded size check
@@ -255,7 +260,7 @@ def topk_dense(queries: DataFrame, candidates: DataFrame, k: int, *,
                     ids = part[cand_id].to_numpy()
                     if exclude_self:
                         S[ids[:, None] == qid_arr[None, :]] = -np.inf
-                    r, cidx = _batch_topk(S, k, margin)
+                    r, cidx = _batch_topk(S, k, margin, -np.inf)
                     if len(r):
                         yield pd.DataFrame({query_id: qid_arr[cidx], cand_id: ids[r],
                                             "raw": S[r, cidx]})
@@ -342,7 +347,7 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
              .withColumn("q_salt", F.explode(F.sequence(F.lit(0), (nq - 1).cast("int")))))
     probes = (probes.withColumn("q_salt", F.pmod(F.xxhash64(query_id), nq).cast("int"))
               .withColumn("c_salt", F.explode(F.sequence(F.lit(0), (nc - 1).cast("int")))))
-    margin = 0.5 * 10.0 ** (-score_digits)
+    margin = _rounding_margin(score_digits)
     qtype = queries.schema[query_id].dataType
     out_schema = T.StructType([
         T.StructField(query_id, qtype), assigned.schema[cand_id],
@@ -362,7 +367,7 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
             S = C @ Q.T
             if exclude_self:
                 S[cids[:, None] == qids[None, :]] = -np.inf
-            r, c = _batch_topk(S, k, margin)
+            r, c = _batch_topk(S, k, margin, -np.inf)
             outs.append((qids[c], cids[r], S[r, c]))
         # one frame from concatenated arrays (see scoped_topk)
         return pd.DataFrame({query_id: np.concatenate([o[0] for o in outs]),

@@ -156,7 +156,7 @@ def _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b, n_docs, av
     import pandas as pd
     from pyspark.sql import types as T
 
-    from .knn import _batch_topk, _final_topk
+    from .knn import _batch_topk, _final_topk, _rounding_margin
 
     spark = tc.sparkSession
     terms = sorted({r["term"] for r in qrows})
@@ -178,7 +178,7 @@ def _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b, n_docs, av
     bc = spark.sparkContext.broadcast((terms, idf, Qm, np.asarray(qids, dtype=object), sites))
     host_col = site_cols[1] if site_cols else None
     sub = max(1, (4 << 20) // max(V, len(qids), 1))
-    margin = 0.5 * 10.0 ** (-SCORE_DIGITS)
+    margin = _rounding_margin(SCORE_DIGITS)
     out_schema = T.StructType([T.StructField(query_id, qtype), tc.schema[doc_id],
                                T.StructField("raw", T.DoubleType())])
 
