@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..functions.embed import _let
 from pyspark.sql import types as T
 
 from .prefix import running_last, running_sum
@@ -44,7 +46,6 @@ HOOK_MESSAGES = (
     ("after_tool", "Tool response"),
 )
 POLICY_MESSAGE = "Policy violation detected"
-REDACTION_MESSAGE = "PII redacted"
 UNKNOWN_STATUS = "unknown"
 REQUESTED = "requested"
 # ----------------------------------------------------------------------------
@@ -155,7 +156,7 @@ def tool_summary(events: DataFrame, rows: bool = False) -> DataFrame:
     resp = ev.where(F.col("hook") == "after_tool").select(
         "invocation_id", F.col("seq").alias("resp_seq"), F.col("call_id").alias("resp_call_id"),
         "_last_call",
-        F.when(F.lower(F.col("tool_status")) == "error", "error").otherwise("ok").alias("status"))
+        F.when(F.col("tool_status") == "error", "error").otherwise("ok").alias("status"))
     by_id = calls.where(F.col("call_id").isNotNull()).select(
         "invocation_id", F.col("call_id").alias("resp_call_id"), F.col("call_seq").alias("_id_seq"))
     resp = (resp.join(by_id, ["invocation_id", "resp_call_id"], "left")
@@ -244,9 +245,14 @@ def tools_from_events(arr) -> tuple:
     STRUCT<seq, hook, name, call_id, status> sorted by seq -- the same rule
     as :func:`tool_summary`, evaluated per turn (used by the stream, where
     the turn's events are aggregated anyway). Returns (summary, errors)."""
-    calls = F.filter(arr, lambda e: e["hook"] == "before_tool")
-    resps = F.filter(arr, lambda e: e["hook"] == "after_tool")
+    # every intermediate array is bound once; inlined, it would be built again
+    # for each element of the next
+    return _let(F.filter(arr, lambda e: e["hook"] == "before_tool"), lambda calls: _let(
+        F.filter(arr, lambda e: e["hook"] == "after_tool"),
+        lambda resps: _resolved_calls(calls, resps)))
+
 
+def _resolved_calls(calls, resps):
     def target(r):
         by_id = F.get(F.filter(calls, lambda c: c["call_id"].isNotNull()
                                & (c["call_id"] == r["call_id"])), 0)["seq"]
@@ -257,13 +263,16 @@ def tools_from_events(arr) -> tuple:
     resolved = F.transform(resps, lambda r: F.struct(target(r).alias("t"), r["seq"].alias("s"),
                                                      r["status"].alias("status")))
 
-    def status_of(c):
-        mine = F.filter(resolved, lambda x: x["t"] == c["seq"])
-        return F.coalesce(F.get(mine, F.size(mine) - 1)["status"], F.lit(REQUESTED))
+    def summary(resolved):
+        # the latest response of each call wins
+        last = F.map_from_entries(F.transform(
+            F.array_distinct(F.transform(resolved, lambda x: x["t"])),
+            lambda t: F.struct(t, F.element_at(F.filter(resolved, lambda x: x["t"] == t), -1)["status"])))
+        return _let(last, lambda m: F.transform(calls, lambda c: F.struct(
+            F.coalesce(c["name"], F.lit("")).alias("name"),
+            F.coalesce(F.try_element_at(m, c["seq"]), F.lit(REQUESTED)).alias("status"))))
 
-    summary = F.transform(calls, lambda c: F.struct(F.coalesce(c["name"], F.lit("")).alias("name"),
-                                                    status_of(c).alias("status")))
-    return summary
+    return _let(F.filter(resolved, lambda x: x["t"].isNotNull()), summary)
 
 
 def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
@@ -277,7 +286,10 @@ def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
     # One shuffle: every aggregate is insensitive to an exact re-delivered
     # copy of an event (max_by/min_by/bool_or), except the tool counts,
     # which come from the de-duplicated set of the turn's tool events.
-    agg = ev.groupBy("invocation_id").agg(
+    # An event without invocation id is a turn of its own (one error row each).
+    orphan = F.when(F.col("invocation_id").isNull(),
+                    F.xxhash64("session_id", "seq", "event_id", "hook", "user_id", "text"))
+    agg = ev.groupBy("invocation_id", orphan.alias("_orphan")).agg(
         *turn_aggregates(),
         (F.collect_set(_tool_event()) if dedupe else F.collect_list(_tool_event())).alias("_tools"))
     agg = (agg.withColumn("_tools", F.array_sort("_tools"))
@@ -291,7 +303,7 @@ def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
 def _tool_event():
     return F.when(F.col("hook").isin("before_tool", "after_tool"), F.struct(
         F.col("seq"), F.col("hook"), F.col("tool_name").alias("name"), F.col("call_id"),
-        F.when(F.lower(F.col("tool_status")) == "error", "error").otherwise("ok").alias("status"),
+        F.when(F.col("tool_status") == "error", "error").otherwise("ok").alias("status"),
         F.col("event_id")))
 
 

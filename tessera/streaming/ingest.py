@@ -32,7 +32,7 @@ def file_stream(spark: SparkSession, root: str,
 
 
 def start_ingest_stream(spark: SparkSession, root: str, prefix: str, mapping_store: str,
-                        checkpoint: str | None = None, trigger_once: bool = True,
+                        checkpoint: str, trigger_once: bool = True,
                         prune_stale: bool = False, partitioned: bool = False):
     """Start the stream; returns the StreamingQuery. Text objects only
     (PDFs need an extractor and go through the batch ingest). With
@@ -53,6 +53,6 @@ def start_ingest_stream(spark: SparkSession, root: str, prefix: str, mapping_sto
         save_mapping(merged, mapping_store)
 
     w = (files.writeStream.foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint or staging_path(spark, "ingest-stream")))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()

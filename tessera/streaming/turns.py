@@ -19,13 +19,17 @@ from ..operators.governance import (_tool_event, annotate, finish_turns, tools_f
                                     turn_aggregates)
 
 
-def stream_turns(events: DataFrame, watermark: str = "10 minutes", gap: str = "5 minutes",
+def stream_turns(events: DataFrame, watermark: str = "10 minutes", gap: str = "30 minutes",
                  redaction_rules=DEFAULT_RULES, guardrail_rules=GUARDRAIL_RULES,
                  classifier=None) -> DataFrame:
     """Streaming (or batch) DataFrame of final turn rows; ``events`` must
     have an event-time ``ts`` (TIMESTAMP) and ``event_id``."""
     ev = annotate(events, redaction_rules, guardrail_rules, classifier)
-    ev = ev.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    ev = ev.withWatermark("ts", watermark).withColumn(
+        # ids are unique within an invocation only; an event without one is
+        # known by its place
+        "_event", F.coalesce("event_id", F.concat_ws("~", F.lit(""), "hook", "seq", "ts"))) \
+        .dropDuplicatesWithinWatermark(["invocation_id", "_event"])
     tool_ev = _tool_event()
     agg = ev.groupBy(F.session_window("ts", gap).alias("window"), "invocation_id").agg(
         *turn_aggregates(), F.collect_list(tool_ev).alias("_tools"))
@@ -37,13 +41,11 @@ def stream_turns(events: DataFrame, watermark: str = "10 minutes", gap: str = "5
                                    F.col("window.end").alias("window_end")))
 
 
-def start_turn_log(events: DataFrame, path: str, checkpoint: str | None = None, **kw):
+def start_turn_log(events: DataFrame, path: str, checkpoint: str, **kw):
     """S11 as a stream: governed turn rows appended as JSON log lines
     ``(severity, message, custom)`` partitioned by date, one file set per
-    micro-batch; the checkpoint lives under the shared checkpoint folder
-    unless given. Returns the StreamingQuery."""
+    micro-batch; ``checkpoint`` must be the same at every start. Returns the StreamingQuery."""
     from ..operators.governance import log_rows
-    from ..session import staging_path
     turns = stream_turns(events, **kw)
     custom = F.struct("invocation_id", "agent_name", "user_id", "session_id", "request",
                       "response", "token_usage", "eval_tags", "tools_summary")
@@ -51,11 +53,11 @@ def start_turn_log(events: DataFrame, path: str, checkpoint: str | None = None,
     return (rows.withColumn("date", F.to_date("window_end")).drop("window_end")
             .writeStream.format("json").partitionBy("date").outputMode("append")
             .option("path", path)
-            .option("checkpointLocation", checkpoint or staging_path(events.sparkSession, "turn-log"))
+            .option("checkpointLocation", checkpoint)
             .start())
 
 
-def start_turns_at_end_hook(events: DataFrame, path: str, checkpoint: str | None = None,
+def start_turns_at_end_hook(events: DataFrame, path: str, checkpoint: str,
                             watermark: str = "10 minutes", timeout_ms: int = 30 * 60 * 1000,
                             **kw):
     """R1 with the reference's timing: a turn row is written in the
@@ -74,7 +76,6 @@ def start_turns_at_end_hook(events: DataFrame, path: str, checkpoint: str | None
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from ..operators.governance import EVENT_COLUMNS, assemble_turns, conform_events
-    from ..session import staging_path
 
     ev = conform_events(events).withWatermark("ts", watermark)
     packed = ev.select("invocation_id", "hook", "ts",      # ts carries the watermark
@@ -110,5 +111,5 @@ def start_turns_at_end_hook(events: DataFrame, path: str, checkpoint: str | None
         assemble_turns(rows, **kw).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (released.writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint or staging_path(events.sparkSession, "turns-end"))
+            .option("checkpointLocation", checkpoint)
             .start())
