@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import DEFAULT_DIM, dense_vector, with_sparse_tf
 from ..functions.text import DEFAULT_CHUNK_CHARS, DEFAULT_CHUNK_OVERLAP, clean_text
 from ..sources.files import decode_text, extract_pages, pages_to_text, read_corpus
-from ..sources.mapping import load_mapping, save_mapping, upsert_partitioned
+from ..sources.mapping import load_mapping, save_datapoints, save_mapping, upsert_partitioned
 from .chunking import chunk_table
 from .upsert import datapoints, merge
 
@@ -73,8 +73,8 @@ def run_ingest(spark: SparkSession, texts: DataFrame, prefix: str, mapping_store
     """Ingest and persist. The merged mapping becomes the next version of
     ``mapping_store``, or, with ``partitioned=True``, is upserted into a
     partitioned store rewriting only the partitions of the ingested
-    objects. Datapoints are appended to ``datapoint_path`` (an external index
-    plugs in through :func:`upsert.upsert_batches`). No objects or no chunks
+    objects. Datapoints are merged by id into ``datapoint_path`` (an external
+    index plugs in through :func:`upsert.upsert_batches`). No objects or no chunks
     -> nothing is written."""
     chunk_kw = {k: v for k, v in kw.items() if k in ("chunk", "overlap")}
     dim = kw.get("dim", DEFAULT_DIM)
@@ -100,5 +100,5 @@ def run_ingest(spark: SparkSession, texts: DataFrame, prefix: str, mapping_store
         vecs = with_sparse_tf(chunks, "text", dim)
         vecs = vecs.withColumn("feature_vector", dense_vector(
             F.col("buckets"), F.col("tfs"), F.col("ss"), dim))
-        datapoints(vecs).write.mode("append").parquet(datapoint_path)
+        save_datapoints(datapoints(vecs), datapoint_path)
     return {**summary, "written": path}

@@ -80,7 +80,8 @@ def ensure_defaults(spark: SparkSession) -> None:
             continue
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if not spark.sparkContext.getConf().contains("spark.sql.session.timeZone"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -92,6 +93,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if not sc.getCheckpointDir():

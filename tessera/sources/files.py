@@ -24,6 +24,12 @@ def _ext_pattern(exts) -> str:
     return "(" + "|".join(re.escape(e.lower()) for e in exts) + ")$"
 
 
+def _ext_glob(exts) -> str:
+    """File-name glob of the extensions in either case."""
+    either = ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in exts)
+    return "*{" + ",".join(either) + "}"
+
+
 def with_extensions(df: DataFrame, uri_col: str = "uri",
                     exts: tuple[str, ...] = DEFAULT_EXTENSIONS) -> DataFrame:
     """rows whose lower-cased uri ends with one of ``exts`` (the uri
@@ -45,9 +51,9 @@ def list_files(spark: SparkSession, root: str,
 def read_corpus(spark: SparkSession, root: str,
                 exts: tuple[str, ...] = DEFAULT_EXTENSIONS) -> DataFrame:
     """(uri, content, length, modified) of the matching files below
-    ``root``: one distributed scan, filtered on the path column."""
+    ``root``: one distributed scan; other files are not opened."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .load(root))
+          .option("pathGlobFilter", _ext_glob(exts)).load(root))
     return (df.where(F.lower("path").rlike(_ext_pattern(exts)))
             .select(F.col("path").alias("uri"), "content", "length",
                     F.col("modificationTime").alias("modified")))
@@ -64,7 +70,7 @@ def read_text_files(spark: SparkSession, root: str,
                     exts: tuple[str, ...] = (".txt",)) -> DataFrame:
     """(uri, text) of the text files below ``root``, decoded in the scan."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .load(root))
+          .option("pathGlobFilter", _ext_glob(exts)).load(root))
     return (df.where(F.lower("path").rlike(_ext_pattern(exts)))
             .select(F.col("path").alias("uri"), decode_text(F.col("content")).alias("text")))
 

@@ -27,8 +27,9 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, base: str) -> list[str]:
-    """Committed version folders of a store, oldest first."""
+def versions(spark: SparkSession, base: str, complete: bool = True) -> list[str]:
+    """Version folders of a store, oldest first; only committed ones unless
+    ``complete`` is off."""
     fs, p, jvm = _fs(spark, base)
     if not fs.exists(p):
         return []
@@ -36,7 +37,7 @@ def versions(spark: SparkSession, base: str) -> list[str]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("v") and name[1:].isdigit():
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            if not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
                 out.append(name)
     return sorted(out)
 
@@ -53,8 +54,8 @@ def load_mapping(spark: SparkSession, base: str) -> DataFrame:
 def save_mapping(df: DataFrame, base: str) -> str:
     """Write ``df`` as the next version; returns its path."""
     spark = df.sparkSession
-    vs = versions(spark, base)
-    nxt = int(vs[-1][1:]) + 1 if vs else 1
+    # past any folder, also one a crashed write has left
+    nxt = max((int(v[1:]) for v in versions(spark, base, complete=False)), default=0) + 1
     path = f"{base.rstrip('/')}/v{nxt:06d}"
     (df.select([f.name for f in MAPPING_SCHEMA.fields])
      .write.mode("errorifexists").parquet(path))
@@ -97,6 +98,12 @@ def upsert_partitioned(new: DataFrame, base: str, n_parts: int = 256,
     cols = [f.name for f in MAPPING_SCHEMA.fields]
     part = F.pmod(F.xxhash64("source"), F.lit(n_parts)).cast("int")
     new_p = new.select(*cols).withColumn("part", part)
+    if _exists(spark, base):
+        # a store dealt over another number of partitions shows in any row
+        odd = spark.read.schema(PARTITIONED_SCHEMA).parquet(base).select("source", "part") \
+            .limit(100).where(F.col("part") != part)
+        if not odd.isEmpty():
+            raise ValueError(f"{base} was written with another n_parts than {n_parts}")
     touched = sorted(r["part"] for r in new_p.select("part").distinct().collect())  # <= n_parts
     if _exists(spark, base):
         old = (spark.read.schema(PARTITIONED_SCHEMA).parquet(base)
@@ -117,6 +124,22 @@ def upsert_partitioned(new: DataFrame, base: str, n_parts: int = 256,
     return touched
 
 
+def save_datapoints(new: DataFrame, path: str, key: str = "datapoint_id") -> None:
+    """Insert or replace datapoints by id: the rows of ``new`` (one of each id)
+    take the place of stored ones. Staged, since a table that is read cannot
+    be overwritten by the same job."""
+    from ..operators.upsert import merge
+    from ..session import staging_path
+
+    spark = new.sparkSession
+    new = new.dropDuplicates([key])
+    if _exists(spark, path):
+        new = merge(spark.read.parquet(path), new, key=key)
+    stage = staging_path(spark, "datapoints")
+    new.write.parquet(stage)
+    spark.read.parquet(stage).write.mode("overwrite").parquet(path)
+
+
 def load_partitioned(spark: SparkSession, base: str) -> DataFrame:
     """The partitioned mapping table (empty if absent)."""
     if not _exists(spark, base):
