@@ -31,8 +31,13 @@ linked iff |x ^ y| <= c (|x| + |y|), and |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D
 x is not linked with hub h iff |D(x)| > c (|x| + |h|). Hence a linked pair shares
 more than (|D(y)| + c (|h| - |y|)) / 2 elements of D(y), and at least
 (|D(x)| - c (|x| + |h|)) / (1 + c) of D(x). Under any common order of elements,
-two sets sharing o elements share one among the first |D| - o + 1 of each. The
-order puts elements outside the hub first, the rare ones in a family.
+two sets sharing o elements share one among the first |D| - o + 1 of each, and
+the first one they share leaves at least o - 1 elements after it in both: members
+that meet on an element with fewer after it are no pair. The order puts elements
+outside the hub first, the rare ones in a family, so that chance meetings on
+removed elements, which come last, fail this test. A bit map of D (``MAP`` x 64
+buckets) also travels along: an element of D(x) in a bucket that D(y) leaves empty
+is not shared, which bounds the shared elements from above.
 
 Defined cases: a text without words (null, empty, blank) has the empty set, is
 linked with nothing and is its own component; fewer words than ``words`` make
@@ -56,6 +61,7 @@ from .base import Words, mix, rows_chosen, slices, staged
 BANDS, ROWS = 30, 5
 BATCH = 10                   # signature positions compared at a time
 MISS = 1e-6                  # chance of dropping a pair at the threshold
+MAP = 8                      # words of the bit map of a difference
 _PERMS = BANDS * ROWS
 
 
@@ -230,17 +236,21 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select(*pairs.columns, "ia", "ib")
 
 
+_MAPS = [f"m{k}" for k in range(MAP)]
+
+
 def _difference_prefixes(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]):
-    """For pairs (a member, b hub, apart): rows (hub, element, node, apart,
-    far) of step 4. ``far`` rows are the long prefix of members not linked
-    with the hub, the others the short prefix every member gives."""
+    """For pairs (a member, b hub, apart): rows (hub, item, node, far, at, size,
+    own) of step 4: an element of D, its place there, |D| and |a|. ``far`` rows
+    are the long prefix of members not linked with the hub, the others the
+    short prefix every member gives."""
     num, den = threshold
     c = (den - num) / (den + num)
     both = _with_sets(pairs, sets)
 
     def run(batches):
         for x in slices(batches, "ia", 2 << 20):
-            hub, item, node, apart, far = [], [], [], [], []
+            hub, item, node, far, at, size, own, maps = [], [], [], [], [], [], [], []
             cols = (x.column(k).to_pylist() for k in ("a", "b", "apart", "ia", "ib"))
             for a, b, ap, ia, ib in zip(*cols):
                 p, q = _items(ia), _items(ib)
@@ -257,13 +267,22 @@ def _difference_prefixes(pairs: DataFrame, sets: DataFrame, threshold: tuple[int
                     item.append(d[:take])
                     node += [a] * take
                     far += [is_far] * take
+                    at += range(take)
+                    size += [len(d)] * take
+                    own += [len(p)] * take
+                    bits = np.zeros(64 * MAP, np.uint8)
+                    bits[(d * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)] = 1
+                    maps.append(np.repeat(np.packbits(bits).view(np.int64)[None], take, 0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hub, pa.binary()),
                  pa.array(np.concatenate([*item, np.zeros(0, np.uint64)]).view(np.int64)),
-                 pa.array(node, pa.binary()), pa.array(far, pa.bool_())],
-                ["hub", "item", "node", "far"])
+                 pa.array(node, pa.binary()), pa.array(far, pa.bool_()), pa.array(at, pa.int32()),
+                 pa.array(size, pa.int32()), pa.array(own, pa.int32()),
+                 *(pa.array(m) for m in np.concatenate([*maps, np.zeros((0, MAP), np.int64)]).T)],
+                ["hub", "item", "node", "far", "at", "size", "own", *_MAPS])
 
-    return both.mapInArrow(run, "hub binary, item long, node binary, far boolean")
+    return both.mapInArrow(run, "hub binary, item long, node binary, far boolean, at int, "
+                           "size int, own int, " + ", ".join(f"{m} long" for m in _MAPS))
 
 
 # --- components -------------------------------------------------------------------
@@ -372,11 +391,16 @@ def _grouped(docs: DataFrame, words: int, threshold: tuple[int, int], id_col: st
         F.min("label_of").alias("lo"), F.max("label_of").alias("hi"), F.max("far").alias("f")) \
         .where("lo <> hi AND f").select("hub", "item")
     marks = staged(marks.join(met, ["hub", "item"], "left_semi"), "minhash-meeting")
-    far = marks.where("far").select("hub", "item", F.col("node").alias("x"),
-                                    F.col("label_of").alias("lx"))
-    near = marks.where("NOT far").select("hub", "item", F.col("node").alias("y"),
-                                         F.col("label_of").alias("ly"))
-    more = staged(far.join(near, ["hub", "item"]).where("lx <> ly").select(
+    far, near = (marks.where(F.col("far") == side).select(
+        "hub", "item", F.col("node").alias(n), F.col("label_of").alias("l" + n),
+        (F.col("size") - F.col("at")).alias("after" + n), F.col("size").alias("size" + n),
+        F.col("own").alias("own" + n), *(F.col(m).alias(m + n) for m in _MAPS)) for side, n in ((True, "x"), (False, "y")))
+    c = (threshold[1] - threshold[0]) / (threshold[1] + threshold[0])
+    need = f"(sizex + sizey - {c!r} * (ownx + owny) - 1e-6)"        # twice the shared elements
+    only_x = " + ".join(f"bit_count({m}x & ~{m}y)" for m in _MAPS)
+    only_y = " + ".join(f"bit_count({m}y & ~{m}x)" for m in _MAPS)
+    more = staged(far.join(near, ["hub", "item"]).where("lx <> ly").where(
+        f"2 * least(afterx, aftery, sizex - ({only_x}), sizey - ({only_y})) >= {need}").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
         "minhash-pairs")
     alive = _pruned(more, nodes, t).where("alive").select("a", "b")
