@@ -82,6 +82,31 @@ def _batch_topk(S: np.ndarray, k: int, margin: float = 0.0, least: float = 0.0):
     return np.nonzero(mask)
 
 
+def _running_topk(frames, query_id: str, score: str, k: int, margin: float = 0.0):
+    """One frame per partition: the rows of ``frames`` within the top-k of
+    their query (ties and ``margin`` kept), pruned as they come, so neither
+    memory nor output grows with the number of batches."""
+    held, rows, kept = [], 0, 0
+
+    def prune():
+        df = pd.concat(held, ignore_index=True)
+        s = df[score].to_numpy()
+        q = pd.factorize(df[query_id], use_na_sentinel=False)[0]
+        order = np.lexsort((-s, q))
+        first = np.searchsorted(q[order], np.arange(q.max() + 2))
+        kth = s[order][first[:-1] + np.minimum(k, np.diff(first)) - 1]
+        return df[s >= kth[q] - margin]
+
+    for f in frames:
+        held.append(f)
+        rows += len(f)
+        if rows > 2 * kept + 50_000:
+            held = [prune()]
+            rows = kept = len(held[0])
+    if rows:
+        yield prune()
+
+
 # ---------------------------------------------------------------------------
 # sparse integer vectors (hashed term counts)
 # ---------------------------------------------------------------------------
@@ -130,7 +155,7 @@ def topk_sparse(queries: DataFrame, candidates: DataFrame, k: int, dim: int, *,
 
 
 def _sparse_scored(q, c, k, dim, query_id, cand_id, carry, rows):
-    """Per-batch top-k candidates of the (collected, bounded) query rows."""
+    """Per-partition top-k candidates of the (collected, bounded) query rows."""
     spark = q.sparkSession
     qfield = q.schema[query_id]
     out_schema = T.StructType(
@@ -175,7 +200,8 @@ def _sparse_scored(q, c, k, dim, query_id, cand_id, carry, rows):
                     out[x] = part[x].to_numpy()[r]
                 yield pd.DataFrame(out)
 
-    return c.select(cand_id, "buckets", "tfs", "ss", *carry).mapInPandas(score, out_schema)
+    return c.select(cand_id, "buckets", "tfs", "ss", *carry).mapInPandas(
+        lambda batches: _running_topk(score(batches), query_id, "score", k), out_schema)
 
 
 def _sparse_join(q, c, k, query_id, cand_id, carry):
@@ -265,7 +291,9 @@ def topk_dense(queries: DataFrame, candidates: DataFrame, k: int, *,
                         yield pd.DataFrame({query_id: qid_arr[cidx], cand_id: ids[r],
                                             "raw": S[r, cidx]})
 
-        parts.append(cands.mapInPandas(score, out_schema))
+        parts.append(cands.mapInPandas(
+            lambda batches, score=score: _running_topk(score(batches), query_id, "raw", k, margin),
+            out_schema))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

@@ -156,7 +156,7 @@ def _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b, n_docs, av
     import pandas as pd
     from pyspark.sql import types as T
 
-    from .knn import _batch_topk, _final_topk, _rounding_margin
+    from .knn import _batch_topk, _final_topk, _rounding_margin, _running_topk
 
     spark = tc.sparkSession
     terms = sorted({r["term"] for r in qrows})
@@ -218,7 +218,8 @@ def _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b, n_docs, av
     docs_in = tc.select(doc_id, *([host_col] if host_col else []),
                         F.col("_tc.terms").alias("terms"), F.col("_tc.tfs").alias("tfs"),
                         F.col("_tc.dl").alias("dl"))
-    scored = docs_in.mapInPandas(score, out_schema)
+    scored = docs_in.mapInPandas(
+        lambda batches: _running_topk(score(batches), query_id, "raw", k, margin), out_schema)
     top = _final_topk(scored.withColumn("score", F.round("raw", SCORE_DIGITS)),
                       query_id, doc_id, k)
     return top.select(query_id, doc_id, "score", "rank")
