@@ -118,17 +118,19 @@ def session_tail(events: DataFrame, session: str = "session_id", seq: str = "seq
                     F.substr("text", F.lit(1), F.lit(preview_chars)).alias("preview"))
 
 
-def session_time(cols: dict[str, Column]) -> Column:
+def session_time(cols: dict[str, Column | tuple[Column, Column]]) -> Column:
     """T3 timestamp of a session record: the first usable of the known keys,
-    each a number (epoch seconds) or an ISO string ('Z' accepted); none ->
-    epoch 0."""
+    each a number (epoch seconds) or an ISO string ('Z' and the basic date form
+    accepted); none -> epoch 0. A key whose type is known comes as a pair
+    (number, string): digits in a string are then a date, not seconds."""
     parts = []
     for k in SESSION_TIME_KEYS:
         if k in cols:
-            v = cols[k]
-            as_num = v.try_cast("double")
-            as_iso = F.unix_micros(F.try_to_timestamp(
-                F.regexp_replace(v.cast("string"), "Z$", "+00:00"))) / F.lit(1e6)
+            num, text = cols[k] if isinstance(cols[k], tuple) else (cols[k], cols[k])
+            as_num = num.try_cast("double")
+            iso = F.regexp_replace(text.cast("string"), "Z$", "+00:00")
+            iso = F.regexp_replace(iso, "^([0-9]{4})([0-9]{2})([0-9]{2})(?=T|$)", "$1-$2-$3")
+            as_iso = F.unix_micros(F.try_to_timestamp(iso)) / F.lit(1e6)
             parts.append(F.coalesce(as_num, as_iso))
     return F.coalesce(*parts, F.lit(0.0))
 

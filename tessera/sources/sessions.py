@@ -29,8 +29,14 @@ def normalize_sessions(raw: DataFrame, payload: str = "payload",
     def field(name):
         return F.try_variant_get(F.col("s"), f"$.{name}", "string")
 
+    def typed(name):
+        """(number, string) of a field; the one its JSON type is not is null."""
+        is_text = F.schema_of_variant(F.try_variant_get(F.col("s"), f"$.{name}", "variant")) == "STRING"
+        return (F.when(~is_text, F.try_variant_get(F.col("s"), f"$.{name}", "double")),
+                F.when(is_text, field(name)))
+
     sid = F.coalesce(F.nullif(field("session_id"), F.lit("")), F.nullif(field("id"), F.lit("")))
-    ts = session_time({k: field(k) for k in SESSION_TIME_KEYS})
+    ts = session_time({k: typed(k) for k in SESSION_TIME_KEYS})
     return (s.select(*keep, sid.alias("session_id"), ts.alias("updated_epoch"),
                      F.to_json(F.col("s")).alias("record"))
             .where(F.col("session_id").isNotNull()))

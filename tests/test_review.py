@@ -106,3 +106,31 @@ def test_stores_survive_crashes_and_repeats(spark, scratch):
     mapping.upsert_partitioned(one, f"{scratch}/parts", n_parts=16)
     with pytest.raises(ValueError):
         mapping.upsert_partitioned(one, f"{scratch}/parts")
+
+
+def test_session_times_keep_their_json_type(spark):
+    from tessera.operators.sessions import SESSION_TIME_KEYS
+    from tessera.sources.sessions import normalize_sessions
+    key = SESSION_TIME_KEYS[0]
+    items = [('"20240101"', 1704067200.0), ("1700000000", 1.7e9), ("1700000000.5", 1700000000.5),
+             ('"2024-01-01T00:00:00Z"', 1704067200.0), ("null", 0.0), ('"no time"', 0.0)]
+    payload = "[" + ",".join(f'{{"id": "s{i}", "{key}": {v}}}' for i, (v, _) in enumerate(items)) + "]"
+    got = {r["session_id"]: r["updated_epoch"] for r in normalize_sessions(
+        spark.createDataFrame([(payload,)], "payload string")).collect()}
+    assert got == {f"s{i}": t for i, (_, t) in enumerate(items)}
+
+
+def test_running_topk_keeps_ties_over_many_batches():
+    import numpy as np
+    import pandas as pd
+    from tessera.operators.knn import _running_topk
+    rng = np.random.default_rng(0)
+    frames = [pd.DataFrame({"q": rng.integers(0, 5, 20_000), "c": rng.integers(0, 10 ** 9, 20_000),
+                            "s": rng.integers(-400, 400, 20_000) / 1000}) for _ in range(12)]
+    got = pd.concat(_running_topk(iter(frames), "q", "s", 3))
+    both = pd.concat(frames)
+    for q, rows in both.groupby("q"):
+        kth = rows["s"].nlargest(3).min()
+        want = sorted(rows.loc[rows["s"] >= kth, "c"])
+        assert sorted(got.loc[got["q"] == q, "c"]) == want
+    assert list(_running_topk(iter([]), "q", "s", 3)) == []
