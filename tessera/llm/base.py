@@ -141,6 +141,16 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((run[end] - run[start]) * i[start] + (end - start).astype(np.uint64))
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each run of ``n`` consecutive words, from their hashes."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    f, i = _powers(len(h))
+    run = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * f[:len(h)], out=run[1:])
+    return (run[n:] - run[:-n]) * i[:len(h) - n + 1]
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column: byte spans, the
     first word of each row (``first``, len + 1), A-Z lower-cased. ``kind`` is

@@ -15,13 +15,19 @@
    weight, within a span not much longer than the item. Below ``CLOSE`` it must
    also hold half the weight of the item's answer, its last quarter (items have
    no answer column).
+5. Items with fewer than ``least`` words are no matter of likeness: they are hit
+   where all their words stand in a row, found by hashes of word runs.
+
+A word is a run of letters and digits; in scripts written without spaces
+(Chinese, Japanese, Thai, ...) it is one character.
 
 Benchmark items are the stated query set, taken ``ITEMS`` at a time; each block
 is one scan of the documents, without a shuffle.
 
-Defined cases: null texts and texts without words hit nothing; items with fewer
-than ``least`` words, or null, are never hit (a handful of common words is no
-evidence); repeated items each hit; repeated rows hit alike; a row with a null id
+Defined cases: null texts and texts without words hit nothing; items without
+words, or null, are never hit; an item of one word is hit by every text with that
+word; the cosine is null where an item was found by word runs alone; repeated
+items each hit; repeated rows hit alike; a row with a null id
 is searched and reported with it; empty tables give empty results; other columns
 are kept by ``clean`` and not read by ``hits``.
 """
@@ -36,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LETTER, Words, slices
+from .base import LETTER, Words, run_hashes, slices
 
 TERMS, RANK, COMMON = 4096, 64, 8
 PASSAGE, BLOCK = 128, 8
@@ -44,6 +50,43 @@ ITEMS = 4096
 CLOSE = 0.75
 _WORD = LETTER.copy()
 _WORD[48:58] = True
+#: First and last code points of scripts written without spaces, and of their
+#: punctuation, which parts words as ASCII punctuation does.
+_UNSPACED = [(0x0E01, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF),
+             (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FFF), (0x3005, 0x3007),
+             (0x3021, 0x312F), (0x31A0, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9DF),
+             (0xAA00, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+_GAPS = [(0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20),
+         (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+
+
+def _within(code: np.ndarray, ranges: list) -> np.ndarray:
+    return np.searchsorted([r[0] for r in ranges], code, "right") > \
+        np.searchsorted([r[1] for r in ranges], code, "left")
+
+
+class ItemWords(Words):
+    """Words of letters and digits, and single characters of unspaced scripts."""
+
+    def __init__(self, col: pa.Array):
+        super().__init__(col, _WORD)
+        at = np.flatnonzero(self.data >= 0xE0)
+        if not len(at):
+            return
+        size = np.where(self.data[at] >= 0xF0, 4, 3)
+        b = self.data[np.minimum(at[:, None] + np.arange(4), len(self.data) - 1)].astype(np.int64)
+        low = b & 63
+        code = np.where(size == 3, (b[:, 0] & 15) << 12 | low[:, 1] << 6 | low[:, 2],
+                        (b[:, 0] & 7) << 18 | low[:, 1] << 12 | low[:, 2] << 6 | low[:, 3])
+        gap = _within(code, _GAPS)
+        cut = gap | _within(code, _UNSPACED)
+        # a character stands within the bytes of one word, which it parts
+        at, to = at[cut], (at + size)[cut]
+        start = np.unique(np.concatenate([self.start, at, np.setdiff1d(to, self.end)]))
+        end = np.unique(np.concatenate([self.end, to, np.setdiff1d(at, self.start)]))
+        kept = ~np.isin(start, at[gap[cut]])
+        self.start, self.end = start[kept], end[kept]
+        self.first = np.searchsorted(self.start, self.off)
 
 
 def _terms(h: np.ndarray) -> np.ndarray:
@@ -65,7 +108,7 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def counted(batches):
         total, passages = np.zeros(TERMS, np.int64), 0
         for b in slices(batches, "text"):
-            w = Words(b.column("text"), _WORD)
+            w = ItemWords(b.column("text"))
             start, _ = _blocks(w.first, PASSAGE)
             if len(start):
                 p = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w.start))))
@@ -99,7 +142,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text_col: str = "text",
     def summed(batches):
         scaled, total = omega * idf[:, None], np.zeros((TERMS, wide))
         for b in slices(batches, "text", 1 << 20):
-            w = Words(b.column("text"), _WORD)
+            w = ItemWords(b.column("text"))
             t = _terms(w.hashes())
             start, _ = _blocks(w.first, PASSAGE)
             for lo in range(0, len(start), 256):
@@ -135,6 +178,42 @@ def latent_space(docs: DataFrame, idf: np.ndarray, text_col: str = "text",
 
 # --- search -------------------------------------------------------------------------
 
+class Runs:
+    """Index of runs of words of the items: where does one stand in a text?"""
+
+    def __init__(self, words: list, runs: list[tuple[int, int]]):
+        """``runs``: (item, words of a run); every run of that size is indexed."""
+        self.sizes = []                  # size, filter, hashes, their runs: item, first word
+        for n in sorted({n for _, n in runs}):
+            item = [k for k, m in runs if m == n]
+            h = [run_hashes(words[k], n) for k in item]
+            item = np.repeat(np.array(item), [len(x) for x in h])
+            at = np.concatenate([np.arange(len(x)) for x in h])
+            h = np.concatenate(h)
+            o = np.argsort(h, kind="stable")
+            keys, first = np.unique(h[o], return_index=True)
+            near = np.zeros(1 << int(16 * len(keys)).bit_length(), bool)
+            near[(keys & np.uint64(len(near) - 1)).astype(np.int64)] = True
+            self.sizes.append((n, near, keys, np.append(first, len(o)), item[o], at[o]))
+
+    def found(self, w: Words, h: np.ndarray):
+        """(row, item, first word in the item, size) of the indexed runs in each
+        row, each once."""
+        if not self.sizes or not len(h):
+            return
+        row = w.rows()
+        for n, near, keys, first, item, at in self.sizes:
+            r = run_hashes(h, n)
+            x = np.flatnonzero(near[(r & np.uint64(len(near) - 1)).astype(np.int64)])
+            x = x[x + n <= w.first[row[x] + 1]]
+            k = np.minimum(np.searchsorted(keys, r[x]), len(keys) - 1)
+            same = keys[k] == r[x]
+            both = np.unique(row[x[same]] * len(keys) + k[same])
+            for i, k in zip((both // len(keys)).tolist(), (both % len(keys)).tolist()):
+                for e in range(first[k], first[k + 1]):
+                    yield i, int(item[e]), int(at[e]), n
+
+
 @dataclass
 class Queries:
     """A block of benchmark items against the latent space."""
@@ -144,24 +223,30 @@ class Queries:
     space: np.ndarray
     cosine: float
     share: float
+    least: int
     latent: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.scaled = self.space * self.idf[:, None]
         self.padded = np.concatenate([self.scaled, np.zeros((1, RANK), np.float32)])
-        self.latent = _unit(np.stack([self.scaled[_terms(w)].sum(0) for w in self.words])) \
-            if self.words else np.zeros((0, RANK), np.float32)
-        self.has = np.zeros((len(self.words), TERMS), bool)
-        for k, w in enumerate(self.words):
+        self.runs = Runs(self.words, [(k, len(w)) for k, w in enumerate(self.words)
+                                      if len(w) < self.least])
+        # the items sought in the latent space
+        self.units = [k for k, w in enumerate(self.words) if len(w) >= self.least]
+        words = [self.words[k] for k in self.units]
+        self.latent = _unit(np.stack([self.scaled[_terms(w)].sum(0) for w in words])) \
+            if words else np.zeros((0, RANK), np.float32)
+        self.has = np.zeros((len(words), TERMS), bool)
+        for k, w in enumerate(words):
             self.has[k, _terms(w)] = True
-        self.weight = np.array([self.idf[_terms(w)].sum() for w in self.words])
-        # each item is sought in windows of the width nearest its length
-        size = np.array([len(w) for w in self.words], float)
+        self.weight = np.array([self.idf[_terms(w)].sum() for w in words])
+        # each is sought in windows of the width nearest its length
+        size = np.array([len(w) for w in words], float)
         self.width = 2 ** np.clip(np.round(np.log2(np.maximum(size, 1))), 4, None).astype(int)
 
     def candidates(self, w: Words, t: np.ndarray):
-        """(row, item, first word, end word, cosine) of the windows near an
-        item that hold enough of its idf weight for a hit."""
+        """(row, unit, first word, end word, cosine) of the windows near a
+        unit that hold enough of its idf weight for a hit."""
         start, row = _blocks(w.first, BLOCK)
         if not len(start) or not len(self.latent):
             return
@@ -205,35 +290,44 @@ class Queries:
 
     def confirmed(self, col: pa.Array):
         """(row, item, cosine, lcs, answer) of the confirmed hits, each pair once."""
-        w = Words(col, _WORD)
+        w = ItemWords(col)
         h = w.hashes()
-        best: dict = {}
-        for row, j, lo, hi, c in self.candidates(w, _terms(h)):
-            if (row, j) in best:
-                best[row, j] = (max(best[row, j][0], c), *best[row, j][1:])
+        near: dict = {}
+        held: dict = {}                  # (row, item): words of the item that were found
+        for row, u, lo, hi, c in self.candidates(w, _terms(h)):
+            j = self.units[u]
+            if (row, j) in near:
+                near[row, j] = max(near[row, j], c)
                 continue
             q = self.words[j]
             pad = len(q)
             text = h[max(lo - pad, w.first[row]):min(hi + pad, w.first[row + 1])]
-            if np.isin(q, text).mean() >= self.share and (got := self._confirm(q, text)):
-                best[row, j] = (c, *got)
-        for (row, j), v in sorted(best.items()):
-            yield (row, j, *v)
+            if np.isin(q, text).mean() >= self.share and \
+                    (got := self._confirm(q, text)) is not None:
+                near[row, j], held[row, j] = c, got
+        for row, j, at, n in self.runs.found(w, h):
+            held[row, j] = np.ones(n, bool)
+        for (row, j), got in sorted(held.items(), key=lambda x: x[0]):
+            yield (row, j, near.get((row, j)), float(got.mean()), self._answer(self.words[j], got))
+
+    def _answer(self, q: np.ndarray, held: np.ndarray) -> float:
+        """Share of the weight of the answer that is held."""
+        weight = self.idf[_terms(q)].astype(float)
+        tail = max(len(q) - max(len(q) // 4, 2), 0)
+        return float(weight[tail:][held[tail:]].sum() / weight[tail:].sum())
 
     def _confirm(self, q: np.ndarray, text: np.ndarray):
-        """(lcs share, answer share) if the item is in the text, else None."""
+        """The words of the item held if it is in the text, else None."""
         at = _common_subsequence(q, text, int(1.6 * len(q)) + 4)
         if len(at) < self.share * len(q):
             return None
         weight = self.idf[_terms(q)].astype(float)
-        tail = len(q) - max(len(q) // 4, 2)
         held = np.zeros(len(q), bool)
         held[at] = True
-        answer = weight[tail:][held[tail:]].sum() / weight[tail:].sum()
         share = min(len(at) / len(q), weight[held].sum() / weight.sum())
-        if share < self.share or share < CLOSE and answer < 0.5:
+        if share < self.share or share < CLOSE and self._answer(q, held) < 0.5:
             return None
-        return len(at) / len(q), float(answer)
+        return held
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -274,13 +368,13 @@ def query_blocks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35,
     out, ids, words = [], [], []
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")) \
             .where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
-        h = Words(pa.array([r["t"]]), _WORD).hashes()
-        if len(h) >= least:
+        h = ItemWords(pa.array([r["t"]])).hashes()
+        if len(h):
             ids.append(r["i"]), words.append(h)
         if len(ids) == ITEMS:
-            out.append(Queries(ids, words, idf, space, cosine, share))
+            out.append(Queries(ids, words, idf, space, cosine, share, least))
             ids, words = [], []
-    return [*out, Queries(ids, words, idf, space, cosine, share)] if ids or not out else out
+    return [*out, Queries(ids, words, idf, space, cosine, share, least)] if ids or not out else out
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

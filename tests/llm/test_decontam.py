@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 
 import corpus_pipeline
 from tessera.llm import decontam, queries
@@ -92,6 +93,38 @@ def test_items_in_blocks_and_odd_rows(spark, monkeypatch):
         {d for d, _ in docs + odd} - {d for d, _ in set(got)}
 
 
+def test_short_items_and_unspaced_scripts(spark):
+    docs, items, truth = _corpus(3)
+    han = "\u6c34\u5728\u4e00\u4e2a\u5927\u6c14\u538b\u4e0b\u7684\u6cb8\u70b9\u662f\u591a\u5c11\u6444\u6c0f\u5ea6"
+    thai = "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e"
+    short = [(50, "Who wrote Faust?"), (51, "zebra"), (52, "seven words of an item stand here"),
+             (53, han + "\uff1f"), (54, thai), (55, han[:3]), (56, "?!"), (57, "na\u00efve caf\u00e9")]
+    more = [(900, "he asked: who  WROTE\nfaust and left"), (901, "who never wrote faust"),
+            (902, "a Zebra, that is"), (903, "zebras"), (904, "so seven words of an item stand here too"),
+            (905, "seven words of an item stand"), (906, "\u8bf7\u95ee\uff1a" + han + "\u3002\u7b54"),
+            (907, "abc" + thai + "def"), (908, thai[:-1]), (909, "the na\u00efve caf\u00e9s"),
+            (910, "the na\u00efve caf\u00e9"), (911, "who wrote"), (912, "faust who wrote faust")]
+    bench = spark.createDataFrame(items + short, "item_id long, text string")
+    frame = odd_docs(spark, docs + more)
+    got = decontam.hits(frame, bench).collect()
+    wanted = {(900, 50), (902, 51), (904, 52), (906, 53), (906, 55), (907, 54), (910, 57), (912, 50)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == truth | wanted
+    assert all(r["lcs"] == 1 and r["answer"] == 1 for r in got if r["doc_id"] >= 900)
+    only = spark.createDataFrame(short[:2], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.clean(frame, only).collect()} == \
+        {d for d, _ in docs + more} - {900, 902, 912}
+
+
+def test_words_of_unspaced_scripts():
+    texts = ["ab\u4e2d\u6587cd \u00e9\u00e8 x\u3002y", None, "", "\U00020000\U00020001z \ud55c\uad6d", "\u0e01\u0e23"]
+    w = decontam.ItemWords(pa.array(texts, pa.string()))
+    raw = w.data.tobytes()
+    got = [[raw[s:e].decode() for s, e in zip(w.start[a:b], w.end[a:b])]
+           for a, b in zip(w.first, w.first[1:])]
+    assert got == [["ab", "\u4e2d", "\u6587", "cd", "\u00e9\u00e8", "x", "y"], [], [],
+                   ["\U00020000", "\U00020001", "z", "\ud55c\uad6d"], ["\u0e01", "\u0e23"]]
+
+
 def test_empty_tables(spark):
     docs, items, _ = _corpus()
     bench = spark.createDataFrame(items, "item_id long, text string")
