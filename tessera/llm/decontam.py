@@ -14,9 +14,12 @@
    subsequence: it must hold ``share`` of the item's words and of their idf
    weight, within a span not much longer than the item. Below ``CLOSE`` it must
    also hold half the weight of the item's answer, its last quarter (items have
-   no answer column).
-5. Items with fewer than ``least`` words are no matter of likeness: they are hit
-   where all their words stand in a row, found by hashes of word runs.
+   no answer column). Items longer than ``PASSAGE`` are also sought by their
+   passages of that length, half a passage apart; one confirmed by ``CLOSE`` of
+   its words and weight is a hit.
+5. Verbatim parts are no matter of likeness: an item is hit by every text that
+   holds ``RUN`` of its words in a row, or all of them if it has fewer, found by
+   hashes of word runs. Items with fewer than ``least`` words are hit by that alone.
 
 A word is a run of letters and digits; in scripts written without spaces
 (Chinese, Japanese, Thai, ...) it is one character.
@@ -26,8 +29,9 @@ is one scan of the documents, without a shuffle.
 
 Defined cases: null texts and texts without words hit nothing; items without
 words, or null, are never hit; an item of one word is hit by every text with that
-word; the cosine is null where an item was found by word runs alone; repeated
-items each hit; repeated rows hit alike; a row with a null id
+word; the cosine is null where an item was found by word runs alone; ``lcs`` and
+``answer`` are those of the item's common subsequence, or of the words in common
+runs and passages if the item as a whole is not confirmed; repeated items each hit; repeated rows hit alike; a row with a null id
 is searched and reported with it; empty tables give empty results; other columns
 are kept by ``clean`` and not read by ``hits``.
 """
@@ -48,6 +52,7 @@ TERMS, RANK, COMMON = 4096, 64, 8
 PASSAGE, BLOCK = 128, 8
 ITEMS = 4096
 CLOSE = 0.75
+RUN = 13                         # words in a row that are a copy by themselves
 _WORD = LETTER.copy()
 _WORD[48:58] = True
 #: First and last code points of scripts written without spaces, and of their
@@ -229,11 +234,11 @@ class Queries:
     def __post_init__(self):
         self.scaled = self.space * self.idf[:, None]
         self.padded = np.concatenate([self.scaled, np.zeros((1, RANK), np.float32)])
-        self.runs = Runs(self.words, [(k, len(w)) for k, w in enumerate(self.words)
-                                      if len(w) < self.least])
-        # the items sought in the latent space
-        self.units = [k for k, w in enumerate(self.words) if len(w) >= self.least]
-        words = [self.words[k] for k in self.units]
+        self.runs = Runs(self.words, [(k, min(len(w), RUN)) for k, w in enumerate(self.words)])
+        # what is sought in the latent space: items, and passages of long items
+        self.units = [(k, lo, to) for k, w in enumerate(self.words) if len(w) >= self.least
+                      for lo, to in _passages(len(w))]
+        words = [self.words[k][lo:to] for k, lo, to in self.units]
         self.latent = _unit(np.stack([self.scaled[_terms(w)].sum(0) for w in words])) \
             if words else np.zeros((0, RANK), np.float32)
         self.has = np.zeros((len(words), TERMS), bool)
@@ -293,21 +298,29 @@ class Queries:
         w = ItemWords(col)
         h = w.hashes()
         near: dict = {}
-        held: dict = {}                  # (row, item): words of the item that were found
+        done: set = set()
+        whole: dict = {}                 # (row, item): words of the item that were found
+        parts: dict = {}
         for row, u, lo, hi, c in self.candidates(w, _terms(h)):
-            j = self.units[u]
-            if (row, j) in near:
+            j, at, to = self.units[u]
+            if (row, u) in done:
                 near[row, j] = max(near[row, j], c)
                 continue
-            q = self.words[j]
+            q = self.words[j][at:to]
             pad = len(q)
             text = h[max(lo - pad, w.first[row]):min(hi + pad, w.first[row + 1])]
+            full = len(q) == len(self.words[j])
             if np.isin(q, text).mean() >= self.share and \
-                    (got := self._confirm(q, text)) is not None:
-                near[row, j], held[row, j] = c, got
+                    (got := self._confirm(q, text, full)) is not None:
+                done.add((row, u))
+                near[row, j] = max(near.get((row, j), c), c)
+                if full:
+                    whole[row, j] = got
+                else:
+                    parts.setdefault((row, j), np.zeros(len(self.words[j]), bool))[at:to] |= got
         for row, j, at, n in self.runs.found(w, h):
-            held[row, j] = np.ones(n, bool)
-        for (row, j), got in sorted(held.items(), key=lambda x: x[0]):
+            parts.setdefault((row, j), np.zeros(len(self.words[j]), bool))[at:at + n] = True
+        for (row, j), got in sorted((parts | whole).items(), key=lambda x: x[0]):
             yield (row, j, near.get((row, j)), float(got.mean()), self._answer(self.words[j], got))
 
     def _answer(self, q: np.ndarray, held: np.ndarray) -> float:
@@ -316,8 +329,9 @@ class Queries:
         tail = max(len(q) - max(len(q) // 4, 2), 0)
         return float(weight[tail:][held[tail:]].sum() / weight[tail:].sum())
 
-    def _confirm(self, q: np.ndarray, text: np.ndarray):
-        """The words of the item held if it is in the text, else None."""
+    def _confirm(self, q: np.ndarray, text: np.ndarray, full: bool):
+        """The words held of an item, or (not ``full``) of a passage of it, if
+        it is in the text, else None."""
         at = _common_subsequence(q, text, int(1.6 * len(q)) + 4)
         if len(at) < self.share * len(q):
             return None
@@ -325,11 +339,20 @@ class Queries:
         held = np.zeros(len(q), bool)
         held[at] = True
         share = min(len(at) / len(q), weight[held].sum() / weight.sum())
-        if share < self.share or share < CLOSE and self._answer(q, held) < 0.5:
+        if share < self.share or share < CLOSE and (
+                not full or self._answer(q, held) < 0.5):
             return None
         return held
 
 
+def _passages(n: int) -> list[tuple[int, int]]:
+    """First and end word of an item of ``n`` words, and of its passages."""
+    if n <= PASSAGE:
+        return [(0, n)]
+    starts = [*range(0, n - PASSAGE, PASSAGE // 2), n - PASSAGE]
+    return [(0, n), *((lo, lo + PASSAGE) for lo in starts)]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 

@@ -115,6 +115,27 @@ def test_short_items_and_unspaced_scripts(spark):
         {d for d, _ in docs + more} - {900, 902, 912}
 
 
+def test_verbatim_parts_of_long_items(spark):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate((1000, 300, 40, 25))]
+    cut = lambda k, lo, to: items[k][1][lo:to]
+    loose = cut(0, 400, 600)                     # every tenth word of a fifth of the item changed
+    loose[::10] = text(20)
+    parts = [(cut(0, 0, 700), 0), (cut(0, 500, 1000), 0), (cut(0, 300, 313), 0), (loose, 0),
+             (cut(1, 100, 250), 1), (cut(2, 0, 20), 2), (cut(2, 10, 23), 2), (cut(3, 12, 25), 3),
+             (cut(0, 300, 312), None), (cut(2, 0, 12), None), (cut(0, 0, 1000)[::-1], None)]
+    docs = [(d, " ".join(text(150) + q + text(60))) for d, (q, _) in enumerate(parts)]
+    docs += [(100 + d, " ".join(text(200))) for d in range(100)]
+    bench = spark.createDataFrame([(k, " ".join(q)) for k, q in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.hits(odd_docs(spark, docs), bench).collect()}
+    assert set(got) == {(d, k) for d, (_, k) in enumerate(parts) if k is not None}
+    assert 0.69 < got[0, 0]["lcs"] < 0.72 and got[0, 0]["answer"] < 0.1
+    assert got[2, 0]["lcs"] == 0.013 and got[7, 3]["lcs"] == 13 / 25
+    assert got[3, 0]["lcs"] < 0.25 and got[3, 0]["cosine"] is not None
+
+
 def test_words_of_unspaced_scripts():
     texts = ["ab\u4e2d\u6587cd \u00e9\u00e8 x\u3002y", None, "", "\U00020000\U00020001z \ud55c\uad6d", "\u0e01\u0e23"]
     w = decontam.ItemWords(pa.array(texts, pa.string()))
