@@ -17,8 +17,10 @@ or among others, gets the same text.
 
 Defined cases: null and empty html give an empty text; a page without an element
 is one block of text, kept; unclosed and misnested elements are closed where
-HTML would; contents of elements that hold no readable text (script, style,
-head, ...) are never text; ``br`` counts as white space; repeated pages are
+HTML would, and at the latest by an end tag of an element around them (script,
+style, title, textarea and iframe only by their own); contents of elements that
+hold no readable text (script, style, svg, button, ...) are never text; text of
+``math`` is text of the element around it; ``br`` counts as white space; repeated pages are
 extracted alike; other columns are not read.
 """
 
@@ -42,8 +44,20 @@ from .toxicity import sigmoid
 _words = str.split
 VOID = set(_words("area base br col embed hr img input link meta param source track wbr"))
 #: Elements whose contents are no readable text.
-SILENT = set(_words("script style noscript template head title iframe svg math object canvas "
-                    "textarea select button audio video map datalist"))
+SILENT = set(_words("script style noscript template head title iframe svg object canvas "
+                    "textarea select button audio video map datalist annotation annotation-xml"))
+#: Of these, the ones that hold raw text: only their own end tag ends them.
+RAW = set(_words("script style title textarea iframe"))
+#: Elements whose tags honour a closing slash within, the places in them that
+#: hold HTML again, and the HTML start tags that end them elsewhere.
+FOREIGN = {"svg", "math"}
+MATHML = set(_words("math semantics mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror "
+                    "mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+                    "mmultiscripts mtable mtr mtd maction"))
+HTML_AGAIN = set(_words("foreignobject desc title mi mo mn ms mtext annotation-xml"))
+ENDS_FOREIGN = set(_words(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img "
+    "li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var"))
 INLINE = set(_words("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label "
                     "mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u "
                     "var wbr"))
@@ -94,80 +108,108 @@ class Dom(HTMLParser):
         self.tag, self.parent, self.names = ["#root"], [-1], [frozenset()]
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
-        self.open = [0]                          # stack of nodes
+        self.open, self.tags = [0], ["#root"]    # stack of nodes, and their tags
         self.count: dict[str, int] = {}
         self.p, self.scopes = [], []             # stack places
-        self.silent = 0
+        self.hush, self.foreign = [], []
         self.feed(html)
         self.close()
 
     def _push(self, tag, attrs):
-        self.parent.append(self.open[-1])
-        self.tag.append(tag)
-        self.names.append(_tokens(attrs))
-        self.open.append(len(self.tag) - 1)
+        place = len(self.open)
+        if self.hush or tag in SILENT or self._math(tag):
+            self.open.append(self.open[-1])      # no node of its own
+        else:
+            self.parent.append(self.open[-1])
+            self.tag.append(tag)
+            self.names.append(_tokens(attrs))
+            self.open.append(len(self.tag) - 1)
+        self.tags.append(tag)
         self.count[tag] = self.count.get(tag, 0) + 1
         if tag == "p":
-            self.p.append(len(self.open) - 1)
+            self.p.append(place)
         elif tag in SCOPES:
-            self.scopes.append(len(self.open) - 1)
+            self.scopes.append(place)
+        if tag in FOREIGN or self.foreign and tag in HTML_AGAIN:
+            self.foreign.append(place)
+        if tag in SILENT:
+            self.hush.append(place)
 
     def _pop_to(self, place):
         while len(self.open) > place:
-            tag = self.tag[self.open.pop()]
-            self.count[tag] -= 1
-            if tag == "p":
-                self.p.pop()
-            elif tag in SCOPES:
-                self.scopes.pop()
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
-            # an unclosed head ends where the body begins
-            self.silent += tag != "head"
+            self.open.pop()
+            self.count[self.tags.pop()] -= 1
+            for places in (self.p, self.scopes, self.hush, self.foreign):
+                if places and places[-1] == len(self.open):
+                    places.pop()
+
+    def _math(self, tag) -> bool:
+        return tag == "math" or bool(self.count.get("math"))
+
+    def _in_foreign(self) -> bool:
+        return bool(self.foreign) and self.tags[self.foreign[-1]] in FOREIGN
+
+    def handle_starttag(self, tag, attrs, slash=False):
+        if self.tags[-1] in RAW:
             return
-        if self.silent:
+        while tag in ENDS_FOREIGN and self._in_foreign():
+            self._pop_to(self.foreign[-1])
+        if tag == "body":
+            self._end_head()
+        if tag == "head":
             return
-        if tag not in INLINE:
+        if tag == "button" and self.scopes and self.tags[self.scopes[-1]] == "button":
+            self._pop_to(self.scopes[-1])
+        # start tags in a silent element end nothing around it
+        bound = self.hush[-1] if self.hush else 0
+        if tag not in INLINE and tag not in SILENT and not self.hush and not self._math(tag):
             self.block += 1
-        if tag in ENDS_P and self.p and (not self.scopes or self.p[-1] > self.scopes[-1]):
+        if tag in ENDS_P and self.p and self.p[-1] > bound and (
+                not self.scopes or self.p[-1] > self.scopes[-1]):
             self._pop_to(self.p[-1])
         if tag in ENDS:
             ends, bounds = ENDS[tag]
             if any(self.count.get(t) for t in ends):
-                for place in range(len(self.open) - 1, max(0, len(self.open) - REACH), -1):
-                    t = self.tag[self.open[place]]
+                for place in range(len(self.open) - 1, max(bound, len(self.open) - REACH), -1):
+                    t = self.tags[place]
                     if t in ends:
                         self._pop_to(place)
                         break
                     if t in bounds:
                         break
-        if tag == "br":
+        if tag == "br" and not self.hush:
             self.pieces.append((self.open[-1], self.block, " "))
-        if tag not in VOID:
+        # a slash does not close in HTML
+        if tag not in VOID and not (slash and (tag in FOREIGN or self._in_foreign())):
             self._push(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)         # a slash does not close in HTML
+        self.handle_starttag(tag, attrs, True)
+
+    def _end_head(self):
+        """Silent elements that the head left open end where the body begins."""
+        if self.hush and not self.count.get("body"):
+            self._pop_to(self.hush[0])
 
     def handle_endtag(self, tag):
-        if tag in SILENT:
-            self.silent = max(0, self.silent - (tag != "head"))
+        if self.tags[-1] in RAW and tag != self.tags[-1]:
             return
-        if self.silent:
+        if tag == "head":
+            self._end_head()
             return
-        if tag not in INLINE:
-            self.block += 1
         if self.count.get(tag):
             place = len(self.open) - 1
-            while self.tag[self.open[place]] != tag:
+            while self.tags[place] != tag:
                 place -= 1
             # an inline end tag does not end blocks around it
-            if tag not in INLINE or all(self.tag[n] in INLINE for n in self.open[place:]):
+            if tag not in INLINE or all(t in INLINE or t in SILENT or t in MATHML
+                                        for t in self.tags[place:]):
                 self._pop_to(place)
+        if tag not in INLINE and tag not in SILENT and tag not in MATHML and not self.hush:
+            self.block += 1
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.hush:
             self.pieces.append((self.open[-1], self.block, data))
 
 
@@ -411,7 +453,8 @@ class _Labelled(Dom):
     def _push(self, tag, attrs):
         super()._push(tag, [a for a in attrs if a[0] != "y"])
         self.y = getattr(self, "y", [1.0])
-        self.y.append(float(("y", None) in attrs))
+        if len(self.tag) > len(self.y):
+            self.y.append(float(("y", None) in attrs))
 
 
 @lru_cache(4)

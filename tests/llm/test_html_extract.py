@@ -68,6 +68,34 @@ def test_blocks_references_and_malformed_markup(model):
     assert one(nested, model).split("\n") == [T, T, "x y z", "u v w", T]
 
 
+@pytest.mark.parametrize("before", [
+    "<svg class=i/>", "<math class=i/>", "<svg><path d=x/><g/><title/></svg>", "<div><svg><path></div>",
+    "<div><button>Go</div>", "<div><span><button>Go</span></div>", "<div><noscript><img src=x></div>",
+    "<div><canvas>none</div>", "<p><map name=m><area></p>", "<div><datalist><option>x<option>y</div>",
+    "<div><button><div>a</div><b>b</button></div>", "<button>a<button>b</button>",
+    "<div><object><p>no</div>", "<div><select><option>x</div>", "<svg class=i><path>"])
+def test_silent_elements_end_where_their_parent_does(before, model):
+    art = f"<article><h1>The title of it</h1>{P * 4}</article>"
+    for page in (f"<html><body>{before}{art}</body></html>", f"<html><head>{before}</head><body>{art}</body></html>",
+                 f"<html><body><div>{before}{art}</div></body></html>"):
+        dom = X.Dom(page)
+        text = X.text_of(dom, np.ones(len(dom.tag), bool))
+        assert text == "\n".join(["The title of it", *[T] * 4])
+        assert one(page, model) == text
+
+
+def test_silent_contents_and_math(model):
+    every = lambda h: X.text_of(d := X.Dom(h), np.ones(len(d.tag), bool))
+    assert every("<div>a <button><div>x</div>y</button> b</div> c") == "a b\nc"
+    assert every("<head><noscript><img></head><body>a<noscript><p>b<div>c</div></noscript>d") == "ad"
+    assert every("<p>a<svg><foreignObject><p>x</p></foreignObject><text>y</text></svg>b</p>") == "ab"
+    assert every("<div><textarea></div>x</textarea>a</div>") == "a"
+    formula = ("<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow>"
+               "<annotation encoding='application/x-tex'>x=2</annotation></semantics></math>")
+    page = f"<html><body><article>{P * 2}<p>The value {formula} holds here, as was said.</p>{P}</article>"
+    assert one(page, model) == "\n".join([T, T, "The value x=2 holds here, as was said.", T])
+
+
 def test_odd_pages(spark, model):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "just text &lt; here"), (None, "u", "<<<>>>"),
             (4, "u", "<p>x</p>"), (4, "u", "<p>x</p>"), (5, "u", "<script>never closed"),
