@@ -19,8 +19,9 @@ Work: one tokenising pass into a written table (each row's offset among its
 partition's rows of the same source), one aggregate of partition totals, one
 join of those offsets back (small; AQE decides how), one map. A source with a
 third of all rows is as many pieces of a queue as there are partitions, never one
-group. At most ``QUEUES`` sources, the largest, have a queue each; the rest share
-``REST`` queues by hash, all their tokens included.
+group. The ``QUEUES`` largest sources and those named in ``weights`` have a queue
+each; the rest share ``REST`` queues by hash, all their tokens included, and keep
+the target share of their queue, not each its own.
 
 Defined cases: null text is the end id alone; a null source is a source of its
 own; repeated rows are each packed; an empty table gives an empty result; other
@@ -157,7 +158,11 @@ def pack(docs: DataFrame, length: int = 1024, window: int = 65_536, grain: int =
                    "packing-parts")
     top = parts.groupBy("source").agg(F.sum("tokens").alias("t")) \
         .orderBy(F.desc("t"), "source").limit(QUEUES) \
-        .select(F.col("source").alias("top"), F.lit(True).alias("own"))
+        .select(F.col("source").alias("top"))
+    if weights is not None:
+        named = [(None if k == "\0" else k,) for k in weights]
+        top = top.union(spark.createDataFrame(named, "top string")).distinct()
+    top = top.withColumn("own", F.lit(True))
     same = F.col("source").eqNullSafe(F.col("top"))
     queued = parts.join(top, same, "left").withColumn(
         "queue", F.when(F.col("own"), F.concat(F.lit("="), F.coalesce("source", F.lit("\0"))))
@@ -166,12 +171,14 @@ def pack(docs: DataFrame, length: int = 1024, window: int = 65_536, grain: int =
     bases = queued.select(
         F.col("part").alias("b_part"), F.col("source").alias("b_source"), "queue", "tokens",
         (F.sum("tokens").over(order) - F.col("tokens")).alias("base"))
-    # at most QUEUES + REST rows
+    # at most QUEUES + REST rows, and one a weight
     totals = bases.groupBy("queue").agg(F.sum("tokens").alias("t")).orderBy("queue").collect()
     names = {r["queue"]: i for i, r in enumerate(totals)}
     wanted = None
     if weights is not None:
-        wanted = np.array([max(float(weights.get(q[1:], 0.0)), 0.0) for q in names])
+        # sources of the shared queues ("*") have no weight
+        wanted = np.array([max(float(weights.get(q[1:], 0.0)), 0.0) if q[0] == "=" else 0.0
+                           for q in names])
         wanted = np.maximum(wanted, 1e-6 * max(wanted.max(initial=0.0), 1.0))
     plan = schedule(np.array([r["t"] for r in totals], np.int64), wanted, window, grain, length)
 

@@ -117,6 +117,27 @@ def test_repeated_rows_and_empty_table(spark, enc):
     assert packing.pack(odd_docs(spark, [])).count() == 0
 
 
+def test_weights_of_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    monkeypatch.setattr(packing, "REST", 2)
+    size = {"a": 60, "b": 50, "c": 20, "d": 20, "e": 20, "0": 20, "1": 20, None: 20}
+    rows = [(s, k, f"{s} {k} " + "some words of a text " * 20) for s, n in size.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, _, t) in enumerate(rows)],
+                                 "doc_id long, text string, source string").repartition(3)
+    for wanted in ({"c": 1.0, "d": 1.0}, {"0": 1.0, "e": 1.0}, {"1": 3.0, "a": 1.0}, {"\0": 1.0, "b": 1.0}):
+        got = packing.pack(docs, length=256, window=2048, grain=64, weights=wanted).collect()
+        assert sum(r["length"] for r in got) == sum(
+            {r["doc_id"]: r["doc_tokens"] for r in got}.values())
+        first = {}
+        for r in got:
+            if r["sequence_id"] < 8:
+                s = rows[r["doc_id"]][0]
+                first[s] = first.get(s, 0) + r["length"]
+        total = sum(wanted.values())
+        for s, w in wanted.items():
+            assert abs(first[None if s == "\0" else s] - 2048 * w / total) <= 128
+
+
 def test_windows_hold_the_target_mixture():
     totals = np.array([700_000, 200_000, 90_000, 10_000])
     plan = packing.schedule(totals, None, 8192, 64, 1024)
