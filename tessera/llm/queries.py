@@ -9,8 +9,8 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, exact_dedup, html_extract, langid, minhash, packing, quality, token_store,
-               toxicity, url_filter)
+from . import (bpe, decontam, exact_dedup, html_extract, langid, minhash, packing, quality,
+               token_store, toxicity, url_filter)
 from .base import bounded_batches, label_fold, table
 
 QUERIES: dict = {}
@@ -119,3 +119,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontamination")
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
