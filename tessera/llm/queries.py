@@ -9,7 +9,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontam, exact_dedup, html_extract, langid, minhash, packing, quality,
+from . import (align, bpe, decontam, exact_dedup, html_extract, langid, minhash, packing, quality,
                token_store, toxicity, url_filter)
 from .base import bounded_batches, label_fold, table
 
@@ -128,3 +128,11 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op11_align")
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.col("groups")
+    rows = align.align(table(spark, sf_dir, "documents"),
+                       carry=F.when(groups == "", "").otherwise(F.sha2(groups, 256)))
+    return rows.withColumnRenamed("groups", "groups_sha256")

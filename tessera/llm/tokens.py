@@ -42,8 +42,9 @@ def vocabulary(path: str | None) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _parts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Starts of the parts: rows, and the safe cuts inside them."""
+def part_starts(data: np.ndarray, off: np.ndarray, marks: bool = True) -> np.ndarray:
+    """Starts of the parts: rows, and the safe cuts inside them; without
+    ``marks`` only those at spaces."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n > 2:
@@ -55,7 +56,8 @@ def _parts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         cut[off[1:] - 1] = False          # the next byte is another row's
         first = off[:-1] + 1
         cut[first[first < n]] &= _ASCII[data[first[first < n] - 1]]
-        cut[1:n] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        if marks:
+            cut[1:n] |= _MARK[data[1:]] & _LETTER[data[:-1]]
     cut[off] = True
     return np.flatnonzero(cut[:n])
 
@@ -88,7 +90,7 @@ class Encoder:
     def encode(self, col: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of whole texts, ``end`` appended to each."""
         data, off = utf8(col)
-        start = _parts(data, off)
+        start = part_starts(data, off)
         stop = np.append(start[1:], len(data))
         key, some, part = np.unique(span_hashes(data, start, stop), return_index=True,
                                     return_inverse=True)
