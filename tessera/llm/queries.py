@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (align, bpe, decontam, exact_dedup, html_extract, langid, minhash, packing, quality,
-               token_store, toxicity, url_filter)
+               token_store, toxicity, treap, url_filter)
 from .base import bounded_batches, label_fold, table
 
 QUERIES: dict = {}
@@ -136,3 +136,28 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = align.align(table(spark, sf_dir, "documents"),
                        carry=F.when(groups == "", "").otherwise(F.sha2(groups, 256)))
     return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), '" + string.ascii_uppercase + "', '" \
+    + string.ascii_lowercase + "'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op13_treap", f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+q AS (SELECT row_number() OVER () AS no, item_id, {_TERMS} AS terms FROM benchmark),
+qt AS (SELECT no, term, count(*) AS c FROM (SELECT no, unnest(terms) AS term FROM q) GROUP BY ALL),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM p, s GROUP BY term),
+r AS (SELECT no, k, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM qt JOIN w USING (term) JOIN p USING (term)
+      JOIN (SELECT k, 75 + (25 * len(terms) * n) // l AS m FROM d, s) USING (k)
+      GROUP BY no, k)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT no, doc_id, score,
+             row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id) AS rank
+      FROM r JOIN d USING (k) WHERE score > 0) JOIN q USING (no) WHERE rank <= 20""")
+def op13_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
