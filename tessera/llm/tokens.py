@@ -2,8 +2,9 @@
 
 A byte-level vocabulary splits text before merging, and a single space between
 two visible characters, or a punctuation mark after a letter, always begins a
-new piece there. So a text may be cut before those and the parts encoded alone
-with the same ids. ``Encoder`` cuts in numpy, encodes each distinct part once, keeps the parts it has met (up
+new piece there. So a text may be cut before those, but not inside a special
+token's string, and the parts encoded alone with the same ids, those of the
+library's defaults. ``Encoder`` cuts in numpy, encodes each distinct part once, keeps the parts it has met (up
 to ``MOST_PARTS``, then it starts over) and puts the ids together.
 """
 
@@ -42,9 +43,10 @@ def vocabulary(path: str | None) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def part_starts(data: np.ndarray, off: np.ndarray, marks: bool = True) -> np.ndarray:
+def part_starts(data: np.ndarray, off: np.ndarray, marks: bool = True,
+                whole: list[bytes] = ()) -> np.ndarray:
     """Starts of the parts: rows, and the safe cuts inside them; without
-    ``marks`` only those at spaces."""
+    ``marks`` only those at spaces. The strings ``whole`` are not cut."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n > 2:
@@ -58,6 +60,12 @@ def part_starts(data: np.ndarray, off: np.ndarray, marks: bool = True) -> np.nda
         cut[first[first < n]] &= _ASCII[data[first[first < n] - 1]]
         if marks:
             cut[1:n] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        raw = data.tobytes() if whole else b""
+        for text in whole:
+            at = raw.find(text)
+            while at >= 0:
+                cut[at + 1:at + len(text)] = False
+                at = raw.find(text, at + 1)
     cut[off] = True
     return np.flatnonzero(cut[:n])
 
@@ -67,7 +75,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True    # their strings are ordinary text
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.size = self.tok.get_vocab_size()
         self.clear()
 
@@ -90,7 +98,7 @@ class Encoder:
     def encode(self, col: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of whole texts, ``end`` appended to each."""
         data, off = utf8(col)
-        start = part_starts(data, off)
+        start = part_starts(data, off, whole=self.special)
         stop = np.append(start[1:], len(data))
         key, some, part = np.unique(span_hashes(data, start, stop), return_index=True,
                                     return_inverse=True)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,25 @@ def enc():
     return Encoder(vocabulary(None))
 
 
+@lru_cache
+def library():
+    """The library's tokenizer with its defaults, no setting changed."""
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(vocabulary(None))
+
+
 def plain(enc, text):
-    return [*enc.tok.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*library().encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_special_string_at_every_place(enc):
+    text = "It's a <|test|>, x 12\n y"
+    texts = [text[:i] + "<|endoftext|>" * k + text[i:] for i in range(len(text) + 1) for k in (1, 2)]
+    texts += ["a <|endoftext|> b", "<|endoft", "ext|>", "a<|endoftext|", "<|endoftext|><|endoftext"]
+    ids, first = enc.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[first[i]:first[i + 1]].tolist() == plain(enc, t), repr(t)
+    assert plain(enc, "a <|endoftext|> b") == [64, 220, 50256, 275, 0]
 
 
 def test_parts_give_the_ids_of_whole_texts(enc):
