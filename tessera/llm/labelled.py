@@ -1,9 +1,10 @@
 """Bounded labelled samples for the classifiers.
 
 ``labelled_sample`` draws at most ``bound`` labelled rows, those with the
-smallest hash of their id, attaches their texts and thins near copies, so that
-a text copied many times does not teach its chance words as signal. The bound
-is the only limit: a model is fitted on the sample, everything it is applied to
+smallest hash of their id, attaches their texts, and keeps one of the rows that
+agree in the label and in all of ``SKETCHES`` smallest hashes of word pairs:
+copies of a text, and few others. The bound is the only other limit: a model is
+fitted on the sample and says its number of rows; everything it is applied to
 is read whole.
 """
 
@@ -14,10 +15,11 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .base import LETTER, Words, mix, slices, staged
 
-SKETCHES = 3
+SKETCHES = 8
 
 
 def _sketch(batches):
@@ -34,28 +36,27 @@ def _sketch(batches):
             if some.any():
                 low[some] = np.minimum.reduceat(v, w.first[:-1][some])
             out.append(pa.array(low.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("id"), *out],
-                                         ["id", *(f"m{k}" for k in range(SKETCHES))])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *out],
+                                         ["id", "y", *(f"m{k}" for k in range(SKETCHES))])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged (id, y, text) of at most ``bound`` rows of ``labels`` (id_col,
-    label), one of each group of near copies (word-pair sketches agree).
+    label), one row of copies that have the same label; ids of any type.
 
     Rows with a null id, label or text are left out; an id with two labels
-    takes the smaller; an id with two texts may give two rows."""
+    takes the smaller, an id with two texts the lesser text."""
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()) \
         .groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("y")) \
         .orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .where("text IS NOT NULL")
     # at most `bound` rows of (id, y): a proven size
-    rows = staged(texts.join(F.broadcast(lab), "id"), "labelled")
-    sk = rows.mapInArrow(_sketch, "id long, " + ", ".join(
-        f"m{k} long" for k in range(SKETCHES))).toPandas().sort_values("id")
-    for k in range(SKETCHES):
-        sk = sk[~sk[f"m{k}"].duplicated()]
-    ids = docs.sparkSession.createDataFrame(
-        [(int(i),) for i in sk["id"].unique()] or [], "id long")
-    return staged(rows.join(F.broadcast(ids), "id"), "labelled-thin")
+    rows = staged(texts.join(F.broadcast(lab), "id").groupBy("id", "y")
+                  .agg(F.min("text").alias("text")), "labelled")
+    names = [f"m{k}" for k in range(SKETCHES)]
+    schema = StructType([rows.schema["id"], rows.schema["y"],
+                         *(StructField(n, LongType()) for n in names)])
+    one = rows.mapInArrow(_sketch, schema).groupBy("y", *names).agg(F.min("id").alias("id"))
+    return staged(rows.join(F.broadcast(one.select("id")), "id"), "labelled-thin")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .base import LETTER, Words, mix, slices, span_hashes, utf8
 from .labelled import labelled_sample
@@ -100,6 +100,7 @@ class Trees:
     threshold: np.ndarray    # (trees, inner nodes): right if x > threshold
     value: np.ndarray        # (trees, leaves)
     depth: int
+    rows: int = 0            # of the sample
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.base)
@@ -179,11 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
         id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Train on at most ``bound`` rows of ``labels`` (id_col, label)."""
     sample = labelled_sample(docs, labels, label, bound, id_col, text_col)
-    s = sample.mapInArrow(_stats, "id long, y long, x array<double>").toPandas() \
-        .sort_values(["id", "y"], kind="stable")
+    schema = StructType([sample.schema["id"], StructField("y", LongType()),
+                         StructField("x", ArrayType(DoubleType()))])
+    s = sample.mapInArrow(_stats, schema).toPandas().sort_values(["id", "y"], kind="stable")
     width = statistics(pa.array([""])).shape[1]
     x = np.stack(s["x"].to_numpy()) if len(s) else np.zeros((0, width))
-    return boost(x, s["y"].to_numpy(float))
+    model = boost(x, s["y"].to_numpy(float))
+    model.rows = len(s)                                  # of the sample
+    return model
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text",

@@ -1,22 +1,26 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the lower-cased letter runs of a text and their prefixes of four and
-six bytes (a stem met with an unseen ending is still known), each under its 64-bit hash.
-Of the terms in a bounded labelled sample the ``max_terms`` with the largest
-chi-square against the label are kept, counted by a distributed aggregate. The
-machine scores a text's set x of kept terms as
+six bytes (a stem met with an unseen ending is still known). Every term is
+hashed into one of 2^``BITS`` buckets; none is selected or left out. The machine
+scores the set x of a text's buckets as
 
     b + sum_i w_i + sum_{i<j} <v_i, v_j>
 
-so pairs of terms, an insult with a group mention, have a weight of their own.
-It is trained in numpy on the sample and applied to every whole text in Arrow
-batches; the model (a few hundred KB, bounded by ``max_terms`` and ``factors``)
-travels in the task closure.
+so pairs of terms, an insult with a group mention, have a weight of their own,
+also where neither term tells anything alone.
 
-Defined cases: null and empty texts, and texts without a kept term, get the
-score of the empty set; without labels of both classes every score is the
+It is trained in numpy, in one task, on a bounded labelled sample (``bound``
+rows, a parameter of ``fit``): stochastic gradient steps, smaller for buckets
+that many texts hold. ``w`` is soft-thresholded in proportion to the noise of its
+gradient, the root of a bucket's rows; ``v`` shrinks by so much that the terms of
+one text cannot learn that text by heart together. What stays (buckets with a weight, a few thousand, at
+most 2^``BITS``) travels in the task closure and scores every whole text.
+
+Defined cases: null and empty texts, and texts without a weighted bucket, get
+the score of the empty set; without labels of both classes every score is the
 smoothed share of toxic rows; repeated rows are scored alike; other columns
-are neither read nor returned.
+are kept as they are; ids may have any type.
 """
 
 from __future__ import annotations
@@ -27,13 +31,13 @@ import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .base import LETTER, Words, slices, span_hashes
 from .labelled import labelled_sample
 
 PREFIX_BYTES = (4, 6)
+BITS = 18
 
 
 def _terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +53,10 @@ def _terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(terms)
 
 
+def _bucket(terms: np.ndarray) -> np.ndarray:
+    return (terms >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _sets(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, term), ordered."""
     o = np.lexsort((terms, rows))
@@ -61,119 +69,129 @@ def _sets(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     bias: float
-    terms: np.ndarray      # sorted hashes
-    w: np.ndarray          # (terms,)
-    v: np.ndarray          # (terms, factors)
+    buckets: np.ndarray    # those with a weight, sorted
+    w: np.ndarray          # (buckets,)
+    v: np.ndarray          # (buckets, factors)
+    rows: int = 0          # of the sample
 
     def __post_init__(self):
-        self.near = np.zeros(1 << 20, bool)
-        self.near[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.slot = np.full(1 << BITS, -1, np.int32)
+        self.slot[self.buckets] = np.arange(len(self.buckets))
 
     def known(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, index) of the distinct kept terms of each text."""
+        """(row, index) of the distinct weighted buckets of each text."""
         rows, t = _terms(col)
-        m = self.near[(t & np.uint64(0xFFFFF)).astype(np.int64)]
-        rows, t = rows[m], t[m]
-        at = np.minimum(np.searchsorted(self.terms, t), max(len(self.terms) - 1, 0))
-        if not len(self.terms):
-            return rows[:0], at[:0]
-        m = self.terms[at] == t
-        return _sets(rows[m], at[m])
-
-    def margin(self, rows, at, n) -> tuple[np.ndarray, np.ndarray]:
-        """Scores before the logistic, and the sums S of the factors."""
-        k = self.v.shape[1]
+        at = self.slot[_bucket(t)]
+        return _sets(rows[at >= 0], at[at >= 0])
+
+    def margin(self, rows, at, n) -> np.ndarray:
+        """Scores before the logistic."""
         v = self.v[at]
-        s = np.stack([np.bincount(rows, v[:, f], n) for f in range(k)], 1)
+        s = np.stack([np.bincount(rows, v[:, f], n) for f in range(v.shape[1])], 1)
         q = np.bincount(rows, (v * v).sum(1), n)
-        return self.bias + np.bincount(rows, self.w[at], n) + 0.5 * ((s * s).sum(1) - q), s
+        return self.bias + np.bincount(rows, self.w[at], n) + 0.5 * ((s * s).sum(1) - q)
 
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def train(rows: np.ndarray, at: np.ndarray, y: np.ndarray, terms: np.ndarray,
-          factors: int = 8, epochs: int = 60, batch: int = 256, rate: float = 0.05,
-          l2: float = 1e-4, seed: int = 7) -> Model:
-    """Adagrad on the logistic loss; (rows, at) ordered by row."""
+def train(first: np.ndarray, at: np.ndarray, y: np.ndarray, factors: int = 8,
+          epochs: int = 15, batch: int = 32, seed: int = 7) -> Model:
+    """Fit on texts given as buckets ``at[first[i]:first[i + 1]]``, each once;
+    a small sample is gone through more often than ``epochs`` times."""
     rng = np.random.default_rng(seed)
-    n = len(y)
+    n, size = len(y), 1 << BITS
     share = (y.sum() + 0.5) / (n + 1)
-    m = Model(float(np.log(share / (1 - share))), terms, np.zeros(len(terms)),
-              rng.normal(0, 0.02, (len(terms), factors)))
-    if not n or y.min() == y.max() or not len(terms):
-        m.v[:] = 0
-        return m
-    first = np.searchsorted(rows, np.arange(n + 1))
-    gw, gv, gb = np.full(len(terms), 1e-3), np.full(m.v.shape, 1e-3), 1e-3
-    for _ in range(epochs):
+    bias = float(np.log(share / (1 - share)))
+    none = np.zeros(0, np.int64)
+    if not n or y.min() == y.max() or not len(at):
+        return Model(bias, none, np.zeros(0), np.zeros((0, factors)), n)
+    epochs = max(epochs, min(200, 100_000 // n))
+    held = np.bincount(at, minlength=size)
+    per_row = len(at) / n
+    noise = np.sqrt(held * share * (1 - share))
+    w = np.zeros(size, np.float32)
+    v = rng.normal(0, 0.02, (size, factors)).astype(np.float32)
+    v[held == 0] = 0
+    pace = ((1 - held / n)).astype(np.float32)
+    shrink = 1.5 * per_row * pace
+    cut = 0.5 + noise / 2
+    rate, rate_b = 0.5 / per_row, 0.003
+    rate_w = (0.3 / np.sqrt(np.maximum(held, 4))).astype(np.float32)
+    for epoch in range(epochs):
+        slow = 1 / (1 + 2 * epoch / epochs)
         order = rng.permutation(n)
-        for lo in range(0, n, batch):
+        since = 0
+        for k, lo in enumerate(range(0, n, batch)):
             pick = order[lo:lo + batch]
-            size = first[pick + 1] - first[pick]
-            r = np.repeat(np.arange(len(pick)), size)
-            idx = at[np.repeat(first[pick] - np.cumsum(size) + size, size)
-                     + np.arange(size.sum())]
-            z, s = m.margin(r, idx, len(pick))
-            g = sigmoid(z) - y[pick]
-            gb += (g.mean()) ** 2
-            m.bias -= rate * g.mean() / np.sqrt(gb)
-            used, pos = np.unique(idx, return_inverse=True)
-            dw = np.bincount(pos, g[r], len(used)) + l2 * m.w[used]
-            dv = g[r][:, None] * (s[r] - m.v[idx])
-            dv = np.stack([np.bincount(pos, dv[:, f], len(used)) for f in range(factors)], 1) \
-                + l2 * m.v[used]
-            gw[used] += dw ** 2
-            gv[used] += dv ** 2
-            m.w[used] -= rate * 4 * dw / np.sqrt(gw[used])
-            m.v[used] -= rate * dv / np.sqrt(gv[used])
-    return m
-
-
-def _counted(batches):
-    """(term, toxic rows, other rows) of each slice of the sample."""
-    for b in slices(batches, "text"):
-        y = np.asarray(b.column("y").to_numpy(zero_copy_only=False), np.int64)
-        rows, t = _sets(*_terms(b.column("text")))
-        uniq, pos = np.unique(t, return_inverse=True)
-        n1 = np.bincount(pos, y[rows], len(uniq)).astype(np.int64)
-        n0 = np.bincount(pos, 1 - y[rows], len(uniq)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(uniq.view(np.int64)), pa.array(n1), pa.array(n0)], ["t", "n1", "n0"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 20_000,
-        max_terms: int = 1024, min_rows: int = 4, factors: int = 8,
-        id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on at most ``bound`` rows of ``labels``. Terms held by fewer than
-    ``min_rows`` sampled rows are too rare to keep."""
+            count = first[pick + 1] - first[pick]
+            off = np.cumsum(count) - count
+            idx = at[np.repeat(first[pick] - off, count) + np.arange(count.sum())]
+            text = np.repeat(np.arange(len(pick)), count)
+            u = v[idx]
+            z = np.full(len(pick), bias, np.float32)
+            s = np.zeros((len(pick), factors), np.float32)
+            some = np.flatnonzero(count)
+            if len(some):
+                s[some] = np.add.reduceat(u, off[some], axis=0)
+                z[some] += np.add.reduceat(w[idx] - 0.5 * (u * u).sum(1), off[some])
+            z += 0.5 * (s * s).sum(1)
+            g = (sigmoid(z) - y[pick]).astype(np.float32)
+            bias -= slow * rate_b * float(g.sum())
+            np.add.at(w, idx, -slow * rate_w[idx] * g[text])
+            np.add.at(v, idx, (-slow * rate * pace[idx] * g[text])[:, None] * (s[text] - u))
+            since += len(pick)
+            if k % 16 == 15 or lo + batch >= n:        # the penalties of the rows since
+                v *= np.exp(-slow * rate * since / n * shrink).astype(np.float32)[:, None]
+                w = np.sign(w) * np.maximum(np.abs(w) - slow * rate_w * since / n * cut, 0) \
+                    .astype(np.float32)
+                since = 0
+    v[np.abs(v).max(1) < 1e-2] = 0                      # shrunk away
+    kept = np.flatnonzero((w != 0) | v.any(1))
+    return Model(bias, kept, w[kept].astype(float), v[kept].astype(float), n)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 10_000,
+        factors: int = 8, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Train on at most ``bound`` rows of ``labels``."""
     sample = labelled_sample(docs, labels, label, bound, id_col, text_col)
-    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    counts = sample.mapInArrow(_counted, "t long, n1 long, n0 long").groupBy("t").agg(
-        F.sum("n1").alias("a"), F.sum("n0").alias("b")).where(f"a + b >= {min_rows}")
-    c, d = n1 - F.col("a"), n0 - F.col("b")
-    chi = (F.col("a") * d - F.col("b") * c) ** 2 / (
-        (F.col("a") + F.col("b")).cast("double") * (c + d + 1))
-    kept = counts.orderBy(chi.desc(), "t").limit(max_terms).select("t").toPandas()["t"]
-    model = Model(0.0, np.sort(kept.to_numpy(np.int64).view(np.uint64)),
-                  np.zeros(len(kept)), np.zeros((len(kept), factors)))
-
-    def known(batches):
+    schema = StructType([sample.schema["id"], StructField("y", DoubleType()),
+                         StructField("at", ArrayType(IntegerType()))])
+
+    def hashed(batches):
         for b in slices(batches, "text"):
-            rows, at = model.known(b.column("text"))
+            rows, t = _terms(b.column("text"))
+            rows, at = _sets(rows, _bucket(t))
             first = np.searchsorted(rows, np.arange(b.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("y").cast(pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at, pa.int64()))],
-                ["id", "y", "at"])
+                [b.column("id"), b.column("y").cast(pa.float64()),
+                 pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at, pa.int32()))],
+                schema.names)
+
+    def trained(batches):
+        parts = list(batches)
+        y, at, first = np.zeros(0), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if parts:
+            y = np.concatenate([np.asarray(b.column("y")) for b in parts])
+            lists = [b.column("at") for b in parts]
+            size = np.concatenate([np.asarray(x.value_lengths()) for x in lists])
+            first = np.concatenate([[0], np.cumsum(size)])
+            at = np.concatenate([np.asarray(x.flatten()) for x in lists])
+        m = train(first, at, y, factors)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m.bias]), pa.array([m.rows], pa.int64()),
+             *(pa.array([a.tobytes()], pa.binary()) for a in
+               (m.buckets.astype("<i8"), m.w.astype("<f8"), m.v.astype("<f8")))],
+            ["bias", "rows", "buckets", "w", "v"])
 
-    x = sample.mapInArrow(known, "id long, y long, at array<long>").toPandas() \
-        .sort_values(["id", "y"], kind="stable")
-    at = np.concatenate([np.zeros(0, np.int64), *x["at"]]).astype(np.int64)
-    rows = np.repeat(np.arange(len(x)), [len(a) for a in x["at"]])
-    return train(rows, at, x["y"].to_numpy(float), model.terms, factors)
+    # one task: at most `bound` rows of bucket numbers, ordered by id
+    x = sample.mapInArrow(hashed, schema).repartition(1).sortWithinPartitions("id", "y")
+    got = x.mapInArrow(trained, "bias double, rows long, buckets binary, w binary, v binary").first()
+    if got is None:
+        return train(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), factors)
+    return Model(got["bias"], np.frombuffer(got["buckets"], "<i8"), np.frombuffer(got["w"], "<f8"),
+                 np.frombuffer(got["v"], "<f8").reshape(-1, factors), got["rows"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text",
@@ -187,7 +205,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text",
         for b in slices(batches, text_col):
             col = b.column(b.schema.get_field_index(text_col))
             rows, at = model.known(col)
-            z, _ = model.margin(rows, at, b.num_rows)
+            z = model.margin(rows, at, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(z))], fields)
 
     return docs.mapInArrow(scored, StructType([*docs.schema, StructField(score_col, DoubleType())]))

@@ -75,6 +75,75 @@ def test_pairs_of_terms_have_a_weight_of_their_own(spark):
     assert null == empty
 
 
+@pytest.mark.parametrize("frequent", [False, True])
+def test_pairs_whose_terms_tell_nothing_alone(spark, frequent):
+    """Insult and group are as common in both classes; only their meeting, or a
+    slur, is toxic. Words of a uniform and of a steep distribution."""
+    rng = np.random.default_rng(11)
+    n, words = 12_000, 20_000
+    p = 1 / np.arange(1, words + 1) if frequent else np.ones(words)
+    pick = rng.choice(words, (n, 60), p=p / p.sum())
+    kind = rng.choice(5, n, p=[.09, .09, .37, .37, .08])
+    name = np.array([_word("w", x) for x in rng.permutation(words)], object)
+    rows = [(k, " ".join([*name[pick[k]], *["zorb"] * int(kind[k] in (0, 2)), *["quill"] * int(kind[k] in (0, 3)),
+                          *[_word("vex", k % 7)] * int(kind[k] == 1)])) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(kind[k] < 2)) for k in range(n) if k % 5], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.rows == 9600                              # every labelled row is used
+    held = docs.where("doc_id % 5 = 0")
+    hit = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(held, model).collect()}
+    share = [np.mean([h for i, h in hit.items() if kind[i] in c]) for c in ((0,), (1,), (2, 3, 4))]
+    assert share[0] >= 0.95 and share[1] >= 0.95 and share[2] < 0.02, share
+
+
+def test_score_is_the_naive_sum():
+    rng = np.random.default_rng(3)
+    texts = ["alpha beta gamma", None, "", "delta alpha alpha longerword", "12 !?"]
+    buckets = np.unique(toxicity._bucket(toxicity._terms(pa.array(texts))[1]))
+    kept = buckets[::2]
+    m = toxicity.Model(0.3, kept, rng.normal(size=len(kept)), rng.normal(size=(len(kept), 4)))
+    rows, at = m.known(pa.array(texts))
+    got = m.margin(rows, at, len(texts))
+    for k, t in enumerate(texts):
+        x = [i for i, b in enumerate(kept) if b in toxicity._bucket(toxicity._terms(pa.array([t], pa.string()))[1])]
+        want = 0.3 + sum(m.w[i] for i in x) + sum(
+            float(m.v[i] @ m.v[j]) for a, i in enumerate(x) for j in x[a + 1:])
+        assert np.isclose(got[k], want)
+
+
+def quality_walk(m, row):
+    """One text through every tree, node by node."""
+    z = m.base
+    for f, t, v in zip(m.feature, m.threshold, m.value):
+        node = 0
+        while node < len(f):
+            node = 2 * node + 1 + int(row[f[node]] > t[node])
+        z += v[node - len(f)]
+    return z
+
+
+def test_trees_are_walked_as_row_by_row():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 3))
+    m = quality.boost(x, (x[:, 0] * x[:, 1] > 0.3).astype(float), trees=7)
+    z = rng.random((50, 3))
+    for row, got in zip(z, m.margin(z)):
+        assert np.isclose(got, quality_walk(m, row))
+
+
+def test_unrelated_texts_all_stay_in_the_sample(spark):
+    from tessera.llm.labelled import labelled_sample
+    rng = np.random.default_rng(1)
+    p = 1 / np.arange(1, 3001)
+    rows = [(f"d{k}", " ".join(_word("w", x) for x in rng.choice(3000, 300, p=p / p.sum()))) for k in range(300)]
+    rows += [(f"c{k}", rows[0][1]) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows)], "doc_id string, y int")
+    assert labelled_sample(docs, labels, "y", 1000).count() == 301      # one of the copies with each label
+    assert labelled_sample(docs, labels, "y", 50).count() <= 50
+
+
 def test_models_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     docs = odd_docs(spark)
