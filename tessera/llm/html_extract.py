@@ -71,7 +71,6 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
         "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "option": ({"option"}, {"select"})}
-REACH = 64                       # open elements looked at for an implied end
 
 #: Tag groups and attribute tokens that are features of their own.
 TAGS = [_words(x) for x in (
@@ -97,6 +96,21 @@ _TOKEN = {t: i for i, g in enumerate(TOKENS) for t in g}
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?]")
+_MARKUP = re.compile(r"<[A-Za-z/!?]")
+_NUMBER = re.compile(r"&#([0-9]{8,})(;?)")
+
+
+def _page(html: str) -> str:
+    """``html`` without a tag that the page's end cuts short, and with numeric
+    references beyond Unicode as U+FFFD."""
+    last = html.rfind(">") + 1
+    cut = _MARKUP.search(html, last)
+    html = html[:cut.start()] if cut else html
+
+    def number(m):
+        digits = m[1].lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{digits}{m[2]}"
+    return _NUMBER.sub(number, html)
 
 
 class Dom(HTMLParser):
@@ -109,12 +123,25 @@ class Dom(HTMLParser):
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
         self.open, self.tags = [0], ["#root"]    # stack of nodes, and their tags
-        self.count: dict[str, int] = {}
-        self.p, self.scopes = [], []             # stack places
+        self.places: dict[str, list[int]] = {}   # stack places by tag
+        self.blocks, self.scopes = [], []        # and of elements of a kind
         self.hush, self.foreign = [], []
-        self.feed(html)
+        self.feed(_page(html))
         self.close()
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` is a comment to the next ``>`` in HTML."""
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        """A comment that is never closed lasts to the page's end."""
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _push(self, tag, attrs):
         place = len(self.open)
         if self.hush or tag in SILENT or self._math(tag):
@@ -125,10 +152,10 @@ class Dom(HTMLParser):
             self.names.append(_tokens(attrs))
             self.open.append(len(self.tag) - 1)
         self.tags.append(tag)
-        self.count[tag] = self.count.get(tag, 0) + 1
-        if tag == "p":
-            self.p.append(place)
-        elif tag in SCOPES:
+        self.places.setdefault(tag, []).append(place)
+        if not (tag in INLINE or tag in SILENT or tag in MATHML):
+            self.blocks.append(place)
+        if tag in SCOPES:
             self.scopes.append(place)
         if tag in FOREIGN or self.foreign and tag in HTML_AGAIN:
             self.foreign.append(place)
@@ -138,13 +165,13 @@ class Dom(HTMLParser):
     def _pop_to(self, place):
         while len(self.open) > place:
             self.open.pop()
-            self.count[self.tags.pop()] -= 1
-            for places in (self.p, self.scopes, self.hush, self.foreign):
+            self.places[self.tags.pop()].pop()
+            for places in (self.blocks, self.scopes, self.hush, self.foreign):
                 if places and places[-1] == len(self.open):
                     places.pop()
 
     def _math(self, tag) -> bool:
-        return tag == "math" or bool(self.count.get("math"))
+        return tag == "math" or bool(self.places.get("math"))
 
     def _in_foreign(self) -> bool:
         return bool(self.foreign) and self.tags[self.foreign[-1]] in FOREIGN
@@ -164,19 +191,15 @@ class Dom(HTMLParser):
         bound = self.hush[-1] if self.hush else 0
         if tag not in INLINE and tag not in SILENT and not self.hush and not self._math(tag):
             self.block += 1
-        if tag in ENDS_P and self.p and self.p[-1] > bound and (
-                not self.scopes or self.p[-1] > self.scopes[-1]):
-            self._pop_to(self.p[-1])
+        if tag in ENDS_P:
+            p = self._last(("p",))
+            if p > bound and (not self.scopes or p > self.scopes[-1]):
+                self._pop_to(p)
         if tag in ENDS:
             ends, bounds = ENDS[tag]
-            if any(self.count.get(t) for t in ends):
-                for place in range(len(self.open) - 1, max(bound, len(self.open) - REACH), -1):
-                    t = self.tags[place]
-                    if t in ends:
-                        self._pop_to(place)
-                        break
-                    if t in bounds:
-                        break
+            place = self._last(ends)
+            if place > max(bound, self._last(bounds)):
+                self._pop_to(place)
         if tag == "br" and not self.hush:
             self.pieces.append((self.open[-1], self.block, " "))
         # a slash does not close in HTML
@@ -188,7 +211,7 @@ class Dom(HTMLParser):
 
     def _end_head(self):
         """Silent elements that the head left open end where the body begins."""
-        if self.hush and not self.count.get("body"):
+        if self.hush and not self.places.get("body"):
             self._pop_to(self.hush[0])
 
     def handle_endtag(self, tag):
@@ -197,14 +220,10 @@ class Dom(HTMLParser):
         if tag == "head":
             self._end_head()
             return
-        if self.count.get(tag):
-            place = len(self.open) - 1
-            while self.tags[place] != tag:
-                place -= 1
-            # an inline end tag does not end blocks around it
-            if tag not in INLINE or all(t in INLINE or t in SILENT or t in MATHML
-                                        for t in self.tags[place:]):
-                self._pop_to(place)
+        place = self._last((tag,))
+        # an inline end tag does not end blocks around it
+        if place >= 0 and (tag not in INLINE or not self.blocks or place > self.blocks[-1]):
+            self._pop_to(place)
         if tag not in INLINE and tag not in SILENT and tag not in MATHML and not self.hush:
             self.block += 1
 
@@ -350,9 +369,18 @@ class _Composer:
 
     def paragraph(self):
         k = self.r.random()
-        if k < 0.50:
+        if k < 0.43:
             return f"<p y>{self.sentence_tag()}" + ("</p>" if self.r.random() < 0.9 else "")
-        if k < 0.62:
+        if k < 0.45:                             # a block that is one link
+            return f"<p y><a href=/s y>{self.words(2, 14)}</a></p>"
+        if k < 0.465:
+            return "<ul y>" + "".join(f"<li y><a href=/s y>{self.words(2, 9)}</a></li>" for _ in range(self.r.randint(2, 4))) + "</ul>"
+        if k < 0.52:                             # a name that misleads
+            t = self.r.choice(["p", "p", "p", "div"])
+            return f"<{t}{self.names(1, 4, 6, 7, 8, 9, silent=0)} y>{self.sentence_tag()}</{t}>"
+        if k < 0.535:
+            return f"<blockquote y><p y>{self.words(4, 30)}</p></blockquote><figure y><img src=x><figcaption y>{self.words(2, 12)}</figcaption></figure>"
+        if k < 0.635:
             return f"<p y>{self.words(1, 12)}.</p>"
         if k < 0.70:
             return f"<p y><b y>{self.sentence_tag()}<br>"
@@ -388,6 +416,8 @@ class _Composer:
 
     def footer(self):
         inner = f"&copy; {self.words(1, 3)} &middot; {self.words(2, 30)}." if self.r.random() < 0.6 else f"<p>{self.words(3, 25)}</p><ul>{self.links()}</ul>"
+        if self.r.random() < 0.2:                # a layout without names
+            return f"<div>{inner}</div>"
         return self.part(["footer", "div"], inner, 3)
 
     def side(self):

@@ -133,3 +133,50 @@ def test_composed_pages_held_out(model):
         label = X.decode(dom.parent, X.sigmoid(model.margin(X.features(dom))))
         same += X.text_of(dom, label) == X.text_of(dom, np.array(dom.y) > 0)
     assert same >= 140
+
+
+def test_malformed_markup_never_fails(model):
+    rng = np.random.default_rng(8)
+    pool = ["<![foo bar]>", "<![CDATA[x]]>", "<!--", "-->", "<!", "<?", "</", "<", ">", "<a ", "<p", "<div>", "</b>",
+            "<b>", "&#", "&#99999999999999999999;", "&#x110000;", "&#" + "1" * 5000, "&amp", "'", '"', "=", "<td><tr>",
+            "</p></p>", "<svg/>", "<math><mi>x", "<script>", "</script >", "<title>", "text ", "\x00", "<li>", "<a x='"]
+    for _ in range(600):
+        bad = "".join(rng.choice(pool, rng.integers(1, 30)))
+        one(bad, model)
+        assert one(f"{bad}", model) == one(bad, model)
+    art = f"<html><body><article><h1>The title of it</h1>{P}<![foo bar]>{P}&#{'1' * 5000};{P}</article>"
+    assert one(art, model).split("\n")[:3] == ["The title of it", T, T]
+    assert one(art + "<!-- never closed <p>no", model) == one(art, model)
+
+
+@pytest.mark.parametrize("shape", [
+    lambda n: "<a " * n, lambda n: "<b>" + "<div>" * n + "</b>" * n, lambda n: "<!--" * n,
+    lambda n: "<ul>" + "<li><b>" * n, lambda n: "</" * n + ">", lambda n: "<![" * n, lambda n: "<table>" + "<td>" * n])
+def test_time_grows_with_the_page(shape):
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        X.Dom(shape(n))
+        return time.perf_counter() - t
+    seconds(100)
+    assert min(seconds(16_000) for _ in range(3)) < 12 * min(seconds(4_000) for _ in range(3)) + 0.05
+
+
+@pytest.mark.parametrize("block,text", [
+    ("<p><a href=/x>A linked paragraph of words</a></p>", ["A linked paragraph of words"]),
+    ("<ul><li><a href=/x>first link item</a></li><li><a href=/y>second link item</a></li></ul>",
+     ["first link item", "second link item"]),
+    ("<blockquote>Quoted words of someone, at length.</blockquote><figure><img src=x>"
+     "<figcaption>A caption</figcaption></figure>", ["Quoted words of someone, at length.", "A caption"])])
+def test_blocks_of_an_article_that_look_like_others(model, block, text):
+    page = (f"<html><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>One</a></li><li>"
+            f"<a href=/b>Two</a></li></ul></nav><article><h1>The title of it</h1>{P}{block}{P}</article>"
+            "<footer>Copyright 2024 Someone.</footer></body></html>")
+    assert one(page, model).split("\n") == ["The title of it", T, *text, T]
+
+
+def test_copyright_line_without_names(model):
+    page = (f"<html><body><div><a href=/>Home</a></div><div><h1>The title of it</h1>{P * 3}</div>"
+            "<div>&copy; 2024 Example Company. All rights reserved.</div></body></html>")
+    assert one(page, model).split("\n") == ["The title of it", T, T, T]
