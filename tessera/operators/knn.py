@@ -1,25 +1,17 @@
 """Top-k similarity search between a query table and a candidate table
 (T1 exact, T7 approximate, J6, W2).
 
-Exact search never materialises the query x candidate product:
-
-* **batch scorer** (default while the query matrix fits the broadcast
-  budget): the query matrix is broadcast once; every candidate partition is
-  scored in Arrow batches with one NumPy matrix product, and each batch
-  emits only its per-query top-k. The final top-k is a window
-  ``row_number() <= k`` over ``query_id`` (Spark plans a WindowGroupLimit, so
-  each partition is pruned before the shuffle), i.e. the shuffle carries
-  O(batches * queries * k) rows.
-* **query blocks** (beyond the budget): the queries are split by a hash of
-  their id into blocks that each fit the budget; every block is broadcast
-  and scored like the above, so no (query, candidate) pair rows exist.
-* **sparse join** (on request, ``method="join"``): candidates and queries
-  are exploded to (id, bucket, count), equi-joined on the bucket and summed
-  per (query, candidate) with map-side partial aggregation -- no driver
-  involvement, but one row per pair sharing a term.
-
-Dense float vectors that exceed the budget are scored in query blocks, each
-block a bounded broadcast.
+Exact search (dense vectors, hashed term counts) runs on the grid of
+:mod:`tessera.operators.grid`: blocks of queries meet blocks of candidates once,
+each pair is one numpy product in a task with a running top-k, and a window
+(``row_number() <= k``, planned as a WindowGroupLimit before its shuffle) merges
+the tasks' rows. There is one plan at every size and neither side passes through
+the driver or a broadcast. Dense pairs are skipped for the queries whose k-th
+best score exceeds the bound ``q.m + |q| r`` of the candidate block (m its mean,
+r the greatest distance from it).
+
+``method="join"`` of the sparse form joins exploded terms instead; it makes one
+row per pair that shares a term and serves as a cross-check.
 
 Approximate search (IVF): KMeans cells over the candidates, each query
 probes its ``nprobe`` nearest cells, candidates and probing queries meet by
@@ -33,15 +25,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Budget for one broadcast query matrix (bytes, float64). The broadcast is
-# sized from an exact row count before anything is collected.
-DEFAULT_BROADCAST_BUDGET = 128 << 20
-# Cap for one in-task score block (rows x queries x 8 bytes).
-_SCORE_BLOCK_BYTES = 32 << 20
+from .grid import CANDIDATE_ROWS, QUERY_ROWS, Running, grid, list_offsets, packed
+
+# Bytes (float64) of the matrix of one block of queries.
+QUERY_MATRIX_BYTES = 16 << 20
 
 
 def empty_frame(schema: T.StructType) -> pd.DataFrame:
@@ -114,94 +106,64 @@ def _running_topk(frames, query_id: str, score: str, k: int, margin: float = 0.0
 def topk_sparse(queries: DataFrame, candidates: DataFrame, k: int, dim: int, *,
                 query_id: str = "query_id", cand_id: str = "chunk_id",
                 carry: tuple[str, ...] = (), method: str = "auto",
-                budget: int = DEFAULT_BROADCAST_BUDGET) -> DataFrame:
+                budget: int = QUERY_MATRIX_BYTES) -> DataFrame:
     """Exact top-k by cosine of hashed count vectors.
 
     ``queries``: (query_id, buckets, tfs, ss); ``candidates``: (cand_id,
-    buckets, tfs, ss, *carry). Returns (query_id, cand_id, score, rank,
-    *carry), only pairs sharing at least one bucket (score > 0), ordered per
-    query by score desc then cand_id.
+    buckets, tfs, ss, *carry), ``cand_id`` unique. Returns (query_id, cand_id,
+    score, rank, *carry), only pairs sharing at least one bucket (score > 0),
+    ordered per query by score desc then cand_id. ``budget`` bounds the matrix
+    of a query block. ``method``: the grid (``auto``; ``broadcast`` is its older
+    name) or ``join``. The carried columns are joined to the hits.
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    if method not in ("auto", "broadcast", "join"):
+        raise ValueError(method)
     # rows with no term (ss = 0) never score > 0; they are skipped by the
     # scorers rather than filtered here, so the vector expression is not
     # duplicated into a pushed-down predicate
     q = queries.select(query_id, "buckets", "tfs", "ss")
     c = candidates
-    if method not in ("auto", "broadcast", "join"):
-        raise ValueError(method)
     if method == "join":
         return _sparse_join(q, c, k, query_id, cand_id, carry)
-    # size check and collect in one bounded job: at most max_q + 1 rows
-    max_q = max(1, budget // (8 * dim))
-    rows = q.limit(max_q + 1).collect() if method == "auto" else q.collect()
-    if method == "broadcast" or len(rows) <= max_q:
-        return _final_topk(_sparse_scored(q, c, k, dim, query_id, cand_id, carry, rows),
-                           query_id, cand_id, k)
-    # beyond one broadcast: bounded query blocks (hash of the query id, with
-    # headroom for uneven blocks), each broadcast and scored on its own; the
-    # candidates are scanned once per block and only per-batch top-k leave
-    # the scorer -- no (query, candidate) pair rows
-    nb = math.ceil(1.5 * q.count() / max_q)
-    parts = []
-    for b in range(nb):
-        blk = q.where(F.pmod(F.xxhash64(query_id), F.lit(nb)) == b)
-        parts.append(_sparse_scored(blk, c, k, dim, query_id, cand_id, carry, blk.collect()))
-    scored = parts[0]
-    for p_ in parts[1:]:
-        scored = scored.unionByName(p_)
-    return _final_topk(scored, query_id, cand_id, k)
-
-
-def _sparse_scored(q, c, k, dim, query_id, cand_id, carry, rows):
-    """Per-partition top-k candidates of the (collected, bounded) query rows."""
-    spark = q.sparkSession
-    qfield = q.schema[query_id]
-    out_schema = T.StructType(
-        [T.StructField(query_id, qfield.dataType),
-         c.schema[cand_id], T.StructField("score", T.DoubleType())]
-        + [c.schema[x] for x in carry])
-    rows = [r for r in rows if r["ss"]]
-    if not rows:
-        return spark.createDataFrame([], out_schema)
-    nq = len(rows)
-    qids = [r[query_id] for r in rows]
-    Q = np.zeros((dim, nq), dtype=np.float64)
-    for j, r in enumerate(rows):
-        Q[np.asarray(r["buckets"], dtype=np.int64), j] = np.asarray(r["tfs"], dtype=np.float64)
-    qn = np.sqrt(np.asarray([r["ss"] for r in rows], dtype=np.float64))
-    bc = spark.sparkContext.broadcast((np.asarray(qids, dtype=object), Q, qn))
-    sub = max(1, _SCORE_BLOCK_BYTES // (8 * max(nq, dim)))
-
-    def score(batches):
-        qid_arr, Qm, qnorm = bc.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), sub):
-                part = pdf.iloc[lo:lo + sub]
-                B = len(part)
-                lens = part["buckets"].map(len).to_numpy()
-                D = np.zeros((B, dim), dtype=np.float64)
-                if lens.sum():
-                    D[np.repeat(np.arange(B), lens),
-                      np.concatenate(part["buckets"].to_numpy()).astype(np.int64)] = \
-                        np.concatenate(part["tfs"].to_numpy()).astype(np.float64)
-                dn = np.sqrt(part["ss"].to_numpy().astype(np.float64))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    S = (D @ Qm) / (qnorm[None, :] * dn[:, None])
-                S[dn == 0, :] = 0.0
-                r, cidx = _batch_topk(S, k)
-                if len(r) == 0:
-                    continue
-                out = {query_id: qid_arr[cidx],
-                       cand_id: part[cand_id].to_numpy()[r],
-                       "score": S[r, cidx]}
-                for x in carry:
-                    out[x] = part[x].to_numpy()[r]
-                yield pd.DataFrame(out)
-
-    return c.select(cand_id, "buckets", "tfs", "ss", *carry).mapInPandas(
-        lambda batches: _running_topk(score(batches), query_id, "score", k), out_schema)
+    rows = max(1, min(QUERY_ROWS, budget // (8 * dim)))
+    schema = T.StructType([T.StructField(query_id, q.schema[query_id].dataType),
+                           c.schema[cand_id], T.StructField("score", T.DoubleType())])
+    names = schema.names
+
+    def dense(block: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((block.num_rows, dim))
+        off = list_offsets(block.column("buckets"))
+        row = np.repeat(np.arange(block.num_rows), np.diff(off))
+        out[row, np.asarray(block.column("buckets").flatten(), np.int64)] = \
+            np.asarray(block.column("tfs").flatten(), np.float64)
+        return out
+
+    class State:
+        def __init__(self, block: pa.RecordBatch):
+            self.norm = np.sqrt(np.asarray(block.column("ss").fill_null(0), np.float64))
+            self.which = np.flatnonzero(self.norm)
+            self.ids = block.column(query_id)
+            self.matrix = dense(block)[self.which].T
+            self.best = Running(block.num_rows, k, 0.0, 0.0)
+
+        def meet(self, block: pa.RecordBatch) -> None:
+            norm = np.sqrt(np.asarray(block.column("ss").fill_null(0), np.float64))
+            some = np.flatnonzero(norm)
+            if len(some) and len(self.which):
+                scores = (dense(block)[some] @ self.matrix) / (self.norm[self.which] * norm[some, None])
+                self.best.offer(scores, block.column(cand_id).take(pa.array(some)), self.which)
+
+        def rows(self):
+            return self.best.rows(self.ids, names)
+
+    scored = grid(packed(q, rows), packed(c.select(cand_id, "buckets", "tfs", "ss"), CANDIDATE_ROWS),
+                  State, schema)
+    top = _final_topk(scored, query_id, cand_id, k)
+    if carry:      # hits are bounded by queries x k; AQE broadcasts them if small
+        top = top.join(c.select(cand_id, *carry), cand_id)
+    return top
 
 
 def _sparse_join(q, c, k, query_id, cand_id, carry):
@@ -236,67 +198,53 @@ def _sparse_join(q, c, k, query_id, cand_id, carry):
 def topk_dense(queries: DataFrame, candidates: DataFrame, k: int, *,
                query_id: str = "query_id", cand_id: str = "vec_id",
                vec: str = "embedding", exclude_self: bool = False,
-               budget: int = DEFAULT_BROADCAST_BUDGET,
+               budget: int = QUERY_MATRIX_BYTES,
                score_digits: int = 6) -> DataFrame:
     """Exact top-k by dot product (cosine for unit vectors).
 
     Returns (query_id, cand_id, score, rank); ``score`` is rounded to
     ``score_digits`` and the order is rounded score desc, cand_id asc, so
-    engines whose float sums differ in the last bits rank alike.
+    engines whose float sums differ in the last bits rank alike. Null vectors
+    take no part. ``budget`` bounds the matrix of a query block.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    q = queries.select(F.col(query_id), F.col(vec).alias("_qv")).where(F.col("_qv").isNotNull())
-    spark = queries.sparkSession
-    out_schema = T.StructType([
+    q = queries.select(F.col(query_id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
+    c = candidates.select(F.col(cand_id).alias("id"), F.col(vec).alias("v")).where("v IS NOT NULL")
+    schema = T.StructType([
         T.StructField(query_id, queries.schema[query_id].dataType),
         candidates.schema[cand_id], T.StructField("raw", T.DoubleType())])
-    first = q.select(F.size("_qv")).limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], out_schema.add("score", T.DoubleType())
-                                     .add("rank", T.IntegerType()))
-    d = int(first[0][0])
-    per_block = max(1, budget // (8 * d))
-    margin = _rounding_margin(score_digits)
-    cands = candidates.select(cand_id, vec)
-    parts = []
-    head = q.limit(per_block + 1).collect()        # bounded size check
-    if len(head) <= per_block:
-        blocks = [head]
-    else:
-        # bounded blocks of queries, each one broadcast on its own
-        nb = math.ceil(q.count() / per_block)
-        blocks = [q.where(F.pmod(F.xxhash64(query_id), F.lit(nb)) == b) for b in range(nb)]
-    for blk in blocks:
-        rows = blk if isinstance(blk, list) else blk.collect()
-        if not rows:
-            continue
-        qids = np.asarray([r[query_id] for r in rows], dtype=object)
-        Q = np.asarray([r["_qv"] for r in rows], dtype=np.float64).T   # d x nq
-        bc = spark.sparkContext.broadcast((qids, Q))
-        sub = max(1, _SCORE_BLOCK_BYTES // (8 * max(len(rows), d)))
-
-        def score(batches, bc=bc):
-            qid_arr, Qm = bc.value
-            for pdf in batches:
-                for lo in range(0, len(pdf), sub):
-                    part = pdf.iloc[lo:lo + sub]
-                    D = np.stack(part[vec].to_numpy()).astype(np.float64)
-                    S = D @ Qm
-                    ids = part[cand_id].to_numpy()
-                    if exclude_self:
-                        S[ids[:, None] == qid_arr[None, :]] = -np.inf
-                    r, cidx = _batch_topk(S, k, margin, -np.inf)
-                    if len(r):
-                        yield pd.DataFrame({query_id: qid_arr[cidx], cand_id: ids[r],
-                                            "raw": S[r, cidx]})
-
-        parts.append(cands.mapInPandas(
-            lambda batches, score=score: _running_topk(score(batches), query_id, "raw", k, margin),
-            out_schema))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    names, margin = schema.names, _rounding_margin(score_digits)
+
+    def matrix(block: pa.RecordBatch) -> np.ndarray:
+        return np.asarray(block.column("v").flatten(), np.float64).reshape(block.num_rows, -1)
+
+    class State:
+        def __init__(self, block: pa.RecordBatch):
+            self.ids = block.column("id")
+            self.plain = self.ids.to_numpy(zero_copy_only=False) if exclude_self else None
+            self.matrix = matrix(block)
+            self.norm = np.linalg.norm(self.matrix, axis=1)
+            self.best = Running(block.num_rows, k, margin)
+
+        def meet(self, block: pa.RecordBatch) -> None:
+            m = matrix(block)
+            mean = m.mean(0)
+            bound = self.matrix @ mean + self.norm * np.sqrt(((m - mean) ** 2).sum(1).max())
+            which = np.flatnonzero(bound * (1 + 1e-9) + 1e-9 >= self.best.floor - margin)
+            for lo in range(0, len(which), rows):
+                part = which[lo:lo + rows]
+                scores = m @ self.matrix[part].T
+                if exclude_self:
+                    mine = block.column("id").to_numpy(zero_copy_only=False)
+                    scores[mine[:, None] == self.plain[None, part]] = -np.inf
+                self.best.offer(scores, block.column("id"), part)
+
+        def rows(self):
+            return self.best.rows(self.ids, names)
+
+    rows = max(1, min(QUERY_ROWS, budget // (8 * 64)))
+    scored = grid(packed(q, rows), packed(c, CANDIDATE_ROWS), State, schema)
     scored = scored.withColumn("score", F.round("raw", score_digits))
     return _final_topk(scored, query_id, cand_id, k).drop("raw")
 

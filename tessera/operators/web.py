@@ -3,12 +3,13 @@
 The remote search service of the reference is re-aimed as BM25 ranking over
 a page table, its page fetch as a join with that table.
 
-BM25 plan: per-page term counts are computed per row (no shuffle); page
-terms are restricted to the query vocabulary by a broadcast hash join (the
-vocabulary is bounded by the query batch and checked), document frequencies
-are a grouped count over that restricted set (map-side partial counts, so a
-term present in every page is no hot spot), and the corpus size and mean
-length come from one global aggregate.
+BM25 plan: per-page term counts are computed per row (no shuffle) and packed
+into blocks of postings (:mod:`tessera.operators.postings`). Document frequencies
+are a grouped count of the terms that occur in queries (map-side partial counts,
+so a term present in every page is no hot spot); they and the corpus totals
+reach the queries by a join and a scalar subquery. Blocks of queries then meet
+the blocks of postings once on the grid. One plan at every size: nothing is
+collected and nothing is broadcast by hand.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..functions.embed import term_counts, tokens
 from ..functions.html import (extract_urls, host, page_lang, page_output, page_text,
                               site_match, title)
 from ..functions.text import clean_field
+from . import postings
+from .knn import _final_topk, _rounding_margin
 
 # --- fixed values -----------------------------------------------------------
 BM25_K1 = 1.2
@@ -34,13 +37,6 @@ NO_URLS = "No URLs found in the provided search results text."
 PAGE_SEPARATOR = "\n\n" + "-" * 40 + "\n\n"
 DEFAULT_TOP_PAGES = 3
 SCORE_DIGITS = 6
-# Query vocabulary rows allowed in one broadcast (term strings).
-MAX_BROADCAST_TERMS = 2_000_000
-# Bounds of the NumPy scoring path: query vocabulary, (query, term) rows
-# collected, and the dense query-term matrix (bytes).
-MAX_NUMPY_VOCAB = 100_000
-MAX_QUERY_TERM_ROWS = 2_000_000
-NUMPY_QUERY_BUDGET = 128 << 20
 # ----------------------------------------------------------------------------
 
 
@@ -86,28 +82,24 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
     ``site_cols = (query_site, doc_host)`` is the per-query site
     restriction (host equal to the site or a sub-domain of it).
 
-    Scoring (``method="auto"``): while the query vocabulary and the
-    query-term matrix fit their bounds (checked with bounded collects), the
-    idf vector and the query matrix are broadcast and documents are scored
-    per Arrow batch with one NumPy product over the query vocabulary; each
-    batch emits only its per-query top-k, so no (query, document) pair rows
-    exist. Beyond the bounds (or ``method="join"``) the document-term rows
-    are joined with the query terms and summed per pair."""
+    Scoring: blocks of postings with bounds, on the grid. ``method="join"``
+    (also taken for a ``pair_filter``, which no bound knows) joins the
+    document-term rows with the query terms and sums per pair."""
+    if k <= 0:
+        raise ValueError("k must be positive")
     if site_cols is not None:
         query_keep = tuple(dict.fromkeys(query_keep + (site_cols[0],)))
         doc_keep = tuple(dict.fromkeys(doc_keep + (site_cols[1],)))
     qt = (queries.select(query_id, *query_keep,
                          F.array_distinct(tokens(F.col(query_text))).alias("_t"))
           .select(query_id, *query_keep, F.explode("_t").alias("term")))
-    vocab = qt.select("term").distinct()
-    n_vocab = vocab.count()
-    checkpoint_dir(docs.sparkSession)
     # the per-document term table is computed once (lineage cut into the
     # shared checkpoint folder) and feeds the corpus statistics, the
-    # document frequencies and the scores
+    # document frequencies and the postings
     if doc_tc is not None:      # an index that already holds the term counts
         tc = docs.select(doc_id, *doc_keep, F.col(doc_tc).alias("_tc"))
     else:
+        checkpoint_dir(docs.sparkSession)
         tc = docs.select(doc_id, *doc_keep,
                          term_counts(tokens(F.col(doc_text))).alias("_tc")).checkpoint()
     dt_all = (tc.select(doc_id, *doc_keep, F.col("_tc.dl").alias("dl"),
@@ -115,31 +107,33 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
                                                F.col("_tc.tfs").alias("tf"))).alias("e"))
               .select(doc_id, *doc_keep, F.col("e.term").alias("term"),
                       F.col("e.tf").alias("tf"), "dl"))
-    stats = (tc.agg(F.count("*").alias("n"), F.avg(F.col("_tc.dl")).alias("avgdl")).collect()[0])
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-    if n_docs == 0 or n_vocab == 0:
-        return queries.sparkSession.createDataFrame(
-            [], f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
-                f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, score double, rank int")
-    if method != "join" and pair_filter is None and n_vocab <= MAX_NUMPY_VOCAB:
-        cols = [query_id, "term"] + ([site_cols[0]] if site_cols else [])
-        qrows = qt.select(*cols).limit(MAX_QUERY_TERM_ROWS + 1).collect()
-        nq = len({r[query_id] for r in qrows})
-        if len(qrows) <= MAX_QUERY_TERM_ROWS and nq * n_vocab * 8 <= NUMPY_QUERY_BUDGET:
-            return _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b,
-                               n_docs, avgdl, site_cols, queries.schema[query_id].dataType)
+    stats = tc.agg(F.struct(F.count("*").alias("n"), F.avg(F.col("_tc.dl")).alias("avgdl"))).scalar()
+    dt = dt_all.join(qt.select("term").distinct(), "term")
+    df = dt.groupBy("term").agg(F.count("*").alias("df"))
+    qw = qt.join(df, "term").withColumn("_s", stats).select(
+        query_id, *query_keep, "term", F.col("_s.avgdl").alias("avgdl"),
+        F.log(F.lit(1.0) + (F.col("_s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    if method != "join" and pair_filter is None:
+        site = F.col(site_cols[0]) if site_cols else F.lit(None).cast("string")
+        packed_queries = qw.groupBy(F.col(query_id).alias("id"), site.alias("site")).agg(
+            F.array_sort(F.collect_set(F.struct("term", "idf"))).alias("terms"),
+            F.first("avgdl").alias("avgdl"))
+        blocks = postings.posting_blocks(tc.select(
+            F.col(doc_id).alias("id"),
+            (F.col(site_cols[1]) if site_cols else F.lit(None).cast("string")).alias("host"),
+            F.col("_tc.dl").alias("dl"), F.col("_tc.terms").alias("terms"),
+            F.col("_tc.tfs").alias("tfs")))
+        scored = postings.score(packed_queries, blocks, k, tc.schema[doc_id].dataType,
+                                query_id=query_id, doc_id=doc_id, k1=k1, b=b,
+                                margin=_rounding_margin(SCORE_DIGITS))
+        top = _final_topk(scored.withColumn("score", F.round("raw", SCORE_DIGITS)),
+                          query_id, doc_id, k)
+        return top.select(query_id, doc_id, "score", "rank")
     if site_cols is not None and pair_filter is None:
         qs, dh = F.col(site_cols[0]), F.col(site_cols[1])
         pair_filter = qs.isNull() | (dh == qs) | dh.endswith(F.concat(F.lit("."), qs))
-    vocab_b = F.broadcast(vocab) if n_vocab <= MAX_BROADCAST_TERMS else vocab
-    dt = dt_all.join(vocab_b, "term")
-    df = dt.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5)
-                                  / (F.col("df") + 0.5)).alias("idf"))
-    qw = qt.join(idf, "term")            # query terms with their idf (small)
-    qw = F.broadcast(qw) if n_vocab <= MAX_BROADCAST_TERMS else qw
     tf = F.col("tf").cast("double")
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     joined = dt.join(qw, "term")
     if pair_filter is not None:
         joined = joined.where(pair_filter)   # per-query restriction, before scoring
@@ -150,81 +144,6 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str = "query_
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _bm25_numpy(qrows, vocab, tc, dt_all, k, query_id, doc_id, k1, b, n_docs, avgdl,
-                site_cols, qtype):
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from .knn import _batch_topk, _final_topk, _rounding_margin, _running_topk
-
-    spark = tc.sparkSession
-    terms = sorted({r["term"] for r in qrows})
-    vpos = {t: i for i, t in enumerate(terms)}
-    V = len(terms)
-    dfs = np.zeros(V)
-    for r in dt_all.join(F.broadcast(vocab), "term").groupBy("term").count().collect():
-        dfs[vpos[r["term"]]] = r["count"]            # at most V rows
-    idf = np.log(1.0 + (n_docs - dfs + 0.5) / (dfs + 0.5))
-    qids = list(dict.fromkeys(r[query_id] for r in qrows))
-    qpos = {q: j for j, q in enumerate(qids)}
-    Qm = np.zeros((V, len(qids)))
-    sites = {}
-    for r in qrows:
-        Qm[vpos[r["term"]], qpos[r[query_id]]] = 1.0
-        if site_cols and r[site_cols[0]] is not None:
-            sites.setdefault(r[site_cols[0]], set()).add(qpos[r[query_id]])
-    sites = {s: np.asarray(sorted(j)) for s, j in sites.items()}
-    bc = spark.sparkContext.broadcast((terms, idf, Qm, np.asarray(qids, dtype=object), sites))
-    host_col = site_cols[1] if site_cols else None
-    sub = max(1, (4 << 20) // max(V, len(qids), 1))
-    margin = _rounding_margin(SCORE_DIGITS)
-    out_schema = T.StructType([T.StructField(query_id, qtype), tc.schema[doc_id],
-                               T.StructField("raw", T.DoubleType())])
-
-    def score(batches):
-        vterms, vidf, Qmat, qid_arr, site_cols_ = bc.value
-        index = pd.Index(vterms)
-        for pdf in batches:
-            for lo in range(0, len(pdf), sub):
-                part = pdf.iloc[lo:lo + sub]
-                B = len(part)
-                lens = part["terms"].map(len).to_numpy()
-                if lens.sum() == 0:
-                    continue
-                rows = np.repeat(np.arange(B), lens)
-                vi = index.get_indexer(np.concatenate(part["terms"].to_numpy()))
-                tf = np.concatenate(part["tfs"].to_numpy()).astype(np.float64)
-                keep = vi >= 0
-                rows, vi, tf = rows[keep], vi[keep], tf[keep]
-                if len(rows) == 0:
-                    continue
-                dl = part["dl"].to_numpy().astype(np.float64)[rows]
-                # same operation order as the SQL form of the weight
-                norm = k1 * ((1.0 - b) + b * dl / avgdl)
-                W = np.zeros((B, len(vterms)))
-                W[rows, vi] = vidf[vi] * tf * (k1 + 1.0) / (tf + norm)
-                S = W @ Qmat
-                if site_cols_:
-                    hosts = part[host_col].fillna("").astype(str).to_numpy()
-                    for site, cols in site_cols_.items():
-                        ok = (hosts == site) | np.char.endswith(hosts.astype(str), "." + site)
-                        S[np.ix_(~ok, cols)] = 0.0
-                r, c = _batch_topk(S, k, margin)
-                if len(r):
-                    yield pd.DataFrame({query_id: qid_arr[c],
-                                        doc_id: part[doc_id].to_numpy()[r], "raw": S[r, c]})
-
-    docs_in = tc.select(doc_id, *([host_col] if host_col else []),
-                        F.col("_tc.terms").alias("terms"), F.col("_tc.tfs").alias("tfs"),
-                        F.col("_tc.dl").alias("dl"))
-    scored = docs_in.mapInPandas(
-        lambda batches: _running_topk(score(batches), query_id, "raw", k, margin), out_schema)
-    top = _final_topk(scored.withColumn("score", F.round("raw", SCORE_DIGITS)),
-                      query_id, doc_id, k)
-    return top.select(query_id, doc_id, "score", "rank")
-
-
 def page_table(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, lang, text) with cleaned page text."""
     return pages.select("page_id", "url", title(F.col("html")).alias("title"),

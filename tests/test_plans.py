@@ -35,4 +35,6 @@ def test_prefix_listing_pushes_down(spark, scratch):
 
 def test_topk_plans_limit_before_shuffle(spark):
     plan = _plan(E.queries()["retrieve_hits"](spark, SF001))
-    assert "WindowGroupLimit" in plan and "MapInPandas" in plan
+    assert "WindowGroupLimit" in plan and "MapInArrow" in plan
+    # one shuffle of either side onto the grid, and no broadcast of queries
+    assert plan.count("hashpartitioning(cell") == 2 and "SortMergeJoin" in plan
