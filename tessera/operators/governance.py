@@ -23,7 +23,7 @@ by invocation, so nothing leaks from one turn into the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.embed import _let
@@ -139,31 +139,44 @@ def annotate(events: DataFrame, redaction_rules=DEFAULT_RULES,
 
 def tool_summary(events: DataFrame, rows: bool = False) -> DataFrame:
     """(invocation_id, tools_summary ARRAY<STRUCT<name,status>>, tool_calls,
-    tool_errors). Each tool response marks one call: the call with the same
-    ``call_id`` when it has one, else the latest call recorded before it (the
-    reference's rule); the latest response for a call wins; a call without
-    response stays ``requested``.
+    tool_errors). Each tool response marks one call recorded before it: the
+    latest with its ``call_id``, else (no id, or an id no earlier call has) the
+    latest of all, the reference's rule. The latest response for a call wins; a
+    call without response stays ``requested``; a response before any call is
+    dropped. A re-delivered hook (same ``event_id`` within the invocation)
+    counts once, at its first position.
 
     ``rows=True`` returns one row per call instead (invocation_id, call_seq,
     name, status, call_no = running call counter, W5): the form for
-    invocations too large for one array."""
+    invocations too large for one array. Both forms and the per-turn form
+    (:func:`tools_from_events`) follow this rule."""
+    has_id, has_event = "call_id" in events.columns, "event_id" in events.columns
     ev = conform_events(events).where(F.col("hook").isin("before_tool", "after_tool"))
-    ev = running_last(ev, ["invocation_id"], "seq",
-                      F.when(F.col("hook") == "before_tool", F.col("seq")), "_last_call")
+    if has_event:
+        known = ev.where("event_id IS NOT NULL")
+        first = known.groupBy("invocation_id", "event_id").agg(
+            F.min_by(F.struct(*[c for c in ev.columns if c not in ("invocation_id", "event_id")]),
+                     F.struct("seq", "hook")).alias("_e"))
+        ev = first.select("invocation_id", "event_id", "_e.*").unionByName(ev.where("event_id IS NULL"))
+    call_seq = F.when(F.col("hook") == "before_tool", F.col("seq"))
+    ev = running_last(ev, ["invocation_id"], "seq", call_seq, "_last_call")
+    same_id = F.lit(None).cast("bigint")
+    if has_id:
+        # the rows of one id; rows without an id stand alone
+        own = F.when(F.col("call_id").isNull(), F.col("seq"))
+        same_id = F.when(F.col("call_id").isNotNull(), F.last(call_seq, ignorenulls=True).over(
+            Window.partitionBy("invocation_id", "call_id", own).orderBy("seq")))
+    ev = ev.withColumn("_same_id", same_id)
     calls = ev.where(F.col("hook") == "before_tool").select(
-        "invocation_id", F.col("seq").alias("call_seq"), "call_id",
+        "invocation_id", F.col("seq").alias("call_seq"),
         F.coalesce("tool_name", F.lit("")).alias("name"))
-    resp = ev.where(F.col("hook") == "after_tool").select(
-        "invocation_id", F.col("seq").alias("resp_seq"), F.col("call_id").alias("resp_call_id"),
-        "_last_call",
+    resp = (ev.where(F.col("hook") == "after_tool").select(
+        "invocation_id", F.col("seq").alias("resp_seq"),
+        F.coalesce("_same_id", "_last_call").alias("target"),
         F.when(F.col("tool_status") == "error", "error").otherwise("ok").alias("status"))
-    by_id = calls.where(F.col("call_id").isNotNull()).select(
-        "invocation_id", F.col("call_id").alias("resp_call_id"), F.col("call_seq").alias("_id_seq"))
-    resp = (resp.join(by_id, ["invocation_id", "resp_call_id"], "left")
-            .withColumn("target", F.coalesce("_id_seq", "_last_call"))
-            .where(F.col("target").isNotNull())
-            .groupBy("invocation_id", "target")
-            .agg(F.max_by("status", "resp_seq").alias("status")))
+        .where(F.col("target").isNotNull())
+        .groupBy("invocation_id", "target")
+        .agg(F.max_by("status", "resp_seq").alias("status")))
     recs = calls.join(resp, (calls["invocation_id"] == resp["invocation_id"])
                       & (calls["call_seq"] == resp["target"]), "left") \
         .select(calls["invocation_id"], "call_seq", "name",
@@ -247,6 +260,17 @@ def tools_from_events(arr) -> tuple:
     the turn's events are aggregated anyway). Returns (summary, errors)."""
     # every intermediate array is bound once; inlined, it would be built again
     # for each element of the next
+    return _let(first_deliveries(arr), _tools_of)
+
+
+def first_deliveries(arr):
+    """The events of the sorted array ``arr`` without re-deliveries: of equal
+    (non-null) event ids the first."""
+    return _let(F.transform(arr, lambda e: e["event_id"]), lambda ids: F.filter(
+        arr, lambda e, i: e["event_id"].isNull() | (F.array_position(ids, e["event_id"]) == i + 1)))
+
+
+def _tools_of(arr):
     return _let(F.filter(arr, lambda e: e["hook"] == "before_tool"), lambda calls: _let(
         F.filter(arr, lambda e: e["hook"] == "after_tool"),
         lambda resps: _resolved_calls(calls, resps)))
@@ -254,11 +278,10 @@ def tools_from_events(arr) -> tuple:
 
 def _resolved_calls(calls, resps):
     def target(r):
-        by_id = F.get(F.filter(calls, lambda c: c["call_id"].isNotNull()
-                               & (c["call_id"] == r["call_id"])), 0)["seq"]
         prior = F.filter(calls, lambda c: c["seq"] < r["seq"])
-        last = F.get(prior, F.size(prior) - 1)["seq"]
-        return F.coalesce(by_id, last)
+        same = F.filter(prior, lambda c: c["call_id"].isNotNull() & (c["call_id"] == r["call_id"]))
+        return F.coalesce(F.get(same, F.size(same) - 1)["seq"],
+                          F.get(prior, F.size(prior) - 1)["seq"])
 
     resolved = F.transform(resps, lambda r: F.struct(target(r).alias("t"), r["seq"].alias("s"),
                                                      r["status"].alias("status")))
@@ -293,6 +316,7 @@ def assemble_turns(events: DataFrame, redaction_rules=DEFAULT_RULES,
         *turn_aggregates(),
         (F.collect_set(_tool_event()) if dedupe else F.collect_list(_tool_event())).alias("_tools"))
     agg = (agg.withColumn("_tools", F.array_sort("_tools"))
+           .withColumn("_tools", first_deliveries(F.col("_tools")) if dedupe else F.col("_tools"))
            .withColumn("_n_tools", F.size(F.filter("_tools", lambda x: x["hook"] == "before_tool")))
            .withColumn("tools_summary", tools_from_events(F.col("_tools")))
            .withColumn("tool_errors", F.size(F.filter(
@@ -358,26 +382,21 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
         .alias("invocation_id"),
         F.col("conv_id").cast("string").alias("session_id"),
         F.lit("assistant").alias("agent_name"), "turn", "role", "text")
-    base = dict(session_id=F.col("session_id"), agent_name=F.col("agent_name"),
-                invocation_id=F.col("invocation_id"))
-
-    def ev(hook, seq, text=None, cond=None):
-        src = c if cond is None else c.where(cond)
-        return src.select(*[v.alias(k) for k, v in base.items()],
-                          F.lit(hook).alias("hook"), seq.cast("bigint").alias("seq"),
-                          (text if text is not None else F.lit(None).cast("string")).alias("text"))
-
-    user = F.col("role") == "user"
-    parts = [ev("before_agent", F.col("turn") * 10, cond=user),
-             ev("before_model", F.col("turn") * 10 + 1, F.col("text"), cond=user),
-             ev("after_model", F.col("turn") * 10 + 2, F.col("text"), cond=F.col("role") == "assistant")]
-    end = c.groupBy("invocation_id", "session_id", "agent_name").agg(
+    def hook(name, step, text=None):
+        return F.struct(F.lit(name).alias("hook"),
+                        (F.col("turn") * 10 + step).cast("bigint").alias("seq"),
+                        (text if text is not None else F.lit(None).cast("string")).alias("text"))
+
+    # one pass over the rows: the hooks of each, exploded
+    hooks = F.when(F.col("role") == "user", F.array(hook("before_agent", 0),
+                                                    hook("before_model", 1, F.col("text")))) \
+        .when(F.col("role") == "assistant", F.array(hook("after_model", 2, F.col("text"))))
+    base = ["invocation_id", "session_id", "agent_name"]
+    out = c.select(*base, F.explode(hooks).alias("h")).select(*base, "h.*")
+    end = c.groupBy(*base).agg(
         (F.max("turn") * 10 + 9).cast("bigint").alias("seq")).select(
-        "invocation_id", "session_id", "agent_name", F.lit("after_agent").alias("hook"), "seq",
-        F.lit(None).cast("string").alias("text"))
-    out = parts[0]
-    for p in parts[1:] + [end]:
-        out = out.unionByName(p)
+        *base, F.lit("after_agent").alias("hook"), "seq", F.lit(None).cast("string").alias("text"))
+    out = out.unionByName(end)
     return conform_events(out.withColumn("event_id", F.concat_ws(
         ":", "invocation_id", F.col("seq").cast("string"))))
 

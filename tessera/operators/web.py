@@ -235,8 +235,12 @@ def fetch_pages(results: DataFrame, pages: DataFrame, top_n: int = DEFAULT_TOP_P
     # AQE broadcasts the small URL side), so only those pages are cleaned
     # and the big side is never shuffled; then attach pages back to URLs
     wanted = urls.select("url").distinct()
-    pt = (pages.select("url", "html").join(wanted, "url")
-          .select("url", page_text(F.col("html")).alias("ptext")))
+    # a URL stored more than once is read once: the page with the least id
+    # (without ids, the lesser html)
+    first = F.min_by("html", "page_id") if "page_id" in pages.columns else F.min("html")
+    kept = [c for c in ("page_id",) if c in pages.columns]
+    pt = (pages.select("url", "html", *kept).join(wanted, "url").groupBy("url")
+          .agg(first.alias("html")).select("url", page_text(F.col("html")).alias("ptext")))
     blocks = (urls.join(pt, "url", "left")
               .select(key, "pos", "url", page_output(F.col("url"), F.col("ptext"), max_chars)
                       .alias("block")))

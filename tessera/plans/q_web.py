@@ -138,7 +138,8 @@ WITH {_search_sql(SEARCH_RESULTS)}, {_URLS_SQL},
 blocks AS (
   SELECT u.query_id, u.pos, u.url,
          {S.page_output('u.url', 'p.text', MAX_PAGE_CHARS)} AS block
-  FROM urls u LEFT JOIN (SELECT url, {S.page_text('html')} AS text FROM pages) p ON p.url = u.url
+  FROM urls u LEFT JOIN (SELECT url, {S.page_text('html')} AS text
+                        FROM (SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY url)) p ON p.url = u.url
 ),
 bagg AS (
   SELECT query_id, string_agg(url, chr(10) ORDER BY pos) AS urls,
