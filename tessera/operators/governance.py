@@ -46,6 +46,7 @@ HOOK_MESSAGES = (
     ("after_tool", "Tool response"),
 )
 POLICY_MESSAGE = "Policy violation detected"
+REDACTION_MESSAGE = "PII redacted"
 UNKNOWN_STATUS = "unknown"
 REQUESTED = "requested"
 # ----------------------------------------------------------------------------
@@ -332,9 +333,11 @@ def _tool_event():
 
 
 def verbose_rows(events: DataFrame, redaction_rules=DEFAULT_RULES,
-                 guardrail_rules=GUARDRAIL_RULES, classifier=None) -> DataFrame:
+                 guardrail_rules=GUARDRAIL_RULES, classifier=None,
+                 pii_rows: bool = False) -> DataFrame:
     """One log row per hook event (when the verbose flag is on): the
-    hook's label, WARNING for a policy violation."""
+    hook's label, WARNING for a policy violation. ``pii_rows`` adds the row that
+    the redaction step logs for every model request with text."""
     ev = annotate(events, redaction_rules, guardrail_rules, classifier)
     label = F.create_map(*[x for h, m in HOOK_MESSAGES for x in (F.lit(h), F.lit(m))])
     msg = F.when(F.col("_status") == UNSAFE, F.lit(POLICY_MESSAGE)).otherwise(label[F.col("hook")])
@@ -342,11 +345,30 @@ def verbose_rows(events: DataFrame, redaction_rules=DEFAULT_RULES,
     ev = running_sum(ev, ["invocation_id"], "seq",
                      F.when(F.col("hook") == "before_tool", 1).otherwise(0), "tool_retry",
                      tiebreak=["event_id"])
+    row = F.struct(msg.alias("message"), F.when(F.col("_status") == UNSAFE, "WARNING")
+                   .otherwise("INFO").alias("severity"))
+    if pii_rows:
+        pii = F.struct(F.lit(REDACTION_MESSAGE).alias("message"), F.lit("INFO").alias("severity"))
+        ev = ev.withColumn("_row", F.explode(F.when(F.coalesce("_raw", F.lit("")) != "", F.array(pii, row))
+                                             .otherwise(F.array(row))))
+    else:
+        ev = ev.withColumn("_row", row)
     return (ev.where(msg.isNotNull())
             .select("invocation_id", "agent_name", "user_id", "session_id", "seq",
-                    msg.alias("message"),
-                    F.when(F.col("_status") == UNSAFE, "WARNING").otherwise("INFO").alias("severity"),
-                    F.col("tool_name"), "tool_retry"))
+                    "_row.message", "_row.severity", F.col("tool_name"), "tool_retry"))
+
+
+def turn_rates(turns: DataFrame, *by: str) -> DataFrame:
+    """Over the rows of :func:`assemble_turns`, rolled up by ``by``: turns,
+    share blocked, share redacted, tool errors per call (null without calls),
+    tokens."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    calls, errors = F.sum("tool_calls").cast("double"), F.sum("tool_errors").cast("double")
+    return turns.rollup(*by).agg(
+        F.count("*").alias("turns"), share("eval_tags.guardrail_blocked").alias("block_rate"),
+        share("eval_tags.pii_redacted").alias("redaction_rate"),
+        F.when(calls > 0, F.try_divide(errors, calls)).alias("tool_error_rate"),
+        F.sum("token_usage.total_tokens").cast("bigint").alias("tokens"))
 
 
 def log_rows(df: DataFrame, message: str = "message", severity: str = "severity",

@@ -11,6 +11,7 @@ because the next save would then drop every earlier row.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAPPING_SCHEMA = T.StructType([
@@ -42,26 +43,33 @@ def versions(spark: SparkSession, base: str, complete: bool = True) -> list[str]
     return sorted(out)
 
 
-def load_mapping(spark: SparkSession, base: str) -> DataFrame:
+def load_version(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
+    """The newest committed version of a store, empty if it has none."""
     vs = versions(spark, base)
     if not vs:
-        return spark.createDataFrame([], MAPPING_SCHEMA)
+        return spark.createDataFrame([], schema)
     # schema enforced: a version written with other columns fails here
-    df = spark.read.schema(MAPPING_SCHEMA).parquet(f"{base.rstrip('/')}/{vs[-1]}")
-    return df
+    return spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{vs[-1]}")
 
 
-def save_mapping(df: DataFrame, base: str) -> str:
-    """Write ``df`` as the next version; returns its path."""
-    spark = df.sparkSession
+def save_version(df: DataFrame, base: str) -> str:
+    """Write ``df`` as the next version of a store; returns its path."""
     # past any folder, also one a crashed write has left
-    nxt = max((int(v[1:]) for v in versions(spark, base, complete=False)), default=0) + 1
+    nxt = max((int(v[1:]) for v in versions(df.sparkSession, base, complete=False)), default=0) + 1
     path = f"{base.rstrip('/')}/v{nxt:06d}"
-    (df.select([f.name for f in MAPPING_SCHEMA.fields])
-     .write.mode("errorifexists").parquet(path))
+    df.write.mode("errorifexists").parquet(path)
     return path
 
 
+def load_mapping(spark: SparkSession, base: str) -> DataFrame:
+    return load_version(spark, base, MAPPING_SCHEMA)
+
+
+def save_mapping(df: DataFrame, base: str) -> str:
+    """Write ``df`` as the next version; returns its path."""
+    return save_version(df.select([f.name for f in MAPPING_SCHEMA.fields]), base)
+
+
 def export_mapping_json(df: DataFrame, path: str) -> None:
     """JSON export, one object per line: {chunk_id, source, chunk_index,
     text}; non-ASCII kept as is. Written by every task in parallel -- the
@@ -79,6 +87,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _check_parts(spark: SparkSession, base: str, n_parts: int, part) -> None:
+    """The store's number of partitions is kept in it, as the name of an empty
+    file ``_n_parts.N``; a store without one is looked through once."""
+    fs, p, jvm = _fs(spark, base)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    stored = [int(n.split(".")[1]) for n in names if n.startswith("_n_parts.")]
+    if stored:
+        if stored[0] != n_parts:
+            raise ValueError(f"{base} was written with n_parts {stored[0]}, not {n_parts}")
+        return
+    if names:
+        rows = spark.read.schema(PARTITIONED_SCHEMA).parquet(base)
+        if not rows.where(F.col("part") != part).select("part").limit(1).isEmpty():
+            raise ValueError(f"{base} was written with another n_parts than {n_parts}")
+    fs.mkdirs(p)
+    fs.createNewFile(jvm.org.apache.hadoop.fs.Path(p, f"_n_parts.{n_parts}"))
+
+
 def upsert_partitioned(new: DataFrame, base: str, n_parts: int = 256,
                        prune_stale: bool = False) -> list[int]:
     """Keyed upsert (by ``chunk_id``) into a mapping table partitioned by
@@ -89,8 +115,6 @@ def upsert_partitioned(new: DataFrame, base: str, n_parts: int = 256,
     The merged partitions are first staged in the shared checkpoint folder
     (a path cannot be overwritten by a job that reads it). Returns the
     partitions rewritten."""
-    from pyspark.sql import functions as F
-
     from ..operators.upsert import merge
     from ..session import staging_path
 
@@ -98,14 +122,9 @@ def upsert_partitioned(new: DataFrame, base: str, n_parts: int = 256,
     cols = [f.name for f in MAPPING_SCHEMA.fields]
     part = F.pmod(F.xxhash64("source"), F.lit(n_parts)).cast("int")
     new_p = new.select(*cols).withColumn("part", part)
-    if _exists(spark, base):
-        # a store dealt over another number of partitions shows in any row
-        odd = spark.read.schema(PARTITIONED_SCHEMA).parquet(base).select("source", "part") \
-            .limit(100).where(F.col("part") != part)
-        if not odd.isEmpty():
-            raise ValueError(f"{base} was written with another n_parts than {n_parts}")
+    _check_parts(spark, base, n_parts, part)
     touched = sorted(r["part"] for r in new_p.select("part").distinct().collect())  # <= n_parts
-    if _exists(spark, base):
+    if touched:
         old = (spark.read.schema(PARTITIONED_SCHEMA).parquet(base)
                .where(F.col("part").isin(touched)))                  # partition pruning
         merged = merge(old, new_p, prune_stale=prune_stale)
@@ -124,20 +143,47 @@ def upsert_partitioned(new: DataFrame, base: str, n_parts: int = 256,
     return touched
 
 
-def save_datapoints(new: DataFrame, path: str, key: str = "datapoint_id") -> None:
+def _swapped(spark: SparkSession, path: str):
+    """(fs, path, old, next): the places of a table that is replaced whole. A
+    swap cut short is mended: the old rows return unless the new are in place."""
+    fs, p, jvm = _fs(spark, path.rstrip("/"))
+    beside = [jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{p.getName()}.{x}") for x in ("old", "next")]
+    if fs.exists(beside[0]):
+        if fs.exists(p):
+            fs.delete(beside[0], True)
+        else:
+            fs.rename(beside[0], p)
+    return fs, p, *beside
+
+
+def load_datapoints(spark: SparkSession, path: str) -> DataFrame | None:
+    """The datapoint table, also after a replacement that was cut short; None if
+    there is none."""
+    fs, p, _, _ = _swapped(spark, path)
+    return spark.read.parquet(path) if fs.exists(p) else None
+
+
+def save_datapoints(new: DataFrame, path: str, key: str = "datapoint_id",
+                    drop: DataFrame | None = None) -> None:
     """Insert or replace datapoints by id: the rows of ``new`` (one of each id)
-    take the place of stored ones. Staged, since a table that is read cannot
-    be overwritten by the same job."""
+    take the place of stored ones; those whose id is in ``drop`` go. The next
+    table is written beside the stored one, then both are renamed, so that at
+    every moment one of them is whole."""
     from ..operators.upsert import merge
-    from ..session import staging_path
 
     spark = new.sparkSession
     new = new.dropDuplicates([key])
-    if _exists(spark, path):
-        new = merge(spark.read.parquet(path), new, key=key)
-    stage = staging_path(spark, "datapoints")
-    new.write.parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").parquet(path)
+    stored = load_datapoints(spark, path)
+    if stored is not None:
+        if drop is not None:
+            stored = stored.join(drop.select(key), key, "left_anti").select(stored.columns)
+        new = merge(stored, new, key=key)
+    fs, p, old, nxt = _swapped(spark, path)
+    new.write.mode("overwrite").parquet(nxt.toString())
+    if fs.exists(p):
+        fs.rename(p, old)
+    fs.rename(nxt, p)
+    fs.delete(old, True)
 
 
 def load_partitioned(spark: SparkSession, base: str) -> DataFrame:
