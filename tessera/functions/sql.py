@@ -4,7 +4,9 @@ the same JVM-side expressions -- no Python UDF or UDTF. Bodies are built from
 the same fixed values as the Column functions and are tested against them.
 
     register_sql_functions(spark)
-    spark.sql("SELECT explode(tessera_chunks(text, 1000, 100)) FROM documents")
+    spark.sql("SELECT explode(parts) FROM (SELECT tessera_chunks(text, 1000, 100) AS parts FROM documents)")
+
+(Spark takes no SQL function inside a generator, hence the subquery.)
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ DEFAULT_UPLOAD_FOLDER = "DEV/"
 PDF_TYPE = "application/pdf"
 NO_ATTACHMENT = "No file found in the current message. Please upload a file and try again."
 LISTING_MESSAGE = "Found %d file(s) and %d folder(s) in bucket '%s'"
+DETAILS_MESSAGE = "Successfully retrieved details and %d file(s) for bucket '%s'"
 LISTING_PREFIX_SUFFIX = " with prefix '%s'"
 UPLOAD_MESSAGE = "Successfully uploaded file to gs://%s/"
 # ----------------------------------------------------------------------------
@@ -149,6 +150,20 @@ def bucket_summary(objects: DataFrame) -> DataFrame:
             .withColumn("self_link", F.concat(F.lit(PUBLIC_URL_BASE), F.col("bucket"))))
 
 
+def bucket_details(buckets: DataFrame, objects: DataFrame, bucket: str) -> tuple[DataFrame, DataFrame]:
+    """A2/C6 of one bucket: (details, files). Details is one row with every
+    column of the bucket table (id, location, storage class, versioning, labels,
+    etag, ...), times in ISO form, the self link, the file count and the
+    message; a bucket that does not exist gives no row. Files are the rows
+    of :func:`object_rows`, not one array."""
+    files = object_rows(objects.where(F.col("bucket") == F.lit(bucket)))
+    n = files.agg(F.count("*")).scalar()
+    row = buckets.where(F.col("name") == F.lit(bucket)).select(
+        *[iso(F.col(c)).alias(c) if c in ("created", "updated") else F.col(c) for c in buckets.columns],
+        F.lit(PUBLIC_URL_BASE + bucket).alias("self_link"), n.alias("file_count"))
+    return row.withColumn("message", F.format_string(DETAILS_MESSAGE, "file_count", F.lit(bucket))), files
+
+
 def list_buckets(buckets: DataFrame, prefix: str | None = None,
                  max_results: int | None = DEFAULT_MAX_BUCKETS) -> DataFrame:
     """A3 over a bucket table (name, location, storage_class, created,

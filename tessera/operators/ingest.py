@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embed import DEFAULT_DIM, dense_vector, with_sparse_tf
+from ..functions.embed import DEFAULT_DIM, dense_vector, embed_with, with_sparse_tf
 from ..functions.text import DEFAULT_CHUNK_CHARS, DEFAULT_CHUNK_OVERLAP, clean_text
 from ..sources.files import decode_text, extract_pages, pages_to_text, read_corpus
 from ..sources.mapping import load_mapping, save_datapoints, save_mapping, upsert_partitioned
@@ -45,18 +45,26 @@ def texts_from_files(spark: SparkSession, root: str, extractor=None) -> DataFram
 
 def plan_ingest(texts: DataFrame, prefix: str, existing: DataFrame | None = None, *,
                 chunk: int = DEFAULT_CHUNK_CHARS, overlap: int = DEFAULT_CHUNK_OVERLAP,
-                dim: int = DEFAULT_DIM, prune_stale: bool = False) -> IngestPlan:
-    """``texts``: (uri, text), one row per object found under ``prefix``."""
+                dim: int = DEFAULT_DIM, prune_stale: bool = False, embedder=None) -> IngestPlan:
+    """``texts``: (uri, text), one row per object found under ``prefix``.
+    ``embedder`` (a pandas UDF, text -> vector) replaces the hashed vectors."""
     chunks = chunk_table(texts, "uri", "text", prefix, chunk, overlap)
-    vecs = with_sparse_tf(chunks, "text", dim)
-    vecs = vecs.withColumn("feature_vector",
-                           dense_vector(F.col("buckets"), F.col("tfs"), F.col("ss"), dim))
+    vecs = chunk_vectors(chunks, dim, embedder)
     dps = datapoints(vecs)
     new_map = chunks.select("chunk_id", "source", "chunk_index", "text")
     mapping = new_map if existing is None else merge(existing, new_map, prune_stale=prune_stale)
     return IngestPlan(chunks, vecs, dps, mapping, ingest_summary(texts, chunks))
 
 
+def chunk_vectors(chunks: DataFrame, dim: int = DEFAULT_DIM, embedder=None) -> DataFrame:
+    """Chunks with their ``feature_vector``: of the ``embedder``, else hashed
+    (then with buckets, tfs, ss too)."""
+    if embedder is not None:
+        return embed_with(chunks, "text", "feature_vector", embedder)
+    return with_sparse_tf(chunks, "text", dim).withColumn(
+        "feature_vector", dense_vector(F.col("buckets"), F.col("tfs"), F.col("ss"), dim))
+
+
 def ingest_summary(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row (files_found, files_without_text, chunks)."""
     per_file = texts.select("uri", F.length(clean_text(F.col("text"))).alias("n"))
@@ -97,8 +105,5 @@ def run_ingest(spark: SparkSession, texts: DataFrame, prefix: str, mapping_store
         path = save_mapping(merged.observe(obs, F.count(F.lit(1)).alias("rows")), mapping_store)
         summary["mapping_rows"] = int(obs.get["rows"])
     if datapoint_path:
-        vecs = with_sparse_tf(chunks, "text", dim)
-        vecs = vecs.withColumn("feature_vector", dense_vector(
-            F.col("buckets"), F.col("tfs"), F.col("ss"), dim))
-        save_datapoints(datapoints(vecs), datapoint_path)
+        save_datapoints(datapoints(chunk_vectors(chunks, dim, kw.get("embedder"))), datapoint_path)
     return {**summary, "written": path}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.embed import DEFAULT_DIM, with_sparse_tf
+from ..functions.embed import DEFAULT_DIM, embed_with, with_sparse_tf
 from .knn import topk_sparse
 
 # --- fixed values -----------------------------------------------------------
@@ -23,14 +23,27 @@ CONTENT_NAMESPACE = "content"
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, *,
              dim: int = DEFAULT_DIM, query_id: str = "query_id",
-             query_text: str = "text", method: str = "auto") -> DataFrame:
+             query_text: str = "text", method: str = "auto", embedder=None) -> DataFrame:
     """Hits table: (query_id, rank, chunk_id, source, chunk_index, score,
     text). ``chunks`` is (chunk_id, source, chunk_index, text), optionally
     with stored ``buckets, tfs, ss`` vectors (computed with the same
-    ``dim``), which are then used as they are."""
+    ``dim``), which are then used as they are. With an ``embedder`` (a pandas
+    UDF, text -> vector of unit length) queries are embedded by it and ranked
+    by dot product with the chunks' ``feature_vector``, or with its vectors of
+    their texts where the table stores none."""
+    base = ["chunk_id", "source", "chunk_index", "text"]
+    if embedder is not None:
+        from .knn import topk_dense
+        c = chunks if "feature_vector" in chunks.columns else \
+            embed_with(chunks.select(*base), "text", "feature_vector", embedder)
+        top = topk_dense(embed_with(queries.select(query_id, F.col(query_text).alias("_qt")),
+                                    "_qt", "_v", embedder),
+                         c.select("chunk_id", F.col("feature_vector").alias("_v")), k,
+                         query_id=query_id, cand_id="chunk_id", vec="_v")
+        return top.join(chunks.select(*base), "chunk_id").select(
+            query_id, "rank", "chunk_id", "source", "chunk_index", "score", "text")
     q = with_sparse_tf(queries.select(query_id, F.col(query_text).alias("_qt")),
                        "_qt", dim).drop("_qt")
-    base = ["chunk_id", "source", "chunk_index", "text"]
     if {"buckets", "tfs", "ss"} <= set(chunks.columns):
         # a stored vector table (e.g. the ingest output): vectors are reused
         c = chunks.select(*base, "buckets", "tfs", "ss")

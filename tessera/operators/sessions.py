@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.embed import DEFAULT_DIM, with_sparse_tf
+from ..functions.embed import DEFAULT_DIM, embed_with, with_sparse_tf
 from ..functions.ids import namespace_hex, uuid5
 from ..functions.policy import DEFAULT_RULES, redaction
 
@@ -137,11 +137,11 @@ def session_time(cols: dict[str, Column | tuple[Column, Column]]) -> Column:
 
 def memory_rows(turns: DataFrame, app_name: str, *, user: str = "user_id",
                 session: str = "session_id", seq: str = "seq", text: str = "text",
-                rules=DEFAULT_RULES, dim: int = DEFAULT_DIM) -> DataFrame:
+                rules=DEFAULT_RULES, dim: int = DEFAULT_DIM, embedder=None) -> DataFrame:
     """One memory per user turn of the given sessions: the redacted
     text, a deterministic id (UUIDv5 of ``session:seq`` in the app's
     namespace, so re-ingesting a session replaces its memories) and its
-    hashed vector."""
+    hashed vector, or as ``feature_vector`` that of the ``embedder``."""
     ns = namespace_hex(MEMORY_PREFIX + app_name)
     red, _ = redaction(F.col(text), rules)
     m = turns.select(
@@ -151,12 +151,14 @@ def memory_rows(turns: DataFrame, app_name: str, *, user: str = "user_id",
     m = m.where(F.coalesce("text", F.lit("")) != "")
     m = m.withColumn("memory_id", uuid5(ns, F.concat_ws(":", "session_id",
                                                          F.col("seq").cast("string"))))
+    if embedder is not None:
+        return embed_with(m, "text", "feature_vector", embedder)
     return with_sparse_tf(m, "text", dim)
 
 
 def ingest_memory(session_events: DataFrame, app_name: str, top: int = MAX_SESSIONS,
                   existing: DataFrame | None = None, rules=DEFAULT_RULES,
-                  dim: int = DEFAULT_DIM) -> tuple[DataFrame, DataFrame]:
+                  dim: int = DEFAULT_DIM, embedder=None) -> tuple[DataFrame, DataFrame]:
     """Move each user's ``top`` most recent sessions into long-term
     memory. ``session_events`` is (user_id, session_id, seq, role, text,
     ts). Sessions are ranked by their last event (T3), joined back to their
@@ -170,7 +172,7 @@ def ingest_memory(session_events: DataFrame, app_name: str, top: int = MAX_SESSI
         "user_id", "session_id")
     turns = (session_events.join(chosen, ["user_id", "session_id"])
              .where(F.col("role") == "user"))
-    new = memory_rows(turns, app_name, rules=rules, dim=dim)
+    new = memory_rows(turns, app_name, rules=rules, dim=dim, embedder=embedder)
     counts = memory_counts(new)
     if existing is not None:
         new = merge(existing.select(*new.columns), new, key="memory_id")

@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embed import DEFAULT_DIM, dense_vector, with_sparse_tf
+from ..functions.embed import DEFAULT_DIM
 from ..operators.chunking import chunk_table
+from ..operators.ingest import chunk_vectors
 from ..operators.upsert import datapoints, merge
 from ..session import checkpoint_dir
 from ..sources.files import DEFAULT_EXTENSIONS, _ext_pattern, decode_text, extract_pages, pages_to_text
@@ -38,7 +39,8 @@ def file_stream(spark: SparkSession, root: str,
 
 
 def sync_corpus(spark: SparkSession, root: str, prefix: str, mapping_store: str, manifest: str,
-                datapoint_path: str | None = None, extractor=None, dim: int = DEFAULT_DIM) -> dict:
+                datapoint_path: str | None = None, extractor=None, dim: int = DEFAULT_DIM,
+                embedder=None) -> dict:
     """Bring the mapping (and datapoints) up to date with the objects below
     ``root``. Returns the numbers of objects new, changed and deleted. Nothing
     is written when there are none; the manifest is saved last, so a step that
@@ -61,9 +63,7 @@ def sync_corpus(spark: SparkSession, root: str, prefix: str, mapping_store: str,
     kept = stored.join(changed.select(F.col("uri").alias("source")), "source", "left_anti")
     new = chunks.select("chunk_id", "source", "chunk_index", "text")
     if datapoint_path:
-        vecs = with_sparse_tf(chunks, "text", dim).withColumn("feature_vector", dense_vector(
-            F.col("buckets"), F.col("tfs"), F.col("ss"), dim))
-        save_datapoints(datapoints(vecs), datapoint_path, drop=gone)
+        save_datapoints(datapoints(chunk_vectors(chunks, dim, embedder)), datapoint_path, drop=gone)
     save_mapping(kept.select(new.columns).unionByName(new), mapping_store)
     save_manifest(following, manifest)
     return summary
