@@ -292,43 +292,12 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
     spark = queries.sparkSession
     nlist, d = centroids.shape
     nprobe = max(1, min(nprobe, nlist))
-    cent_t = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in centroids])
-    half_sq = F.array(*[F.lit(0.5 * float(np.dot(row, row))) for row in centroids])
-    # probes: the cells whose centroid is nearest in Euclidean distance (the
-    # metric KMeans assigned with): argmax q.c - |c|^2 / 2, per row
-    q = queries.select(F.col(query_id), F.col(vec).alias("_qv"))
-    q = q.withColumn("_sims", F.zip_with(F.transform(cent_t, lambda cvec: F.aggregate(
-        F.zip_with(cvec, F.col("_qv"), lambda a, b: a * b.cast("double")),
-        F.lit(0.0), lambda acc, x: acc + x)), half_sq, lambda dot, h: dot - h))
-    q = q.withColumn("_cells", F.slice(F.transform(
-        F.array_sort(F.transform(F.col("_sims"), lambda s, i: F.struct(
-            (-s).alias("neg"), i.alias("cell")))), lambda st: st["cell"]),
-        1, nprobe))
+    q = probe_cells(queries, centroids, nprobe, query_id, vec)
     probes = q.select(query_id, "_qv", F.explode("_cells").alias("cell"))
-
-    sizes = {int(r["cell"]): int(r["count"]) for r in assigned.groupBy("cell").count().collect()}
-    n_probes = {int(r["cell"]): int(r["count"]) for r in probes.groupBy("cell").count().collect()}
-    c_salts = {c: (salts or max(1, math.ceil(n / rows_per_group))) for c, n in sizes.items()}
-    q_salts = {c: max(1, math.ceil(n / queries_per_group)) for c, n in n_probes.items()}
-
-    def salt_map(m):
-        if not m:
-            return F.create_map().cast("map<int,int>")
-        return F.create_map(*[x for c, v in m.items() for x in (F.lit(c), F.lit(v))])
-
-    nc = F.coalesce(salt_map(c_salts)[F.col("cell")], F.lit(1))
-    nq = F.coalesce(salt_map(q_salts)[F.col("cell")], F.lit(1))
-    # the salt keys must have the same type on both cogrouped sides
-    cands = (assigned.withColumn("c_salt", F.pmod(F.xxhash64(cand_id), nc).cast("int"))
-             .withColumn("q_salt", F.explode(F.sequence(F.lit(0), (nq - 1).cast("int")))))
-    probes = (probes.withColumn("q_salt", F.pmod(F.xxhash64(query_id), nq).cast("int"))
-              .withColumn("c_salt", F.explode(F.sequence(F.lit(0), (nc - 1).cast("int")))))
     margin = _rounding_margin(score_digits)
-    qtype = queries.schema[query_id].dataType
     out_schema = T.StructType([
-        T.StructField(query_id, qtype), assigned.schema[cand_id],
+        T.StructField(query_id, queries.schema[query_id].dataType), assigned.schema[cand_id],
         T.StructField("raw", T.DoubleType())])
-    q_block = 256
 
     def score_group(key, qpdf, cpdf):
         if len(qpdf) == 0 or len(cpdf) == 0:
@@ -336,8 +305,8 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
         C = np.stack(cpdf[vec].to_numpy()).astype(np.float64)
         cids = cpdf[cand_id].to_numpy()
         outs = []
-        for lo in range(0, len(qpdf), q_block):      # bounded score blocks
-            part = qpdf.iloc[lo:lo + q_block]
+        for lo in range(0, len(qpdf), QUERY_BLOCK):      # bounded score blocks
+            part = qpdf.iloc[lo:lo + QUERY_BLOCK]
             Q = np.stack(part["_qv"].to_numpy()).astype(np.float64)
             qids = part[query_id].to_numpy()
             S = C @ Q.T
@@ -350,9 +319,8 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
                              cand_id: np.concatenate([o[1] for o in outs]),
                              "raw": np.concatenate([o[2] for o in outs])})
 
-    keys = ("cell", "c_salt", "q_salt")
-    scored = (probes.groupBy(*keys).cogroup(cands.groupBy(*keys))
-              .applyInPandas(score_group, out_schema))
+    scored, sizes = cell_groups(probes, assigned, query_id, cand_id, score_group, out_schema,
+                                salts, rows_per_group, queries_per_group)
     # candidates each query was compared with, from the cell sizes
     cell_sizes = spark.createDataFrame([(c, n) for c, n in sizes.items()], "cell int, n long")
     scored_counts = (q.select(query_id, F.explode("_cells").alias("cell"))
@@ -362,3 +330,55 @@ def topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray,
                        query_id, cand_id, k)
            .drop("raw"))
     return top.join(scored_counts, query_id, "left")
+
+
+QUERY_BLOCK = 256
+
+
+def probe_cells(queries: DataFrame, centroids: np.ndarray, nprobe: int, query_id: str,
+                vec: str) -> DataFrame:
+    """(query_id, _qv, _cells): the ``nprobe`` cells whose centroid is nearest
+    in Euclidean distance, the metric the cells were made with. The centroids (a
+    bounded matrix) travel in the task closure."""
+    half = 0.5 * (centroids * centroids).sum(1)
+    q = queries.select(F.col(query_id), F.col(vec).alias("_qv")).where("_qv IS NOT NULL")
+    schema = T.StructType([*q.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            Q = np.asarray(b.column("_qv").flatten(), np.float64).reshape(b.num_rows, -1)
+            best = np.argsort(half - Q @ centroids.T, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+            cells = pa.ListArray.from_arrays(
+                pa.array(np.arange(b.num_rows + 1) * best.shape[1], pa.int32()), pa.array(best.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, cells], schema.names)
+
+    return q.mapInArrow(run, schema)
+
+
+def cell_groups(probes: DataFrame, assigned: DataFrame, query_id: str, cand_id: str, score_group,
+                out_schema: T.StructType, salts: int | None = None, rows_per_group: int = 20_000,
+                queries_per_group: int = 2_000) -> tuple[DataFrame, dict[int, int]]:
+    """``score_group(key, queries, candidates)`` of every bounded group of probing
+    queries and candidates of a cell, and the cell sizes."""
+    sizes = {int(r["cell"]): int(r["count"]) for r in assigned.groupBy("cell").count().collect()}
+    n_probes = {int(r["cell"]): int(r["count"]) for r in probes.groupBy("cell").count().collect()}
+    c_salts = {c: (salts or max(1, math.ceil(n / rows_per_group))) for c, n in sizes.items()}
+    q_salts = {c: max(1, math.ceil(n / queries_per_group)) for c, n in n_probes.items()}
+
+    def salt_map(m):
+        if not m:
+            return F.create_map().cast("map<int,int>")
+        return F.create_map(*[x for c, v in m.items() for x in (F.lit(c), F.lit(v))])
+
+    nc = F.coalesce(salt_map(c_salts)[F.col("cell")], F.lit(1))
+    nq = F.coalesce(salt_map(q_salts)[F.col("cell")], F.lit(1))
+    # the salt keys must have the same type on both cogrouped sides
+    cands = (assigned.withColumn("c_salt", F.pmod(F.xxhash64(cand_id), nc).cast("int"))
+             .withColumn("q_salt", F.explode(F.sequence(F.lit(0), (nq - 1).cast("int")))))
+    probes = (probes.withColumn("q_salt", F.pmod(F.xxhash64(query_id), nq).cast("int"))
+              .withColumn("c_salt", F.explode(F.sequence(F.lit(0), (nc - 1).cast("int")))))
+    keys = ("cell", "c_salt", "q_salt")
+    return (probes.groupBy(*keys).cogroup(cands.groupBy(*keys))
+            .applyInPandas(score_group, out_schema)), sizes

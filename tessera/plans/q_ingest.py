@@ -230,19 +230,39 @@ def q_ingest_summary(spark, sf_dir):
     return plan_ingest(texts, CORPUS_PREFIX).summary
 
 
-# --- approximate k-NN (rows-only check; recall is tested against exact) -----
-IVF_CELLS = 20
-IVF_PROBES = 8
+# --- approximate k-NN -------------------------------------------------------
+# Share of the cells probed and of the vectors read exactly per query.
+PQ_PROBES = 0.75
+PQ_RERANK = 0.1
 
 
 @query("knn_approx")
 def q_knn_approx(spark, sf_dir):
-    """IVF approximate k-NN graph of ``embeddings`` (20 KMeans cells, 8
-    probed per query): (query_id, neighbor_id, score, rank, scored)."""
-    from ..operators.knn import ivf_index, topk_ivf
+    """Approximate k-NN graph of ``embeddings`` by product-quantised codes
+    with exact re-ranking (rows-only check; recall is tested against exact):
+    (query_id, neighbor_id, score, rank)."""
+    from ..operators import pq
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    assigned, cent = ivf_index(e, cand_id="vec_id", vec="embedding", nlist=IVF_CELLS)
-    top = topk_ivf(e.select(F.col("vec_id").alias("query_id"), "embedding"), assigned, cent,
-                   5, IVF_PROBES, exclude_self=True)
+    model = pq.train(e)
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    top = pq.search(q, e, pq.index(e, model), model, 5, max(1, int(PQ_PROBES * len(model.centroids))),
+                    max(50, int(PQ_RERANK * e.count())), exclude_self=True)
     return top.select("query_id", F.col("vec_id").alias("neighbor_id"), "score",
-                      F.col("rank").cast("int").alias("rank"), "scored")
+                      F.col("rank").cast("int").alias("rank"))
+
+
+@query("knn_reranked", sql="""
+SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+       round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score,
+       CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(
+            CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) DESC, c.vec_id) AS INTEGER) AS rank
+FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id QUALIFY rank <= 5""")
+def q_knn_reranked(spark, sf_dir):
+    """T7's exact re-ranking, over candidates given by an equal label."""
+    from ..operators.pq import reranked
+    e = read_table(spark, sf_dir, "embeddings")
+    pairs = e.select(F.col("vec_id").alias("query_id"), "label").join(e.select("vec_id", "label"), "label") \
+        .where("query_id <> vec_id").select("query_id", "vec_id")
+    top = reranked(pairs, e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 5)
+    return top.select("query_id", F.col("vec_id").alias("neighbor_id"), "score",
+                      F.col("rank").cast("int").alias("rank"))
