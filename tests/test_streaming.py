@@ -131,3 +131,85 @@ def test_ingest_stream_partitioned(spark, scratch):
     open(f"{root}/two.txt", "w").write("beta " * 10)
     start_ingest_stream(spark, root, "gs://c/", store, checkpoint=ck, partitioned=True).awaitTermination()
     assert load_partitioned(spark, store).count() == 4
+
+
+def test_pause_timer_and_events_without_invocation(spark, scratch):
+    """Over several micro-batches: a turn with a pause of two hours is one row,
+    a turn without an end is an error row by the timer, and events without an
+    invocation id are one error row each; all equal to the batch."""
+    import time
+
+    from tessera.operators.governance import ERROR_MESSAGE
+    from tessera.streaming.turns import start_turns_at_end_hook
+    batches = [
+        [ev("p", 1, "before_model", "begin", minute=0), ev("p", 2, "after_model", "part one", minute=1),
+         ev("n", 1, "before_model", "never ends", minute=0),
+         *[dict(ev(None, k, "before_model", f"orphan {k}", minute=0), event_id=None) for k in range(3)]],
+        [ev("p", 3, "after_model", "part two", minute=100), ev("p", 4, "after_agent", minute=101)],
+        [ev("o", 1, "before_model", "later", minute=900), ev("o", 2, "after_agent", minute=900)],
+        [ev("o2", 1, "before_model", "later", minute=901), ev("o2", 2, "after_agent", minute=901)]]
+    schema = spark.createDataFrame(batches[0], SCHEMA).schema
+    q = start_turns_at_end_hook(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/ev/*"),
+        f"{scratch}/out", f"{scratch}/ck", timeout_ms=200 * 60 * 1000)
+    try:
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{scratch}/ev/{i}")
+            q.processAllAvailable()
+        end = time.time() + 30
+        while True:
+            got = spark.read.parquet(f"{scratch}/out").collect()
+            if len(got) == 7 or time.time() > end:
+                break
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    every = spark.createDataFrame([r for b in batches for r in b], SCHEMA)
+    cols = ["invocation_id", "message", "error", "request", "response", "severity"]
+    want = sorted((tuple(r[c] for c in cols) for r in assemble_turns(every).collect()), key=repr)
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=repr) == want
+    errors = [r for r in got if r.message == ERROR_MESSAGE]
+    assert sorted(str(r.invocation_id) for r in errors) == ["None", "None", "None", "n"]
+    assert next(r for r in got if r.invocation_id == "p").response == "part two"
+
+
+def test_windowed_stream_gives_each_orphan_a_row(spark, scratch):
+    rows = [dict(ev(None, k, "before_model", f"orphan {k}"), event_id=None) for k in range(4)]
+    rows.append(ev("flush", 1, "before_model", "later", minute=900))
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{scratch}/ev")
+    _run_to_memory(stream_turns(spark.readStream.schema(df.schema).parquet(f"{scratch}/ev")), "orphan_out", scratch)
+    got = spark.table("orphan_out").where("invocation_id IS NULL").collect()
+    assert len(got) == 4 and {r.error for r in got} == {"missing invocation_id"}
+
+
+def test_late_hooks_are_logged(spark, scratch):
+    import json
+    import time
+
+    from tessera.streaming.turns import LateHooks
+    on_time = [ev("a", 1, "before_model", "hi", minute=0), ev("a", 3, "after_agent", minute=0),
+               ev("z", 1, "before_model", "later", minute=120)]
+    late = [ev("a", 4, "after_model", "LATE", minute=0), ev("a", 5, "after_model", "LATER", minute=0)]
+    schema = spark.createDataFrame(on_time, SCHEMA).schema
+    listener = LateHooks(spark, f"{scratch}/log", ("late_log",))
+    spark.streams.addListener(listener)
+    try:
+        spark.createDataFrame(on_time, SCHEMA).coalesce(1).write.parquet(f"{scratch}/ev/1")
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/ev/*")
+        q = (stream_turns(s).writeStream.format("memory").queryName("late_log").outputMode("append")
+             .option("checkpointLocation", f"{scratch}/ck").start())
+        q.processAllAvailable()
+        spark.createDataFrame(late, SCHEMA).coalesce(1).write.parquet(f"{scratch}/ev/2")
+        q.processAllAvailable()
+        end = time.time() + 30
+        while not listener.total and time.time() < end:
+            time.sleep(0.2)
+        time.sleep(2)
+        q.stop()
+    finally:
+        spark.streams.removeListener(listener)
+    rows = spark.read.json(f"{scratch}/log").collect()
+    assert {(r.severity, r.message) for r in rows} == {("WARNING", "Late hooks dropped")}
+    counts = [json.loads(r.custom) for r in rows]
+    assert sum(c["dropped"] for c in counts) == listener.total == 2 and counts[0]["query"] == "late_log"
