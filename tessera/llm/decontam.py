@@ -38,6 +38,7 @@ are kept by ``clean`` and not read by ``hits``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,12 +46,15 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .base import LETTER, Words, run_hashes, slices
+from .base import LETTER, Words, run_hashes, slices, staged
 
 TERMS, RANK, COMMON = 4096, 64, 8
 PASSAGE, BLOCK = 128, 8
 ITEMS = 4096
+CELLS = 1 << 22                  # of an alignment table built as a whole
 CLOSE = 0.75
 RUN = 13                         # words in a row that are a copy by themselves
 _WORD = LETTER.copy()
@@ -364,12 +368,30 @@ def _common_subsequence(q: np.ndarray, text: np.ndarray, span: int) -> np.ndarra
         hit = np.concatenate([[0], np.cumsum(np.isin(text, q))])
         lo = int((hit[span:] - hit[:-span]).argmax())
         text = text[lo:lo + span]
+    return _aligned(q, text)
+
+
+def _lengths(q: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Lengths of the common subsequences of ``q`` and all prefixes of ``text``."""
+    best = np.zeros(len(text) + 1, np.int32)
+    for word in q:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (text == word)))
+    return best
+
+
+def _aligned(q: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Words of ``q`` (indices) in a longest common subsequence. A table of more
+    than ``CELLS`` cells is not built: both halves of ``q`` are aligned with the
+    parts of the text where their lengths add up to the most."""
     m, n = len(q), len(text)
+    if m > 1 and m * n > CELLS:
+        h = m // 2
+        k = int((_lengths(q[:h], text) + _lengths(q[h:][::-1], text[::-1])[::-1]).argmax())
+        return np.concatenate([_aligned(q[:h], text[:k]), h + _aligned(q[h:], text[k:])])
     best = np.zeros((m + 1, n + 1), np.int32)
-    same = q[:, None] == text[None, :]
     for i in range(m):
         best[i + 1, 1:] = np.maximum.accumulate(
-            np.maximum(best[i, 1:], best[i, :-1] + same[i]))
+            np.maximum(best[i, 1:], best[i, :-1] + (q[i] == text)))
     out, i, j = [], m, n
     while i and j:
         if best[i, j] == best[i - 1, j]:
@@ -384,55 +406,73 @@ def _common_subsequence(q: np.ndarray, text: np.ndarray, span: int) -> np.ndarra
 
 def query_blocks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35,
                  share: float = 0.6, least: int = 8, text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text") -> list[Queries]:
-    """Fit on all documents; the items in blocks of ``ITEMS``."""
+                 item_col: str = "item_id", item_text: str = "text") -> Iterator[Queries]:
+    """Fit on all documents; the items in blocks of ``ITEMS``, made one after
+    the other (at least one block, if an empty one)."""
     idf = inverse_frequencies(docs, text_col)
     space = latent_space(docs, idf, text_col)
-    out, ids, words = [], [], []
+    ids, words, any_block = [], [], False
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")) \
             .where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
         h = ItemWords(pa.array([r["t"]])).hashes()
+        if len(ids) == ITEMS:
+            yield Queries(ids, words, idf, space, cosine, share, least)
+            ids, words, any_block = [], [], True
         if len(h):
             ids.append(r["i"]), words.append(h)
-        if len(ids) == ITEMS:
-            out.append(Queries(ids, words, idf, space, cosine, share, least))
-            ids, words = [], []
-    return [*out, Queries(ids, words, idf, space, cosine, share, least)] if ids or not out else out
+    if ids or not any_block:
+        yield Queries(ids, words, idf, space, cosine, share, least)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", **kw) -> DataFrame:
-    """One row per (document, benchmark item) confirmed: id_col, item_col,
-    cosine, lcs (share of the item's words), answer (share of its weight)."""
-    blocks = query_blocks(docs, benchmark, text_col=text_col, item_col=item_col, **kw)
+    """One row per (document, benchmark item) confirmed: id_col, item_col (their
+    types kept), cosine, lcs (share of the item's words), answer (share of its
+    weight). One scan per block of items, whose closure holds that block
+    alone; the hits of more than one block are staged as they come."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def searched(batches):
-        for b in slices(batches, "text", 2 << 20):
-            ids = b.column("id")
-            for q in blocks:
+    schema = StructType([
+        StructField(id_col, docs.schema[id_col].dataType),
+        StructField(item_col, benchmark.schema[item_col].dataType),
+        *(StructField(c, DoubleType()) for c in ("cosine", "lcs", "answer"))])
+
+    def scan(q: Queries) -> DataFrame:
+        def searched(batches):
+            kind = to_arrow_type(schema[1].dataType)
+            for b in slices(batches, "text", 2 << 20):
+                ids = b.column("id")
                 found = list(q.confirmed(b.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array([f[0] for f in found], pa.int64())),
-                     pa.array([q.ids[f[1]] for f in found], pa.int64()),
+                     pa.array([q.ids[f[1]] for f in found], kind),
                      *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4))],
-                    ["id", "item", "cosine", "lcs", "answer"])
+                    schema.names)
+        return rows.mapInArrow(searched, schema)
 
-    return rows.mapInArrow(searched, f"id {rows.schema['id'].dataType.simpleString()}, "
-                           "item long, cosine double, lcs double, answer double") \
-        .withColumnsRenamed({"id": id_col, "item": item_col})
+    out, last = None, None
+    for q in query_blocks(docs, benchmark, text_col=text_col, item_col=item_col, **kw):
+        if last is not None:
+            part = staged(scan(last), "decontam-hits")
+            out = part if out is None else out.unionAll(part)
+        last = q
+    return scan(last) if out is None else out.unionAll(staged(scan(last), "decontam-hits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the rows that hit a benchmark item, all columns kept."""
-    blocks = query_blocks(docs, benchmark, text_col=text_col, **kw)
-
-    def kept(batches):
-        for b in slices(batches, text_col, 2 << 20):
-            keep = np.ones(b.num_rows, bool)
-            for q in blocks:
+    """``docs`` without the rows that hit a benchmark item, all columns kept:
+    one pass per block of items over what the blocks before have left."""
+    def scan(left: DataFrame, q: Queries) -> DataFrame:
+        def kept(batches):
+            for b in slices(batches, text_col, 2 << 20):
+                keep = np.ones(b.num_rows, bool)
                 for f in q.confirmed(b.column(b.schema.get_field_index(text_col))):
                     keep[f[0]] = False
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(kept, docs.schema)
+                yield b.filter(pa.array(keep))
+        return left.mapInArrow(kept, left.schema)
+
+    left, last = docs, None
+    for q in query_blocks(docs, benchmark, text_col=text_col, **kw):
+        if last is not None:
+            left = staged(scan(left, last), "decontam-left")
+        last = q
+    return scan(left, last)

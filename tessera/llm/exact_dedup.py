@@ -63,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if groups.where("NOT ended").isEmpty():
             break
         rest = out.where("open").select("id", "sha", "grp", "rest")
-        window *= growth
+        window = min(window * growth, 1 << 30)      # substring takes 32-bit lengths
     return reduce(DataFrame.unionAll, decided).select(
         F.col("id").alias(id_col), F.col("keep").alias("keep_id"),
         F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"),

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
@@ -192,3 +193,52 @@ def test_pipeline_stages(spark):
         {"length": "sum", "doc_tokens": "max"}).collect()}
     assert set(by_doc) == set(rows)
     assert all(r["sum(length)"] == r["max(doc_tokens)"] for r in by_doc.values())
+
+
+def _plain_length(q, text):
+    best = [0] * (len(text) + 1)
+    for a in q:
+        row = [0]
+        for j, b in enumerate(text):
+            row.append(max(row[-1], best[j + 1], best[j] + (a == b)))
+        best = row
+    return best[-1]
+
+
+def test_alignment_by_halves_is_a_longest_common_subsequence(monkeypatch):
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        q, text = (rng.integers(0, 9, rng.integers(0, 50)).astype(np.uint64) for _ in range(2))
+        whole = decontam._aligned(q, text)
+        with monkeypatch.context() as m:
+            m.setattr(decontam, "CELLS", 20)
+            halves = decontam._aligned(q, text)
+        for at in (whole, halves):
+            assert len(at) == _plain_length(q, text) and (np.diff(at) > 0).all()
+            left = iter(text.tolist())
+            assert all(w in left for w in q[at].tolist())         # in this order
+
+
+def test_alignment_memory_of_a_very_long_item():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    q = rng.integers(0, 5000, 6000).astype(np.uint64)
+    text = np.delete(q, rng.choice(6000, 600, replace=False))
+    tracemalloc.start()
+    at = decontam._aligned(q, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) >= len(text) * 0.99 and peak < 60 << 20       # a whole table: 140 MB
+
+
+def test_items_in_many_blocks_with_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEMS", 3)
+    items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(20))) for k in range(8)]
+    docs = spark.createDataFrame([(k, f"some words before {t} and after") for k, (_, t) in enumerate(items)]
+                                 + [(100, "a clean text of other words altogether"), (None, None)],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame(items + [(None, None)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.hits(docs, bench).collect()}
+    assert got == {(k, f"i{k}") for k in range(8)}
+    left = decontam.clean(docs, bench).collect()
+    assert sorted(str(r.doc_id) for r in left) == ["100", "None"]
