@@ -11,12 +11,18 @@ the same fixed values as the Column functions and are tested against them.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 from .embed import TOKEN_PATTERN
 from .html import MARKUP_STEPS, URL_PATTERN, URL_TRAILING_PATTERN
-from .ids import UUID_VARIANT_NIBBLES, UUID_VERSION_NIBBLE
-from .text import WS_RUN
+from .ids import CHUNK_KEY_SEPARATOR, UUID_VARIANT_NIBBLES, UUID_VERSION_NIBBLE, namespace_hex
+from .text import WHITESPACE_CODEPOINTS, WS_RUN, validate_chunking
+
+_WHITESPACE = re.compile("[" + "".join(re.escape(chr(c)) for c in WHITESPACE_CODEPOINTS) + "]+")
 
 
 # fixed values; "&amp;" last, so that "&amp;lt;" reads "&lt;"
@@ -78,6 +84,33 @@ def _bodies() -> dict[str, str]:
     }
 
 
+class ChunkTable:
+    """Table function of SQL callers: the chunks (X2-X5) of a table of (uri, text).
+
+        SELECT * FROM tessera_chunk_table(TABLE(SELECT uri, text FROM t), 'gs://corpus/', 1000, 100)
+
+    The rows are those of :func:`operators.chunking.chunk_table`. It runs in Python
+    workers, in Arrow batches; the column and SQL functions stay in the JVM."""
+
+    def eval(self, row, prefix: str, chunk: int, overlap: int):
+        validate_chunking(chunk, overlap)
+        text = _WHITESPACE.sub(" ", row["text"] or "").strip(" ")
+        namespace = uuid.UUID(hex=namespace_hex(prefix))
+        step = max(chunk - overlap, 1)
+        count = 0 if not text else max(0, -(-(len(text) - chunk) // step)) + 1
+        for i in range(count):
+            key = f"{row['uri']}{CHUNK_KEY_SEPARATOR}{i}"
+            yield str(uuid.uuid5(namespace, key)), row["uri"], i, text[i * step:i * step + chunk]
+
+
+def register_table_functions(spark: SparkSession) -> list[str]:
+    """Register the table functions; returns their names."""
+    spark.udtf.register("tessera_chunk_table", udtf(
+        ChunkTable, returnType="chunk_id string, source string, chunk_index int, text string",
+        useArrow=True))
+    return ["tessera_chunk_table"]
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Create (or replace) the temporary SQL functions; returns their names.
     ``tessera_chunks`` rejects nothing itself: pass chunk > 0, overlap >= 0."""

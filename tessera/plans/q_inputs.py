@@ -20,7 +20,7 @@ from ..operators.retrieval import CONTEXT_SEPARATOR, DEFAULT_K, retrieve
 from ..operators.sessions import MEMORY_PREFIX, ingest_memory, memory_rows
 from ..operators.web import DEFAULT_TOP_PAGES, NO_URLS, PAGE_SEPARATOR, web_search
 from ..functions.html import MAX_PAGE_CHARS
-from ..functions.sql import register_sql_functions
+from ..functions.sql import register_sql_functions, register_table_functions
 from ..sources.manifest import changes
 from ..sources.sessions import normalize_sessions
 from ..sources.tables import read_table, read_text_table
@@ -320,3 +320,17 @@ def q_sql_functions(spark, sf_dir):
               FROM (SELECT concat('{CORPUS_PREFIX}', source, '/', doc_id, '.txt') AS source,
                            tessera_chunks(text, 1000, 100) AS parts FROM tessera_documents))
         GROUP BY source""")
+
+
+@query("chunk_table_function", sql=f"""
+WITH {S.chunk_ctes()}
+SELECT chunk_id, source, chunk_index, text FROM chunks""")
+def q_chunk_table_function(spark, sf_dir):
+    """X2-X5 for SQL callers: chunks by a table function over a TABLE argument."""
+    from ..operators.chunking import CORPUS_PREFIX
+    register_table_functions(spark)
+    read_text_table(spark, sf_dir, "documents").createOrReplaceTempView("tessera_documents")
+    return spark.sql(f"""
+        SELECT * FROM tessera_chunk_table(TABLE(
+            SELECT concat('{CORPUS_PREFIX}', source, '/', doc_id, '.txt') AS uri, text FROM tessera_documents),
+            '{CORPUS_PREFIX}', 1000, 100)""")
