@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every binding module (each registers its queries)."""
-    from . import q_catalog, q_governance, q_ingest, q_inputs, q_memory, q_turns, q_web  # noqa: F401
+    from . import q_catalog, q_governance, q_ingest, q_inputs, q_memory, q_stores, q_turns, q_web  # noqa: F401

@@ -31,13 +31,14 @@ def uuid5(key_expr: str, prefix: str = CORPUS_PREFIX) -> str:
             f"substr({h},18,3) || '-' || substr({h},21,12))")
 
 
-def chunk_ctes(chunk: int = 1000, overlap: int = 100, name: str = "chunks") -> str:
+def chunk_ctes(chunk: int = 1000, overlap: int = 100, name: str = "chunks",
+               src: str = "documents") -> str:
     """CTEs ``{name}_cleaned(source, clean)`` and ``{name}(chunk_id, source,
-    chunk_index, text)`` over ``documents``."""
+    chunk_index, text)`` over ``src``, a table like ``documents``."""
     step = max(chunk - overlap, 1)
     return f"""
 {name}_cleaned AS (
-  SELECT {corpus_uri()} AS source, {clean('text')} AS clean FROM documents
+  SELECT {corpus_uri()} AS source, {clean('text')} AS clean FROM {src}
 ),
 {name}_spans AS (
   SELECT source, clean,
