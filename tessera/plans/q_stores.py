@@ -12,6 +12,7 @@ from ..operators.ingest import chunk_vectors
 from ..operators.retrieval import datapoint_content
 from ..operators.upsert import datapoints, merge
 from ..session import staging_path
+from ..sources.buckets import load_bucketed, upsert_bucketed
 from ..sources.files import extract_pages, list_files, pages_to_text, read_corpus, read_text_files
 from ..sources.mapping import (export_mapping_json, load_datapoints, load_mapping, load_partitioned,
                                save_datapoints, save_mapping, upsert_partitioned)
@@ -140,3 +141,12 @@ def q_session_store(spark, sf_dir):
         .write.parquet(path)
     rows = read_sessions(spark, path, "app1", "3")
     return normalize_sessions(rows, keep=("session_no",)).select("session_no", "session_id", "updated_epoch")
+
+
+@query("mapping_buckets", sql=f"WITH {_AFTER} SELECT chunk_id, source, chunk_index, text FROM chunks")
+def q_mapping_buckets(spark, sf_dir):
+    """J2, U1, S6 over a store bucketed by object."""
+    base = staging_path(spark, "mapping-buckets")
+    for chunks in _ingests(spark, sf_dir):
+        upsert_bucketed(chunks, base, 16, prune_stale=True)
+    return load_bucketed(spark, base)
