@@ -27,6 +27,7 @@ TAIL_EVENTS = 3                     # events shown per session
 LIST_PREVIEW = 120                  # preview of a session's last events
 INGEST_PREVIEW = 160                # preview when ingesting one session
 MEMORY_TOP_K = 20
+SCORE_ROWS = 1024                   # memories scored at once
 NO_HITS = "(no hits)"
 MEMORY_PREFIX = "memory://"
 SESSION_TIME_KEYS = ("last_update_time", "updated_at", "updated_time", "created_at",
@@ -192,24 +193,25 @@ def scoped_topk(queries: DataFrame, memories: DataFrame, k: int = MEMORY_TOP_K,
     """Top-k memories per query within the query's (app, user)
     scope, by cosine of hashed counts (exact, as :func:`knn.topk_sparse`).
 
-    No pair rows: memories and queries are cogrouped and scored with NumPy,
-    each group emitting only its per-query top-k. A scope with more than
+    No pair rows: memories and queries are cogrouped and scored with NumPy in
+    blocks of ``SCORE_ROWS`` memories with a running top-k, each group emitting
+    only its per-query top-k. A scope with more than
     ``rows_per_group`` memories (or ``queries_per_group`` queries) is split
     into salts on that side, the other side replicated across them; the
     per-scope salt counts are joined in as a table (never collected), and
     small scopes share a group through a hash of the scope, scored one scope
     at a time inside it."""
-    import math
-
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
     from pyspark.sql import types as T
 
+    from .grid import Running
     from .knn import empty_frame
 
     mv = memories.select("memory_id", *scope, "buckets", "tfs", "ss")
     qv = queries.select("query_id", *scope, "buckets", "tfs", "ss")
-    n_groups = max(1, math.ceil(mv.count() / rows_per_group))
+    n_groups = int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = (mv.groupBy(*scope).agg(F.count("*").alias("_nm"))
              .join(qv.groupBy(*scope).agg(F.count("*").alias("_nq")), list(scope))
              .select(*scope,
@@ -247,19 +249,24 @@ def scoped_topk(queries: DataFrame, memories: DataFrame, k: int = MEMORY_TOP_K,
                 ms = mgroups.get(sk)
                 if ms is None:
                     continue
-                M, mn = dense(ms)
                 Q, qn = dense(qs)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    S = (M @ Q.T) / (qn[None, :] * mn[:, None])
-                S[~np.isfinite(S)] = 0.0
-                B = S.shape[0]
-                if B > k:
-                    thr = np.partition(S, B - k, axis=0)[B - k]
-                    r, c = np.nonzero((S >= thr[None, :]) & (S > 0))
-                else:
-                    r, c = np.nonzero(S > 0)
-                outs.append((qs["query_id"].to_numpy()[c], ms["memory_id"].to_numpy()[r],
-                             S[r, c]))
+                best = Running(len(qs), k, 0.0, 0.0) if len(ms) > SCORE_ROWS else None
+                for lo in range(0, len(ms), SCORE_ROWS):
+                    part = ms.iloc[lo:lo + SCORE_ROWS]
+                    M, mn = dense(part)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        S = (M @ Q.T) / (qn[None, :] * mn[:, None])
+                    S[~np.isfinite(S)] = 0.0
+                    if best is not None:
+                        best.offer(S, pa.array(part["memory_id"].to_numpy()), np.arange(len(qs)))
+                        continue
+                    B = S.shape[0]
+                    least = np.partition(S, B - k, axis=0)[B - k] if B > k else np.zeros(len(qs))
+                    r, c = np.nonzero((S >= least[None, :]) & (S > 0))
+                    outs.append((qs["query_id"].to_numpy()[c], ms["memory_id"].to_numpy()[r], S[r, c]))
+                if best is not None:
+                    for b in best.rows(pa.array(qs["query_id"].to_numpy()), ["q", "m", "s"]):
+                        outs.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
         if not outs:
             return empty_frame(out_schema)
         # one frame from concatenated arrays (concatenating frames can leave

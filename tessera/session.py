@@ -80,8 +80,12 @@ def ensure_defaults(spark: SparkSession) -> None:
             continue
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-    if not spark.sparkContext.getConf().contains("spark.sql.session.timeZone"):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # the zone is set (to the JVM's) even where nobody set it; any other value,
+    # given at the start or at run time, is kept
+    key = "spark.sql.session.timeZone"
+    given = spark.sparkContext.getConf().contains(key)
+    if not given and spark.conf.get(key) == spark._jvm.java.util.TimeZone.getDefault().getID():
+        spark.conf.set(key, "UTC")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

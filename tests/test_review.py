@@ -134,3 +134,14 @@ def test_running_topk_keeps_ties_over_many_batches():
         want = sorted(rows.loc[rows["s"] >= kth, "c"])
         assert sorted(got.loc[got["q"] == q, "c"]) == want
     assert list(_running_topk(iter([]), "q", "s", 3)) == []
+
+
+def test_a_time_zone_set_at_run_time_is_kept(spark):
+    from tessera.session import ensure_defaults
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Jakarta")
+    try:
+        ensure_defaults(spark)
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Jakarta"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

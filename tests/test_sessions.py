@@ -127,3 +127,18 @@ def test_hot_user_spread_over_partitions(spark):
     finally:
         spark.conf.set(key, old)
     assert len(per_part) >= 4 and max(per_part) < 0.5 * 20000
+
+
+def test_scopes_larger_than_a_block_equal_one_block(spark, monkeypatch):
+    """Memories scored a few at a time, with copies, equal those scored at once."""
+    from tessera.functions.embed import with_sparse_tf
+    from tessera.operators import sessions
+    mem = with_sparse_tf(spark.createDataFrame(
+        [(f"m{k:03}", "app", f"u{k % 2}", f"word{k % 7} word{k % 5} tail" if k < 80 else "copy of words")
+         for k in range(120)], "memory_id string, app_name string, user_id string, text string"), "text")
+    q = with_sparse_tf(spark.createDataFrame(
+        [(k, "app", f"u{k % 3}", f"word{k} tail copy") for k in range(9)],
+        "query_id long, app_name string, user_id string, text string"), "text")
+    once = {tuple(r) for r in sessions.scoped_topk(q, mem, 5).collect()}
+    monkeypatch.setattr(sessions, "SCORE_ROWS", 7)
+    assert {tuple(r) for r in sessions.scoped_topk(q, mem, 5).collect()} == once and len(once) == 30
