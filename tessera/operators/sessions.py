@@ -69,22 +69,24 @@ def assign_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts",
     gap_us = gap_seconds * 1_000_000
     e = events.withColumn("_t", _epoch_us(F.col(ts))).withColumn(
         "_b", F.floor(F.col("_t") / F.lit(gap_us)).cast("bigint"))
+    # within a bucket: starts after its first event, and their running number
     wb = Window.partitionBy(user, "_b").orderBy("_t", "event_id")
-    e = e.withColumn("_prev", F.lag("_t").over(wb))
-    last_in_bucket = e.groupBy(user, "_b").agg(F.max("_t").alias("_prev_bucket_last"))
-    prev_b = last_in_bucket.select(user, (F.col("_b") + 1).alias("_b"), "_prev_bucket_last")
-    e = e.join(prev_b, [user, "_b"], "left")
-    prev = F.coalesce(F.col("_prev"), F.col("_prev_bucket_last"))
-    e = e.withColumn("_start", (prev.isNull() | (F.col("_t") - prev >= gap_us)).cast("int"))
-    # per-bucket start counts -> prefix over the user's active buckets
-    per_b = e.groupBy(user, "_b").agg(F.sum("_start").alias("_n"))
-    wu = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_b = per_b.withColumn("_before", F.coalesce(F.sum("_n").over(wu), F.lit(0)))
-    wr = Window.partitionBy(user, "_b").orderBy("_t", "event_id").rowsBetween(
-        Window.unboundedPreceding, 0)
-    return (e.join(per_b.select(user, "_b", "_before"), [user, "_b"])
-            .withColumn("session_no", (F.col("_before") + F.sum("_start").over(wr)).cast("bigint"))
-            .drop("_b", "_prev", "_prev_bucket_last", "_start", "_before"))
+    prev = F.lag("_t").over(wb)
+    e = e.withColumn("_inner", F.coalesce(F.col("_t") - prev >= gap_us, F.lit(False)).cast("int"))
+    e = e.withColumn("_nth", F.sum("_inner").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    # over the user's active buckets: does the first event start a session
+    # (buckets are a gap wide, so one further back than the last is past it),
+    # and how many started before
+    per_b = e.groupBy(user, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+                                      F.sum("_inner").alias("_n"))
+    wu = Window.partitionBy(user).orderBy("_b")
+    opens = F.coalesce(F.col("_first") - F.lag("_last").over(wu) >= gap_us, F.lit(True)).cast("int")
+    per_b = per_b.withColumn("_opens", opens)
+    upto = F.sum(F.col("_opens") + F.col("_n")).over(wu.rowsBetween(Window.unboundedPreceding, 0))
+    per_b = per_b.select(user, "_b", (upto - F.col("_n")).alias("_before"))
+    return (e.join(per_b, [user, "_b"])
+            .withColumn("session_no", (F.col("_before") + F.col("_nth")).cast("bigint"))
+            .drop("_b", "_inner", "_nth", "_before"))
 
 
 def recent_session_events(events: DataFrame, n: int = MAX_SESSIONS,
