@@ -167,21 +167,14 @@ def tool_summary(events: DataFrame, rows: bool = False) -> DataFrame:
         own = F.when(F.col("call_id").isNull(), F.col("seq"))
         same_id = F.when(F.col("call_id").isNotNull(), F.last(call_seq, ignorenulls=True).over(
             Window.partitionBy("invocation_id", "call_id", own).orderBy("seq")))
-    ev = ev.withColumn("_same_id", same_id)
-    calls = ev.where(F.col("hook") == "before_tool").select(
-        "invocation_id", F.col("seq").alias("call_seq"),
-        F.coalesce("tool_name", F.lit("")).alias("name"))
-    resp = (ev.where(F.col("hook") == "after_tool").select(
-        "invocation_id", F.col("seq").alias("resp_seq"),
-        F.coalesce("_same_id", "_last_call").alias("target"),
-        F.when(F.col("tool_status") == "error", "error").otherwise("ok").alias("status"))
-        .where(F.col("target").isNotNull())
-        .groupBy("invocation_id", "target")
-        .agg(F.max_by("status", "resp_seq").alias("status")))
-    recs = calls.join(resp, (calls["invocation_id"] == resp["invocation_id"])
-                      & (calls["call_seq"] == resp["target"]), "left") \
-        .select(calls["invocation_id"], "call_seq", "name",
-                F.coalesce(resp["status"], F.lit(REQUESTED)).alias("status"))
+    # calls and their responses meet by the call's place: one grouping, no join
+    is_call = F.col("hook") == "before_tool"
+    ev = ev.withColumn("_target", F.when(is_call, F.col("seq")).otherwise(F.coalesce(same_id, "_last_call")))
+    recs = ev.where("_target IS NOT NULL").groupBy("invocation_id", F.col("_target").alias("call_seq")).agg(
+        F.max(F.when(is_call, F.coalesce("tool_name", F.lit("")))).alias("name"),
+        F.max_by(F.when(F.col("tool_status") == "error", "error").otherwise("ok"),
+                 F.when(~is_call, F.col("seq"))).alias("status"))
+    recs = recs.withColumn("status", F.coalesce("status", F.lit(REQUESTED)))
     if rows:
         return running_sum(recs, ["invocation_id"], "call_seq", F.lit(1), "call_no")
     return recs.groupBy("invocation_id").agg(
