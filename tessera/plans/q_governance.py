@@ -186,13 +186,14 @@ def event_hooks(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     inv = F.concat(F.col("user_id").cast("string"), F.lit(":"),
                    F.date_format("ts", "yyyy-MM-dd"))
-    req = e.select(inv.alias("invocation_id"), F.lit("before_tool").alias("hook"),
-                   (F.col("event_id") * 2).alias("seq"), F.col("event_type").alias("tool_name"),
-                   F.lit(None).cast("string").alias("tool_status"))
-    resp = e.select(inv.alias("invocation_id"), F.lit("after_tool").alias("hook"),
-                    (F.col("event_id") * 2 + 1).alias("seq"), F.col("event_type").alias("tool_name"),
-                    F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("tool_status"))
-    return req.unionByName(resp)
+    answer = F.when(F.col("event_type") == "error", "error").otherwise("ok")
+    hooks = F.array(
+        F.struct(F.lit("before_tool").alias("hook"), (F.col("event_id") * 2).alias("seq"),
+                 F.lit(None).cast("string").alias("tool_status")),
+        F.struct(F.lit("after_tool").alias("hook"), (F.col("event_id") * 2 + 1).alias("seq"),
+                 answer.alias("tool_status")))
+    return e.select(inv.alias("invocation_id"), F.col("event_type").alias("tool_name"),
+                    F.explode(hooks).alias("h")).select("invocation_id", "tool_name", "h.*")
 
 
 @query("tool_summary", sql="""
