@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .base import slices, span_hashes, utf8
-from .tokens import vocabulary
+from .tokens import part_starts, vocabulary
 
 LONG = 256
+PIECE = 1 << 20
 MOST_WORDS = 800_000
 NONE = np.int32(2 ** 31 - 1)
 _OTHER, _LETTER, _DIGIT, _SPACE, _UNKNOWN = range(5)
@@ -284,8 +285,27 @@ class Bpe:
     # --- whole texts ---------------------------------------------------------
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of whole texts."""
+        """(ids, offsets) of whole texts. Long ones are taken in pieces of about
+        ``PIECE`` bytes, cut where a word begins whatever stands around it."""
         data, off = utf8(col)
+        if len(data) <= 2 * PIECE:
+            return self._encode(data, off)
+        start = part_starts(data, off, marks=False, whole=list(self.special))
+        grid = np.searchsorted(start, np.arange(PIECE, len(data), PIECE))
+        cut = np.unique(np.concatenate([off, start[np.minimum(grid, len(start) - 1)]]))
+        ids, count = [], np.zeros(len(off) - 1, np.int64)
+        at = 0
+        while at < len(cut) - 1:
+            # whole pieces, about PIECE bytes of them together
+            to = max(int(np.searchsorted(cut, cut[at] + PIECE, "right")) - 1, at + 1)
+            here = cut[at:to + 1]
+            got, first = self._encode(data[here[0]:here[-1]], here - here[0])
+            ids.append(got)
+            np.add.at(count, np.searchsorted(off, here[:-1], "right") - 1, np.diff(first))
+            at = to
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(count)])
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, stop, special = self.words(data, off)
         key, some, part = np.unique(span_hashes(data, start, stop), return_index=True,
                                     return_inverse=True)

@@ -68,6 +68,28 @@ def test_long_words_and_runs(own, lib):
     check(own, lib, [" ".join(words)])
 
 
+@pytest.mark.parametrize("piece", [1, 7, 40])
+def test_pieces_of_long_texts(own, lib, monkeypatch, piece):
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    rng = random.Random(piece)
+    texts = ["".join(rng.choice(POOL + ["w x", " y ", "<|endoftext|>"]) for _ in range(rng.randint(0, 60)))
+             for _ in range(1500)]
+    check(own, lib, texts + [None, "", "one two  three <|endoftext|> four " * 20])
+    for t in texts[:300]:
+        check(own, lib, [t])
+
+
+def test_memory_of_a_long_text(own):
+    import tracemalloc
+    text = pa.array(["some words of a long text, and more " * 240_000])       # 8.6 MB
+    own.encode(pa.array(["some words of a long text, and more "]))
+    tracemalloc.start()
+    ids, _ = own.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 2_000_000 and peak < 260 << 20
+
+
 def test_rounds_and_buckets_agree(own):
     rng = np.random.default_rng(0)
     size = rng.integers(1, 60, 300)
