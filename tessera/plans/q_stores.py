@@ -22,17 +22,20 @@ from . import sqlparts as S
 from .registry import query
 
 PAGE_BREAK = "\f"
+# Rows of one text object: readers hold an object whole.
+OBJECT_ROWS = 256
 _FLAT = "replace(replace(replace(text, chr(10), ' '), chr(12), ' '), chr(65533), '')"
 
 
 def _written(spark, sf_dir, separator: str) -> str:
-    """Documents as text objects, several to a file, ended by ``separator``."""
+    """Documents as text objects, up to ``OBJECT_ROWS`` to a file, ended by
+    ``separator``."""
     d = read_text_table(spark, sf_dir, "documents")
     flat = F.replace(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(PAGE_BREAK), F.lit(" ")),
                      F.lit("�"), F.lit(""))
     root = staging_path(spark, "text-objects")
     d.select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), flat).alias("value")) \
-        .write.option("lineSep", separator).text(root)
+        .write.option("lineSep", separator).option("maxRecordsPerFile", OBJECT_ROWS).text(root)
     return root
 
 

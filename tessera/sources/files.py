@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_EXTENSIONS = (".pdf", ".txt")
 REPLACEMENT_CHAR = "�"
+# Characters of page texts handed on at once.
+PAGE_BYTES = 4 << 20
 # ----------------------------------------------------------------------------
 
 
@@ -87,20 +89,32 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
 
 def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str]]) -> DataFrame:
     """Run a caller-supplied page extractor (e.g. a PDF library) on
-    (uri, content) rows with ``mapInPandas``: one output row per page; a file
-    the extractor cannot read yields one empty page, a page it cannot read
-    an empty text."""
+    (uri, content) rows, one object at a time: one output row per page, in
+    frames of about ``PAGE_BYTES``; a file the extractor cannot read yields one
+    empty page, a page it cannot read an empty text."""
+    names = ["uri", "page_no", "text"]
+
+    def frames(uri, content):
+        try:
+            pages = extractor(content)
+        except Exception:
+            pages = [""]
+        held, size = [], 0
+        for i, t in enumerate(pages):
+            held.append((uri, i, t if isinstance(t, str) else ""))
+            size += len(held[-1][2])
+            if size > PAGE_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for uri, content in zip(pdf["uri"], pdf["content"]):
-                try:
-                    pages = extractor(bytes(content))
-                except Exception:
-                    pages = [""]
-                for i, t in enumerate(pages):
-                    out.append((uri, i, t if isinstance(t, str) else ""))
-            yield pd.DataFrame(out, columns=["uri", "page_no", "text"])
-
-    return files.select("uri", "content").mapInPandas(run, "uri string, page_no int, text string")
+        for b in batches:
+            for uri, content in zip(b.column("uri"), b.column("content")):
+                for rows in frames(uri.as_py(), content.as_py()):
+                    u, n, t = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(u, pa.string()), pa.array(n, pa.int32()), pa.array(t, pa.string())], names)
+
+    return files.select("uri", "content").mapInArrow(run, "uri string, page_no int, text string")
