@@ -103,3 +103,20 @@ def test_empty_sides(spark):
     assert topk_dense(q.limit(0), e, 3).count() == 0 and topk_dense(q, e.limit(0), 3).count() == 0
     sparse = spark.createDataFrame([], "query_id long, buckets array<int>, tfs array<int>, ss long")
     assert topk_sparse(sparse, sparse.withColumnRenamed("query_id", "chunk_id"), 3, 16).count() == 0
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    """Beyond the first slice only pairs that can still reach the k best."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4000, 16))
+    seen = []
+    offer, add = G.Running.offer, G.Running.add
+    monkeypatch.setattr(G.Running, "offer", lambda self, s, *a: (seen.append(s.size), offer(self, s, *a))[1])
+    monkeypatch.setattr(G.Running, "add", lambda self, s, *a: (seen.append(len(s)), add(self, s, *a))[1])
+    top = knn.DenseTopK(v[:100], pa.array(range(100)), 3, 1e-6, True)
+    for lo in range(0, 4000, 1000):
+        top.score(v[lo:lo + 1000], pa.array(range(lo, lo + 1000)), np.arange(100))
+    got, = top.rows(["q", "c", "s"])
+    best = {(q, c) for q, c, _ in _brute(v[:100], v, 3, True)}
+    assert best <= set(zip(got.column("q").to_pylist(), got.column("c").to_pylist()))
+    assert sum(seen) < 0.2 * 100 * 4000
