@@ -4,9 +4,9 @@
 of ``SUB`` dimensions, a codebook of up to 256 residual centroids. ``index`` gives
 every vector its cell and one code byte per group. ``search`` sends each query to
 its ``nprobe`` nearest cells; a candidate's score is estimated without its vector
-as ``q . centroid`` plus one entry of the query's distance table per code byte. The
-``rerank`` best estimates of each query are then scored exactly from the vectors:
-only those pairs are read. Centroids and codebooks (bounded by ``MAX_CELLS`` and
+as ``q . centroid`` plus one entry of the query's distance table per code byte,
+which is its product with the vector that the code stands for. The ``rerank`` best
+estimates of each query are then scored exactly from the vectors. Centroids and codebooks (bounded by ``MAX_CELLS`` and
 256) travel in the task closure. Scores returned are exact; which neighbours are
 found is approximate.
 """
@@ -16,19 +16,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .knn import QUERY_BLOCK, _final_topk, cell_groups, empty_frame, probe_cells
+from .grid import CANDIDATE_ROWS, QUERY_ROWS, grid, packed
+from .knn import DenseTopK, _final_topk, _rounding_margin, dense_matrix, probe_cells
 
 SUB = 4                     # dimensions of one code byte
 CODES = 256
 MAX_CELLS = 4096
 SAMPLE = 20_000             # rows the model is fitted on
+CUT_BYTES = 96 << 20        # estimates held for a block of queries
 
 
 @dataclass
@@ -50,6 +53,12 @@ class Quantizer:
         codes = np.stack([nearest(rest[:, g], b) for g, b in enumerate(self.books)], 1)
         return cell, codes.astype(np.uint8)
 
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that (cell, codes) stand for: a query's dot product with
+        one is ``q . centroid`` plus its table entries."""
+        out = self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)[:, :self.centroids.shape[1]]
+        return out + self.centroids[cell]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, groups, codes): what a code adds to the estimate."""
         return np.einsum("qgs,gcs->qgc", self.padded(q), self.books)
@@ -114,55 +123,225 @@ def index(candidates: DataFrame, model: Quantizer, *, cand_id: str = "vec_id",
 
 def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model: Quantizer, k: int,
            nprobe: int, rerank: int, *, query_id: str = "query_id", cand_id: str = "vec_id",
-           vec: str = "embedding", exclude_self: bool = False, rows_per_group: int = 20_000,
-           queries_per_group: int = 2_000, score_digits: int = 6) -> DataFrame:
+           vec: str = "embedding", exclude_self: bool = False, rows_per_group: int = 2048,
+           queries_per_group: int = 1024, score_digits: int = 6) -> DataFrame:
     """(query_id, cand_id, score, rank): the ``k`` best by exact score among the
-    ``rerank`` best estimates of each query."""
+    ``rerank`` best estimates of each query (of each query id, if it repeats).
+
+    Neither the probed pairs nor the estimates are written out. A first grid
+    meets blocks of queries with all code blocks, in cell order, and gives per
+    query the ``rerank``-th best estimate; a second one meets the queries with
+    blocks of codes and vectors and scores the pairs that reach it. Estimates are
+    single precision: those equal within its rounding stay."""
     nprobe = max(1, min(nprobe, len(model.centroids)))
-    q = probe_cells(queries, model.centroids, nprobe, query_id, vec)
-    probes = q.select(query_id, "_qv", F.explode("_cells").alias("cell"))
-    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
-                           indexed.schema[cand_id], T.StructField("estimate", T.DoubleType())])
-
-    def estimate(key, qpdf, cpdf):
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return empty_frame(schema)
-        codes = np.frombuffer(b"".join(cpdf["codes"]), np.uint8).reshape(len(cpdf), -1)
-        ids = cpdf[cand_id].to_numpy()
-        centre = model.centroids[int(cpdf["cell"].iloc[0])]
-        outs = []
-        for lo in range(0, len(qpdf), QUERY_BLOCK):
-            part = qpdf.iloc[lo:lo + QUERY_BLOCK]
-            vectors = np.stack(part["_qv"].to_numpy()).astype(np.float64)
-            names, tables = part[query_id].to_numpy(), model.tables(vectors)
-            s = np.repeat((vectors @ centre)[:, None], len(ids), 1)
-            for g in range(codes.shape[1]):
-                s += tables[:, g][:, codes[:, g]]
+    fields = {f.name: f.dataType for f in queries.schema.fields}
+    q = probe_cells(queries, model.centroids, nprobe, query_id, vec) \
+        .select(F.col(query_id).alias("id"), F.col("_qv").alias("v"), "_cells")
+    coded = indexed.select(F.col(cand_id).alias("id"), "cell", "codes")
+    cells = len(model.centroids)
+    # what single precision can change in an estimate of a vector of length 1
+    slack = 2.0 ** -22 * (model.centroids.shape[1] + 2) * (
+        np.linalg.norm(model.centroids, axis=1).max() + np.sqrt((model.books ** 2).sum(2).max(1).sum()))
+
+    def bit_maps(block: pa.RecordBatch) -> pa.RecordBatch:
+        """The probed cells as a bit map: a block travels to many tasks."""
+        probed = np.zeros((block.num_rows, cells), bool)
+        at = np.asarray(block.column("_cells").flatten()).reshape(block.num_rows, -1)
+        probed[np.arange(block.num_rows)[:, None], at] = True
+        maps = pa.array([x.tobytes() for x in np.packbits(probed, axis=1)], pa.binary())
+        keep = [n for n in block.schema.names if n != "_cells"]
+        return pa.RecordBatch.from_arrays([*(block.column(n) for n in keep), maps], [*keep, "probed"])
+
+    class Estimates:
+        def __init__(self, block: pa.RecordBatch):
+            self.ids = block.column("id")
+            self.plain = self.ids.to_numpy(zero_copy_only=False) if exclude_self else None
+            self.matrix = dense_matrix(block.column("v"))
+            self.single = self.matrix.astype(np.float32)
+            self.slack = slack * np.linalg.norm(self.matrix, axis=1)
+            bits = np.frombuffer(b"".join(block.column("probed").to_pylist()), np.uint8)
+            self.probed = np.unpackbits(bits.reshape(block.num_rows, -1), axis=1, count=cells).astype(bool)
+
+        def of(self, block: pa.RecordBatch):
+            """Queries that probe cells of a block of codes, and their estimates
+            (candidate, query), -inf where the cell is not probed."""
+            cell = np.asarray(block.column("cell"))
+            which = np.flatnonzero(self.probed[:, np.unique(cell)].any(1))
+            codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(cell), -1)
+            s = model.decode(cell, codes).astype(np.float32) @ self.single[which].T
+            s[~self.probed[which][:, cell].T] = -np.inf
             if exclude_self:
-                s[names[:, None] == ids[None, :]] = -np.inf
-            best = np.argpartition(-s, min(rerank, len(ids)) - 1, 1)[:, :rerank]
-            row = np.repeat(np.arange(len(names)), best.shape[1])
-            value = s[row, best.ravel()]
-            real = np.isfinite(value)
-            outs.append((names[row[real]], ids[best.ravel()[real]], value[real]))
-        return pd.DataFrame({n: np.concatenate([o[i] for o in outs]) for i, n in enumerate(schema.names)})
-
-    found, _ = cell_groups(probes, indexed, query_id, cand_id, estimate, schema,
-                           rows_per_group=rows_per_group, queries_per_group=queries_per_group)
-    w = Window.partitionBy(query_id).orderBy(F.col("estimate").desc(), F.col(cand_id))
-    pairs = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rerank)
-    return reranked(pairs.select(query_id, cand_id), queries, candidates, k, query_id=query_id,
-                    cand_id=cand_id, vec=vec, score_digits=score_digits)
-
-
-def reranked(pairs: DataFrame, queries: DataFrame, candidates: DataFrame, k: int, *,
+                mine = block.column("id").to_numpy(zero_copy_only=False)
+                s[mine[:, None] == self.plain[None, which]] = -np.inf
+            return which, s
+
+    class Cut(Estimates):
+        """The ``rerank`` best estimates of each query of a block."""
+        def __init__(self, block: pa.RecordBatch):
+            super().__init__(block)
+            self.best = np.full((block.num_rows, 2 * rerank + rows_per_group), -np.inf, np.float32)
+            self.used = 0
+
+        def meet(self, block: pa.RecordBatch) -> None:
+            which, s = self.of(block)
+            if not len(which):
+                return
+            if self.used + len(s) > self.best.shape[1]:
+                self.prune()
+            held = self.best[:, self.used:self.used + len(s)]
+            held[:] = -np.inf
+            held[which] = s.T
+            self.used += len(s)
+
+        def prune(self) -> None:
+            if self.used > rerank:
+                self.best[:, :rerank] = np.partition(self.best[:, :self.used], self.used - rerank, 1)[:, -rerank:]
+                self.used = rerank
+
+        def rows(self):
+            self.prune()
+            least = np.full(len(self.ids), -np.inf)
+            if self.used >= rerank:
+                least = self.best[:, :self.used].min(1).astype(np.float64)
+            # rows of one id follow each other: their estimates count together
+            ids = self.ids.to_pylist()
+            lo = 0
+            for hi in range(1, len(ids) + 1):
+                if hi == len(ids) or ids[hi] != ids[lo]:
+                    every = self.best[lo:hi, :self.used].ravel()
+                    if hi - lo > 1 and len(every) >= rerank:
+                        least[lo:hi] = np.partition(every, len(every) - rerank)[len(every) - rerank]
+                    lo = hi
+            yield pa.RecordBatch.from_arrays([self.ids, pa.array(least - self.slack)], ["id", "least"])
+
+    # a block's estimates are bounded: fewer queries where more are kept of each
+    rows = max(1, min(queries_per_group, CUT_BYTES // (4 * (2 * rerank + rows_per_group))))
+    by_cell = coded.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
+    cut = grid(packed(q.repartition("id").sortWithinPartitions("id"), rows, bit_maps), packed(by_cell, rows_per_group),
+               Cut, T.StructType([T.StructField("id", fields[query_id]), T.StructField("least", T.DoubleType())]),
+               whole=True)
+
+    schema = T.StructType([T.StructField(query_id, fields[query_id]), indexed.schema[cand_id],
+                           T.StructField("raw", T.DoubleType())])
+    names, margin = schema.names, _rounding_margin(score_digits)
+
+    class Rerank(Estimates):
+        def __init__(self, block: pa.RecordBatch):
+            super().__init__(block)
+            self.least = np.asarray(block.column("least"))
+            self.top = DenseTopK(self.matrix, self.ids, k, margin, exclude_self)
+
+        def meet(self, block: pa.RecordBatch) -> None:
+            which, s = self.of(block)
+            kept = (s >= self.least[which]) & (s > -np.inf)
+            some = np.flatnonzero(kept.any(0))
+            if len(some):
+                self.top.score(dense_matrix(block.column("v")), block.column("id"), which[some], kept[:, some])
+
+        def rows(self):
+            return self.top.rows(names)
+
+    # the vectors of a query id or candidate id that repeats meet all its rows
+    found = packed(cut.join(q, "id"), queries_per_group, bit_maps)
+    vectors = by_cell.join(candidates.select(F.col(cand_id).alias("id"), F.col(vec).alias("v"))
+                           .where("v IS NOT NULL"), "id") \
+        .repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
+    scored = grid(found, packed(vectors, rows_per_group), Rerank, schema)
+    return _final_topk(scored.withColumn("score", F.round("raw", score_digits)), query_id, cand_id, k).drop("raw")
+
+
+def reranked(pairs: DataFrame | tuple[DataFrame, DataFrame], queries: DataFrame, candidates: DataFrame, k: int, *,
              query_id: str = "query_id", cand_id: str = "vec_id", vec: str = "embedding",
+             exclude_self: bool = False, rows_per_group: int = 8192, queries_per_group: int = 4096,
              score_digits: int = 6) -> DataFrame:
     """Exact dot products of the given (query_id, cand_id) pairs, ranked: (query_id,
-    cand_id, score, rank), the ``k`` best of each query."""
+    cand_id, score, rank), the ``k`` best of each query. Instead of the pairs two
+    tables (query_id, key) and (key, cand_id) may be given, whose rows of an equal
+    key are the pairs: they meet in bounded groups and are never written out. A
+    null vector's score is null and ranks last."""
+    if isinstance(pairs, tuple):
+        scored = _grouped_scores(*pairs, queries, candidates, k, query_id, cand_id, vec, exclude_self,
+                                 rows_per_group, queries_per_group, _rounding_margin(score_digits))
+        return _final_topk(scored.withColumn("score", F.round("raw", score_digits)).drop("raw"),
+                           query_id, cand_id, k)
+    if exclude_self:
+        pairs = pairs.where(F.col(query_id) != F.col(cand_id))
     both = pairs.join(queries.select(query_id, F.col(vec).alias("_q")), query_id) \
         .join(candidates.select(cand_id, F.col(vec).alias("_c")), cand_id)
     dot = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a.cast("double") * b.cast("double")),
                       F.lit(0.0), lambda acc, x: acc + x)
     return _final_topk(both.select(query_id, cand_id, F.round(dot, score_digits).alias("score")),
                        query_id, cand_id, k)
+
+
+def _grouped_scores(probes, members, queries, candidates, k, query_id, cand_id, vec, exclude_self,
+                    rows_per_group, queries_per_group, margin) -> DataFrame:
+    """(query_id, cand_id, raw) of what can be among the ``k`` best of its query
+    within a group: a key's candidates are split into groups of about
+    ``rows_per_group``, its queries into groups of about ``queries_per_group``,
+    and each two groups meet once."""
+    key, = set(probes.columns) - {query_id}
+    q = probes.select(F.col(query_id).alias("id"), F.col(key).alias("key")) \
+        .join(queries.select(F.col(query_id).alias("id"), F.col(vec).alias("v")), "id")
+    c = members.select(F.col(cand_id).alias("id"), F.col(key).alias("key")) \
+        .join(candidates.select(F.col(cand_id).alias("id"), F.col(vec).alias("v")), "id")
+
+    def parts(most):
+        return F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int")
+    sizes = probes.groupBy(F.col(key).alias("key")).agg(parts(queries_per_group).alias("nq")).join(
+        members.groupBy(F.col(key).alias("key")).agg(parts(rows_per_group).alias("nc")), "key")
+
+    def salted(df, mine, other, mine_n, other_n):
+        return df.join(sizes, "key").select(
+            "key", "id", "v", F.pmod(F.xxhash64("id"), F.col(mine_n)).cast("int").alias(mine),
+            F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other))
+    keys = ("key", "q_part", "c_part")
+    schema = T.StructType([T.StructField(query_id, probes.schema[query_id].dataType), members.schema[cand_id],
+                           T.StructField("raw", T.DoubleType())])
+    left = salted(q, "q_part", "c_part", "nq", "nc").groupBy(*keys)
+    right = salted(c, "c_part", "q_part", "nc", "nq").groupBy(*keys)
+
+    def score(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        out = []
+        if qt.num_rows and ct.num_rows:
+            qb, cb = qt.combine_chunks().to_batches()[0], ct.combine_chunks().to_batches()[0]
+            for batch in _scored_group(qb, cb, k, margin, exclude_self, schema.names):
+                out.append(batch)
+        return pa.Table.from_batches(out) if out else pa.table(
+            [pa.array([], to_arrow_type(f.dataType)) for f in schema.fields], schema.names)
+
+    return left.cogroup(right).applyInArrow(score, schema)
+
+
+def _lengths(col: pa.Array) -> np.ndarray:
+    """Length of each vector; -1 where it or one of its values is null."""
+    n = np.asarray(col.value_lengths().fill_null(-1), np.int64).copy()
+    if col.flatten().null_count:
+        n[[None in v for v in col.fill_null([]).to_pylist()]] = -1
+    return n
+
+
+def _scored_group(q: pa.RecordBatch, c: pa.RecordBatch, k, margin, exclude_self, names):
+    nq, nc = _lengths(q.column("v")), _lengths(c.column("v"))
+    for n in np.unique(nq):
+        some = np.flatnonzero(nq == n)
+        fit = np.flatnonzero(nc == n) if n >= 0 else np.zeros(0, np.int64)
+        ids = q.column("id").take(pa.array(some))
+        if len(fit):
+            m, of = dense_matrix(c.column("v").take(pa.array(fit))), c.column("id").take(pa.array(fit))
+            block = dense_matrix(q.column("v").take(pa.array(some)))
+            for a in range(0, len(some), QUERY_ROWS):
+                top = DenseTopK(block[a:a + QUERY_ROWS], ids[a:a + QUERY_ROWS], k, margin, exclude_self)
+                for lo in range(0, len(fit), CANDIDATE_ROWS):
+                    top.score(m[lo:lo + CANDIDATE_ROWS], of[lo:lo + CANDIDATE_ROWS], np.arange(len(top.matrix)))
+                yield from top.rows(names)
+        # without a score: the smallest ids, after all others
+        rest = c.column("id").take(pa.array(np.setdiff1d(np.arange(len(nc)), fit)))
+        if len(rest):
+            rest = rest.take(pc.sort_indices(rest))
+            plain = rest.to_numpy(zero_copy_only=False)
+            for i in range(len(some)):
+                at = np.flatnonzero(plain != ids[i].as_py())[:k] if exclude_self else np.arange(min(k, len(plain)))
+                yield pa.RecordBatch.from_arrays(
+                    [ids[i:i + 1].take(pa.array(np.zeros(len(at), np.int64))), rest.take(pa.array(at)),
+                     pa.nulls(len(at), pa.float64())], names)
