@@ -261,8 +261,7 @@ def q_knn_reranked(spark, sf_dir):
     """T7's exact re-ranking, over candidates given by an equal label."""
     from ..operators.pq import reranked
     e = read_table(spark, sf_dir, "embeddings")
-    pairs = e.select(F.col("vec_id").alias("query_id"), "label").join(e.select("vec_id", "label"), "label") \
-        .where("query_id <> vec_id").select("query_id", "vec_id")
-    top = reranked(pairs, e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 5)
+    pairs = e.select(F.col("vec_id").alias("query_id"), "label"), e.select("vec_id", "label")
+    top = reranked(pairs, e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 5, exclude_self=True)
     return top.select("query_id", F.col("vec_id").alias("neighbor_id"), "score",
                       F.col("rank").cast("int").alias("rank"))

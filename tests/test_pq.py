@@ -68,3 +68,29 @@ def test_estimates_are_table_sums():
 def test_no_vectors(spark):
     e = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     assert pq.train(e) is None
+
+
+def test_search_writes_no_pairs(spark):
+    """Neither pairs nor estimates leave a task: only blocks and the k best do."""
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet").select("vec_id", "embedding")
+    model = pq.train(e)
+    got = pq.search(e.withColumnRenamed("vec_id", "query_id"), e, pq.index(e, model), model, 5, 16, 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "Generate explode(_cells" not in plan
+
+
+def test_reranking_by_key_equals_the_pairs(spark):
+    """Pairs given by an equal key, never written out: null keys, vectors and
+    values, repeated ids, a hot key, groups of a few rows."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], None if i == 9 else min(i // 10, 3)) for i in range(90)]
+    rows[5], rows[12], rows[70] = (5, None, 0), (12, [1.0, None, 0.0, 0.0], 1), (70, rows[71][1], 3)
+    rows += [rows[3], (200, [1.0] * 4, 77), (201, None, 78), (202, None, 78)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    probes, members = e.select(F.col("vec_id").alias("query_id"), "label"), e.select("vec_id", "label")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    want = pq.reranked(probes.join(members, "label").where("query_id <> vec_id"), q, e, 4)
+    cols = ["query_id", "vec_id", "score", "rank"]
+    for size in (8, 1000):
+        got = pq.reranked((probes, members), q, e, 4, exclude_self=True, rows_per_group=size, queries_per_group=size)
+        assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
