@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import packing, token_store
+from tessera.llm import packing, token_store, tokens
 from tessera.llm.tokens import Encoder, vocabulary
 
 from .conftest import ODD, odd_docs
@@ -51,6 +51,57 @@ def test_parts_give_the_ids_of_whole_texts(enc):
         assert ids[first[i]:first[i + 1]].tolist() == plain(enc, t), repr(t)
 
 
+class Watched:
+    """The library's tokenizer, noting the texts it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.texts = tok, []
+
+    def encode_batch_fast(self, texts, **given):
+        self.texts += texts
+        return self.tok.encode_batch_fast(texts, **given)
+
+
+def test_new_parts_are_joined_and_those_met_again_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PARTS", 300)
+    enc = Encoder(vocabulary(None))
+    enc.tok = seen = Watched(enc.tok)
+    common = " ".join(f"often{chr(97 + k)}" for k in range(20)) + ".\nA word é.\nÉt"
+
+    def check(texts):
+        seen.texts.clear()
+        ids, first = enc.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[first[i]:first[i + 1]].tolist() == plain(enc, t), repr(t)
+        return "".join(seen.texts)
+
+    assert "oftenc" in check([common])
+    assert len(seen.texts) <= 3                     # 26 parts, each a text of its own before
+    for k in range(20):                             # 50 new parts a round: several times too many
+        rare = " ".join("rare" + chr(97 + k) + chr(97 + j // 10) + chr(97 + j % 10) for j in range(50))
+        assert "rare" in check([common, rare]) and "often" not in "".join(seen.texts)
+    assert len(enc.keys) < 2000
+
+
+def test_cuts_at_marks_and_line_feeds(enc):
+    rng = random.Random(2)
+    pool = ["a", "é", "ж", "Ö", "×", "÷", "\u0301", "\u0482", "ª", "²", ".", "'", "'s", "_", "-", "\n", "\n\n",
+            "\r", " ", "  ", "1", "中", "�", "<|endoftext|>", "<|", "Of", "\u0085"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    texts += [f"{a}{b}{c}" for a in pool for b in pool for c in pool]
+    ids, first = enc.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert ids[first[i]:first[i + 1]].tolist() == plain(enc, t), repr(t)
+
+
+def test_bytes_that_are_no_text_do_not_hinder_the_others(enc):
+    texts = ["fine words.\nHere", "new ones, too"]
+    ids, first = enc.encode(pa.array([texts[0].encode(), b"odd \xc3 \xe2\x82 bytes", texts[1].encode()], pa.binary()))
+    assert ids[:first[1]].tolist() == plain(enc, texts[0])
+    assert ids[first[2]:].tolist() == plain(enc, texts[1])
+    assert ids[first[1]:first[2]].tolist() == plain(enc, "odd \ufffd \ufffd bytes")
+
+
 @pytest.mark.parametrize("counts", [[5], [0, 3, 0], [1, 1], [1, 2, 4, 8, 16, 1 << 40],
                                     [2 ** min(k, 60) for k in range(80)], list(range(3000))])
 def test_code_is_prefix_free_limited_and_exact(counts):
