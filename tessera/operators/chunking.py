@@ -87,8 +87,11 @@ def chunk_table(df: DataFrame, uri_col: str, text_col: str,
 
 def corpus_chunks(documents: DataFrame, prefix: str = CORPUS_PREFIX,
                   chunk: int = DEFAULT_CHUNK_CHARS,
-                  overlap: int = DEFAULT_CHUNK_OVERLAP) -> DataFrame:
-    """Chunk the driver ``documents`` table as objects under ``prefix``."""
+                  overlap: int = DEFAULT_CHUNK_OVERLAP, sources: DataFrame | None = None) -> DataFrame:
+    """Chunk the driver ``documents`` table as objects under ``prefix``; with
+    ``sources`` (column ``source``: URIs) only those objects."""
     docs = documents.select(
         corpus_uri(F.col("source"), F.col("doc_id"), prefix).alias("uri"), "text")
+    if sources is not None:
+        docs = docs.join(sources.select(F.col("source").alias("uri")), "uri", "left_semi")
     return chunk_table(docs, "uri", "text", prefix, chunk, overlap)

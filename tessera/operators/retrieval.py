@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.embed import DEFAULT_DIM, embed_with, with_sparse_tf
+from ..functions.embed import DEFAULT_DIM, embed_with, tokens, with_sparse_tf
+from ..session import staging_path
 from .knn import topk_sparse
 
 # --- fixed values -----------------------------------------------------------
@@ -23,14 +24,20 @@ CONTENT_NAMESPACE = "content"
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, *,
              dim: int = DEFAULT_DIM, query_id: str = "query_id",
-             query_text: str = "text", method: str = "auto", embedder=None) -> DataFrame:
+             query_text: str = "text", method: str = "auto", embedder=None,
+             chunks_of=None) -> DataFrame:
     """Hits table: (query_id, rank, chunk_id, source, chunk_index, score,
     text). ``chunks`` is (chunk_id, source, chunk_index, text), optionally
     with stored ``buckets, tfs, ss`` vectors (computed with the same
     ``dim``), which are then used as they are. With an ``embedder`` (a pandas
     UDF, text -> vector of unit length) queries are embedded by it and ranked
     by dot product with the chunks' ``feature_vector``, or with its vectors of
-    their texts where the table stores none."""
+    their texts where the table stores none.
+
+    ``chunks_of``, for chunks that are made as they are read and whose ids tell
+    their source, gives the chunks of a table of sources (column ``source``): the
+    ranked ids (at most k a query) are written once, and only the sources among
+    them are chunked again for the texts, not all."""
     base = ["chunk_id", "source", "chunk_index", "text"]
     if embedder is not None:
         from .knn import topk_dense
@@ -47,8 +54,20 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, *,
     if {"buckets", "tfs", "ss"} <= set(chunks.columns):
         # a stored vector table (e.g. the ingest output): vectors are reused
         c = chunks.select(*base, "buckets", "tfs", "ss")
-    else:
+    elif method == "join":
         c = with_sparse_tf(chunks.select(*base), "text", dim)
+    else:
+        c = chunks.select(*base, tokens(F.col("text")).alias("tokens"))
+    if chunks_of is not None:
+        # written as files, whose size the planner knows when it joins them
+        path = staging_path(queries.sparkSession, "hits")
+        top = topk_sparse(q, c, k, dim, query_id=query_id, cand_id="chunk_id", beside=("source",),
+                          method=method)
+        top.write.parquet(path)
+        top = queries.sparkSession.read.schema(top.schema).parquet(path)
+        hit = chunks_of(top.select("source").distinct()).select(*base)
+        return top.drop("source").join(hit, "chunk_id").select(
+            query_id, "rank", "chunk_id", "source", "chunk_index", "score", "text")
     hits = topk_sparse(q, c, k, dim, query_id=query_id, cand_id="chunk_id",
                        carry=("source", "chunk_index", "text"), method=method)
     return hits.select(query_id, "rank", "chunk_id", "source", "chunk_index",

@@ -59,8 +59,10 @@ FROM benchmark b LEFT JOIN bagg a ON a.query_id = b.item_id WHERE b.item_id NOT
 def q_answer_context(spark, sf_dir):
     """The joined context and its sources per query, from the chunks or,
     for queries without a good chunk, from the pages found."""
-    return answer_context(_queries(spark, sf_dir), corpus_chunks(read_text_table(spark, sf_dir, "documents")),
-                          read_text_table(spark, sf_dir, "pages"), FALLBACK_MIN_SCORE, results=SEARCH_RESULTS)
+    docs = read_text_table(spark, sf_dir, "documents")
+    return answer_context(_queries(spark, sf_dir), corpus_chunks(docs), read_text_table(spark, sf_dir, "pages"),
+                          FALLBACK_MIN_SCORE, results=SEARCH_RESULTS,
+                          chunks_of=lambda sources: corpus_chunks(docs, sources=sources))
 
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"

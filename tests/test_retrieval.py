@@ -65,3 +65,39 @@ def test_retrieve_reuses_stored_vectors(spark):
     a = [tuple(r) for r in retrieve(q, chunks, 5).collect()]
     b = [tuple(r) for r in retrieve(q, stored, 5).collect()]
     assert a == b and a[0][2] == "c1"
+
+
+def _odd_documents(spark):
+    rows = [(k, "web", f"alpha{k % 3} beta{k} gamma. " * (k % 9) + "　 x \ny") for k in range(60)]
+    rows += [(5, "web", "alpha1 again"), (7, None, "alpha1 beta7"), (61, "web", None), (62, "web", "É é ÉÉ 12 ²"),
+             (63, "web", "alpha2 " * 900), (63, "web", "alpha2 " * 900)]
+    return spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+
+def test_texts_come_from_the_sources_hit_only(spark):
+    docs = _odd_documents(spark)
+    q = spark.createDataFrame([(1, "alpha1 beta7"), (2, "É 12"), (3, "alpha2"), (4, None), (5, "nothing here")],
+                              "query_id long, text string")
+    asked = []
+
+    def chunks_of(sources):
+        asked.append(sources.count())
+        return corpus_chunks(docs, sources=sources)
+    want = retrieve(q, corpus_chunks(docs), 4).collect()
+    got = retrieve(q, corpus_chunks(docs), 4, chunks_of=chunks_of).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and want
+    assert 0 < asked[0] < 15
+
+
+def test_counts_hashed_in_tasks_equal_the_columns(spark):
+    docs = _odd_documents(spark)
+    q = spark.createDataFrame([(1, "alpha1 beta7 é"), (2, "alpha2 ²")], "query_id long, text string")
+    stored = with_sparse_tf(corpus_chunks(docs), "text")
+    want = sorted(map(str, retrieve(q, stored, 5).collect()))
+    assert sorted(map(str, retrieve(q, corpus_chunks(docs), 5).collect())) == want
+    import pyarrow as pa
+    from tessera.functions.embed import hashed_counts, tokens
+    rows = stored.select(tokens(F.col("text")).alias("t"), "buckets", "tfs", "ss").collect()
+    b, t, s = hashed_counts(pa.array([r.t for r in rows] + [None, []], pa.list_(pa.string())), 768)
+    assert b.to_pylist() == [r.buckets for r in rows] + [[], []]
+    assert t.to_pylist() == [r.tfs for r in rows] + [[], []] and s.to_pylist() == [r.ss for r in rows] + [0, 0]
