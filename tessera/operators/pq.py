@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import checkpoint_dir
 from .grid import CANDIDATE_ROWS, QUERY_ROWS, grid, packed
 from .knn import DenseTopK, _final_topk, _rounding_margin, dense_matrix, probe_cells
 
@@ -31,7 +32,9 @@ SUB = 4                     # dimensions of one code byte
 CODES = 256
 MAX_CELLS = 4096
 SAMPLE = 20_000             # rows the model is fitted on
-CUT_BYTES = 96 << 20        # estimates held for a block of queries
+CUT_BYTES = 160 << 20       # estimates held for a block of queries
+HELD = 4                    # of each query so many times those that it keeps
+RUN_ROWS = 1024             # rows of a cell scored at once
 
 
 @dataclass
@@ -56,8 +59,9 @@ class Quantizer:
     def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The vectors that (cell, codes) stand for: a query's dot product with
         one is ``q . centroid`` plus its table entries."""
-        out = self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1)[:, :self.centroids.shape[1]]
-        return out + self.centroids[cell]
+        groups, size, _ = self.books.shape
+        out = self.books.reshape(groups * size, -1).take(codes + size * np.arange(groups), 0)
+        return out.reshape(len(codes), -1)[:, :self.centroids.shape[1]] + self.centroids.take(cell, 0)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, groups, codes): what a code adds to the estimate."""
@@ -121,9 +125,56 @@ def index(candidates: DataFrame, model: Quantizer, *, cand_id: str = "vec_id",
     return rows.mapInArrow(run, schema)
 
 
+def byte_matrix(col: pa.Array) -> np.ndarray:
+    """The rows of a binary column of equal lengths."""
+    col = col.cast(pa.binary())
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]].reshape(len(col), -1)
+
+
+class Reach:
+    """Which pairs of candidates (``x``: what their codes stand for) and queries have
+    an estimate of at least the query's ``least``."""
+    def __init__(self, x: np.ndarray, queries: np.ndarray, least: np.ndarray):
+        self.x, self.queries, self.least = x, queries, least
+
+    def __getitem__(self, rows: slice) -> Reach:
+        return Reach(self.x[rows], self.queries, self.least)
+
+    def mask(self, which: np.ndarray) -> np.ndarray:
+        return self.x @ self.queries[which].T >= self.least[which]
+
+    def pairs(self, row: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.x[row], self.queries[query]) >= self.least[query]
+
+
+class Places:
+    """Where each id stands in a column; null equals nothing."""
+    def __init__(self, ids: pa.Array):
+        ids, at = self._known(ids)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.at = ids[order], at[order]
+
+    @staticmethod
+    def _known(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(np.asarray(ids.is_valid()))
+        return ids.take(pa.array(at)).to_numpy(zero_copy_only=False), at
+
+    def of(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``ids``, place) of all equal ids, by row."""
+        ids, row = self._known(ids)
+        lo, hi = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        some = np.flatnonzero(hi > lo)
+        n = (hi - lo)[some]
+        i = np.repeat(some, n)
+        place = np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = ids[i] == self.ids[place]                 # not so for NaN
+        return row[i[same]], self.at[place[same]]
+
+
 def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model: Quantizer, k: int,
            nprobe: int, rerank: int, *, query_id: str = "query_id", cand_id: str = "vec_id",
-           vec: str = "embedding", exclude_self: bool = False, rows_per_group: int = 2048,
+           vec: str = "embedding", exclude_self: bool = False, rows_per_group: int = 8192,
            queries_per_group: int = 1024, score_digits: int = 6) -> DataFrame:
     """(query_id, cand_id, score, rank): the ``k`` best by exact score among the
     ``rerank`` best estimates of each query (of each query id, if it repeats).
@@ -131,71 +182,81 @@ def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model:
     Neither the probed pairs nor the estimates are written out. A first grid
     meets blocks of queries with all code blocks, in cell order, and gives per
     query the ``rerank``-th best estimate; a second one meets the queries with
-    blocks of codes and vectors and scores the pairs that reach it. Estimates are
-    single precision: those equal within its rounding stay."""
+    blocks of codes and vectors and ranks the pairs that reach it. The rows of a
+    cell follow each other: they meet the queries that probe it, and no mask of
+    all pairs is made. Re-ranking scores a cell in single precision first; the
+    estimate and the exact score are taken of pairs that can still reach the k
+    best. Estimates are single precision: those equal within its rounding stay."""
+    spark = queries.sparkSession
     nprobe = max(1, min(nprobe, len(model.centroids)))
     fields = {f.name: f.dataType for f in queries.schema.fields}
-    q = probe_cells(queries, model.centroids, nprobe, query_id, vec) \
-        .select(F.col(query_id).alias("id"), F.col("_qv").alias("v"), "_cells")
-    coded = indexed.select(F.col(cand_id).alias("id"), "cell", "codes")
+    q = probe_cells(queries, model.centroids, nprobe, query_id, vec, maps=True) \
+        .select(F.col(query_id).alias("id"), F.col("_qv").alias("v"), F.col("_cells").alias("probed"))
+    # some bytes a row, read three times and dear to make
+    checkpoint_dir(spark)
+    coded = indexed.select(F.col(cand_id).alias("id"), "cell", "codes").checkpoint()
     cells = len(model.centroids)
+    single = Quantizer(model.centroids.astype(np.float32), model.books.astype(np.float32))
     # what single precision can change in an estimate of a vector of length 1
     slack = 2.0 ** -22 * (model.centroids.shape[1] + 2) * (
         np.linalg.norm(model.centroids, axis=1).max() + np.sqrt((model.books ** 2).sum(2).max(1).sum()))
 
-    def bit_maps(block: pa.RecordBatch) -> pa.RecordBatch:
-        """The probed cells as a bit map: a block travels to many tasks."""
-        probed = np.zeros((block.num_rows, cells), bool)
-        at = np.asarray(block.column("_cells").flatten()).reshape(block.num_rows, -1)
-        probed[np.arange(block.num_rows)[:, None], at] = True
-        maps = pa.array([x.tobytes() for x in np.packbits(probed, axis=1)], pa.binary())
-        keep = [n for n in block.schema.names if n != "_cells"]
-        return pa.RecordBatch.from_arrays([*(block.column(n) for n in keep), maps], [*keep, "probed"])
-
     class Estimates:
         def __init__(self, block: pa.RecordBatch):
             self.ids = block.column("id")
-            self.plain = self.ids.to_numpy(zero_copy_only=False) if exclude_self else None
             self.matrix = dense_matrix(block.column("v"))
             self.single = self.matrix.astype(np.float32)
             self.slack = slack * np.linalg.norm(self.matrix, axis=1)
-            bits = np.frombuffer(b"".join(block.column("probed").to_pylist()), np.uint8)
-            self.probed = np.unpackbits(bits.reshape(block.num_rows, -1), axis=1, count=cells).astype(bool)
+            # by cell: the queries that probe it
+            self.probed = np.unpackbits(byte_matrix(block.column("probed")), axis=1, count=cells).astype(bool).T.copy()
 
-        def of(self, block: pa.RecordBatch):
-            """Queries that probe cells of a block of codes, and their estimates
-            (candidate, query), -inf where the cell is not probed."""
+        def runs(self, block: pa.RecordBatch):
+            """What the codes of a block stand for, and (from, to, queries that probe
+            it) of its rows of one cell."""
             cell = np.asarray(block.column("cell"))
-            which = np.flatnonzero(self.probed[:, np.unique(cell)].any(1))
-            codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(cell), -1)
-            s = model.decode(cell, codes).astype(np.float32) @ self.single[which].T
-            s[~self.probed[which][:, cell].T] = -np.inf
-            if exclude_self:
-                mine = block.column("id").to_numpy(zero_copy_only=False)
-                s[mine[:, None] == self.plain[None, which]] = -np.inf
-            return which, s
+            ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
+            runs, lo = [], 0
+            for hi in ends:
+                which = np.flatnonzero(self.probed[cell[lo]])
+                if len(which):
+                    runs += [(a, min(a + RUN_ROWS, hi), which) for a in range(lo, hi, RUN_ROWS)]
+                lo = hi
+            return single.decode(cell, byte_matrix(block.column("codes"))) if runs else None, runs
 
     class Cut(Estimates):
         """The ``rerank`` best estimates of each query of a block."""
         def __init__(self, block: pa.RecordBatch):
             super().__init__(block)
-            self.best = np.full((block.num_rows, 2 * rerank + rows_per_group), -np.inf, np.float32)
+            self.places = Places(self.ids) if exclude_self else None
+            self.best = np.empty((block.num_rows, held), np.float32)
             self.used = 0
 
         def meet(self, block: pa.RecordBatch) -> None:
-            which, s = self.of(block)
-            if not len(which):
+            x, runs = self.runs(block)
+            if not runs:
                 return
-            if self.used + len(s) > self.best.shape[1]:
+            if self.used + len(x) > self.best.shape[1]:
                 self.prune()
-            held = self.best[:, self.used:self.used + len(s)]
-            held[:] = -np.inf
-            held[which] = s.T
-            self.used += len(s)
+            row, own = self.places.of(block.column("id")) if exclude_self else (np.zeros(0, int),) * 2
+            for lo, hi, which in runs:
+                s = self.best[:, self.used:self.used + hi - lo]
+                s[self.missing(which)] = -np.inf
+                s[which] = self.single[which] @ x[lo:hi].T
+                a, b = np.searchsorted(row, (lo, hi))
+                s[own[a:b], row[a:b] - lo] = -np.inf
+                self.used += hi - lo
+
+        def missing(self, which: np.ndarray) -> np.ndarray:
+            rest = np.ones(len(self.ids), bool)
+            rest[which] = False
+            return np.flatnonzero(rest)
 
         def prune(self) -> None:
             if self.used > rerank:
-                self.best[:, :rerank] = np.partition(self.best[:, :self.used], self.used - rerank, 1)[:, -rerank:]
+                for lo in range(0, len(self.best), 64):
+                    some = self.best[lo:lo + 64, :self.used]
+                    some.partition(self.used - rerank, 1)
+                    some[:, :rerank] = some[:, -rerank:]
                 self.used = rerank
 
         def rows(self):
@@ -215,9 +276,10 @@ def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model:
             yield pa.RecordBatch.from_arrays([self.ids, pa.array(least - self.slack)], ["id", "least"])
 
     # a block's estimates are bounded: fewer queries where more are kept of each
-    rows = max(1, min(queries_per_group, CUT_BYTES // (4 * (2 * rerank + rows_per_group))))
+    held = HELD * rerank + rows_per_group
+    rows = max(1, min(queries_per_group, CUT_BYTES // (4 * held)))
     by_cell = coded.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
-    cut = grid(packed(q.repartition("id").sortWithinPartitions("id"), rows, bit_maps), packed(by_cell, rows_per_group),
+    cut = grid(packed(q.repartition("id").sortWithinPartitions("id"), rows), packed(by_cell, rows_per_group),
                Cut, T.StructType([T.StructField("id", fields[query_id]), T.StructField("least", T.DoubleType())]),
                whole=True)
 
@@ -228,25 +290,25 @@ def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model:
     class Rerank(Estimates):
         def __init__(self, block: pa.RecordBatch):
             super().__init__(block)
-            self.least = np.asarray(block.column("least"))
+            self.least = np.nextafter(np.asarray(block.column("least")).astype(np.float32), np.float32(-np.inf))
             self.top = DenseTopK(self.matrix, self.ids, k, margin, exclude_self)
 
         def meet(self, block: pa.RecordBatch) -> None:
-            which, s = self.of(block)
-            kept = (s >= self.least[which]) & (s > -np.inf)
-            some = np.flatnonzero(kept.any(0))
-            if len(some):
-                self.top.score(dense_matrix(block.column("v")), block.column("id"), which[some], kept[:, some])
+            x, runs = self.runs(block)
+            if runs:
+                m, ids, reach = dense_matrix(block.column("v")), block.column("id"), Reach(x, self.single, self.least)
+            for lo, hi, which in runs:
+                self.top.score(m[lo:hi], ids[lo:hi], which, reach[lo:hi])
 
         def rows(self):
             return self.top.rows(names)
 
     # the vectors of a query id or candidate id that repeats meet all its rows
-    found = packed(cut.join(q, "id"), queries_per_group, bit_maps)
-    vectors = by_cell.join(candidates.select(F.col(cand_id).alias("id"), F.col(vec).alias("v"))
-                           .where("v IS NOT NULL"), "id") \
+    found = packed(cut.join(q, "id"), 2 * queries_per_group)
+    vectors = coded.join(candidates.select(F.col(cand_id).alias("id"), F.col(vec).alias("v"))
+                         .where("v IS NOT NULL"), "id") \
         .repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
-    scored = grid(found, packed(vectors, rows_per_group), Rerank, schema)
+    scored = grid(found, packed(vectors, rows_per_group), Rerank, schema, square=True)
     return _final_topk(scored.withColumn("score", F.round("raw", score_digits)), query_id, cand_id, k).drop("raw")
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators import grid as G
 from tessera.operators import knn
@@ -120,3 +121,27 @@ def test_few_pairs_are_scored_in_double_precision(monkeypatch):
     best = {(q, c) for q, c, _ in _brute(v[:100], v, 3, True)}
     assert best <= set(zip(got.column("q").to_pylist(), got.column("c").to_pylist()))
     assert sum(seen) < 0.2 * 100 * 4000
+
+
+@pytest.mark.parametrize("cells", [1, 3, 12])
+def test_square_grid_meets_each_pair_once(spark, cells):
+    """Two axes: every pair once, few states of a query block."""
+    def numbers(block):
+        return block.column("id").to_pylist()
+
+    class State:
+        def __init__(self, block):
+            self.mine, self.met = numbers(block), []
+
+        def meet(self, block):
+            self.met += numbers(block)
+
+        def rows(self):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*((a, b) for a in self.mine for b in self.met))],
+                                             ["q", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(self.mine), pa.array([-1] * len(self.mine))], ["q", "c"])
+    q, c = spark.range(40).repartition(3), spark.range(60).repartition(2)
+    got = G.grid(G.packed(q, 4), G.packed(c, 5), State, T.StructType(
+        [T.StructField("q", T.LongType()), T.StructField("c", T.LongType())]), cells=cells, square=True).collect()
+    assert sorted((r.q, r.c) for r in got if r.c >= 0) == [(a, b) for a in range(40) for b in range(60)]
+    assert sum(r.c < 0 for r in got) <= 40 * max(1, int(cells ** 0.5))

@@ -1,6 +1,7 @@
 """Product-quantised search: recall, share of vectors read, exact re-ranking."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,72 @@ def test_reranking_by_key_equals_the_pairs(spark):
     for size in (8, 1000):
         got = pq.reranked((probes, members), q, e, 4, exclude_self=True, rows_per_group=size, queries_per_group=size)
         assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    """Estimates of a query id count together, its rows meet all vectors of an id."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(80)]
+    rows += [(3, [float(x) for x in rng.normal(size=8)]), rows[5], rows[5], (None, rows[7][1]), (90, None)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    model, k, nprobe, rerank = pq.train(e, cells=6), 4, 4, 15
+    got = pq.search(q, e, pq.index(e, model), model, k, nprobe, rerank, exclude_self=True, rows_per_group=7)
+    some = [(i, np.array(v)) for i, v in rows if v is not None]
+    x = np.stack([v for _, v in some])
+    cell, codes = model.encode(x)
+    est = x @ model.decode(cell, codes).T
+    near = np.argsort(((x[:, None] - model.centroids) ** 2).sum(2), axis=1, kind="stable")[:, :nprobe]
+    for i, (a, _) in enumerate(some):
+        for j, (b, _) in enumerate(some):
+            if cell[j] not in near[i] or a is not None and a == b:
+                est[i, j] = -np.inf
+    want = []
+    for a in {i for i, _ in some if i is not None}:
+        mine = [i for i, r in enumerate(some) if r[0] == a]
+        least = np.sort(np.concatenate([est[i] for i in mine]))[-rerank]
+        found = [(-round(float(x[i] @ v), 6), b) for i in mine for _ in mine for j, (b, _) in enumerate(some)
+                 if est[i, j] >= least - 1e-9 and est[i, j] > -np.inf and b is not None
+                 for c, v in some if c == b]
+        want += [(a, b, -s) for s, b in sorted(found)[:k]]
+    assert sorted((r.query_id, r.vec_id, round(r.score, 5)) for r in got.collect()) == \
+        sorted((a, b, round(s, 5)) for a, b, s in want)
+
+
+def test_few_pairs_are_estimated_again(monkeypatch):
+    """Re-ranking takes the estimate and the exact score of pairs that can still
+    reach the k best, not of all."""
+    from tessera.operators import grid as G
+    from tessera.operators.knn import DenseTopK
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 16)).astype(np.float32)
+    x = v + 0.3 * rng.normal(size=v.shape).astype(np.float32)
+    least = np.quantile(v[:100] @ x.T, 0.9, axis=1).astype(np.float32)
+    seen = []
+    mask, pairs, add = pq.Reach.mask, pq.Reach.pairs, G.Running.add
+    monkeypatch.setattr(pq.Reach, "mask", lambda self, w: (seen.append(len(self.x) * len(w)), mask(self, w))[1])
+    monkeypatch.setattr(pq.Reach, "pairs", lambda self, r, q: (seen.append(len(r)), pairs(self, r, q))[1])
+    monkeypatch.setattr(G.Running, "add", lambda self, s, *a: (seen.append(len(s)), add(self, s, *a))[1])
+    top, reach = DenseTopK(v[:100].astype(float), pa.array(range(100)), 3, 1e-6, True), pq.Reach(x, v[:100], least)
+    for lo in range(0, 4000, 1000):
+        top.score(v[lo:lo + 1000].astype(float), pa.array(range(lo, lo + 1000)), np.arange(100), reach[lo:lo + 1000])
+    got, = top.rows(["q", "c", "s"])
+    found = {(a, b): s for a, b, s in zip(*(got.column(i).to_pylist() for i in range(3)))}
+    s = (v[:100].astype(float) @ v.astype(float).T)
+    s[(v[:100] @ x.T < least[:, None]) | (np.arange(100)[:, None] == np.arange(4000))] = -np.inf
+    best = {(i, int(j)) for i in range(100) for j in np.argsort(-s[i])[:3]}
+    assert best <= set(found) and all(s[p] > -np.inf for p in found)
+    assert sum(seen) < 0.2 * 100 * 4000
+
+
+def test_probed_cells_travel_as_bit_maps(spark):
+    """A list of cells would outweigh the vector it goes with."""
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet").select("vec_id", "embedding")
+    model = pq.train(e)
+    maps = pq.probe_cells(e, model.centroids, 5, "vec_id", "embedding", maps=True)
+    assert dict(maps.dtypes)["_cells"] == "binary"
+    lists = pq.probe_cells(e, model.centroids, 5, "vec_id", "embedding")
+    both = lists.join(maps.select("vec_id", F.col("_cells").alias("bits")), "vec_id").collect()
+    for r in both:
+        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=len(model.centroids))
+        assert set(np.flatnonzero(bits)) == set(r._cells)
