@@ -25,16 +25,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import checkpoint_dir
-from .grid import CANDIDATE_ROWS, QUERY_ROWS, grid, packed
+from .grid import CANDIDATE_ROWS, QUERY_ROWS, TASKS, grid, packed
 from .knn import DenseTopK, _final_topk, _rounding_margin, dense_matrix, probe_cells
 
 SUB = 4                     # dimensions of one code byte
 CODES = 256
 MAX_CELLS = 4096
 SAMPLE = 20_000             # rows the model is fitted on
-CUT_BYTES = 160 << 20       # estimates held for a block of queries
+CUT_BYTES = 256 << 20       # estimates held for a block of queries
 HELD = 4                    # of each query so many times those that it keeps
-RUN_ROWS = 1024             # rows of a cell scored at once
+RUN_PAIRS = 1 << 20         # pairs of a cell and its queries scored at once
 
 
 @dataclass
@@ -125,11 +125,26 @@ def index(candidates: DataFrame, model: Quantizer, *, cand_id: str = "vec_id",
     return rows.mapInArrow(run, schema)
 
 
-def byte_matrix(col: pa.Array) -> np.ndarray:
-    """The rows of a binary column of equal lengths."""
-    col = col.cast(pa.binary())
-    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
-    return np.frombuffer(col.buffers()[2], np.uint8)[off[0]:off[-1]].reshape(len(col), -1)
+def slim(block: pa.RecordBatch) -> pa.RecordBatch:
+    """A block to send to many tasks: bytes of equal lengths without offsets, cells
+    (``MAX_CELLS`` at most) in two bytes."""
+    def column(name: str, col: pa.Array) -> pa.Array:
+        if name == "cell":
+            return col.cast(pa.uint16())
+        if name in ("codes", "probed"):
+            col = col.cast(pa.binary())
+            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+            data = col.buffers()[2][int(off[0]):int(off[-1])]
+            return pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(data) // len(col)), len(col), [None, data])
+        return col
+    names = block.schema.names
+    return pa.RecordBatch.from_arrays([column(n, c) for n, c in zip(names, block.columns)], names)
+
+
+def byte_matrix(col: pa.FixedSizeBinaryArray) -> np.ndarray:
+    """(rows, bytes)"""
+    n = col.type.byte_width
+    return np.frombuffer(col.buffers()[1], np.uint8)[col.offset * n:][:len(col) * n].reshape(len(col), n)
 
 
 class Reach:
@@ -219,7 +234,8 @@ def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model:
             for hi in ends:
                 which = np.flatnonzero(self.probed[cell[lo]])
                 if len(which):
-                    runs += [(a, min(a + RUN_ROWS, hi), which) for a in range(lo, hi, RUN_ROWS)]
+                    step = max(1, RUN_PAIRS // len(which))
+                    runs += [(a, min(a + step, hi), which) for a in range(lo, hi, step)]
                 lo = hi
             return single.decode(cell, byte_matrix(block.column("codes"))) if runs else None, runs
 
@@ -277,11 +293,13 @@ def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model:
 
     # a block's estimates are bounded: fewer queries where more are kept of each
     held = HELD * rerank + rows_per_group
+    # the work goes by pairs, not by the rows shuffled: some tasks for each core
+    tasks = max(24, TASKS * spark.sparkContext.defaultParallelism)
     rows = max(1, min(queries_per_group, CUT_BYTES // (4 * held)))
     by_cell = coded.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
-    cut = grid(packed(q.repartition("id").sortWithinPartitions("id"), rows), packed(by_cell, rows_per_group),
+    cut = grid(packed(q.repartition("id").sortWithinPartitions("id"), rows, slim), packed(by_cell, rows_per_group, slim),
                Cut, T.StructType([T.StructField("id", fields[query_id]), T.StructField("least", T.DoubleType())]),
-               whole=True)
+               tasks, whole=True)
 
     schema = T.StructType([T.StructField(query_id, fields[query_id]), indexed.schema[cand_id],
                            T.StructField("raw", T.DoubleType())])
@@ -304,11 +322,11 @@ def search(queries: DataFrame, candidates: DataFrame, indexed: DataFrame, model:
             return self.top.rows(names)
 
     # the vectors of a query id or candidate id that repeats meet all its rows
-    found = packed(cut.join(q, "id"), 2 * queries_per_group)
+    found = packed(cut.join(q, "id"), 4 * queries_per_group, slim)
     vectors = coded.join(candidates.select(F.col(cand_id).alias("id"), F.col(vec).alias("v"))
                          .where("v IS NOT NULL"), "id") \
         .repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
-    scored = grid(found, packed(vectors, rows_per_group), Rerank, schema, square=True)
+    scored = grid(found, packed(vectors, rows_per_group, slim), Rerank, schema, tasks, square=True)
     return _final_topk(scored.withColumn("score", F.round("raw", score_digits)), query_id, cand_id, k).drop("raw")
 
 
